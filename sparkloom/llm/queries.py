@@ -5,10 +5,23 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, quality_rules
+from . import mixing, quality_rules, secrets
 from .common import cut, read
 
 
+def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secrets.find_secrets(read(spark, sf_dir, "documents").select("doc_id", "text"))
+    base = [r.kind for r in secrets.RULES if r.base]
+    n = lambda kind: F.size(F.filter("secret_spans", lambda s: s["kind"] == kind)).cast("long")
+    only = F.filter("secret_spans", lambda s: s["kind"].isin(base))
+    return found.select(
+        "doc_id",
+        *[n(k).alias(f"n_{k}") for k in base],
+        F.sha2(secrets.join_spans(only), 256).alias("base_sha256"),
+        secrets.join_spans(F.col("secret_spans")).alias("spans"),
+    )
+
+
 def op9_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
     slim = cut(docs.select("doc_id", "source", mixing.word_count(F.col("text")).alias("size")))
@@ -21,7 +34,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
-QUERIES = {f.__name__: f for f in (op9_mix_sources, op10_quality_rules)}
+QUERIES = {f.__name__: f for f in (op1_secret_scan, op9_mix_sources, op10_quality_rules)}
 
 OP9_SQL = r"""
 WITH sized AS (
@@ -53,4 +66,44 @@ WITH sized AS (
 SELECT doc_id, size, CAST(s AS BIGINT) AS source_size, target, copies * size AS taken, copies FROM done
 """
 
-SQL = {"op9_mix_sources": OP9_SQL}
+
+
+def _secret_sql() -> str:
+    """Each rule's matches, placed by summing the lengths of the pieces between them."""
+    sets = {c: f"[{c.upper()}{c}]" for c in "abcdefghijklmnopqrstuvwxyz"}
+    parts = []
+    for rank, r in enumerate(secrets.RULES):
+        pattern = r.pattern
+        if pattern.startswith("(?i:"):  # letters in either case, ASCII alone
+            end = pattern.index(")") + 2
+            pattern = "".join(sets.get(c, c) for c in pattern[4:end - 1]) + pattern[end:]
+        lit = pattern.replace("'", "''")
+        parts.append(f"""
+  SELECT doc_id, {rank} AS rank, '{r.kind}' AS kind, list_zip(
+      string_split_regex(text, '{lit}')[:len(regexp_extract_all(text, '{lit}'))],
+      regexp_extract_all(text, '{lit}'), regexp_extract_all(text, '{lit}', {r.group})) AS m, {r.min_length} AS least
+  FROM docs""")
+    return f"""
+WITH docs AS (SELECT doc_id, coalesce(text, '') AS text FROM documents), found AS ({' UNION ALL '.join(parts)}
+), each_ AS (
+  SELECT doc_id, rank, kind, least, m, unnest(generate_series(1, len(m))) AS i FROM found WHERE len(m) > 0
+), placed AS (
+  SELECT doc_id, rank, kind, least, m[i][3] AS shown,
+    list_sum(list_transform(m[:i], lambda x: length(x[1]) + length(x[2])))::BIGINT AS stop, length(m[i][2]) AS n
+  FROM each_
+), spans AS (
+  SELECT doc_id, rank, kind, stop - n AS start, kind || ':' || (stop - n) || ':' || stop AS span FROM placed WHERE length(shown) >= least
+), per AS (
+  SELECT doc_id, count(*) FILTER (kind = 'assign') AS n_assign, count(*) FILTER (kind = 'access') AS n_access,
+    count(*) FILTER (kind = 'hex') AS n_hex,
+    string_agg(span, ',' ORDER BY start, rank) FILTER (kind IN ('assign', 'access', 'hex')) AS base,
+    string_agg(span, ',' ORDER BY start, rank) AS spans
+  FROM spans GROUP BY doc_id
+)
+SELECT d.doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex,
+  sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
+FROM docs d LEFT JOIN per USING (doc_id)
+"""
+
+
+SQL = {"op1_secret_scan": _secret_sql(), "op9_mix_sources": OP9_SQL}
