@@ -57,3 +57,13 @@ def labelled_ids(labels: DataFrame, label: str, train, max_rows: int = MAX_LABEL
 def with_labels(docs: DataFrame, ids: DataFrame) -> DataFrame:
     """(doc_id, text, label) of the labelled documents; ids has at most MAX_LABELLED rows, so it is broadcast."""
     return docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id")
+
+
+def isotonic(scored: DataFrame) -> tuple[list[float], list[float]]:
+    """Knots (score, probability) of the isotonic fit of ``label`` on ``score``; scored has a bounded sample's rows."""
+    from pyspark.ml.regression import IsotonicRegression
+
+    if scored.isEmpty():
+        return [0.0, 1.0], [0.0, 1.0]
+    fit = IsotonicRegression(featuresCol="score", labelCol="label").fit(scored.select(F.col("score").cast("double"), F.col("label").cast("double")))
+    return [float(x) for x in fit.boundaries.toArray()], [float(x) for x in fit.predictions.toArray()]

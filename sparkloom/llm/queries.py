@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, mixing, quality_rules, secrets
-from .common import cut, read
+from . import decontaminate, mixing, quality, quality_rules, secrets, toxicity
+from .common import cut, fold_of, read
 
 
 def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -22,6 +22,13 @@ def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    out = toxicity.toxicity(docs, read(spark, sf_dir, "labels"), train=lambda k: fold_of(k, 5) != 0)
+    held_out = F.coalesce(fold_of(F.col("doc_id"), 5) == 0, F.lit(False))
+    return out.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
     out = decontaminate.contamination(docs, read(spark, sf_dir, "benchmark"))
@@ -29,6 +36,13 @@ def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "n_hit", "n_items", digest.alias("items_sha256"), "contaminated")
 
 
+def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    out = quality.quality(docs, read(spark, sf_dir, "labels"), train=lambda k: fold_of(k, 4) != 2)
+    held_out = F.coalesce(fold_of(F.col("doc_id"), 4) == 2, F.lit(False))
+    return out.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
 def op9_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
     slim = cut(docs.select("doc_id", "source", mixing.word_count(F.col("text")).alias("size")))
@@ -41,7 +55,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
-QUERIES = {f.__name__: f for f in (op1_secret_scan, op5_decontamination, op9_mix_sources, op10_quality_rules)}
+QUERIES = {f.__name__: f for f in (op1_secret_scan, op4_toxicity, op5_decontamination, op8_quality, op9_mix_sources, op10_quality_rules)}
 
 OP9_SQL = r"""
 WITH sized AS (
