@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, html_extract, minhash, mixing, quality, quality_rules, secrets, toxicity
+from . import decontaminate, html_extract, minhash, mixing, quality, quality_rules, secrets, toxicity, url_rules
 from .common import cut, fold_of, read
 
 
@@ -26,6 +26,11 @@ def op2_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_extract.extract(read(spark, sf_dir, "pages")).select("page_id", "url", "text", "n_chars")
 
 
+def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = url_rules.judge_urls(read(spark, sf_dir, "pages").select("page_id", "url"))
+    return judged.select("page_id", "host", "path", "rule", "verdict")
+
+
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
     out = toxicity.toxicity(docs, read(spark, sf_dir, "labels"), train=lambda k: fold_of(k, 5) != 0)
@@ -63,7 +68,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
-QUERIES = {f.__name__: f for f in (op1_secret_scan, op2_html_extraction, op4_toxicity, op5_decontamination, op6_minhash_near_dedup, op8_quality, op9_mix_sources, op10_quality_rules)}
+QUERIES = {f.__name__: f for f in (op1_secret_scan, op2_html_extraction, op3_url_filter, op4_toxicity, op5_decontamination, op6_minhash_near_dedup, op8_quality, op9_mix_sources, op10_quality_rules)}
 
 OP9_SQL = r"""
 WITH sized AS (
