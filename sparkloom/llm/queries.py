@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, html_extract, minhash, mixing, quality, quality_rules, secrets, toxicity, url_rules
+from . import decontaminate, html_extract, minhash, mixing, quality, quality_rules, secrets, suffix, toxicity, url_rules
 from .common import cut, fold_of, read
 
 
@@ -49,6 +49,12 @@ def op6_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(read(spark, sf_dir, "documents"))
 
 
+def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = suffix.repeated_spans(read(spark, sf_dir, "documents"))
+    removed = (F.col("n_bytes") - F.octet_length("kept")).cast("long")
+    return out.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
     out = quality.quality(docs, read(spark, sf_dir, "labels"), train=lambda k: fold_of(k, 4) != 2)
@@ -68,7 +74,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
-QUERIES = {f.__name__: f for f in (op1_secret_scan, op2_html_extraction, op3_url_filter, op4_toxicity, op5_decontamination, op6_minhash_near_dedup, op8_quality, op9_mix_sources, op10_quality_rules)}
+QUERIES = {f.__name__: f for f in (op1_secret_scan, op2_html_extraction, op3_url_filter, op4_toxicity, op5_decontamination, op6_minhash_near_dedup, op7_suffix_dedup, op8_quality, op9_mix_sources, op10_quality_rules)}
 
 OP9_SQL = r"""
 WITH sized AS (
