@@ -15,8 +15,8 @@ names grow by doubling, as in suffix sorting, and positions leave as soon as the
 2. For these, the ``length``-byte strings that the position stands for are named one by one, again by
    pairs of names at an offset, dealt out and sorted; a smaller document with the name settles it.
 
-Names are 64-bit hashes of the bytes (a position's short name travels with 40 bits and its long one,
-which is only compared among equal short ones, with 48). Copies of a name within one task's chunk are
+Names are 64-bit hashes of the bytes (a position's short name travels with 32 bits besides its bucket,
+and its long one, which is only compared among equal short ones, with 40). Copies of a name within one task's chunk are
 settled there before the shuffle, so a name that a third of the documents hold is sent once per chunk.
 Names travel as packed arrays, many in a row; texts are shuffled once, to meet the settled positions.
 """
@@ -36,7 +36,7 @@ from .minhash import mix64
 LENGTH = 50
 GRAM = 24
 #: Bytes of text that are named together; bounds a task's arrays.
-CHUNK_BYTES = 3_000_000
+CHUNK_BYTES = 2_000_000
 #: Bytes of text to each bucket of names, at most about.
 BUCKET_BYTES = 32_000_000
 
@@ -237,7 +237,7 @@ def _named(length: int, gram: int, buckets: int):
                 rows = [{"bucket": r["home"], **r} for r in _homeward(doc[known], place[known], WHOLE, buckets)]
                 doc, place, short, long = doc[~known], place[~known], short[~known], long[~known]
                 for bucket, part in _parts(_bucket(short, buckets)):
-                    rows.append({"bucket": bucket, "home": -1, "kind": FINE, "payload": _pack(doc[part], place[part], (short[part], 5), (long[part], 6))})
+                    rows.append({"bucket": bucket, "home": -1, "kind": FINE, "payload": _pack(doc[part], place[part], (short[part], 4), (long[part], 5))})
                 yield _frame(rows, NAMED)
 
     return compute
@@ -249,7 +249,7 @@ def _ranked(buckets: int):
     def compute(rows: pd.DataFrame) -> pd.DataFrame:
         through = rows[rows["home"] >= 0]
         out = through[["home", "kind", "payload"]].to_dict("records")
-        doc, place, short, long = _unpack(rows.loc[rows["home"] < 0, "payload"], 5, 6)
+        doc, place, short, long = _unpack(rows.loc[rows["home"] < 0, "payload"], 4, 5)
         if len(doc):
             order = np.argsort(short)
             ordered, ids = short[order], doc[order]
