@@ -1,0 +1 @@
+"""Incremental versions of the transforms, as Structured Streaming jobs."""
