@@ -36,7 +36,9 @@ from .minhash import mix64
 LENGTH = 50
 GRAM = 24
 #: Bytes of text that are named together; bounds a task's arrays.
-CHUNK_BYTES = 2_000_000
+CHUNK_BYTES = 1_000_000
+#: Bytes of packed names that are ranked together; a larger bucket is ranked part by part of its names.
+PART_BYTES = 4_000_000
 #: Bytes of text to each bucket of names, at most about.
 BUCKET_BYTES = 32_000_000
 
@@ -131,8 +133,8 @@ def _pack(ids: np.ndarray, places: np.ndarray, *names: tuple[np.ndarray, int]) -
     return b"".join(p.tobytes() for p in parts)
 
 
-def _unpack(payloads, *widths: int) -> list[np.ndarray]:
-    """ids, places and names of several packed rows together."""
+def _unpack(payloads, *widths: int, part: int = 0, parts: int = 1) -> list[np.ndarray]:
+    """ids, places and names of several packed rows together; only names that are part, modulo parts."""
     cols: list[list[np.ndarray]] = [[] for _ in range(2 + len(widths))]
     for raw in payloads:
         n, docs = (int(x) for x in np.frombuffer(raw, np.int64, 2))
@@ -142,11 +144,15 @@ def _unpack(payloads, *widths: int) -> list[np.ndarray]:
         at += 12 * docs
         low, high = np.frombuffer(raw, np.uint16, n, at), np.frombuffer(raw, np.uint16, n, at + 2 * n)
         at += 4 * n
-        cols[0].append(np.repeat(ids, runs))
-        cols[1].append(low.astype(np.int64) | (high.astype(np.int64) << 16))
+        keep = slice(None)
+        if parts > 1:
+            keep = np.flatnonzero(np.frombuffer(raw, np.uint8, n * widths[0], at).reshape(n, widths[0])[:, 0] % parts == part)
+        cols[0].append(np.repeat(ids, runs)[keep])
+        cols[1].append(low[keep].astype(np.int64) | (high[keep].astype(np.int64) << 16))
         for k, width in enumerate(widths):
-            wide = np.zeros((n, 8), np.uint8)
-            wide[:, :width] = np.frombuffer(raw, np.uint8, n * width, at).reshape(n, width)
+            some = np.frombuffer(raw, np.uint8, n * width, at).reshape(n, width)[keep]
+            wide = np.zeros((len(some), 8), np.uint8)
+            wide[:, :width] = some
             cols[2 + k].append(wide.view("<u8").ravel())
             at += n * width
     kinds = (np.int64, np.int64, *[np.uint64] * len(widths))
@@ -243,31 +249,37 @@ def _named(length: int, gram: int, buckets: int):
     return compute
 
 
+def _shared(name: np.ndarray, ids: np.ndarray) -> np.ndarray:
+    """Whether more than one document has the name."""
+    if not len(name):
+        return np.zeros(0, bool)
+    order = np.argsort(name)
+    ordered = name[order]
+    new = np.flatnonzero(np.concatenate(([True], ordered[1:] != ordered[:-1])))
+    out = np.zeros(len(name), bool)
+    out[order] = np.repeat(np.minimum.reduceat(ids[order], new) != np.maximum.reduceat(ids[order], new), np.diff(np.concatenate((new, [len(name)]))))
+    return out
+
+
+def _through(rows: pd.DataFrame) -> tuple[list[dict], list[bytes], int]:
+    """Rows that only pass, the others' payloads, and the parts to work on one after another."""
+    names = rows.loc[rows["home"] < 0, "payload"].tolist()
+    passing = rows.loc[rows["home"] >= 0, ["home", "kind", "payload"]].to_dict("records")
+    return passing, names, sum(map(len, names)) // PART_BYTES + 1
+
+
 def _ranked(buckets: int):
     """Step 1 on a bucket of names: settled positions, and those that go on."""
 
     def compute(rows: pd.DataFrame) -> pd.DataFrame:
-        through = rows[rows["home"] >= 0]
-        out = through[["home", "kind", "payload"]].to_dict("records")
-        doc, place, short, long = _unpack(rows.loc[rows["home"] < 0, "payload"], 4, 5)
-        if len(doc):
-            order = np.argsort(short)
-            ordered, ids = short[order], doc[order]
-            new = np.flatnonzero(np.concatenate(([True], ordered[1:] != ordered[:-1])))
-            runs = np.diff(np.concatenate((new, [len(doc)])))
-            shared = np.repeat(np.minimum.reduceat(ids, new) != np.maximum.reduceat(ids, new), runs)
-            left = order[shared]
+        out, names, parts = _through(rows)
+        for part in range(parts):
+            doc, place, short, long = _unpack(names, 4, 5, part=part, parts=parts)
+            left = np.flatnonzero(_shared(short, doc))
             doc, place, short, long = doc[left], place[left], short[left], long[left]
-        if len(doc):
             known = _settle(doc, long, short)
             out += _homeward(doc[known], place[known], WHOLE, buckets)
-            order = np.lexsort((long, short))
-            ordered = short[order]
-            new = np.flatnonzero(np.concatenate(([True], ordered[1:] != ordered[:-1])))
-            runs = np.diff(np.concatenate((new, [len(doc)])))
-            several = np.zeros(len(doc), bool)
-            several[order] = np.repeat(np.minimum.reduceat(long[order], new) != np.maximum.reduceat(long[order], new), runs)
-            on = several & ~known
+            on = _shared(short, long.astype(np.int64)) & ~known  # one short name, several long ones
             out += _homeward(doc[on], place[on], FINE, buckets)
         return _frame(out, HOMED)
 
@@ -315,10 +327,11 @@ def _windows_ranked(buckets: int):
     """Step 2 on a bucket of names: the strings that a smaller document has."""
 
     def compute(rows: pd.DataFrame) -> pd.DataFrame:
-        out = rows.loc[rows["home"] >= 0, ["home", "kind", "payload"]].to_dict("records")
-        doc, start, name = _unpack(rows.loc[rows["home"] < 0, "payload"], 8)
-        known = _settle(doc, name)
-        out += _homeward(doc[known], start[known], WINDOW, buckets)
+        out, names, parts = _through(rows)
+        for part in range(parts):
+            doc, start, name = _unpack(names, 8, part=part, parts=parts)
+            known = _settle(doc, name)
+            out += _homeward(doc[known], start[known], WINDOW, buckets)
         return _frame(out, HOMED)
 
     return compute
