@@ -68,12 +68,12 @@ def target_filter_ci(spark, sf_dir):
 NOISY = "CASE conv_id % 6 WHEN 0 THEN '[图片]' WHEN 1 THEN ' [语音]' || chr(9) WHEN 2 THEN ':smile_cat: ' WHEN 3 THEN '<@U1> :ok: k' WHEN 4 THEN '' ELSE text END"
 
 
-@query(rf"""SELECT conv_id, turn, regexp_replace(content, '^\s+|\s+$', '', 'g') AS content FROM (SELECT conv_id, turn, {NOISY} AS content FROM conversations)
-  WHERE regexp_replace(content, '^\s+|\s+$', '', 'g') NOT IN ('', '[图片]', '[文件]', '[撤回了一条消息]', '[语音]') AND turn % 5 <> 4
+@query(rf"""SELECT conv_id, turn, regexp_replace(content, '^\s+|\s+$', '', 'g') AS content FROM (SELECT conv_id, turn, role, {NOISY} AS content FROM conversations)
+  WHERE regexp_replace(content, '^\s+|\s+$', '', 'g') NOT IN ('', '[图片]', '[文件]', '[撤回了一条消息]', '[语音]') AND role <> 'system'
   AND length(trim(regexp_replace(trim(regexp_replace(content, '<[^>]+>', '', 'g')), ':[a-z_]+:', '', 'g'))) >= 2""")
 def noise_filter(spark, sf_dir):
     content = F.expr(NOISY.replace("chr(9)", "'\\t'"))
-    rows = table(spark, sf_dir, "conversations").withColumns({"content": content, "subtype": F.when(F.col("turn") % 5 == 4, "channel_join")})
+    rows = table(spark, sf_dir, "conversations").withColumns({"content": content, "subtype": F.when(F.col("role") == "system", "channel_join")})
     kept = rows.where(F.col("subtype").isNull() & ~classify.is_placeholder(F.col("content")) & ~classify.is_noise(F.col("content")))
     return kept.select("conv_id", "turn", strip_ws(F.col("content")).alias("content"))
 
@@ -154,12 +154,12 @@ def thread_tier_report(spark, sf_dir):
 
 
 @query(f"""SELECT seq, line FROM (SELECT row_number() OVER (ORDER BY t, conv_id, turn) AS seq, '[' || t || '] ' || CASE WHEN role = 'user' THEN 'target' ELSE 'other' END || ': ' || content AS line FROM
-  (SELECT *, strftime(TIMESTAMP '2024-01-01' + to_minutes((conv_id * 7 + turn)::INT), '%Y-%m-%d %H:%M') AS t FROM {CHAT} WHERE conv_id % 4 = 1)) WHERE seq <= 500""")
+  (SELECT *, strftime(TIMESTAMP '2024-01-01' + to_minutes((conv_id * 7 + turn)::INT), '%Y-%m-%d %H:%M') AS t FROM {CHAT})) WHERE seq <= 500""")
 def dm_context(spark, sf_dir):
     from pyspark.sql import Window
 
     at = F.timestamp_seconds(F.lit(1704067200) + (F.col("conv_id") * 7 + F.col("turn")) * 60)
-    rows = chat(spark, sf_dir).where("conv_id % 4 = 1").withColumn("t", F.date_format(at, "yyyy-MM-dd HH:mm"))
+    rows = chat(spark, sf_dir).withColumn("t", F.date_format(at, "yyyy-MM-dd HH:mm"))
     first = rows.orderBy("t", "conv_id", "turn").limit(500)
     who = F.when(F.col("role") == "user", "target").otherwise("other")
     seq = F.row_number().over(Window.orderBy("t", "conv_id", "turn"))  # at most 500 rows
@@ -173,10 +173,10 @@ def shared_channels_semi(spark, sf_dir):
     return select.shared_channels(channels, members, "7", "o_orderkey", ("o_orderkey",), 50, ("l_suppkey", "l_partkey"))
 
 
-@query("SELECT o_orderkey, o_custkey, coalesce(c_name, 'customer ' || o_custkey) AS name FROM orders LEFT JOIN (SELECT * FROM customer WHERE c_custkey % 3 > 0) ON c_custkey = o_custkey")
+@query("SELECT o_orderkey, o_custkey, coalesce(c_name, 'customer ' || o_custkey) AS name FROM orders LEFT JOIN (SELECT * FROM customer WHERE c_acctbal > 0) ON c_custkey = o_custkey")
 def lookup_fallback(spark, sf_dir):
     hits = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", F.concat(F.lit("customer "), F.col("o_custkey").cast("string")).alias("name"))
-    details = table(spark, sf_dir, "customer").where("c_custkey % 3 > 0").select(F.col("c_custkey").alias("o_custkey"), "c_name")
+    details = table(spark, sf_dir, "customer").where("c_acctbal > 0").select(F.col("c_custkey").alias("o_custkey"), "c_name")
     return select.with_detail(hits, details, "o_custkey", {"name": "c_name"})
 
 
@@ -191,22 +191,22 @@ def doc_filter(spark, sf_dir):
 
 @query("""SELECT c_custkey, score, row_number() OVER (ORDER BY score DESC, c_custkey) AS place FROM (SELECT c_custkey, CASE WHEN lower(c_name) = q OR d = q OR u = q THEN 3 WHEN contains(lower(c_name), q) OR contains(d, q) OR contains(u, q) THEN 2
   WHEN list_bool_and(list_transform(list_filter(string_split(q, ''), lambda c: trim(c) <> ''), lambda c: contains(lower(c_name), c) OR contains(d, c))) THEN 1 ELSE 0 END AS score
-  FROM (SELECT c_custkey, c_name, lower(c_mktsegment) AS d, 'u' || c_custkey AS u, 'u12' AS q FROM customer WHERE c_custkey % 10 <> 3 AND c_acctbal > 0)) WHERE score > 0""")
+  FROM (SELECT c_custkey, c_name, lower(c_mktsegment) AS d, 'u' || c_custkey AS u, 'u12' AS q FROM customer WHERE c_mktsegment <> 'MACHINERY' AND c_acctbal > 0)) WHERE score > 0""")
 def user_match(spark, sf_dir):
     from pyspark.sql import Window
 
-    people = table(spark, sf_dir, "customer").where("c_custkey % 10 <> 3 AND c_acctbal > 0")  # no bots, none deleted
+    people = table(spark, sf_dir, "customer").where("c_mktsegment <> 'MACHINERY' AND c_acctbal > 0")  # no bots, none deleted
     user = F.concat(F.lit("u"), F.col("c_custkey").cast("string"))
     scored = people.select("c_custkey", select.match_score("u12", F.col("c_name"), F.col("c_mktsegment"), user).alias("score")).where("score > 0")
     return scored.withColumn("place", F.row_number().over(Window.orderBy(F.desc("score"), "c_custkey")))
 
 
-@query("""WITH a AS (SELECT c_custkey AS k, 'contact' AS via, c_name AS name FROM customer WHERE c_custkey % 2 = 0), b AS (SELECT c_custkey AS k, 'tree' AS via, c_mktsegment AS name FROM customer WHERE c_custkey % 3 = 0)
+@query("""WITH a AS (SELECT c_custkey AS k, 'contact' AS via, c_name AS name FROM customer WHERE c_acctbal > 2000), b AS (SELECT c_custkey AS k, 'tree' AS via, c_mktsegment AS name FROM customer WHERE c_mktsegment < 'F')
   SELECT k, via, name FROM a UNION ALL SELECT k, via, name FROM b WHERE k NOT IN (SELECT k FROM a)""")
 def fallback_chain(spark, sf_dir):
     people = table(spark, sf_dir, "customer")
-    part = lambda n, via, name: people.where(f"c_custkey % {n} = 0").select(F.col("c_custkey").alias("k"), F.lit(via).alias("via"), F.col(name).alias("name"))
-    return select.first_success([part(2, "contact", "c_name"), part(3, "tree", "c_mktsegment")], "k").select("k", "via", "name")
+    part = lambda found, via, name: people.where(found).select(F.col("c_custkey").alias("k"), F.lit(via).alias("via"), F.col(name).alias("name"))
+    return select.first_success([part("c_acctbal > 2000", "contact", "c_name"), part("c_mktsegment < 'F'", "tree", "c_mktsegment")], "k").select("k", "via", "name")
 
 
 @query("""SELECT 'root' AS node, 0 AS depth UNION ALL SELECT r_name, 1 FROM region UNION ALL SELECT n_name, 2 FROM nation UNION ALL SELECT s_name, 3 FROM supplier""")

@@ -66,7 +66,7 @@ def paragraph_fold(spark, sf_dir):
     return rows.select("doc_id", F.size("p").cast("long").alias("n_paragraphs"), F.array_join("p", "\n\n").alias("text"))
 
 
-MAILS = "(SELECT doc_id, 'From: ' || source || '@example.com' || chr(10) || 'Subject: about ' || lang || chr(10) || CASE WHEN doc_id % 2 = 0 THEN 'Date: 2024-01-01' || chr(10) ELSE '' END || chr(10) || text || chr(10) || '=====' || chr(10) || 'From: other@example.com' || chr(10) || chr(10) || 'Re: ' || lang || chr(10) || '---' || chr(10) || 'From: src1@example.com' || chr(10) || chr(10) || 'last' AS t FROM documents WHERE text NOT LIKE '%===%' AND text NOT LIKE '%---%')"
+MAILS = "(SELECT doc_id, 'From: ' || source || '@example.com' || chr(10) || 'Subject: about ' || lang || chr(10) || CASE WHEN doc_id % 2 = 0 THEN 'Date: 2024-01-01' || chr(10) ELSE '' END || chr(10) || text || chr(10) || '=====' || chr(10) || 'From: other@example.com' || chr(10) || chr(10) || 'Re: ' || lang || chr(10) || '---' || chr(10) || 'From: src1@example.com' || chr(10) || chr(10) || 'last' AS t FROM documents)"
 
 
 @query(rf"""SELECT doc_id, sender, subject, date, md5(body) AS body_md5, length(body) AS n FROM (SELECT doc_id, coalesce(trim(regexp_extract(m, '(?m)^From:[ \t]*(\S[^\n]*)$', 1)), '') AS sender,
@@ -74,7 +74,7 @@ MAILS = "(SELECT doc_id, 'From: ' || source || '@example.com' || chr(10) || 'Sub
   {STRIP.format("regexp_replace(m, '(?m)^(From|To|Subject|Date|CC|BCC):[^\\n]*\\n?', '', 'g')")} AS body
   FROM (SELECT doc_id, unnest(string_split_regex(replace(t, chr(10) || '---' || chr(10) || 'From:', chr(10) || '===' || chr(10) || 'From:'), '\n={{3,}}\n')) AS m FROM {MAILS})) WHERE contains(lower(sender), 'src') AND body <> ''""")
 def mail_split(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").where("text NOT LIKE '%===%' AND text NOT LIKE '%---%'")
+    docs = table(spark, sf_dir, "documents")
     head = F.concat(F.lit("From: "), "source", F.lit("@example.com\nSubject: about "), "lang", F.lit("\n"), F.when(F.col("doc_id") % 2 == 0, "Date: 2024-01-01\n").otherwise(""))
     t = F.concat(head, F.lit("\n"), "text", F.lit("\n=====\nFrom: other@example.com\n\nRe: "), "lang", F.lit("\n---\nFrom: src1@example.com\n\nlast"))
     mails = docs.select("doc_id", F.explode(F.split(t, r"\n={3,}\n|\n-{3,}\n(?=From:)")).alias("m"))
@@ -162,11 +162,11 @@ def grid_to_markdown(spark, sf_dir):
     return table(spark, sf_dir, "part").select("p_partkey", nested.markdown_row(fields, values).alias("row"))
 
 
-@query("""WITH c AS (SELECT p_size AS grid, p_partkey // 50 AS r, p_partkey % 5 AS c, max(p_name) AS v FROM part WHERE p_partkey % 3 > 0 GROUP BY ALL), w AS (SELECT grid, max(c) AS last FROM c GROUP BY grid),
+@query("""WITH c AS (SELECT p_size AS grid, p_partkey // 50 AS r, p_partkey % 5 AS c, max(p_name) AS v FROM part WHERE p_type <> 'ECONOMY' GROUP BY ALL), w AS (SELECT grid, max(c) AS last FROM c GROUP BY grid),
   full_ AS (SELECT k.grid, k.r, s.c FROM (SELECT DISTINCT grid, r FROM c) k JOIN w USING (grid) JOIN (SELECT unnest(generate_series(0, 4)) AS c) s ON s.c <= w.last)
   SELECT grid, r, string_agg('"' || coalesce(v, '') || '"', ',' ORDER BY c) AS line FROM full_ LEFT JOIN c USING (grid, r, c) GROUP BY grid, r""")
 def sparse_grid_to_csv(spark, sf_dir):
-    parts = table(spark, sf_dir, "part").where("p_partkey % 3 > 0")
+    parts = table(spark, sf_dir, "part").where("p_type <> 'ECONOMY'")
     cells = parts.groupBy(F.col("p_size").alias("grid"), F.floor(F.col("p_partkey") / 50).alias("r"), (F.col("p_partkey") % 5).alias("c")).agg(F.max("p_name").alias("v"))
     return nested.dense_csv(cells, "grid", "r", "c", "v")
 
