@@ -146,4 +146,50 @@ FROM docs d LEFT JOIN per USING (doc_id)
 """
 
 
-SQL = {"op1_secret_scan": _secret_sql(), "op9_mix_sources": OP9_SQL}
+#: Lower-cased words: ASCII digits and letters, and everything beyond ASCII.
+FOLDED_WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+OP5_SQL = f"""
+WITH items AS (SELECT item_id, w, least(13, len(w)) AS n FROM (SELECT item_id, {FOLDED_WORDS} AS w FROM benchmark) WHERE len(w) > 0
+), wins AS (
+  SELECT DISTINCT item_id, n, array_to_string(w[i:i + n - 1], ' ') AS g FROM (SELECT *, unnest(generate_series(1, len(w) - n + 1)) AS i FROM items)
+), docs AS (SELECT doc_id, {FOLDED_WORDS} AS w FROM documents
+), dwins AS (
+  SELECT doc_id, n, i, array_to_string(w[i:i + n - 1], ' ') AS g
+  FROM (SELECT doc_id, w, n, unnest(generate_series(1, len(w) - n + 1)) AS i FROM docs, (SELECT DISTINCT n FROM wins) WHERE len(w) >= n)
+), met AS (SELECT doc_id, i, n, item_id FROM dwins JOIN wins USING (n, g)
+), hit AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(generate_series(i, i + n - 1)) AS p FROM met) GROUP BY doc_id
+), named AS (SELECT doc_id, count(DISTINCT item_id) AS n_items, string_agg(DISTINCT CAST(item_id AS VARCHAR), ',' ORDER BY CAST(item_id AS VARCHAR)) AS items FROM met GROUP BY doc_id
+)
+SELECT doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(items, '')) AS items_sha256,
+  coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
+FROM docs LEFT JOIN hit USING (doc_id) LEFT JOIN named USING (doc_id)
+"""
+OP7_SQL = """
+WITH docs AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents
+), wins AS (SELECT doc_id, i, substr(h, 2 * i + 1, 100) AS g FROM (SELECT *, unnest(generate_series(0, length(h) // 2 - 50)) AS i FROM docs WHERE length(h) >= 100)
+), firsts AS (SELECT doc_id, i, min(doc_id) OVER (PARTITION BY g) AS first FROM wins
+), starts AS (SELECT doc_id, i, i + 50 AS e FROM firsts WHERE first < doc_id
+), runs AS (SELECT doc_id, min(i) AS s, max(e) AS e FROM (
+  SELECT *, sum(opens) OVER (PARTITION BY doc_id ORDER BY i) AS run FROM (SELECT *, CASE WHEN i <= lag(e) OVER (PARTITION BY doc_id ORDER BY i) THEN 0 ELSE 1 END AS opens FROM starts)) GROUP BY doc_id, run
+), gaps AS (SELECT doc_id, s, coalesce(lag(e) OVER (PARTITION BY doc_id ORDER BY s), 0) AS before, e FROM runs
+), kept AS (
+  SELECT r.doc_id, count(*) AS n_spans, sum(r.e - r.s)::BIGINT AS n_removed, string_agg(substr(h, 2 * before + 1, 2 * (r.s - before)), '' ORDER BY r.s) || substr(any_value(h), 2 * max(r.e) + 1) AS rest
+  FROM gaps r JOIN docs USING (doc_id) GROUP BY r.doc_id
+)
+SELECT doc_id, length(h) // 2 AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(coalesce(rest, h))) AS kept_sha256
+FROM docs LEFT JOIN kept USING (doc_id)
+"""
+OP6_SQL = f"""
+WITH RECURSIVE words AS (SELECT doc_id, w FROM (SELECT doc_id, {FOLDED_WORDS} AS w FROM documents) WHERE len(w) > 0
+), shingles AS (
+  SELECT DISTINCT doc_id, md5(array_to_string(w[i:i + least(5, len(w)) - 1], ' ')) AS g FROM (SELECT *, unnest(generate_series(1, greatest(len(w) - 4, 1))) AS i FROM words)
+), sizes AS (SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id
+), shared AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS n FROM shingles a JOIN shingles b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY ALL
+), links AS (SELECT a, b FROM shared s JOIN sizes x ON x.doc_id = a JOIN sizes y ON y.doc_id = b WHERE s.n >= 0.8 * (x.n + y.n - s.n)
+), both_ AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links
+), reach(doc_id, root) AS (SELECT doc_id, doc_id FROM words UNION SELECT l.b, r.root FROM reach r JOIN both_ l ON l.a = r.doc_id AND r.root < l.b
+)
+SELECT d.doc_id, coalesce(r.class_id, d.doc_id) AS class_id FROM documents d LEFT JOIN (SELECT doc_id, min(root) AS class_id FROM reach GROUP BY doc_id) r USING (doc_id)
+"""
+
+SQL = {"op1_secret_scan": _secret_sql(), "op5_decontamination": OP5_SQL, "op6_minhash_near_dedup": OP6_SQL, "op7_suffix_dedup": OP7_SQL, "op9_mix_sources": OP9_SQL}

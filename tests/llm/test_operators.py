@@ -134,6 +134,27 @@ def test_mined_rules_decide(spark):
     assert url_rules.judge_urls(pages.limit(0)).count() == 0
 
 
+def test_mined_rules_match_all_item_sets(spark):
+    from itertools import combinations
+
+    r = random.Random(4)
+    rows = [(sorted(r.sample("abcdef", r.randint(1, 4))), r.choice(["allow", "block", "block"])) for _ in range(120)]
+    got = {(tuple(x.tokens), x.verdict): (x.confidence, x.support) for x in url_rules.mine(spark.createDataFrame(rows, "tokens array<string>, verdict string"), 0.05, 0.6).collect()}
+    found = {}
+    for size in (1, 2, 3):
+        for c in combinations("abcdef", size):
+            held = [v for t, v in rows if set(c) <= set(t)]
+            for verdict in ("allow", "block"):
+                n = held.count(verdict)
+                if n >= 0.05 * len(rows) and n >= 0.6 * len(held):
+                    found[c, verdict] = (n / len(held), n / len(rows))
+    order, kept = sorted(found, key=lambda k: (-found[k][0], len(k[0]), -found[k][1], k)), []
+    for c, verdict in order:
+        if not any(v == verdict and set(k) <= set(c) for k, v in kept):
+            kept.append((c, verdict))
+    assert {k: pytest.approx(found[k]) for k in kept} == got
+
+
 # Classifiers ----------------------------------------------------------------------------------------
 
 
