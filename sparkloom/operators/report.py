@@ -20,3 +20,38 @@ def tier_report(rows: DataFrame, key: str, titles: list[tuple[str, str]], line:
     gathered = kept.groupBy(key).agg(*[F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("tier") == t, F.struct("__n", "__line")))), lambda x: x["__line"]), "\n").alias(f"__{t}") for t, _ in titles])
     parts = [F.concat(F.lit(f"## {title}\n\n"), F.col(f"__{t}")) for t, title in titles]
     return totals.join(gathered, key).select(key, F.concat_ws("\n\n---\n\n", heading, *parts).alias("report"))
+
+
+#: The summary's labels, in order, and the metric of each.
+SUMMARY = (
+    ("Files scanned", "files_scanned"),
+    ("Unique URLs", "unique_urls"),
+    ("Total source mentions", "url_mentions"),
+    ("Primary-source markers", "primary_source_markers"),
+    ("Source metadata blocks", "source_metadata_blocks"),
+    ("Contradiction bullets", "contradiction_bullets"),
+    ("Inference bullets", "inference_bullets"),
+    ("Pattern bullets", "pattern_bullets"),
+    ("Gap bullets", "gap_bullets"),
+    ("Total note chars", "total_chars"),
+    ("Potential long quote lines", "long_quote_lines"),
+    ("Track coverage count", "track_coverage_count"),
+    ("Tier 1-3 (high-quality primary)", "high_tier_sources"),
+    ("Tier 4-5 (medium / short-form firsthand)", "mid_tier_sources"),
+    ("Tier 6-7 (external / secondhand)", "low_tier_sources"),
+)
+
+
+def summary_report(metrics: DataFrame, key: str) -> DataFrame:
+    """(key, report): a corpus's metrics as a Markdown list."""
+    lines = [F.concat(F.lit(f"- {label}: "), F.col(name).cast("string")) for label, name in SUMMARY]
+    ratio = F.concat(F.lit("- Weighted-source primary ratio: "), F.col("weighted_source_primary_ratio").cast("string"), F.lit("%"))
+    none = F.lit("- Weighted-source primary ratio: n/a (no weights annotated)")
+    some = F.col("high_tier_sources") + F.col("mid_tier_sources") + F.col("low_tier_sources") > 0
+    return metrics.select(key, F.concat_ws("\n", F.lit("# Research Summary\n"), *lines, F.when(some, ratio).otherwise(none)).alias("report"))
+
+
+def gate_report(named: dict[str, Column], passed: Column) -> Column:
+    """One PASS or FAIL line a check, and the overall one."""
+    says = lambda ok: F.when(ok, "PASS").otherwise("FAIL")
+    return F.concat_ws("\n", *[F.concat(says(ok), F.lit(f"  {name}")) for name, ok in named.items()], F.concat(F.lit("OVERALL "), says(passed)))

@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions.text import lines_of
-from ..operators import classify, notes, quality
+from ..operators import classify, notes, quality, report
 from ..sources.tables import table
 
 QUERIES, SQL = {}, {}
@@ -176,3 +176,18 @@ def triple_gate(spark, sf_dir):
 def cold_figure(spark, sf_dir):
     rows = note_lines(spark, sf_dir).select("corpus", F.explode(notes.urls_of(F.col("line"))).alias("url"))
     return rows.groupBy("corpus").agg(F.count_distinct("url").alias("sources")).where("sources < 10")
+
+
+_LINES = " || chr(10) || ".join(f"'- {label}: ' || {name}" for label, name in report.SUMMARY)
+
+
+@query(f"SELECT corpus, '# Research Summary' || chr(10) || chr(10) || {_LINES} || chr(10) || '- Weighted-source primary ratio: ' || weighted_source_primary_ratio || '%' AS report FROM allm")
+def notes_report(spark, sf_dir):
+    return report.summary_report(notes.corpus_metrics(note_lines(spark, sf_dir)), "corpus")
+
+
+@query(f"SELECT corpus, (CASE WHEN contra THEN 'PASS' ELSE 'FAIL' END) || '  contradictions' || chr(10) || (CASE WHEN urls THEN 'PASS' ELSE 'FAIL' END) || '  urls' || chr(10) || 'OVERALL ' || (CASE WHEN contra AND urls THEN 'PASS' ELSE 'FAIL' END) AS report FROM (SELECT corpus, contradiction_bullets >= {quality.FLOORS['contradiction_bullets']} AS contra, unique_urls >= {quality.FLOORS['unique_urls']} AS urls FROM allm)")
+def gate_report(spark, sf_dir):
+    m = notes.corpus_metrics(note_lines(spark, sf_dir))
+    named = {"contradictions": F.col("contradiction_bullets") >= quality.FLOORS["contradiction_bullets"], "urls": F.col("unique_urls") >= quality.FLOORS["unique_urls"]}
+    return m.select("corpus", report.gate_report(named, quality.passed(quality.check_map(named))).alias("report"))
