@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -67,7 +69,7 @@ def channel_cap(limit: int, n_channels: int, least: int = 100) -> int:
 
 def descend(spark, edges: DataFrame, root, depth: int) -> DataFrame:
     """(node, depth): nodes at most ``depth`` edges below the root. edges: (parent, child)."""
-    name = "__edges"
+    name = f"edges_{uuid.uuid4().hex}"
     edges.createOrReplaceTempView(name)
     return spark.sql(f"""
         WITH RECURSIVE tree(node, depth) AS (

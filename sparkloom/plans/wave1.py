@@ -189,16 +189,17 @@ def doc_filter(spark, sf_dir):
     return kept.select("doc_id", "creator", F.substring(body, 1, 60).alias("head"))
 
 
-@query("""SELECT c_custkey, score, row_number() OVER (ORDER BY score DESC, c_custkey) AS place FROM (SELECT c_custkey, CASE WHEN lower(c_name) = q OR d = q OR u = q THEN 3 WHEN contains(lower(c_name), q) OR contains(d, q) OR contains(u, q) THEN 2
+@query("""SELECT c_custkey, score, place FROM (SELECT c_custkey, score, row_number() OVER (ORDER BY score DESC, c_custkey) AS place FROM (SELECT c_custkey, CASE WHEN lower(c_name) = q OR d = q OR u = q THEN 3 WHEN contains(lower(c_name), q) OR contains(d, q) OR contains(u, q) THEN 2
   WHEN list_bool_and(list_transform(list_filter(string_split(q, ''), lambda c: trim(c) <> ''), lambda c: contains(lower(c_name), c) OR contains(d, c))) THEN 1 ELSE 0 END AS score
-  FROM (SELECT c_custkey, c_name, lower(c_mktsegment) AS d, 'u' || c_custkey AS u, 'u12' AS q FROM customer WHERE c_mktsegment <> 'MACHINERY' AND c_acctbal > 0)) WHERE score > 0""")
+  FROM (SELECT c_custkey, c_name, lower(c_mktsegment) AS d, 'u' || c_custkey AS u, 'u12' AS q FROM customer WHERE c_mktsegment <> 'MACHINERY' AND c_acctbal > 0)) WHERE score > 0) WHERE place <= 10""")
 def user_match(spark, sf_dir):
     from pyspark.sql import Window
 
     people = table(spark, sf_dir, "customer").where("c_mktsegment <> 'MACHINERY' AND c_acctbal > 0")  # no bots, none deleted
     user = F.concat(F.lit("u"), F.col("c_custkey").cast("string"))
     scored = people.select("c_custkey", select.match_score("u12", F.col("c_name"), F.col("c_mktsegment"), user).alias("score")).where("score > 0")
-    return scored.withColumn("place", F.row_number().over(Window.orderBy(F.desc("score"), "c_custkey")))
+    shown = scored.orderBy(F.desc("score"), "c_custkey").limit(10)  # what a chooser is shown
+    return shown.withColumn("place", F.row_number().over(Window.orderBy(F.desc("score"), "c_custkey")))
 
 
 @query("""WITH a AS (SELECT c_custkey AS k, 'contact' AS via, c_name AS name FROM customer WHERE c_acctbal > 2000), b AS (SELECT c_custkey AS k, 'tree' AS via, c_mktsegment AS name FROM customer WHERE c_mktsegment < 'F')

@@ -51,7 +51,8 @@ NOTES = f"""n_pages AS (SELECT count(*) AS n FROM pages), raw AS (
 def note_lines(spark, sf_dir):
     """(corpus, file, i, line): every third line of a document becomes a heading, the others bullets."""
     docs, pages = table(spark, sf_dir, "documents"), table(spark, sf_dir, "pages").select("page_id", "url")
-    linked = docs.crossJoin(pages.agg(F.count(F.lit(1)).alias("n"))).join(pages, F.col("page_id") == F.col("doc_id") % F.col("n"), "left")  # one row of counts
+    n_pages = pages.agg(F.count(F.lit(1))).scalar()
+    linked = docs.withColumn("page", F.col("doc_id") % n_pages).join(pages, F.col("page") == F.col("page_id"), "left")
     names = F.array(*map(F.lit, SECTIONS))
     body = F.transform(lines_of(F.col("text")), lambda x, i: F.when(i % 3 == 0, F.concat(F.lit("## "), F.element_at(names, (F.floor(i / 3) % 6 + 1).cast("int")))).otherwise(F.concat(F.lit("- "), x)))
     url = F.coalesce("url", F.lit(""))
