@@ -8,10 +8,12 @@ probability Jaccard similarity of the weighted sets; agreement in one of ``BANDS
 candidates, and the exact Jaccard similarity of their shingle sets decides.
 
 Texts with the same words are joined before signing, so large groups of copies cost one signature.
-Within a bucket of up to ``SMALL`` members all pairs whose whole signatures agree enough are compared;
-in a larger one the edges of two spanning forests of greatest agreement, which join whatever all pairs
-would. So buckets make pairs in proportion to their members, never to their square. Very large buckets
-are dealt to parts of bounded size, differently in every band.
+Within a bucket of up to ``SMALL`` members all pairs whose whole signatures agree enough are compared.
+Larger ones are done in two passes. The first, over parts of bounded size, compares the edges of two
+spanning forests of greatest agreement, which joins most of what belongs together at a cost in proportion
+to the members. The second compares every other pair that agrees enough and whose ends the first has not
+joined, block against block. So copies make few pairs, and only members that are alike but not joined
+are compared each with each.
 """
 
 from __future__ import annotations
@@ -32,6 +34,8 @@ THRESHOLD = 0.8
 SLOTS = BANDS * ROWS
 #: Members of a bucket up to which all its pairs are compared, and up to which it is one part.
 SMALL, PART = 8, 128
+#: Members of one side of a block in which the pairs that are left are compared.
+BLOCK = 256
 #: Slots in which two signatures must agree to be compared: at similarity 0.8 the mean less five deviations.
 LEAST_AGREED = 46
 #: Words of the texts that are hashed together; bounds a task's arrays.
@@ -175,8 +179,7 @@ def _likely(docs: np.ndarray, signatures: list[bytes]) -> Iterator[tuple[int, in
     """Pairs of a bucket worth comparing: those whose signatures agree in at least LEAST_AGREED slots.
 
     In a bucket of up to SMALL members all of them. In a larger one two edge-disjoint maximum spanning
-    forests by agreement: whatever similarity one asks for, the forest's edges of that similarity join
-    the same documents as all such pairs do.
+    forests by agreement; remaining() has the rest.
     """
     parts = np.frombuffer(b"".join(signatures), dtype=np.uint32).reshape(len(docs), SLOTS)
     n = len(docs)
@@ -206,18 +209,24 @@ def _likely(docs: np.ndarray, signatures: list[bytes]) -> Iterator[tuple[int, in
                 continue
 
 
-def _in_buckets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """(a, b) from rows sorted by bucket; a bucket may go on in the next batch."""
+def _whole(batches: Iterator[pd.DataFrame], by: list[str]) -> Iterator[pd.DataFrame]:
+    """The rows, sorted by the columns, in frames that hold whole groups; a group may go on in the next batch."""
     kept = None
     for b in batches:
         rows = b if kept is None else pd.concat([kept, b], ignore_index=True)
         if not len(rows):
             continue
-        same = (rows["band"] == rows["band"].iloc[-1]) & (rows["key"] == rows["key"].iloc[-1]) & (rows["part"] == rows["part"].iloc[-1])
+        same = (rows[by] == rows[by].iloc[-1]).all(axis=1)
         kept = rows[same]
-        yield _pairs_of(rows[~same])
+        yield rows[~same]
     if kept is not None:
-        yield _pairs_of(kept)
+        yield kept
+
+
+def _in_buckets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """(a, b) from rows sorted by bucket."""
+    for rows in _whole(batches, ["band", "key", "part"]):
+        yield _pairs_of(rows)
 
 
 def _pairs_of(rows: pd.DataFrame) -> pd.DataFrame:
@@ -230,15 +239,95 @@ def _pairs_of(rows: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame([(min(p), max(p)) for p in out], columns=["a", "b"], dtype="int64")
 
 
-def candidates(reps: DataFrame) -> DataFrame:
-    """Distinct (a, b), a < b. reps: written (doc, bands, signature).
+def _in_blocks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """(block, a, b) from rows sorted by block: pairs of its two sides, or of its one, that agree enough.
+
+    A pair that shares several bands is given in the first of them.
+    """
+    for rows in _whole(batches, ["block"]):
+        for block, g in rows.groupby("block", sort=False):
+            parts = np.frombuffer(b"".join(g["signature"]), dtype=np.uint32).reshape(len(g), SLOTS)
+            band, docs, root, part, left = (g[c].to_numpy() for c in ("band", "doc", "root", "part", "left"))
+            one = (g["left"] == g["right"]).to_numpy()
+            out = []
+            for i in np.flatnonzero(part == left):
+                same = parts == parts[i]
+                other = np.where(one, docs > docs[i], part != part[i]) & (root != root[i]) & (same.sum(axis=1) >= LEAST_AGREED)
+                for j in np.flatnonzero(other):
+                    if same[j].reshape(BANDS, ROWS).all(axis=1).argmax() == band[i]:
+                        out.append((block, min(docs[i], docs[j]), max(docs[i], docs[j])))
+            yield pd.DataFrame(out, columns=["block", "a", "b"], dtype="int64")
+
+
+def remaining(reps: DataFrame, sizes: DataFrame, roots: DataFrame) -> DataFrame:
+    """(block, a, b), a < b: pairs of buckets of more than SMALL members that agree enough and have different roots.
+
+    reps: written (doc, bands, signature); sizes: (band, key, n) of the buckets; roots: (doc, root).
+    A bucket's members are dealt to parts of about BLOCK, and each pair of parts is a block. Members of
+    its largest component meet only the others, so a bucket that is joined but for a few costs little.
+    """
+    members = reps.select("doc", F.posexplode("bands").alias("band", "key")).join(sizes.where(F.col("n") > SMALL).select("band", "key"), ["band", "key"])
+    rooted = cut(members.join(roots, "doc", "left").select("doc", "band", "key", F.coalesce("root", "doc").alias("root")))
+    each = rooted.groupBy("band", "key", "root").agg(F.count(F.lit(1)).alias("n"))
+    tops = each.groupBy("band", "key").agg(F.max_by("root", F.struct("n", "root")).alias("top"), F.max("n").alias("n_top"), F.sum("n").alias("n_all"))
+    tops = cut(tops.where("n_top < n_all").select("band", "key", "top", F.ceil((F.col("n_all") - F.col("n_top")) / BLOCK).cast("int").alias("others"), F.ceil(F.col("n_top") / BLOCK).cast("int").alias("of_top")))
+    hashed, is_top = F.xxhash64("doc", "band"), F.col("root") == F.col("top")
+    part = F.when(is_top, F.col("others") + F.pmod(hashed, F.col("of_top"))).otherwise(F.pmod(hashed, F.col("others"))).cast("int")
+    dealt = cut(rooted.join(tops, ["band", "key"]).select("doc", "root", "band", "key", part.alias("part"), (F.when(is_top, F.col("others")).otherwise(F.col("others") + F.col("of_top")) - 1).alias("last")))
+    dealt = dealt.join(reps.select("doc", "signature"), "doc").withColumn("other", F.explode(F.sequence(F.lit(0), "last")))
+    dealt = dealt.withColumns({"left": F.least("part", "other"), "right": F.greatest("part", "other")})
+    dealt = dealt.select(F.xxhash64("band", "key", "left", "right").alias("block"), "band", "doc", "root", "part", "left", "right", "signature")
+    return dealt.repartition("block").sortWithinPartitions("block", "doc").mapInPandas(_in_blocks, "block long, a long, b long")
+
+
+def verified_in_blocks(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
+    """(a, b): links among the pairs of each block; pairs that a block's own links have joined may be left out.
+
+    pairs: written (block, a, b). A text is read once for each block it is in, not once for each pair.
+    """
+
+    def compute(pdf: pd.DataFrame, rows: pd.DataFrame) -> pd.DataFrame:
+        sets, over = {}, {}
+        for b in _chunks(rows, ["text"]):
+            owner, value, _ = weighted(*shingles(b["text"].tolist()))
+            ends = np.searchsorted(owner, np.arange(len(b) + 1))
+            sets |= {d: value[s:e] for d, s, e in zip(b["doc"], ends, ends[1:])}
+
+        def top(x):
+            while x in over:
+                x = over[x]
+            return x
+
+        out = []
+        for a, b in zip(pdf["a"], pdf["b"]):
+            x, y = top(a), top(b)
+            if x != y:
+                m, n = len(sets[a]), len(sets[b])
+                if min(m, n) >= threshold * max(m, n):
+                    shared = len(np.intersect1d(sets[a], sets[b], assume_unique=True))
+                    if shared / max(m + n - shared, 1) >= threshold:
+                        over[max(x, y)] = min(x, y)
+                        out.append((a, b))
+        return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
+
+    ends = pairs.select(F.col("block").alias("at"), F.explode(F.array("a", "b")).alias("doc")).distinct()
+    read = ends.join(texts.select(F.col("doc_id").alias("doc"), "text"), "doc")
+    return pairs.groupBy("block").cogroup(read.groupBy("at")).applyInPandas(compute, "a long, b long")
+
+
+def bucket_sizes(reps: DataFrame) -> DataFrame:
+    """(band, key, n) of the buckets of more than one member, written."""
+    return cut(reps.select(F.posexplode("bands").alias("band", "key")).groupBy("band", "key").agg(F.count(F.lit(1)).alias("n")).where("n > 1"))
+
+
+def candidates(reps: DataFrame, sizes: DataFrame) -> DataFrame:
+    """Distinct (a, b), a < b, of the first pass. reps: written (doc, bands, signature); sizes: of bucket_sizes().
 
     Buckets are counted with map-side combine; only members of buckets with more than one go on, by
     bucket. A bucket of more than PART members is dealt by hash to parts, anew in each band, so that the
-    bands together join what one band's parts keep from each other.
+    bands together join much of what one band's parts keep from each other.
     """
     members = reps.select("doc", F.posexplode("bands").alias("band", "key"))
-    sizes = cut(members.groupBy("band", "key").agg(F.count(F.lit(1)).alias("n")).where("n > 1"))
     parts = F.ceil(F.col("n") / PART)
     part = F.pmod(F.xxhash64("doc", "band"), parts).cast("int")
     shared = members.join(sizes, ["band", "key"]).select("doc", "band", "key", part.alias("part"))
@@ -262,12 +351,23 @@ def verified(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
     return pairs.join(text("a"), "a").join(text("b"), "b").mapInPandas(compute, "a long, b long, linked boolean")
 
 
-def links(reps: DataFrame, docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """(a, b), a < b: verified pairs. reps: (doc, bands, signature); docs: (doc_id, text) of at least these."""
-    pairs = cut(candidates(reps))
-    ends = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    texts = cut(docs.join(ends, "doc_id", "left_semi").groupBy("doc_id").agg(F.max("text").alias("text")))
-    return verified(pairs, texts, threshold).where("linked").select("a", "b")
+def _texts_of(ends: DataFrame, docs: DataFrame) -> DataFrame:
+    return cut(docs.join(ends.distinct(), "doc_id", "left_semi").groupBy("doc_id").agg(F.max("text").alias("text")))
+
+
+def joined(reps: DataFrame, docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """(doc, root) of the components of all links. reps: written (doc, bands, signature); docs: (doc_id, text) of at least these."""
+    sizes = bucket_sizes(reps)
+    pairs = cut(candidates(reps, sizes))
+    ends = lambda p: p.select(F.explode(F.array("a", "b")).alias("doc_id"))
+    roots = components(verified(pairs, _texts_of(ends(pairs), docs), threshold).where("linked").select("a", "b"))
+    left = cut(remaining(reps, sizes, roots).join(pairs, ["a", "b"], "left_anti").select("block", "a", "b"))
+    if left.isEmpty():
+        return roots
+    more = cut(verified_in_blocks(left, _texts_of(ends(left), docs), threshold))
+    if more.isEmpty():
+        return roots
+    return components(roots.select(F.col("root").alias("a"), F.col("doc").alias("b")).unionByName(more))
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -303,7 +403,7 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     rows = docs.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     keyed = cut(signed(rows).groupBy("doc_id").agg(F.max(F.struct("words", "bands", "signature")).alias("k")).select("doc_id", "k.words", "k.bands", "k.signature"))
     first = cut(keyed.where("words IS NOT NULL").groupBy("words").agg(F.min(F.struct("doc_id", "bands", "signature")).alias("k")).select("words", F.col("k.doc_id").alias("rep"), "k.bands", "k.signature"))
-    roots = components(links(first.select(F.col("rep").alias("doc"), "bands", "signature"), rows, threshold))
+    roots = joined(first.select(F.col("rep").alias("doc"), "bands", "signature"), rows, threshold)
     of_rep = first.select("words", "rep").join(roots.withColumnRenamed("doc", "rep"), "rep", "left")
     of_rep = cut(of_rep.select("words", F.coalesce("root", "rep").alias("class_id")))
     worded = keyed.where("words IS NOT NULL").join(of_rep, "words").select("doc_id", "class_id")

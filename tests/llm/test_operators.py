@@ -230,6 +230,18 @@ def test_groups_match_all_pairs(spark, table):
     assert sorted(r.doc_id for r in kept.collect()) == sorted(set(got.values())) and kept.columns == table.columns
 
 
+def test_links_amid_a_family_just_below_the_threshold(spark):
+    # 160 pages of one template, pairwise at about 0.77; ten couples share more of their own words, and are at 0.81.
+    shared = prose(300, 5000)
+    own = [prose(44, 5100 + k) for k in range(160)]
+    for k in range(0, 20, 2):
+        own[k + 1] = " ".join(own[k].split()[:8] + own[k + 1].split()[8:])
+    texts = [f"{shared} {x}" for x in own]
+    want = helpers.groups(texts)
+    got = {r.doc_id: r.class_id for r in minhash.near_duplicates(helpers.docs(spark, texts)).collect()}
+    assert len(set(want)) == 150 and [got[i] for i in range(len(texts))] == want
+
+
 def test_groups_of_awkward_rows(spark, table):
     twice = table.union(table).union(table.withColumn("doc_id", F.lit(None).cast("long")))
     got = {r.doc_id: r.class_id for r in minhash.near_duplicates(twice).collect()}
