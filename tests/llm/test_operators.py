@@ -242,6 +242,15 @@ def test_links_amid_a_family_just_below_the_threshold(spark):
     assert len(set(want)) == 150 and [got[i] for i in range(len(texts))] == want
 
 
+def test_copies_of_which_one_repeats_a_block(spark):
+    texts = []
+    for k in range(12):  # 100 shingles shared and 23 more, which only one side has, most of them 50 times: 0.81
+        text = prose(104, 6000 + k)
+        texts += [text, " ".join([text] + [prose(19, 6100 + k)] * 50)]
+    got = {r.doc_id: r.class_id for r in minhash.near_duplicates(helpers.docs(spark, texts)).collect()}
+    assert [got[i] for i in range(24)] == helpers.groups(texts) == [i - i % 2 for i in range(24)]
+
+
 def test_groups_of_awkward_rows(spark, table):
     twice = table.union(table).union(table.withColumn("doc_id", F.lit(None).cast("long")))
     got = {r.doc_id: r.class_id for r in minhash.near_duplicates(twice).collect()}
