@@ -2,9 +2,10 @@
 
 Each rule is a rate that junk drives up or down. For every rule and stratum (length class of the
 document) a fixed grid of cutoffs is tried on a labelled holdout of good documents, from the mildest
-to the harshest. A cutoff is certified when the exact binomial test rejects "its false rejection rate
-exceeds ``alpha``" at level ``delta / number of tests`` (Bonferroni over strata, rules and grid); each
-rule takes its harshest certified cutoff, or none. The rules of a stratum share ``alpha`` evenly, so
+to the harshest. A cutoff is certified when it and all milder ones pass: the exact binomial test rejects
+"its false rejection rate exceeds ``alpha``" at level ``delta / number of grids`` (fixed-sequence testing
+down each grid, Bonferroni over strata and rules); each rule takes its harshest certified cutoff, or none.
+All labelled rows of the holdout count. The rules of a stratum share ``alpha`` evenly, so
 their union falsely rejects at most ``alpha`` of it, all at once with probability 1 - ``delta``.
 
 All work on rows is built-in functions; only the counts per (stratum, rule, cutoff), whose number the
@@ -18,7 +19,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import MAX_LABELLED, SPACE_WORD, fold_of, labelled_ids, with_labels
+from .common import SPACE_WORD, fold_of
 
 #: ASCII white space of the contract, as characters to delete.
 SPACES = " \t\n\x0b\x0c\r"
@@ -109,23 +110,30 @@ def stratum() -> Column:
 
 
 def binomial_tail(k: int, n: int, p: float) -> float:
-    """P(X <= k) for X ~ Bin(n, p), summed exactly in logarithms."""
+    """P(X <= k) for X ~ Bin(n, p), summed in logarithms; from k down, until terms no longer count."""
     if n == 0 or k >= n:
         return 1.0
     log = lambda i: math.lgamma(n + 1) - math.lgamma(i + 1) - math.lgamma(n - i + 1) + i * math.log(p) + (n - i) * math.log1p(-p)
-    return min(1.0, math.fsum(math.exp(log(i)) for i in range(k + 1)))
+    total = 0.0
+    for i in range(k, -1, -1):
+        term = math.exp(log(i))
+        total += term
+        if i < n * p and term < 1e-18 * total:  # below the mean they only fall
+            break
+    return min(1.0, total)
 
 
 def choose_cutoffs(counts: dict[tuple[int, str, int], tuple[int, int]], alpha: float, delta: float) -> dict[tuple[int, str], float]:
     """counts: (stratum, rule, place in its grid) -> (good documents, of them rejected)."""
     rules = _rules()
-    tests = (len(STRATA) + 1) * sum(len(g) for _, g in rules.values())
+    share, grids = alpha / len(rules), (len(STRATA) + 1) * len(rules)
     out = {}
     for s in range(len(STRATA) + 1):
         for name, (_, grid) in rules.items():
             for k, c in enumerate(grid):
                 n, bad = counts.get((s, name, k), (0, 0))
-                if n == 0 or binomial_tail(bad, n, alpha / len(rules)) > delta / tests:
+                # From the mean on the tail is about a half or more.
+                if n == 0 or bad > n * share + 1 or binomial_tail(bad, n, share) > delta / grids:
                     break
                 out[s, name] = c
     return out
@@ -150,16 +158,22 @@ def rejected(cutoffs: dict[tuple[int, str], float]) -> Column:
     return out
 
 
-def quality_rules(docs: DataFrame, labels: DataFrame, alpha: float = 0.04, delta: float = 0.1, max_labelled: int = MAX_LABELLED) -> DataFrame:
+def good_ids(labels: DataFrame) -> DataFrame:
+    """doc_id of all good documents of the holdout, one row an id; an id labelled more than once takes its highest label."""
+    rows = labels.select("doc_id", F.col("quality").cast("int").alias("label"))
+    rows = rows.where(F.col("doc_id").isNotNull() & F.col("label").isNotNull() & (fold_of(F.col("doc_id"), 4) != 2))
+    return rows.groupBy("doc_id").agg(F.max("label").alias("label")).where("label = 1").select("doc_id")
+
+
+def quality_rules(docs: DataFrame, labels: DataFrame, alpha: float = 0.04, delta: float = 0.1) -> DataFrame:
     """docs with the base columns, base_failed and kept added.
 
     base_failed: fewer than 50 words, or over half the words in repeated 3-word windows. kept: neither
     that nor rejected by a certified cutoff. With no labels no cutoff is certified and the base rules
     alone decide. Repeated rows are judged alike, each on its own; empty tables give empty results.
-    max_labelled bounds the holdout.
     """
-    ids = labelled_ids(labels, "quality", lambda k: fold_of(k, 4) != 2, max_labelled)
-    good = base_columns(with_labels(docs, ids)).where("label = 1")
+    # The labels grow with the documents: a shuffle join.
+    good = base_columns(docs.select("doc_id", "text").join(good_ids(labels).hint("shuffle_hash"), "doc_id", "left_semi"))
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     cutoffs = fit_cutoffs(good.withColumn("base_failed", failed), alpha, delta)
     out = base_columns(docs).withColumn("base_failed", failed)

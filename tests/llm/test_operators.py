@@ -364,3 +364,13 @@ def test_cutoffs_guard_good_documents(spark):
     none = labels.limit(0)
     assert all(r.kept == (not r.base_failed) for r in quality_rules.quality_rules(docs.limit(9), none).collect())
     assert quality_rules.quality_rules(docs.limit(0), labels).count() == 0
+
+
+def test_cutoffs_count_every_label(spark):
+    # 60,000 labelled ids, of which the documents are the last by the hash that once chose 20,000.
+    ids = spark.createDataFrame([(i, 1) for i in range(60_000)], "doc_id long, quality int")
+    late = [r.doc_id for r in ids.where(fold_of(F.col("doc_id"), 4) != 2).orderBy(F.xxhash64("doc_id").desc()).limit(1200).collect()]
+    text = prose(80, 9000)
+    docs = spark.createDataFrame([(i, text) for i in late] + [(-1, text + " $$$" * 60)], "doc_id long, text string")
+    out = {r.doc_id: r.kept for r in quality_rules.quality_rules(docs, ids).collect()}
+    assert not out.pop(-1) and all(out.values())
