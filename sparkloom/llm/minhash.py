@@ -8,12 +8,11 @@ element. Slots agree, each on its own, with the Jaccard similarity of the sets;
 ``BANDS`` bands makes documents candidates, and the exact Jaccard similarity of their shingle sets decides.
 
 Texts with the same words are joined before signing, so large groups of copies cost one signature.
-Within a bucket of up to ``SMALL`` members all pairs whose whole signatures agree enough are compared.
-Larger ones are done in two passes. The first, over parts of bounded size, compares the edges of two
-spanning forests of greatest agreement, which joins most of what belongs together at a cost in proportion
-to the members. The second compares every other pair that agrees enough and whose ends the first has not
-joined, block against block. So copies make few pairs, and only members that are alike but not joined
-are compared each with each.
+Buckets of every size are compared in two passes. In the first each member meets its bucket's hub, the
+member whose bands are shared most widely, which in a group of variants is the text they stem from. The
+second compares every other pair of a bucket whose ends have not been joined, block against block, so no
+pair that shares a band goes uncompared for its bucket's size; a bucket that the hubs have joined costs
+nothing more.
 """
 
 from __future__ import annotations
@@ -32,8 +31,6 @@ SHINGLE = 5
 BANDS, ROWS = 20, 4
 THRESHOLD = 0.8
 SLOTS = BANDS * ROWS
-#: Members of a bucket up to which all its pairs are compared, and up to which it is one part.
-SMALL, PART = 8, 128
 #: Members of one side of a block in which the pairs that are left are compared.
 BLOCK = 256
 #: Slots in which two signatures must agree to be compared: at similarity 0.8 the mean less five deviations,
@@ -156,11 +153,16 @@ def _chunks(pdf: pd.DataFrame, columns: list[str]) -> Iterator[pd.DataFrame]:
     for _, part in pdf.groupby(at, sort=False):
         yield part
 
+def _pick():
+    """Of rows that repeat an id the one with the greatest of these counts, in its signature and its text."""
+    return F.xxhash64("text")
+
 
 def signed(docs: DataFrame) -> DataFrame:
-    """(doc_id, words, bands, signature): one pass over the texts.
+    """(doc_id, pick, words, bands, signature): one pass over the texts.
 
-    words: a 128-bit key of the text's words in order, null for a text without words.
+    pick: which of several rows of an id counts. words: a 128-bit key of the text's words in order, null
+    for a text without words.
     """
 
     def compute(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -170,43 +172,9 @@ def signed(docs: DataFrame) -> DataFrame:
                 folded = [b" ".join(t.encode("utf-8", "surrogatepass").translate(FOLD).split()) if isinstance(t, str) else b"" for t in texts]
                 parts, _ = signatures(texts)
                 words = [hashlib.blake2b(f, digest_size=16).digest() if f else None for f in folded]
-                yield pd.DataFrame({"doc_id": b["doc_id"], "words": words, "bands": list(band_keys(parts)), "signature": [p.tobytes() for p in parts.astype(np.uint32)]})
-
-    return docs.select("doc_id", "text").mapInPandas(compute, "doc_id long, words binary, bands array<long>, signature binary")
-
+                yield pd.DataFrame({"doc_id": b["doc_id"], "pick": b["pick"], "words": words, "bands": list(band_keys(parts)), "signature": [p.tobytes() for p in parts.astype(np.uint32)]})
 
-def _likely(docs: np.ndarray, signatures: list[bytes]) -> Iterator[tuple[int, int]]:
-    """Pairs of a bucket worth comparing: those whose signatures agree in at least LEAST_AGREED slots.
-
-    In a bucket of up to SMALL members all of them. In a larger one two edge-disjoint maximum spanning
-    forests by agreement; remaining() has the rest.
-    """
-    parts = np.frombuffer(b"".join(signatures), dtype=np.uint32).reshape(len(docs), SLOTS)
-    n = len(docs)
-    agreed = np.empty((n, n), dtype=np.int16)
-    for i in range(n):
-        agreed[i] = (parts == parts[i]).sum(axis=1)
-    np.fill_diagonal(agreed, -1)
-    if n <= SMALL:
-        for i, j in np.argwhere(np.triu(agreed >= LEAST_AGREED)):
-            yield docs[i], docs[j]
-        return
-    for _ in range(2):
-        inside = np.zeros(n, bool)
-        best, via = np.full(n, -1, np.int16), np.full(n, -1)
-        i = 0
-        for _ in range(n):
-            inside[i] = True
-            closer = ~inside & (agreed[i] > best)
-            best[closer], via[closer] = agreed[i][closer], i
-            outside = np.where(inside, -2, best)
-            i = int(outside.argmax())
-            if outside[i] == -2:
-                break
-            if best[i] >= LEAST_AGREED:
-                yield docs[via[i]], docs[i]
-                agreed[via[i], i] = agreed[i, via[i]] = -1
-                continue
+    return docs.select("doc_id", "text", _pick().alias("pick")).mapInPandas(compute, "doc_id long, pick long, words binary, bands array<long>, signature binary")
 
 
 def _whole(batches: Iterator[pd.DataFrame], by: list[str]) -> Iterator[pd.DataFrame]:
@@ -223,22 +191,6 @@ def _whole(batches: Iterator[pd.DataFrame], by: list[str]) -> Iterator[pd.DataFr
         yield kept
 
 
-def _in_buckets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """(a, b) from rows sorted by bucket."""
-    for rows in _whole(batches, ["band", "key", "part"]):
-        yield _pairs_of(rows)
-
-
-def _pairs_of(rows: pd.DataFrame) -> pd.DataFrame:
-    band, key, part = (rows[c].to_numpy() for c in ("band", "key", "part"))
-    docs, signatures = rows["doc"].to_numpy(), rows["signature"].tolist()
-    new = np.flatnonzero(np.concatenate(([True], (band[1:] != band[:-1]) | (key[1:] != key[:-1]) | (part[1:] != part[:-1])))) if len(rows) else []
-    out = []
-    for s, e in zip(new, [*new[1:], len(rows)]):
-        out += _likely(docs[s:e], signatures[s:e])
-    return pd.DataFrame([(min(p), max(p)) for p in out], columns=["a", "b"], dtype="int64")
-
-
 def _in_blocks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """(block, a, b) from rows sorted by block: pairs of its two sides, or of its one, that agree enough.
 
@@ -260,13 +212,13 @@ def _in_blocks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def remaining(reps: DataFrame, sizes: DataFrame, roots: DataFrame) -> DataFrame:
-    """(block, a, b), a < b: pairs of buckets of more than SMALL members that agree enough and have different roots.
+    """(block, a, b), a < b: pairs of buckets that agree enough and have different roots.
 
     reps: written (doc, bands, signature); sizes: (band, key, n) of the buckets; roots: (doc, root).
     A bucket's members are dealt to parts of about BLOCK, and each pair of parts is a block. Members of
     its largest component meet only the others, so a bucket that is joined but for a few costs little.
     """
-    members = reps.select("doc", F.posexplode("bands").alias("band", "key")).join(sizes.where(F.col("n") > SMALL).select("band", "key"), ["band", "key"])
+    members = reps.select("doc", F.posexplode("bands").alias("band", "key")).join(sizes.where("n > 2").select("band", "key"), ["band", "key"])
     rooted = cut(members.join(roots, "doc", "left").select("doc", "band", "key", F.coalesce("root", "doc").alias("root")))
     each = rooted.groupBy("band", "key", "root").agg(F.count(F.lit(1)).alias("n"))
     tops = each.groupBy("band", "key").agg(F.max_by("root", F.struct("n", "root")).alias("top"), F.max("n").alias("n_top"), F.sum("n").alias("n_all"))
@@ -320,20 +272,18 @@ def bucket_sizes(reps: DataFrame) -> DataFrame:
     return cut(reps.select(F.posexplode("bands").alias("band", "key")).groupBy("band", "key").agg(F.count(F.lit(1)).alias("n")).where("n > 1"))
 
 
-def candidates(reps: DataFrame, sizes: DataFrame) -> DataFrame:
-    """Distinct (a, b), a < b, of the first pass. reps: written (doc, bands, signature); sizes: of bucket_sizes().
+def hub_pairs(reps: DataFrame, sizes: DataFrame) -> DataFrame:
+    """Distinct (a, b), a < b: each member of a bucket with the bucket's hub.
 
-    Buckets are counted with map-side combine; only members of buckets with more than one go on, by
-    bucket. A bucket of more than PART members is dealt by hash to parts, anew in each band, so that the
-    bands together join much of what one band's parts keep from each other.
+    reps: written (doc, bands, signature); sizes: of bucket_sizes(). The hub is the member with the most
+    bucket mates over all its bands, the smaller id among equals; both sums combine on the map side.
     """
-    members = reps.select("doc", F.posexplode("bands").alias("band", "key"))
-    parts = F.ceil(F.col("n") / PART)
-    part = F.pmod(F.xxhash64("doc", "band"), parts).cast("int")
-    shared = members.join(sizes, ["band", "key"]).select("doc", "band", "key", part.alias("part"))
-    rows = cut(shared).join(reps.select("doc", "signature"), "doc")
-    dealt = rows.repartition("band", "key", "part").sortWithinPartitions("band", "key", "part", "doc")
-    return dealt.mapInPandas(_in_buckets, "a long, b long").distinct()
+    members = cut(reps.select("doc", F.posexplode("bands").alias("band", "key")).join(sizes, ["band", "key"]))
+    known = members.groupBy("doc").agg(F.sum("n").alias("mates"))
+    ranked = cut(members.join(known, "doc").select("doc", "band", "key", "mates"))
+    hubs = ranked.groupBy("band", "key").agg(F.max_by("doc", F.struct("mates", -F.col("doc"))).alias("hub"))
+    pairs = ranked.join(cut(hubs), ["band", "key"]).where("doc <> hub")
+    return pairs.select(F.least("doc", "hub").alias("a"), F.greatest("doc", "hub").alias("b")).distinct()
 
 
 def verified(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
@@ -352,13 +302,13 @@ def verified(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
 
 
 def _texts_of(ends: DataFrame, docs: DataFrame) -> DataFrame:
-    return cut(docs.join(ends.distinct(), "doc_id", "left_semi").groupBy("doc_id").agg(F.max("text").alias("text")))
+    return cut(docs.join(ends.distinct(), "doc_id", "left_semi").groupBy("doc_id").agg(F.max_by("text", _pick()).alias("text")))
 
 
 def joined(reps: DataFrame, docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """(doc, root) of the components of all links. reps: written (doc, bands, signature); docs: (doc_id, text) of at least these."""
     sizes = bucket_sizes(reps)
-    pairs = cut(candidates(reps, sizes))
+    pairs = cut(hub_pairs(reps, sizes))
     ends = lambda p: p.select(F.explode(F.array("a", "b")).alias("doc_id"))
     roots = components(verified(pairs, _texts_of(ends(pairs), docs), threshold).where("linked").select("a", "b"))
     left = cut(remaining(reps, sizes, roots).join(pairs, ["a", "b"], "left_anti").select("block", "a", "b"))
@@ -397,11 +347,12 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
 
     Documents are grouped when a chain of links joins them: equal words, or Jaccard similarity of at
     least threshold between sets of five-word shingles (a shorter text is one shingle). Null, empty and
-    wordless texts stand alone. Rows that repeat an id count as one document, judged by the greatest of
-    its keys and texts; rows with a null id are left out. An empty table gives an empty result.
+    wordless texts stand alone. Rows that repeat an id count as one document, judged by one of
+    them, the same in every run; rows with a null id are left out. Other columns are not looked at. Long
+    texts are read whole. An empty table gives an empty result.
     """
     rows = docs.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    keyed = cut(signed(rows).groupBy("doc_id").agg(F.max(F.struct("words", "bands", "signature")).alias("k")).select("doc_id", "k.words", "k.bands", "k.signature"))
+    keyed = cut(signed(rows).groupBy("doc_id").agg(F.max(F.struct("pick", "words", "bands", "signature")).alias("k")).select("doc_id", "k.words", "k.bands", "k.signature"))
     first = cut(keyed.where("words IS NOT NULL").groupBy("words").agg(F.min(F.struct("doc_id", "bands", "signature")).alias("k")).select("words", F.col("k.doc_id").alias("rep"), "k.bands", "k.signature"))
     roots = joined(first.select(F.col("rep").alias("doc"), "bands", "signature"), rows, threshold)
     of_rep = first.select("words", "rep").join(roots.withColumnRenamed("doc", "rep"), "rep", "left")

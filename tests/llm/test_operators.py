@@ -242,6 +242,30 @@ def test_links_amid_a_family_just_below_the_threshold(spark):
     assert len(set(want)) == 150 and [got[i] for i in range(len(texts))] == want
 
 
+@pytest.mark.parametrize("size", [9, 129, 1000])
+def test_variants_of_one_text(spark, size):
+    # Each is at about 0.86 to the text that it stems from, and at 0.74 to the others; a second family shares none of it.
+    texts = []
+    for k in range(2):
+        base = prose(400, 7000 + k)
+        texts += [near(base, 7100 + 2000 * k + i, 6) for i in range(size)] + [base]
+    sets = [helpers.shingle_set(t) for t in texts]
+    want = []
+    for i, s in enumerate(sets):
+        hub = size if i <= size else 2 * size + 1
+        assert len(s & sets[hub]) >= 0.8 * len(s | sets[hub])
+        want.append(0 if i <= size else size + 1)
+    got = {r.doc_id: r.class_id for r in minhash.near_duplicates(helpers.docs(spark, texts)).collect()}
+    assert [got[i] for i in range(len(texts))] == want
+
+
+def test_an_id_is_judged_by_one_of_its_rows(spark):
+    a, b = prose(90, 7700), prose(90, 7701)
+    rows = helpers.docs(spark, [a, b]).union(helpers.docs(spark, [b]))  # document 0 has either text
+    got = {r.doc_id: r.class_id for r in minhash.near_duplicates(rows).collect()}
+    assert got in ({0: 0, 1: 0}, {0: 0, 1: 1}) and got == {r.doc_id: r.class_id for r in minhash.near_duplicates(rows.repartition(5)).collect()}
+
+
 def test_copies_of_which_one_repeats_a_block(spark):
     texts = []
     for k in range(12):  # 100 shingles shared and 23 more, which only one side has, most of them 50 times: 0.81
