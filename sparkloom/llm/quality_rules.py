@@ -1,14 +1,15 @@
 """Quality rules whose cutoffs carry a risk guarantee.
 
-Each rule is a rate that junk drives up or down. For every rule and stratum (length class of the
-document) a fixed grid of cutoffs is tried on a labelled holdout of good documents, from the mildest
-to the harshest. A cutoff is certified when it and all milder ones pass: the exact binomial test rejects
-"its false rejection rate exceeds ``alpha``" at level ``delta / number of grids`` (fixed-sequence testing
-down each grid, Bonferroni over strata and rules); each rule takes its harshest certified cutoff, or none.
-All labelled rows of the holdout count. The rules of a stratum share ``alpha`` evenly, so
-their union falsely rejects at most ``alpha`` of it, all at once with probability 1 - ``delta``.
-
-All work on rows is built-in functions; only the counts per (stratum, rule, cutoff), whose number the
+Each rule is a rate that junk drives up or down, with a fixed grid of cutoffs from mild to harsh. The
+labelled holdout is dealt by a hash of the id to two halves. The guide lines up, for each stratum (length
+class of the document), the cutoffs that pay into one sequence, from those that cost fewest good documents
+on. The guard, which had no part in that, tests the sequence: step by step, as long as the exact binomial
+test rejects "the cutoffs so far together falsely reject more than ``alpha`` of the stratum's good
+documents" at level ``delta / number of strata`` (fixed-sequence testing within a stratum, Bonferroni over
+strata). The last step that passes gives the stratum's cutoffs; so with probability 1 - ``delta`` no
+stratum loses more than ``alpha`` of its good documents to them. All labelled rows of the holdout count.
+
+All work on rows is built-in functions; only counts per (stratum, label, cutoff or step), whose number the
 grid fixes, reach the driver.
 """
 
@@ -19,7 +20,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE_WORD, fold_of
+from .common import SPACE_WORD, cut, fold_of
 
 #: ASCII white space of the contract, as characters to delete.
 SPACES = " \t\n\x0b\x0c\r"
@@ -28,6 +29,10 @@ SYMBOLS = "#*$%&|<>"
 STRATA = (150, 600)
 
 
+#: The columns that base_columns() adds.
+BASE = ("n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words", "n_upper", "n_digits", "n_marks")
+
+
 def _rules() -> dict[str, tuple[Column, tuple[float, ...]]]:
     """name -> (rate over the base columns, grid from mild to harsh); a document above a cutoff is rejected."""
     words = F.greatest(F.col("n_words"), F.lit(1)).cast("double")
@@ -77,7 +82,7 @@ def _repeats(words: Column) -> Column:
 
 
 def base_columns(docs: DataFrame) -> DataFrame:
-    """docs with n_words, word_chars, n_symbols, n_lines, n_dup_lines, n_repeat_words and the rates' counts.
+    """docs with the columns of BASE added, in place of columns of these names.
 
     Null text counts as empty: all counts 0.
     """
@@ -123,58 +128,109 @@ def binomial_tail(k: int, n: int, p: float) -> float:
     return min(1.0, total)
 
 
-def choose_cutoffs(counts: dict[tuple[int, str, int], tuple[int, int]], alpha: float, delta: float) -> dict[tuple[int, str], float]:
-    """counts: (stratum, rule, place in its grid) -> (good documents, of them rejected)."""
-    rules = _rules()
-    share, grids = alpha / len(rules), (len(STRATA) + 1) * len(rules)
-    out = {}
-    for s in range(len(STRATA) + 1):
-        for name, (_, grid) in rules.items():
-            for k, c in enumerate(grid):
-                n, bad = counts.get((s, name, k), (0, 0))
-                # From the mean on the tail is about a half or more.
-                if n == 0 or bad > n * share + 1 or binomial_tail(bad, n, share) > delta / grids:
-                    break
-                out[s, name] = c
+def _places() -> Column:
+    """For each rule the number of cutoffs of its grid that the document stays under: the first, from 0, that rejects it."""
+    over = lambda rate, c: F.coalesce(rate > c, F.lit(False))
+    return F.struct(*[sum((F.when(over(rate, c), 0).otherwise(1) for c in grid), F.lit(0)).alias(name) for name, (rate, grid) in _rules().items()])
+
+
+def sequence(marginals: dict[tuple[str, int], tuple[int, int]]) -> list[tuple[str, int]]:
+    """Steps (rule, place in its grid) by the good documents that they cost in the guide, those first that catch most.
+
+    marginals: step -> (good documents rejected, junk rejected) by this cutoff alone; cutoffs that catch no junk are left out.
+    """
+    order = {name: k for k, name in enumerate(_rules())}
+    paying = [(good, -junk, order[name], k) for (name, k), (good, junk) in marginals.items() if junk]
+    names = list(order)
+    return [(names[r], k) for _, _, r, k in sorted(paying)]
+
+
+def _first_step(path: list[tuple[str, int]]) -> Column:
+    """The first step, from 0, that rejects the document; null for none."""
+    if not path:
+        return F.lit(None).cast("int")
+    steps = [F.when(F.col("places")[name] <= k, F.lit(i)) for i, (name, k) in enumerate(path)]
+    return F.least(*steps, F.lit(None).cast("int"))
+
+
+def longest_safe(rejected_at: dict[int, int], n: int, steps: int, alpha: float, level: float) -> int:
+    """Number of steps, from the first, that pass the test. rejected_at: step -> good documents that it is the first to reject."""
+    bad = 0
+    for k in range(steps):
+        bad += rejected_at.get(k, 0)
+        if n == 0 or bad > n * alpha or binomial_tail(bad, n, alpha) > level:
+            return k
+    return steps
+
+
+def _by_step(rows: DataFrame, paths: dict[int, list]) -> dict[tuple[int, int], dict[int | None, int]]:
+    """(stratum, label) -> first rejecting step, or None, -> documents."""
+    step = F.lit(None).cast("int")
+    for s, path in paths.items():
+        step = F.when(F.col("stratum") == s, _first_step(path)).otherwise(step)
+    out: dict = {}
+    for r in rows.groupBy("stratum", "label", step.alias("step")).agg(F.count(F.lit(1)).alias("n")).collect():
+        out.setdefault((r["stratum"], r["label"]), {})[r["step"]] = r["n"]
     return out
 
 
-def fit_cutoffs(good: DataFrame, alpha: float = 0.04, delta: float = 0.1) -> dict[tuple[int, str], float]:
-    """good: rows of base_columns() and base_failed, of good documents. One aggregate; its rows are the strata."""
-    rules = _rules()
-    aggs = [F.count(F.lit(1)).alias("n")]
-    for name, (rate, grid) in rules.items():
-        aggs += [F.sum((rate > c).cast("long")).alias(f"{name}__{k}") for k, c in enumerate(grid)]
-    rows = good.groupBy(stratum().alias("stratum"), "base_failed").agg(*aggs).collect()
-    rows = [r for r in rows if not r["base_failed"]]
-    counts = {(r["stratum"], name, k): (r["n"], r[f"{name}__{k}"]) for r in rows for name, (_, g) in rules.items() for k in range(len(g))}
-    return choose_cutoffs(counts, alpha, delta)
+def fit_cutoffs(holdout: DataFrame, alpha: float = 0.04, delta: float = 0.1) -> dict[tuple[int, str], float]:
+    """(stratum, rule) -> cutoff. holdout: rows of base_columns() with doc_id and label (1 good, 0 junk), without base failures."""
+    rules, strata = _rules(), range(len(STRATA) + 1)
+    rows = cut(holdout.select("label", stratum().alias("stratum"), (F.shiftright(F.crc32(F.col("doc_id").cast("string")), 8) % 2 == 0).alias("guide"), _places().alias("places")))
+    guide, guard = rows.where("guide"), rows.where(~F.col("guide") & (F.col("label") == 1))
+    aggs = [F.count_if(F.col("places")[name] <= k).alias(f"{name}__{k}") for name, (_, grid) in rules.items() for k in range(len(grid))]
+    alone = {(r["stratum"], r["label"]): r for r in guide.groupBy("stratum", "label").agg(*aggs).collect()}
+    paths = {}
+    for s in strata:
+        n = lambda label, step: alone[s, label][f"{step[0]}__{step[1]}"] if (s, label) in alone else 0  # noqa: B023, E731
+        paths[s] = sequence({step: (n(1, step), n(0, step)) for step in ((name, k) for name, (_, grid) in rules.items() for k in range(len(grid)))})
+    together = _by_step(guide, paths)
+    for s, path in paths.items():  # a step pays if the share of junk that only it catches is above the share of good documents
+        good, junk = together.get((s, 1), {}), together.get((s, 0), {})
+        m, n = max(1, sum(good.values())), max(1, sum(junk.values()))
+        paths[s] = [step for k, step in enumerate(path) if junk.get(k, 0) / n > good.get(k, 0) / m]
+    tested, out = _by_step(guard, paths), {}
+    for s, path in paths.items():
+        counts = tested.get((s, 1), {})
+        for name, k in path[: longest_safe(counts, sum(counts.values()), len(path), alpha, delta / len(strata))]:
+            c = rules[name][1][k]
+            out[s, name] = min(c, out.get((s, name), c))
+    return out
 
 
 def rejected(cutoffs: dict[tuple[int, str], float]) -> Column:
     rules, out = _rules(), F.lit(False)
     for (s, name), c in cutoffs.items():
-        out = out | ((stratum() == s) & (rules[name][0] > c))
+        out = out | ((stratum() == s) & F.coalesce(rules[name][0] > c, F.lit(False)))
     return out
 
 
-def good_ids(labels: DataFrame) -> DataFrame:
-    """doc_id of all good documents of the holdout, one row an id; an id labelled more than once takes its highest label."""
+def holdout_labels(labels: DataFrame) -> DataFrame:
+    """(doc_id, label) of the holdout, one row an id; an id labelled more than once takes its highest label."""
     rows = labels.select("doc_id", F.col("quality").cast("int").alias("label"))
-    rows = rows.where(F.col("doc_id").isNotNull() & F.col("label").isNotNull() & (fold_of(F.col("doc_id"), 4) != 2))
-    return rows.groupBy("doc_id").agg(F.max("label").alias("label")).where("label = 1").select("doc_id")
+    rows = rows.where(F.col("doc_id").isNotNull() & F.col("label").isin(0, 1) & (fold_of(F.col("doc_id"), 4) != 2))
+    return rows.groupBy("doc_id").agg(F.max("label").alias("label"))
+
+
+def judged(counted: DataFrame, labels: DataFrame, alpha: float = 0.04, delta: float = 0.1) -> DataFrame:
+    """counted, rows of base_columns(), with base_failed and kept added; no text is read."""
+    failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
+    slim = counted.select("doc_id", *BASE).where(~failed)
+    # The labels grow with the documents: a shuffle join, of counts alone.
+    holdout = slim.join(holdout_labels(labels).hint("shuffle_hash"), "doc_id")
+    cutoffs = fit_cutoffs(holdout, alpha, delta)
+    return counted.withColumn("base_failed", failed).withColumn("kept", ~F.col("base_failed") & ~rejected(cutoffs))
 
 
 def quality_rules(docs: DataFrame, labels: DataFrame, alpha: float = 0.04, delta: float = 0.1) -> DataFrame:
-    """docs with the base columns, base_failed and kept added.
+    """docs with the base columns, base_failed and kept added, in place of columns of these names.
 
     base_failed: fewer than 50 words, or over half the words in repeated 3-word windows. kept: neither
-    that nor rejected by a certified cutoff. With no labels no cutoff is certified and the base rules
-    alone decide. Repeated rows are judged alike, each on its own; empty tables give empty results.
+    that nor rejected by a certified cutoff. A stratum needs 84 good documents in the guard half to certify
+    anything at the default alpha and delta; without, and with no labels, the base rules alone decide. Null
+    and empty texts have no words and fail; long texts are counted whole. Rows that repeat an id, and those
+    that tie at a cutoff, are judged alike, each on its own; a null id is judged like any other but never
+    labelled. Empty tables give empty results.
     """
-    # The labels grow with the documents: a shuffle join.
-    good = base_columns(docs.select("doc_id", "text").join(good_ids(labels).hint("shuffle_hash"), "doc_id", "left_semi"))
-    failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
-    cutoffs = fit_cutoffs(good.withColumn("base_failed", failed), alpha, delta)
-    out = base_columns(docs).withColumn("base_failed", failed)
-    return out.withColumn("kept", ~F.col("base_failed") & ~rejected(cutoffs))
+    return judged(base_columns(docs), labels, alpha, delta)

@@ -70,7 +70,9 @@ def op9_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = quality_rules.quality_rules(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+    # The texts are counted once; labels then meet the counts alone.
+    counted = cut(quality_rules.base_columns(read(spark, sf_dir, "documents").select("doc_id", "text")).drop("text"))
+    out = quality_rules.judged(counted, read(spark, sf_dir, "labels"))
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 

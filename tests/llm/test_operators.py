@@ -394,7 +394,94 @@ def test_cutoffs_count_every_label(spark):
     # 60,000 labelled ids, of which the documents are the last by the hash that once chose 20,000.
     ids = spark.createDataFrame([(i, 1) for i in range(60_000)], "doc_id long, quality int")
     late = [r.doc_id for r in ids.where(fold_of(F.col("doc_id"), 4) != 2).orderBy(F.xxhash64("doc_id").desc()).limit(1200).collect()]
+    junk = set(late[:20])
     text = prose(80, 9000)
-    docs = spark.createDataFrame([(i, text) for i in late] + [(-1, text + " $$$" * 60)], "doc_id long, text string")
+    ids = ids.withColumn("quality", F.when(F.col("doc_id").isin(junk), 0).otherwise(1))
+    docs = spark.createDataFrame([(i, text + " $$$" * 60 if i in junk else text) for i in late] + [(-1, text + " $$$" * 60)], "doc_id long, text string")
     out = {r.doc_id: r.kept for r in quality_rules.quality_rules(docs, ids).collect()}
-    assert not out.pop(-1) and all(out.values())
+    assert not out.pop(-1) and all(kept != (i in junk) for i, kept in out.items())
+
+
+def plain_kept(texts, labels, alpha=0.04, delta=0.1):
+    """kept of each text: rates, sequence and tests once more, over lists; text i has id i."""
+    import math
+    import zlib
+
+    rules = quality_rules._rules()
+    rates, strata = [], []
+    for t in texts:
+        t = t or ""
+        w = re.findall(r"[^\x20\x09-\x0D]+", t)
+        chars, n = max(1, sum(map(len, w))), max(1, len(w))
+        lines = [x for x in t.split("\n") if x.strip(" \t\n\x0b\x0c\r")]
+        seen = Counter(zip(w, w[1:], w[2:]))
+        covered = {k for j, g in enumerate(zip(w, w[1:], w[2:])) if seen[g] > 1 for k in (j, j + 1, j + 2)}
+        count = lambda xs: sum(t.count(c) for c in xs)  # noqa: B023, E731
+        rates.append({"symbols": count("#*$%&|<>") / n, "capitals": count("ABCDEFGHIJKLMNOPQRSTUVWXYZ") / chars, "marks": count("!?;:=_~^@") / n, "digits": count("0123456789") / chars,
+                      "dup_lines": (len(lines) - len(set(lines))) / max(1, len(lines)), "repeats": len(covered) / n, "long_words": sum(map(len, w)) / n, "short_words": n / chars})
+        strata.append(None if len(w) < 50 or 100 * len(covered) > 50 * len(w) else sum(len(w) >= e for e in quality_rules.STRATA))
+    cutoffs = {}
+    for s in range(3):
+        rows = [i for i, x in enumerate(strata) if x == s and i in labels and zlib.crc32(str(i).encode()) % 4 != 2]
+        guide = [i for i in rows if (zlib.crc32(str(i).encode()) >> 8) % 2 == 0]
+        good, junk = [i for i in guide if labels[i]], [i for i in guide if not labels[i]]
+        steps = [(name, c) for name, (_, grid) in rules.items() for c in grid]
+        caught = lambda ids, step: [i for i in ids if rates[i][step[0]] > step[1]]
+        steps = [x for x in steps if caught(junk, x)]
+        steps.sort(key=lambda x: (len(caught(good, x)), -len(caught(junk, x))))  # stable: rule, then place
+        path, left, kept = [], set(junk), set(good)
+        for x in steps:
+            more, lost = left & set(caught(junk, x)), kept & set(caught(good, x))
+            left, kept = left - more, kept - lost
+            if len(more) / max(1, len(junk)) > len(lost) / max(1, len(good)):
+                path.append(x)
+        guard = [i for i in rows if i not in set(guide) and labels[i]]
+        gone = set()
+        for x in path:
+            gone |= set(caught(guard, x))
+            tail = sum(math.comb(len(guard), k) * alpha**k * (1 - alpha) ** (len(guard) - k) for k in range(len(gone) + 1))
+            if not guard or tail > delta / 3:
+                break
+            cutoffs[s, x[0]] = min(x[1], cutoffs.get((s, x[0]), x[1]))
+    return [s is not None and not any(rates[i][name] > c for (k, name), c in cutoffs.items() if k == s) for i, s in enumerate(strata)]
+
+
+def test_kept_matches_a_plain_fit(spark):
+    r = random.Random(12)
+    texts, labels = [], {}
+    for i in range(1500):
+        junk = i % 4 == 0
+        text = prose(r.choice((70, 70, 200)), 11_000 + i)
+        if junk:
+            text += r.choice([" $$$" * 25, " #" * r.randint(1, 40), "".join(f"\nsame line {i}" for _ in range(6)), "", text.upper()[:200]])
+        elif r.random() < 0.03:
+            text += " ##" * r.randint(1, 9)
+        texts.append(text)
+        if i % 10:
+            labels[i] = int(not junk)
+    table = spark.createDataFrame([(i, v) for i, v in labels.items()], "doc_id long, quality int")
+    got = {x.doc_id: x.kept for x in quality_rules.quality_rules(helpers.docs(spark, texts + TEXTS), table).collect()}
+    want = plain_kept(texts + TEXTS, labels)
+    assert [got[i] for i in range(len(want))] == want and sum(not k for k in want) > 150
+
+
+def test_the_guarantee_holds_in_simulation():
+    r = random.Random(13)
+    alpha, level, n, broken = 0.05, 0.1, 300, 0
+    risks = [0.002 * k for k in range(60)]  # what the first k + 1 steps together reject
+    for _ in range(1500):
+        drawn = [r.random() for _ in range(n)]
+        at = Counter(next((k for k, x in enumerate(risks) if u < x), None) for u in drawn)
+        k = quality_rules.longest_safe(at, n, len(risks), alpha, level)
+        broken += k > 0 and risks[k - 1] > alpha
+    assert 0.03 < broken / 1500 < level + 0.025  # kept, and not by idling
+    assert quality_rules.longest_safe({}, 0, 5, alpha, level) == 0 and quality_rules.longest_safe({}, 300, 5, alpha, level) == 5
+
+
+def test_quality_rules_of_awkward_rows(spark, table):
+    labels = spark.createDataFrame([(0, 1), (0, None), (None, 0), (1, 7)], "doc_id long, quality int")
+    twice = table.union(table).union(table.withColumn("doc_id", F.lit(None).cast("long"))).withColumn("n_words", F.lit("mine"))
+    out = quality_rules.quality_rules(twice, labels)
+    rows = out.collect()
+    assert len(rows) == 3 * len(TEXTS) and out.columns.count("n_words") == 1 and all(r.n_words == len((r.text or "").split()) for r in rows)
+    assert all(r.kept == (not r.base_failed) for r in rows) and {r.score for r in rows} == {9.0}
