@@ -32,7 +32,7 @@ BANDS, ROWS = 20, 4
 THRESHOLD = 0.8
 SLOTS = BANDS * ROWS
 #: Members of one side of a block in which the pairs that are left are compared.
-BLOCK = 256
+BLOCK = 128
 #: Slots in which two signatures must agree to be compared: at similarity 0.8 the mean less five deviations,
 #: which 1.2e-6 of the pairs stay under; the bands miss 2.6e-5.
 LEAST_AGREED = 46
@@ -153,6 +153,14 @@ def _chunks(pdf: pd.DataFrame, columns: list[str]) -> Iterator[pd.DataFrame]:
     for _, part in pdf.groupby(at, sort=False):
         yield part
 
+
+def _by_bytes(texts: pd.Series) -> Iterator[np.ndarray]:
+    """Places of the texts, in runs of about CHUNK_BYTES."""
+    if len(texts):
+        at = (np.cumsum(texts.str.len().fillna(0).to_numpy()) // CHUNK_BYTES).astype(int)
+        yield from np.split(np.arange(len(texts)), np.flatnonzero(np.diff(at)) + 1)
+
+
 def _pick():
     """Of rows that repeat an id the one with the greatest of these counts, in its signature and its text."""
     return F.xxhash64("text")
@@ -191,32 +199,62 @@ def _whole(batches: Iterator[pd.DataFrame], by: list[str]) -> Iterator[pd.DataFr
         yield kept
 
 
-def _in_blocks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """(block, a, b) from rows sorted by block: pairs of its two sides, or of its one, that agree enough.
+def _linked_in_blocks(threshold: float):
+    """(a, b), links between roots, from rows sorted by block.
 
-    A pair that shares several bands is given in the first of them.
+    Pairs of a block's two sides, or of its one, whose roots differ and whose signatures agree enough are
+    compared exactly, the most alike first, unless links found before have joined their roots. A pair that
+    shares several bands is compared in the first of them. Pairs stay within the task, so what it returns is
+    fewer rows than it was given.
     """
-    for rows in _whole(batches, ["block"]):
-        for block, g in rows.groupby("block", sort=False):
-            parts = np.frombuffer(b"".join(g["signature"]), dtype=np.uint32).reshape(len(g), SLOTS)
-            band, docs, root, part, left = (g[c].to_numpy() for c in ("band", "doc", "root", "part", "left"))
-            one = (g["left"] == g["right"]).to_numpy()
-            out = []
-            for i in np.flatnonzero(part == left):
-                same = parts == parts[i]
-                other = np.where(one, docs > docs[i], part != part[i]) & (root != root[i]) & (same.sum(axis=1) >= LEAST_AGREED)
-                for j in np.flatnonzero(other):
-                    if same[j].reshape(BANDS, ROWS).all(axis=1).argmax() == band[i]:
-                        out.append((block, min(docs[i], docs[j]), max(docs[i], docs[j])))
-            yield pd.DataFrame(out, columns=["block", "a", "b"], dtype="int64")
-
-
-def remaining(reps: DataFrame, sizes: DataFrame, roots: DataFrame) -> DataFrame:
-    """(block, a, b), a < b: pairs of buckets that agree enough and have different roots.
-
-    reps: written (doc, bands, signature); sizes: (band, key, n) of the buckets; roots: (doc, root).
-    A bucket's members are dealt to parts of about BLOCK, and each pair of parts is a block. Members of
-    its largest component meet only the others, so a bucket that is joined but for a few costs little.
+
+    def links_of(g: pd.DataFrame) -> list[tuple[int, int]]:
+        parts = np.frombuffer(b"".join(g["signature"]), dtype=np.uint32).reshape(len(g), SLOTS)
+        band, docs, root, part, left = (g[c].to_numpy() for c in ("band", "doc", "root", "part", "left"))
+        one, found = (g["left"] == g["right"]).to_numpy(), []
+        for i in np.flatnonzero(part == left):
+            same = parts == parts[i]
+            agreed = same.sum(axis=1)
+            other = np.flatnonzero(np.where(one, docs > docs[i], part != part[i]) & (root != root[i]) & (agreed >= LEAST_AGREED))
+            other = other[same[other].reshape(len(other), BANDS, ROWS).all(axis=2).argmax(axis=1) == band[i]]
+            found += [(-int(agreed[j]), i, int(j)) for j in other]
+        sets, over, out = {}, {}, []
+
+        def top(x):
+            while x in over:
+                x = over[x]
+            return x
+
+        needed = sorted({k for _, i, j in found for k in (i, j)})
+        for at in _by_bytes(g["text"].iloc[needed]):
+            owner, value, _ = weighted(*shingles(g["text"].iloc[[needed[k] for k in at]].tolist()))
+            ends = np.searchsorted(owner, np.arange(len(at) + 1))
+            sets |= {needed[k]: value[s:e] for k, s, e in zip(at, ends, ends[1:])}
+        for _, i, j in sorted(found):
+            x, y = top(root[i]), top(root[j])
+            m, n = len(sets[i]), len(sets[j])
+            if x != y and min(m, n) >= threshold * max(m, n):
+                shared = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
+                if shared >= threshold * (m + n - shared):
+                    over[max(x, y)] = min(x, y)
+                    out.append((min(x, y), max(x, y)))
+        return out
+
+    def compute(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for rows in _whole(batches, ["block"]):
+            out = [link for _, g in rows.groupby("block", sort=False) for link in links_of(g)]
+            yield pd.DataFrame(out, columns=["a", "b"], dtype="int64")
+
+    return compute
+
+
+def remaining_links(reps: DataFrame, sizes: DataFrame, roots: DataFrame, docs: DataFrame, threshold: float) -> DataFrame:
+    """(a, b), a < b: links between roots that pairs of one bucket make.
+
+    reps: written (doc, bands, signature); sizes: (band, key, n) of the buckets; roots: (doc, root). A
+    bucket's members are dealt to parts of about BLOCK, and each pair of parts is a block, which gets its
+    members' texts. Members of its largest component meet only the others, so a bucket that is joined but for
+    a few costs little.
     """
     members = reps.select("doc", F.posexplode("bands").alias("band", "key")).join(sizes.where("n > 2").select("band", "key"), ["band", "key"])
     rooted = cut(members.join(roots, "doc", "left").select("doc", "band", "key", F.coalesce("root", "doc").alias("root")))
@@ -226,45 +264,12 @@ def remaining(reps: DataFrame, sizes: DataFrame, roots: DataFrame) -> DataFrame:
     hashed, is_top = F.xxhash64("doc", "band"), F.col("root") == F.col("top")
     part = F.when(is_top, F.col("others") + F.pmod(hashed, F.col("of_top"))).otherwise(F.pmod(hashed, F.col("others"))).cast("int")
     dealt = cut(rooted.join(tops, ["band", "key"]).select("doc", "root", "band", "key", part.alias("part"), (F.when(is_top, F.col("others")).otherwise(F.col("others") + F.col("of_top")) - 1).alias("last")))
-    dealt = dealt.join(reps.select("doc", "signature"), "doc").withColumn("other", F.explode(F.sequence(F.lit(0), "last")))
+    texts = docs.join(dealt.select(F.col("doc").alias("doc_id")).distinct(), "doc_id", "left_semi").groupBy("doc_id").agg(F.max_by("text", _pick()).alias("text"))
+    read = reps.select("doc", "signature").join(texts.withColumnRenamed("doc_id", "doc"), "doc")
+    dealt = dealt.join(read, "doc").withColumn("other", F.explode(F.sequence(F.lit(0), "last")))
     dealt = dealt.withColumns({"left": F.least("part", "other"), "right": F.greatest("part", "other")})
-    dealt = dealt.select(F.xxhash64("band", "key", "left", "right").alias("block"), "band", "doc", "root", "part", "left", "right", "signature")
-    return dealt.repartition("block").sortWithinPartitions("block", "doc").mapInPandas(_in_blocks, "block long, a long, b long")
-
-
-def verified_in_blocks(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
-    """(a, b): links among the pairs of each block; pairs that a block's own links have joined may be left out.
-
-    pairs: written (block, a, b). A text is read once for each block it is in, not once for each pair.
-    """
-
-    def compute(pdf: pd.DataFrame, rows: pd.DataFrame) -> pd.DataFrame:
-        sets, over = {}, {}
-        for b in _chunks(rows, ["text"]):
-            owner, value, _ = weighted(*shingles(b["text"].tolist()))
-            ends = np.searchsorted(owner, np.arange(len(b) + 1))
-            sets |= {d: value[s:e] for d, s, e in zip(b["doc"], ends, ends[1:])}
-
-        def top(x):
-            while x in over:
-                x = over[x]
-            return x
-
-        out = []
-        for a, b in zip(pdf["a"], pdf["b"]):
-            x, y = top(a), top(b)
-            if x != y:
-                m, n = len(sets[a]), len(sets[b])
-                if min(m, n) >= threshold * max(m, n):
-                    shared = len(np.intersect1d(sets[a], sets[b], assume_unique=True))
-                    if shared / max(m + n - shared, 1) >= threshold:
-                        over[max(x, y)] = min(x, y)
-                        out.append((a, b))
-        return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
-
-    ends = pairs.select(F.col("block").alias("at"), F.explode(F.array("a", "b")).alias("doc")).distinct()
-    read = ends.join(texts.select(F.col("doc_id").alias("doc"), "text"), "doc")
-    return pairs.groupBy("block").cogroup(read.groupBy("at")).applyInPandas(compute, "a long, b long")
+    dealt = dealt.select(F.xxhash64("band", "key", "left", "right").alias("block"), "band", "doc", "root", "part", "left", "right", "signature", "text")
+    return dealt.repartition("block").sortWithinPartitions("block", "doc").mapInPandas(_linked_in_blocks(threshold), "a long, b long").distinct()
 
 
 def bucket_sizes(reps: DataFrame) -> DataFrame:
@@ -309,15 +314,14 @@ def joined(reps: DataFrame, docs: DataFrame, threshold: float = THRESHOLD) -> Da
     """(doc, root) of the components of all links. reps: written (doc, bands, signature); docs: (doc_id, text) of at least these."""
     sizes = bucket_sizes(reps)
     pairs = cut(hub_pairs(reps, sizes))
-    ends = lambda p: p.select(F.explode(F.array("a", "b")).alias("doc_id"))
-    roots = components(verified(pairs, _texts_of(ends(pairs), docs), threshold).where("linked").select("a", "b"))
-    left = cut(remaining(reps, sizes, roots).join(pairs, ["a", "b"], "left_anti").select("block", "a", "b"))
-    if left.isEmpty():
-        return roots
-    more = cut(verified_in_blocks(left, _texts_of(ends(left), docs), threshold))
+    ends = pairs.select(F.explode(F.array("a", "b")).alias("doc_id"))
+    roots = components(verified(pairs, _texts_of(ends, docs), threshold).where("linked").select("a", "b"))
+    more = cut(remaining_links(reps, sizes, roots, docs, threshold))
     if more.isEmpty():
         return roots
-    return components(roots.select(F.col("root").alias("a"), F.col("doc").alias("b")).unionByName(more))
+    above = components(more)  # of roots, so far fewer than documents
+    over = above.select(F.col("doc").alias("root"), F.col("root").alias("__top"))
+    return roots.join(over, "root", "left").select("doc", F.coalesce("__top", "root").alias("root")).unionByName(above)
 
 
 def components(edges: DataFrame) -> DataFrame:
