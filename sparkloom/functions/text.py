@@ -1,14 +1,27 @@
-"""Column functions for message text. All are built-in expressions, so they stay in generated code."""
+"""Column functions for message text. All but unescaped() are built-in expressions, so they stay in generated code."""
 
 from __future__ import annotations
 
+import html
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
+
+#: White space of any script, as a character class.
+WS = r"[\s\x1c-\x1f\x85\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
 
 
 def strip_ws(x: Column) -> Column:
-    """Trims white space of any kind at both ends, not spaces alone."""
-    return F.regexp_replace(x, r"^\s+|\s+$", "")
+    """Trims white space of any kind and script at both ends, not spaces alone."""
+    return F.regexp_replace(x, rf"^{WS}+|{WS}+$", "")
+
+
+def let(value: Column, body) -> Column:
+    """body(value) with value evaluated once, however often body names it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
 def or_empty(x: Column) -> Column:
@@ -25,18 +38,24 @@ def contains_any(x: Column, words) -> Column:
     return x.rlike("|".join(f"\\Q{w}\\E" for w in words))
 
 
+@F.pandas_udf(StringType())
+def unescaped(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    """Character references decoded, named and numeric ones; without an ampersand a text stays as it is."""
+    for batch in texts:
+        yield batch.map(lambda x: html.unescape(x) if isinstance(x, str) and "&" in x else x)
+
+
 def html_to_text(html: Column) -> Column:
     """Text of HTML mail: scripts and styles dropped, a new line at the end tags of p, br, div and tr.
 
     Script and style bodies go first, since they may hold end tags. At most one blank line stays.
+    References are decoded last, so what they stand for is never taken for markup.
     """
     x = F.regexp_replace(html, r"(?is)<(script|style)\b[^>]*>.*?</\1\s*>", "")
     x = F.regexp_replace(x, r"(?s)<!--.*?-->|<![^>]*>", "")
     x = F.regexp_replace(x, r"(?i)</(p|br|div|tr)\s*>|<br\s*/>", "\n")
     x = F.regexp_replace(x, r"<[^>]*>", "")
-    for entity, char in (("&quot;", '"'), ("&middot;", "·"), ("&copy;", "©"), ("&lt;", "<"), ("&gt;", ">"), ("&nbsp;", " "), ("&amp;", "&")):
-        x = F.replace(x, F.lit(entity), F.lit(char))
-    return strip_ws(F.regexp_replace(x, r"\n{3,}", "\n\n"))
+    return strip_ws(F.regexp_replace(unescaped(x), r"\n{3,}", "\n\n"))
 
 
 def strip_quoted_reply(body: Column) -> Column:

@@ -5,19 +5,44 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import first_truthy, markdown_cell, or_empty
+from ..functions.text import markdown_cell, or_empty
+
+
+def truthy(value: Column) -> Column:
+    """The variant, or null if it is missing or one of null, false, 0, "", [] and {}."""
+    kind, text = F.schema_of_variant(value), F.try_variant_get(value, "$", "string")
+    number = kind.rlike("^(BIGINT|DECIMAL|DOUBLE|FLOAT|INT|SMALLINT|TINYINT)") & (F.try_variant_get(value, "$", "double") == 0)
+    empty = (kind.isin("STRING", "BOOLEAN") & text.isin("", "false") & ~((kind == "STRING") & (text == "false"))) | number
+    empty = empty | (kind.startswith("ARRAY") & (text == "[]")) | (kind.startswith("OBJECT") & (text == "{}"))
+    return F.when(~F.is_variant_null(value) & ~empty, value)
+
+
+def first_of(value: Column, keys) -> Column:
+    """The first truthy variant under the keys of an object; null if there is none or it isn't an object."""
+    return F.coalesce(*[truthy(F.try_variant_get(value, f"$.{k}", "variant")) for k in keys])
+
+
+def plain(value: Column) -> Column:
+    """The variant as text: a string itself, anything else in JSON; empty for null."""
+    return or_empty(F.try_variant_get(value, "$", "string"))
 
 
 def text_of(value: Column, keys=("text", "content")) -> Column:
-    """Text of a value taken from JSON: a string, an object's first non-empty key, or a list's parts joined by spaces."""
-    by_key = first_truthy(*[F.get_json_object(value, f"$.{k}") for k in keys])
-    items = F.transform(F.from_json(value, "array<string>"), lambda x: F.when(x.startswith("{"), or_empty(F.get_json_object(x, "$.text"))).otherwise(x))
-    return F.when(value.startswith("{"), by_key).when(value.startswith("["), F.array_join(items, " ")).otherwise(or_empty(value))
+    """Text of a variant: a string as it is, an object's first truthy key, a list's parts joined by spaces.
+
+    What counts is the value's own type, so a string that begins with a bracket stays a string.
+    """
+    is_list, is_object = F.schema_of_variant(value).startswith("ARRAY"), F.schema_of_variant(value).startswith("OBJECT")
+    inner = F.when(is_object, F.coalesce(first_of(value, keys), value)).otherwise(value)
+    part = lambda x: F.when(F.schema_of_variant(x).startswith("OBJECT"), or_empty(F.try_variant_get(x, "$.text", "string"))).otherwise(plain(x))
+    joined = lambda v: F.array_join(F.transform(F.try_variant_get(v, "$", "array<variant>"), part), " ")
+    inner_list = F.schema_of_variant(inner).startswith("ARRAY")
+    return F.when(is_list | inner_list, or_empty(joined(inner))).otherwise(plain(inner))
 
 
-def message_fields(json: Column, spec: dict[str, tuple[str, ...]]) -> dict[str, Column]:
-    """name -> the first non-empty of its keys."""
-    return {name: first_truthy(*[F.get_json_object(json, f"$.{k}") for k in keys]) for name, keys in spec.items()}
+def message_fields(value: Column, spec: dict[str, tuple[str, ...]]) -> dict[str, Column]:
+    """name -> the text of the first truthy of its keys, empty without one. value: a variant that holds an object."""
+    return {name: plain(first_of(value, keys)) for name, keys in spec.items()}
 
 
 def rich_text(body: Column) -> Column:

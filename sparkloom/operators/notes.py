@@ -97,27 +97,29 @@ def key_findings(sectioned: DataFrame, per_file: int = 2, most: int = 10) -> Dat
 
 
 def corpus_metrics(lines: DataFrame) -> DataFrame:
-    """One row per corpus. Lines are first reduced to a row per file, then to one per corpus."""
+    """One row per corpus. Lines are first reduced to a row per file, then to one per corpus.
+
+    Distinct URLs are counted over (corpus, URL) rows, so no corpus's URLs meet in one value.
+    """
     rows = with_sections(lines)
-    weights = F.flatten(F.collect_list(weights_of(F.col("line"))))
+    seen = lines.select("corpus", F.explode(urls_of(F.col("line"))).alias("url"))
+    seen = seen.groupBy("corpus", "url").agg(F.count(F.lit(1)).alias("n")).groupBy("corpus").agg(F.sum("n").alias("url_mentions"), F.count(F.lit(1)).alias("unique_urls"))
+    tiers = {t: F.sum(n) for t, n in tier_columns(weights_of(F.col("line"))).items()}
     per_file = rows.groupBy("corpus", "file").agg(
         F.sum(F.length("line") + 1).alias("chars"),
-        F.flatten(F.collect_list(urls_of(F.col("line")))).alias("urls"),
         F.sum(F.regexp_count("line", F.lit(PRIMARY))).alias("primary_source_markers"),
         F.count_if(is_long_quote(F.col("line"))).alias("long_quote_lines"),
-        weights.alias("weights"),
+        *[c.alias(t) for t, c in tiers.items()],
         *[c.alias(n) for n, c in section_counts().items()],
     )
-    per_file = per_file.withColumns(tier_columns(F.col("weights")))
     totals = ["primary_source_markers", "long_quote_lines", *section_counts()]
     out = per_file.groupBy("corpus").agg(
         F.count(F.lit(1)).alias("files_scanned"),
         F.sum("chars").alias("total_chars"),
-        F.sum(F.size("urls")).alias("url_mentions"),
-        F.size(F.array_distinct(F.flatten(F.collect_list(F.array_distinct("urls"))))).cast("long").alias("unique_urls"),
         *[F.sum(t).alias(t) for t in totals],
         F.sum("high").alias("high_tier_sources"), F.sum("mid").alias("mid_tier_sources"), F.sum("low").alias("low_tier_sources"),
         F.count_distinct(track_of(F.col("file"))).alias("track_coverage_count"),
     )
+    out = out.join(seen, "corpus", "left").fillna(0, ["url_mentions", "unique_urls"])
     total = F.col("high_tier_sources") + F.col("mid_tier_sources") + F.col("low_tier_sources")
     return out.withColumn("weighted_source_primary_ratio", F.coalesce(primary_ratio(F.col("high_tier_sources"), total), F.lit(0)).cast("long"))

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.urls import is_concrete_source
-from .classify import copyright_safe
+from .classify import copyright_safe, source_tier
 
 #: Patterns that a draft must show, without regard to case.
 PATTERNS = {
@@ -72,3 +72,44 @@ def triple_gate(*gates: Column) -> Column:
     """keep if all hold, demote if some do, discard otherwise."""
     n = sum((g.cast("int") for g in gates[1:]), gates[0].cast("int"))
     return F.when(n == len(gates), "keep").when(n >= 1, "demote").otherwise("discard")
+
+
+#: The hierarchy of sources, best first, as (weight, class), and sources that are never evidence, by host or title.
+HIERARCHY = ((1, "local material"), (2, "first-person work"), (3, "long-form interview"), (4, "documented decision"), (5, "short first-person post"), (6, "external analysis"), (7, "secondhand summary"))
+BLACKLIST = (("zhihu", r"(?i)\bzhihu\.com|知乎"), ("wechat", r"(?i)\bmp\.weixin\.qq\.com|微信公众号"), ("baike", r"(?i)\bbaike\.baidu\.com|百度百科"))
+
+
+def hierarchy(spark: SparkSession) -> DataFrame:
+    """(weight, class, tier): seven rows."""
+    return spark.createDataFrame(HIERARCHY, "weight int, class string").withColumn("tier", source_tier(F.col("weight")))
+
+
+def blacklist(spark: SparkSession) -> DataFrame:
+    """(source, pattern): a row for each kind of source that is never evidence."""
+    return spark.createDataFrame(BLACKLIST, "source string, pattern string")
+
+
+def blacklisted(lines: DataFrame, listed: DataFrame, column: str = "line") -> DataFrame:
+    """The rows that cite a listed source, with its name. listed: a dimension of a few patterns."""
+    return lines.join(F.broadcast(listed), F.expr(f"`{column}` RLIKE pattern")).drop("pattern")
+
+
+def audit(metrics: DataFrame, cited: DataFrame, key: str = "corpus") -> DataFrame:
+    """metrics with one column for each condition and ``passed``. cited: rows of blacklisted(), one or more per key.
+
+    All tracks, 8 URLs or more, more than half of the weighted sources primary, 3 contradictions or more, no
+    listed source, and fewer sources of weights 5 to 7 than of the better ones where the weights are known by tier.
+    """
+    out = metrics.join(cited.select(key).distinct().withColumn("__cited", F.lit(True)), key, "left")
+    named = {
+        "all_tracks": F.col("track_coverage_count") >= 6,
+        "grounded": F.col("unique_urls") >= 8,
+        "primary": F.col("weighted_source_primary_ratio") > 50,
+        "contradictions": F.col("contradiction_bullets") >= 3,
+        "clean": F.col("__cited").isNull(),
+        "not_bottom_heavy": F.col("low_tier_sources") <= F.col("high_tier_sources") + F.col("mid_tier_sources"),
+    }
+    ok = F.lit(True)
+    for c in named.values():
+        ok = ok & c
+    return out.withColumns(named | {"passed": ok}).drop("__cited")

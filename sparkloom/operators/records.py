@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import first_truthy, or_empty, strip_ws
+from ..functions.text import first_truthy, let, or_empty, strip_ws
 from .classify import family
 
 #: Order of a profile's fields in an identity line.
@@ -72,6 +74,91 @@ def front(name: Column, description: Column, body: Column) -> Column:
     return F.concat(F.lit("---\nname: "), name, F.lit("\ndescription: "), description, F.lit("\nuser-invocable: true\n---\n\n"), body, F.lit("\n"))
 
 
+def language_code(own: Column, classified: Column | None = None) -> Column:
+    """The record's language, else its classification's, else en; lower-cased."""
+    given = [x for x in (own, classified) if x is not None]
+    return F.lower(F.coalesce(*[F.nullif(x, F.lit("")) for x in given], F.lit("en")))
+
+
+#: The combined artifact, in English and in Chinese.
+COMBINED_EN = """---
+name: {combined_name}
+description: {description}
+user-invocable: true
+---
+
+# {display_name}
+
+{identity}
+
+---
+
+## PART A: Work
+
+{work_content}
+
+---
+
+## PART B: Persona
+
+{persona_content}
+
+---
+
+## Operating Rules
+
+When any task or question arrives:
+
+1. **Start with PART B**: decide whether you would take the task and in what attitude.
+2. **Execute with PART A**: use the work methods, heuristics, and capability profile to do the task.
+3. **Keep PART B in the output**: preserve the tone, diction, rhythm, and reaction patterns from the persona.
+
+**Layer 0 rules in PART B always take priority and must never be violated.**
+"""
+COMBINED_ZH = """---
+name: {combined_name}
+description: {description}
+user-invocable: true
+---
+
+# {display_name}
+
+{identity}
+
+---
+
+## PART A：工作能力
+
+{work_content}
+
+---
+
+## PART B：人物性格
+
+{persona_content}
+
+---
+
+## 运行规则
+
+接收到任何任务或问题时：
+
+1. **先由 PART B 判断**：你会不会接这个任务？用什么态度接？
+2. **再由 PART A 执行**：用你的技术能力和工作方法完成任务
+3. **输出时保持 PART B 的表达风格**：你说话的方式、用词习惯、句式
+
+**PART B 的 Layer 0 规则永远优先，任何情况下不得违背。**
+"""
+
+
+def filled(template: str, values: dict[str, Column]) -> Column:
+    """The template with each {name} replaced by its column; the values themselves are not looked into."""
+    parts = []
+    for k, piece in enumerate(re.split(r"\{(\w+)\}", template)):
+        parts.append(values[piece] if k % 2 else F.lit(piece))
+    return F.concat(*parts)
+
+
 def render_parts(names: dict[str, Column], display: Column, language: Column, work: Column, persona: Column) -> dict[str, Column]:
     """The work and persona artifacts; languages that begin with zh get Chinese descriptions."""
     zh = or_empty(language).startswith("zh")
@@ -82,6 +169,63 @@ def render_parts(names: dict[str, Column], display: Column, language: Column, wo
     }
 
 
+def render_combined(names: dict[str, Column], display: Column, who: Column, summary: Column, language: Column, work: Column, persona: Column) -> Column:
+    """The combined artifact. Its description is the summary, else the display name and the identity, if any."""
+    about = F.when(or_empty(who) == "", display).otherwise(F.concat(display, F.lit(", "), who))
+    values = {"combined_name": names["combined_name"], "description": F.coalesce(F.nullif(summary, F.lit("")), about), "display_name": display, "identity": or_empty(who), "work_content": work, "persona_content": persona}
+    return F.when(or_empty(language).startswith("zh"), filled(COMBINED_ZH, values)).otherwise(filled(COMBINED_EN, values))
+
+
+#: File names of the seven artifacts.
+ARTIFACTS = ("work.md", "persona.md", "SKILL.md", "work_skill.md", "persona_skill.md", "manifest.json", "meta.json")
+
+
+def artifacts(rows: DataFrame, meta: dict[str, Column], who: Column, summary: Column, language: Column, work: Column, persona: Column, keep: list[str]) -> DataFrame:
+    """keep, file and content: one row for each of the seven artifacts of each record.
+
+    meta: the columns that manifest() takes, of which meta.json holds all.
+    """
+    names = artifact_names(meta["character"], meta["slug"])
+    parts = render_parts(names, meta["display_name"], language, work, persona)
+    combined = render_combined(names, meta["display_name"], who, summary, language, work, persona)
+    contents = (work, persona, combined, parts["work_skill"], parts["persona_skill"], manifest(meta), F.to_json(F.struct(*[c.alias(k) for k, c in meta.items()])))
+    each = F.array(*[F.struct(F.lit(f).alias("file"), c.alias("content")) for f, c in zip(ARTIFACTS, contents)])
+    return rows.select(*keep, F.explode(each).alias("a")).select(*keep, "a.file", "a.content")
+
+
+def install_record(host: Column, meta: dict[str, Column], source: Column, installed_at: Column) -> Column:
+    """What is noted of an installed record, as JSON; its markdown is renamed by rename_frontmatter()."""
+    command = artifact_names(meta["character"], meta["slug"])["combined_command"]
+    return F.to_json(F.struct(
+        host.alias("host"), command.alias("command_name"), meta["character"].alias("character"), meta["slug"].alias("slug"), meta["version"].alias("version"),
+        source.alias("source_skill_dir"), F.lit("SKILL.md").alias("source_artifact"), installed_at.alias("installed_at"),
+    ))
+
+
+def merged(defaults: Column, given: Column) -> Column:
+    """Both maps together; where both have a key, what is given wins, null included. A null map counts as empty."""
+    given = F.coalesce(given, F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<string>")))
+    return F.map_concat(F.map_filter(defaults, lambda k, v: ~F.map_contains_key(given, k)), given)
+
+
+def parsed_records(stored: DataFrame, folder: str, schema: str) -> DataFrame:
+    """schema's columns and ``folder`` of JSON texts in ``value``; those that aren't a whole JSON object are left out."""
+    rows = stored.select(F.col(folder).alias("folder"), F.from_json("value", schema).alias("m"), F.schema_of_variant(F.try_parse_json("value")).alias("__kind"))
+    return rows.where(F.col("__kind").startswith("OBJECT")).select("folder", "m.*")
+
+
+def read_records(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """parsed_records() of meta.json in each folder below path, in order of the folders' names."""
+    raw = spark.read.text(f"{path}/*/meta.json", wholetext=True)
+    named = raw.withColumn("folder", F.regexp_extract(F.input_file_name(), r"([^/]+)/meta\\.json$", 1))
+    return parsed_records(named, "folder", schema).orderBy("folder")
+
+
+def corrections_count(before: Column, items: Column) -> Column:
+    """The record's counter after these corrections, those that have left the log included."""
+    return (F.coalesce(before, F.lit(0)) + F.size(items)).cast("long")
+
+
 # Sections -------------------------------------------------------------------------------------------
 
 
@@ -123,6 +267,21 @@ def apply_corrections(persona: Column, corrections: Column, heading: str = "## C
     return F.aggregate(corrections, persona, put)
 
 
+def newest_corrections(persona: Column, most: int = 50, heading: str = "## Correction Log") -> Column:
+    """persona with only the first ``most`` entries right after the log's heading, which are the newest."""
+    lines = F.split(persona, "\n")
+
+    def cut_log(xs):
+        at = F.array_position(xs, heading)
+        entry = lambda x, i: (i >= at) & x.startswith("- [")
+        nth = F.aggregate(xs, F.struct(F.lit(0).alias("n"), F.lit(0).alias("i"), F.array().cast("array<int>").alias("gone")), lambda s, x: F.struct(
+            (s["n"] + entry(x, s["i"]).cast("int")).alias("n"), (s["i"] + 1).alias("i"),
+            F.when(entry(x, s["i"]) & (s["n"] >= most), F.concat(s["gone"], F.array(s["i"]))).otherwise(s["gone"]).alias("gone")))
+        return F.when(at > 0, F.array_join(let(nth["gone"], lambda gone: F.filter(xs, lambda x, i: ~F.array_contains(gone, i))), "\n")).otherwise(persona)
+
+    return let(lines, cut_log)
+
+
 # Versions -------------------------------------------------------------------------------------------
 
 

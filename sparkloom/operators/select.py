@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import or_empty
+from ..sources.scratch import scratch_folder
 
 
 def from_target(sender: Column, target: str, ignore_case: bool = False) -> Column:
@@ -16,11 +15,15 @@ def from_target(sender: Column, target: str, ignore_case: bool = False) -> Colum
     return F.lower(s).contains(target.lower()) if ignore_case else s.contains(target)
 
 
-def shared_channels(channels: DataFrame, members: DataFrame, user: str, key: str = "channel_id", order=("channel_id",), most: int | None = 50, ids=("member_id",)) -> DataFrame:
-    """The first ``most`` channels that the user is a member of, by any of the id columns."""
+def shared_channels(channels: DataFrame, members: DataFrame, user: str, key: str = "channel_id", order=("channel_id",), most: int | None = 50, ids=("member_id",), joined: str = "is_member") -> DataFrame:
+    """Of the first ``most`` channels that are joined, those that the user is a member of, by any of the id columns.
+
+    The cap comes before the membership test, as each test costs a request where members are asked for.
+    """
     mine = members.where(F.array_contains(F.array(*[F.col(i).cast("string") for i in ids]), user))
-    found = channels.join(mine.select(key).distinct(), key, "left_semi")
-    return found if most is None else found.orderBy(*order).limit(most)
+    open_ = channels.where(F.coalesce(F.col(joined), F.lit(False)))
+    first = open_ if most is None else open_.orderBy(*order).limit(most)
+    return first.join(mine.select(key).distinct(), key, "left_semi")
 
 
 def with_detail(hits: DataFrame, details: DataFrame, key: str, columns: dict[str, str]) -> DataFrame:
@@ -56,24 +59,50 @@ def first_success(parts: list[DataFrame], key: str) -> DataFrame:
     return both.withColumn("__best", best).where("priority = __best").drop("__best")
 
 
-def head_per_group(df: DataFrame, group: list[str], order: list[Column], most) -> DataFrame:
-    """The first ``most`` rows of each group; Spark cuts groups before the shuffle."""
+def head_per_group(df: DataFrame, group: list[str], order: list[Column], most: int) -> DataFrame:
+    """The first ``most`` rows of each group; the number is a literal, so Spark cuts groups before the shuffle."""
     n = F.row_number().over(Window.partitionBy(*group).orderBy(*order))
     return df.withColumn("__n", n).where(F.col("__n") <= most).drop("__n")
 
 
+def directory_matches(users: DataFrame, name: str, group: str, place: str, enough: int = 10, names=("name", "en_name"), ids=("user_id", "open_id")) -> DataFrame:
+    """Users of which one name holds ``name``, in the order of their group and place, up to the end of the group
+    in which ``enough`` were found; one row for each first known id, the earliest; a user without any id stays."""
+    found = users.where(F.exists(F.array(*[or_empty(F.col(n)) for n in names]), lambda x: x.contains(name)))
+    first = found.orderBy(group, place).limit(enough).agg(F.count(F.lit(1)).alias("__n"), F.max(group).alias("__last"))
+    kept = found.join(F.broadcast(first), (F.col("__n") < enough) | (F.col(group) <= F.col("__last")))  # one row
+    kept = kept.drop("__n", "__last").withColumn("__id", F.coalesce(*ids))
+    unnamed = kept.where(F.col("__id").isNull())
+    return keep_best(kept.where(F.col("__id").isNotNull()), ["__id"], F.col(group), F.col(place)).unionByName(unnamed).drop("__id")
+
+
 def channel_cap(limit: int, n_channels: int, least: int = 100) -> int:
     """Messages to take from each channel; never fewer than ``least``, so the sum may pass the limit."""
     return max(least, limit // max(1, n_channels))
 
 
-def descend(spark, edges: DataFrame, root, depth: int) -> DataFrame:
-    """(node, depth): nodes at most ``depth`` edges below the root. edges: (parent, child)."""
-    name = f"edges_{uuid.uuid4().hex}"
-    edges.createOrReplaceTempView(name)
-    return spark.sql(f"""
-        WITH RECURSIVE tree(node, depth) AS (
-          SELECT CAST('{root}' AS STRING), 0
-          UNION ALL
-          SELECT e.child, t.depth + 1 FROM tree t JOIN {name} e ON e.parent = t.node WHERE t.depth < {int(depth)}
-        ) SELECT node, depth FROM tree""")
+def descend(edges: DataFrame, root, depth: int | None = None, most_children: int | None = None, order: str = "child") -> DataFrame:
+    """(node, depth): the root and the nodes below it, at most ``depth`` edges down where that is given.
+
+    edges: (parent, child). With ``most_children`` only a node's first children, by ``order``, are followed.
+    One join a level; each level is written, so the plan stays short and a lost executor costs one level. A
+    node is visited once, at its least depth, so cycles end.
+    """
+    spark = edges.sparkSession
+    if most_children is not None:
+        edges = head_per_group(edges, ["parent"], [F.col(order), F.col("child")], most_children)
+    folder, level = scratch_folder(spark, "tree"), 0
+    edges = edges.select("parent", "child").distinct()
+    edges.write.parquet(f"{folder}/edges")
+    edges = spark.read.parquet(f"{folder}/edges")
+    spark.createDataFrame([(root, 0)], f"node {edges.schema['child'].dataType.simpleString()}, depth int").write.parquet(f"{folder}/level=0")
+    while depth is None or level < depth:
+        seen = spark.read.parquet(*[f"{folder}/level={k}" for k in range(level + 1)])
+        frontier = spark.read.parquet(f"{folder}/level={level}")
+        below = edges.join(frontier, F.col("parent") == F.col("node"), "left_semi").select(F.col("child").alias("node")).distinct()
+        below = below.join(seen, "node", "left_anti").withColumn("depth", F.lit(level + 1))
+        below.write.parquet(f"{folder}/level={level + 1}")
+        if spark.read.parquet(f"{folder}/level={level + 1}").isEmpty():
+            break
+        level += 1
+    return spark.read.parquet(*[f"{folder}/level={k}" for k in range(level + 1)])

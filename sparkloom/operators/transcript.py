@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import lines_of, strip_ws
+from ..functions.text import WS, let, lines_of, strip_ws
 
 #: A cue's timing line, and settings that follow it.
 TIMING = r"^\s*(\d{2}:\d{2}:\d{2}[.,]\d{3}|\d{2}:\d{2}[.,]\d{3})\s+-->\s+"
@@ -13,20 +13,26 @@ SETTINGS = r"\b(?:align|position|size|line):[^\s]+"
 
 
 def without_vtt_headers(text: Column) -> Column:
-    x = F.regexp_replace(text, r"(?s)^WEBVTT.*?\n\n", "")
-    return F.regexp_replace(x, r"(?ms)^NOTE.*?\n\n", "")
+    """Without the file's head and its notes, each up to a blank line; line ends come out as new lines."""
+    x = F.regexp_replace(text, "\r\n?", "\n")
+    x = F.regexp_replace(x, r"(?s)^WEBVTT.*?\n\n", "")
+    return F.regexp_replace(x, r"(?dms)^NOTE.*?\n\n", "")
 
 
 def cue_lines(text: Column) -> Column:
-    """Spoken lines in order: no numbers, timings, tags or settings; white space squeezed."""
-    spoken = F.filter(F.transform(lines_of(without_vtt_headers(text)), strip_ws), lambda x: (x != "") & ~x.rlike("^[0-9]+$") & ~x.rlike(TIMING))
-    clean = F.transform(spoken, lambda x: F.regexp_replace(strip_ws(F.regexp_replace(F.regexp_replace(x, "<[^>]+>", ""), SETTINGS, "")), r"\s+", " "))
+    """Spoken lines in order: no numbers, timings, tags or settings; white space squeezed.
+
+    A line ends at any of the line and page separators, as well as at a new line.
+    """
+    lines = F.split(without_vtt_headers(text), r"[\n\x0b\x0c\x1c-\x1e\x85\u2028\u2029]")
+    spoken = F.filter(F.transform(lines, strip_ws), lambda x: (x != "") & ~x.rlike(r"^\p{Nd}+$") & ~x.rlike(TIMING))
+    clean = F.transform(spoken, lambda x: F.regexp_replace(strip_ws(F.regexp_replace(F.regexp_replace(x, "<[^>]+>", ""), SETTINGS, "")), f"{WS}+", " "))
     return F.filter(clean, lambda x: x != "")
 
 
 def without_repeats(lines: Column) -> Column:
-    """The first line of each run of equal ones, within an array."""
-    return F.filter(lines, lambda x, i: (i == 0) | (x != F.coalesce(F.get(lines, i - 1), F.lit(""))))
+    """The first line of each run of equal ones, within an array. Lines are evaluated once."""
+    return let(lines, lambda xs: F.filter(xs, lambda x, i: (i == 0) | (x != F.coalesce(F.get(xs, i - 1), F.lit("")))))
 
 
 def consecutive_distinct(rows: DataFrame, group: list[str], order: list[str], value: str) -> DataFrame:
@@ -48,4 +54,5 @@ def paragraphs(lines: Column, full: int = 240) -> Column:
 
 
 def transcript(text: Column) -> Column:
+    """Paragraphs of a caption file, a blank line between; null stays null."""
     return F.array_join(paragraphs(without_repeats(cue_lines(text))), "\n\n")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import urls
 from ..functions.text import strip_ws
-from ..operators import classify, select
+from ..operators import classify, report, select
 from ..sources.tables import table
 
 QUERIES, SQL = {}, {}
@@ -27,13 +27,22 @@ def any_of(words) -> str:
     return "|".join(w.replace("[", "\\[").replace("]", "\\]") for w in words)
 
 
-CHAT = "(SELECT *, CASE WHEN turn % 3 = 0 THEN substr(text, 1, 40) || CASE WHEN conv_id % 2 = 0 THEN ' 建议' ELSE '' END ELSE text END AS content FROM conversations)"
+CHAT = """(SELECT *, conv_id * 10000000 + turn * 10000 + part AS seq FROM (SELECT conv_id, turn, role, 0 AS part, text AS content FROM conversations WHERE turn % 3 <> 0
+  UNION ALL SELECT conv_id, turn, role, part, piece || CASE WHEN conv_id % 2 = 0 THEN ' 建议' ELSE '' END FROM (
+    SELECT conv_id, turn, role, unnest(string_split(text, '. ')) AS piece, unnest(generate_series(0, len(string_split(text, '. ')) - 1)) AS part FROM conversations WHERE turn % 3 = 0)))"""
+
+
+def messages(conversations: DataFrame) -> DataFrame:
+    """conversations as messages (part, content, seq): every third turn is sent sentence by sentence, and half of these ask for a decision."""
+    pieces = F.when(F.col("turn") % 3 == 0, F.split("text", r"\. ")).otherwise(F.array("text"))
+    rows = conversations.select("conv_id", "turn", "role", F.posexplode(pieces).alias("part", "content"))
+    asks = (F.col("turn") % 3 == 0) & (F.col("conv_id") % 2 == 0)
+    rows = rows.withColumn("content", F.when(asks, F.concat("content", F.lit(" 建议"))).otherwise(F.col("content")))
+    return rows.withColumn("seq", F.col("conv_id") * 10_000_000 + F.col("turn") * 10_000 + F.col("part"))
 
 
 def chat(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """conversations with ``content``: every third turn is cut short, and half of these ask for a decision."""
-    short = F.concat(F.substring("text", 1, 40), F.when(F.col("conv_id") % 2 == 0, " 建议").otherwise(""))
-    return table(spark, sf_dir, "conversations").withColumn("content", F.when(F.col("turn") % 3 == 0, short).otherwise(F.col("text")))
+    return messages(table(spark, sf_dir, "conversations"))
 
 
 @query(f"""SELECT role, CASE WHEN length(content) > 50 THEN 'long' WHEN regexp_matches(content, '{any_of(classify.CHAT_DECISIONS)}') THEN 'decision' ELSE 'daily' END AS tier,
@@ -43,11 +52,10 @@ def message_tiers(spark, sf_dir):
 
 
 @query(f"""SELECT role, CASE WHEN length(body) > 200 THEN 'long' WHEN regexp_matches(lower(body), '{any_of(classify.MAIL_DECISIONS)}') THEN 'decision' ELSE 'daily' END AS tier,
-  count(*) AS n, sum(length(body))::BIGINT AS chars FROM (SELECT role, CASE WHEN turn % 3 = 0 THEN substr(text, 1, 150) || CASE WHEN conv_id % 2 = 0 THEN ' LGTM' ELSE '' END ELSE text END AS body FROM conversations) GROUP BY ALL""")
+  count(*) AS n, sum(length(body))::BIGINT AS chars FROM (SELECT role, content || CASE WHEN conv_id % 3 = 0 THEN ' LGTM' ELSE '' END AS body FROM {CHAT}) GROUP BY ALL""")
 def mail_tiers(spark, sf_dir):
-    short = F.concat(F.substring("text", 1, 150), F.when(F.col("conv_id") % 2 == 0, " LGTM").otherwise(""))
-    body = F.when(F.col("turn") % 3 == 0, short).otherwise(F.col("text"))
-    mails = table(spark, sf_dir, "conversations").select("role", body.alias("body"))
+    body = F.concat("content", F.when(F.col("conv_id") % 3 == 0, " LGTM").otherwise(""))
+    mails = chat(spark, sf_dir).select("role", body.alias("body"))
     return mails.groupBy("role", classify.mail_tier(F.col("body")).alias("tier")).agg(F.count(F.lit(1)).alias("n"), F.sum(F.length("body")).alias("chars"))
 
 
@@ -140,37 +148,63 @@ def per_channel_limit(spark, sf_dir):
     return select.head_per_group(rows, ["channel"], [F.desc("conv_id"), F.desc("turn")], select.channel_cap(200, 3))
 
 
-@query(f"""SELECT tier, n, string_agg(conv_id || ':' || turn, ',' ORDER BY conv_id, turn) FILTER (tier <> 'short' OR k <= 300) AS shown FROM (
-  SELECT *, count(*) OVER (PARTITION BY tier) AS n, row_number() OVER (PARTITION BY tier ORDER BY conv_id, turn) AS k FROM (
-  SELECT conv_id, turn, CASE WHEN turn = 0 THEN 'thread' WHEN length(content) > 50 THEN 'long' ELSE 'short' END AS tier FROM {CHAT})) GROUP BY tier, n""")
+AT = "strftime(TIMESTAMP '2024-01-01' + to_minutes((conv_id * 7 + turn)::INT), '%Y-%m-%d %H:%M')"
+
+
+def timed(rows: DataFrame) -> DataFrame:
+    """rows with ``time``, a minute of its own kind for each turn."""
+    return rows.withColumn("time", F.date_format(F.timestamp_seconds(F.lit(1704067200) + (F.col("conv_id") * 7 + F.col("turn")) * 60), "yyyy-MM-dd HH:mm"))
+
+
+def _lines_sql(cte: str, key: str, head: list[str], sections: list[tuple]) -> str:
+    """SQL of report_lines(). sections: (titles, where, line, at, cap, optional)."""
+    n = ", ".join(f"count(*) FILTER (WHERE {s[1]}) AS n{k}" for k, s in enumerate(sections, 1))
+    lit = lambda x: "'" + x.replace("'", "''") + "'"
+    fixed = [(0, head, "true"), *[(k, [lit(x) for x in s[0]], f"n{k} > 0" if s[5] else "true") for k, s in enumerate(sections, 1)]]
+    parts = [f"SELECT {key}, {k} AS section, NULL::VARCHAR AS moment, NULL::BIGINT AS seq, unnest(generate_series(0, {len(lines) - 1})) AS place, unnest([{', '.join(lines)}]) AS line FROM totals WHERE {cond}" for k, lines, cond in fixed if lines]
+    for k, (_, where, line, at, cap, _) in enumerate(sections, 1):
+        parts.append(f"SELECT {key}, {k}, moment, seq, 0, line FROM (SELECT {key}, {at} AS moment, seq, {line} AS line, row_number() OVER (PARTITION BY {key} ORDER BY {at}, seq) AS k FROM base WHERE {where}) WHERE k <= {cap or 10**12} AND line IS NOT NULL")
+    return f"WITH base AS ({cte}), totals AS (SELECT {key}, count(*) AS total, {n} FROM base GROUP BY {key}) " + " UNION ALL ".join(parts)
+
+
+_THREADS = f"SELECT role, seq, {AT} AS time, 'ch' || (conv_id % 3) AS channel, content, CASE WHEN turn = 0 AND part = 0 THEN 'thread' WHEN length(content) > 50 THEN 'long' ELSE 'short' END AS tier FROM {CHAT}"
+_PLACED = "'[' || time || '][#' || channel || '] ' || content || chr(10)"
+
+
+@query(_lines_sql(_THREADS, "role", ["'# Slack 消息记录（自动采集）'", "'目标：' || role", "'共 ' || total || ' 条消息'", "'  话题发起消息：' || n1 || ' 条'", "'  长消息（>50字）：' || n2 || ' 条'", "'  短消息：' || n3 || ' 条'"], [
+    (("", "---", "", "## 话题发起消息（权重最高：观点/决策/技术分享）", ""), "tier = 'thread'", _PLACED, "''", None, False),
+    (("---", "", "## 长消息（观点/方案/讨论类）", ""), "tier = 'long'", _PLACED, "''", None, False),
+    (("---", "", "## 日常消息（风格参考）", ""), "tier = 'short'", "'[' || time || '] ' || content", "''", 300, False),
+]))
 def thread_tier_report(spark, sf_dir):
-    rows = chat(spark, sf_dir).select("conv_id", "turn", classify.thread_tier(F.col("content"), F.col("turn") == 0).alias("tier"))
-    counts = rows.groupBy("tier").agg(F.count(F.lit(1)).alias("n"))
-    most = F.when(F.col("tier") == "short", 300).otherwise(2**31 - 1)
-    shown = select.head_per_group(rows, ["tier"], [F.col("conv_id"), F.col("turn")], most)
-    entry = F.struct("conv_id", "turn")
-    text = F.transform(F.sort_array(F.collect_list(entry)), lambda e: F.concat_ws(":", e["conv_id"], e["turn"]))
-    return shown.groupBy("tier").agg(F.array_join(text, ",").alias("shown")).join(counts, "tier").select("tier", "n", "shown")
+    """Each role's messages as a report of threads, whole texts."""
+    tier = classify.thread_tier(F.col("content"), (F.col("turn") == 0) & (F.col("part") == 0))
+    rows = timed(chat(spark, sf_dir)).withColumns({"tier": tier, "channel": F.concat(F.lit("ch"), (F.col("conv_id") % 3).cast("string"))})
+    return report.thread_report(rows, "role")
 
 
-@query(f"""SELECT seq, line FROM (SELECT row_number() OVER (ORDER BY t, conv_id, turn) AS seq, '[' || t || '] ' || CASE WHEN role = 'user' THEN 'target' ELSE 'other' END || ': ' || content AS line FROM
-  (SELECT *, strftime(TIMESTAMP '2024-01-01' + to_minutes((conv_id * 7 + turn)::INT), '%Y-%m-%d %H:%M') AS t FROM {CHAT})) WHERE seq <= 500""")
-def dm_context(spark, sf_dir):
-    from pyspark.sql import Window
+_PERSON = f"SELECT 'p' || (conv_id % 5) AS name, seq, {AT} AS time, CASE WHEN conv_id % 4 = 0 THEN '私聊' ELSE 'ch' || (conv_id % 3) END AS chat, role = 'user' AS is_target, content FROM {CHAT}"
 
-    at = F.timestamp_seconds(F.lit(1704067200) + (F.col("conv_id") * 7 + F.col("turn")) * 60)
-    rows = chat(spark, sf_dir).withColumn("t", F.date_format(at, "yyyy-MM-dd HH:mm"))
-    first = rows.orderBy("t", "conv_id", "turn").limit(500)
-    who = F.when(F.col("role") == "user", "target").otherwise("other")
-    seq = F.row_number().over(Window.orderBy("t", "conv_id", "turn"))  # at most 500 rows
-    return first.select(seq.alias("seq"), F.concat(F.lit("["), "t", F.lit("] "), who, F.lit(": "), "content").alias("line"))
+
+@query(_lines_sql(_PERSON, "name", ["'# 飞书消息记录（自动采集）'", "'目标：' || name", "'共 ' || total || ' 条消息（目标用户 ' || n4 || ' 条，对话方 ' || (total - n4) || ' 条）'"], [
+    (("", "---", "", "## 长消息（观点/决策/技术类）", ""), "is_target AND length(content) > 50", "'[' || time || '][' || chat || '] ' || content || chr(10)", "''", None, False),
+    (("---", "", "## 日常消息（风格参考）", ""), "is_target AND length(content) <= 50", "'[' || time || '] ' || content", "''", 300, False),
+    (("", "---", "", "## 私聊对话上下文（含双方消息）", ""), "chat = '私聊'", "'[' || time || '] ' || CASE WHEN is_target THEN '[' || name || ']' ELSE '[对方]' END || ' ' || content", "time", 500, True),
+    ((), "is_target", "NULL::VARCHAR", "''", None, False),
+]))
+def dm_context(spark, sf_dir):
+    """Each person's report: long messages, short ones, and direct talk of both sides in order of time."""
+    where = F.when(F.col("conv_id") % 4 == 0, "私聊").otherwise(F.concat(F.lit("ch"), (F.col("conv_id") % 3).cast("string")))
+    rows = timed(chat(spark, sf_dir)).withColumns({"name": F.concat(F.lit("p"), (F.col("conv_id") % 5).cast("string")), "chat": where, "is_target": F.col("role") == "user"})
+    return report.person_report(rows, "name")
 
 
-@query("SELECT o_orderkey FROM orders WHERE o_orderkey IN (SELECT l_orderkey FROM lineitem WHERE l_suppkey = 7 OR l_partkey = 7) ORDER BY o_orderkey LIMIT 50")
+@query("""SELECT o_orderkey FROM (SELECT o_orderkey FROM orders WHERE o_orderkey % 3 > 0 ORDER BY o_orderkey LIMIT 500) WHERE o_orderkey IN (SELECT l_orderkey FROM lineitem WHERE l_suppkey = 7 OR l_partkey = 7)""")
 def shared_channels_semi(spark, sf_dir):
-    channels = table(spark, sf_dir, "orders").select("o_orderkey")
+    """Of the first 500 joined channels those with the user: the cap comes first."""
+    channels = table(spark, sf_dir, "orders").select("o_orderkey", (F.col("o_orderkey") % 3 > 0).alias("is_member"))
     members = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("o_orderkey"), "l_suppkey", "l_partkey")
-    return select.shared_channels(channels, members, "7", "o_orderkey", ("o_orderkey",), 50, ("l_suppkey", "l_partkey"))
+    return select.shared_channels(channels, members, "7", "o_orderkey", ("o_orderkey",), 500, ("l_suppkey", "l_partkey")).select("o_orderkey")
 
 
 @query("SELECT o_orderkey, o_custkey, coalesce(c_name, 'customer ' || o_custkey) AS name FROM orders LEFT JOIN (SELECT * FROM customer WHERE c_acctbal > 0) ON c_custkey = o_custkey")
@@ -180,13 +214,22 @@ def lookup_fallback(spark, sf_dir):
     return select.with_detail(hits, details, "o_custkey", {"name": "c_name"})
 
 
-@query(r"""SELECT doc_id, creator, substr(regexp_replace(text, '^\s+|\s+$', '', 'g'), 1, 60) AS head FROM (SELECT *, CASE WHEN doc_id % 3 = 0 THEN '' ELSE source END AS creator FROM documents)
-  WHERE (creator = '' OR creator = 'src7') AND length(regexp_replace(text, '^\s+|\s+$', '', 'g')) >= 20""")
+LINK = "'https://x.example.com/' || CASE doc_id % 4 WHEN 0 THEN 'wiki/W' || doc_id WHEN 1 THEN 'docx/D' || doc_id WHEN 2 THEN 'docs/D' || doc_id || '?from=a' ELSE 'mail/D' || doc_id END"
+_TRIMMED = r"regexp_replace(text, '^\s+|\s+$', '', 'g')"
+
+
+@query(rf"""SELECT doc_id, creator, md5(block) AS block_md5, length(block) AS n FROM (SELECT *, '---' || chr(10) || '## 《' || title || '》' || chr(10) || '链接：' || url || chr(10) || '创建人：' || creator || chr(10) || chr(10) || body || chr(10) AS block
+  FROM (SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN '' ELSE source END AS creator, CASE WHEN doc_id % 10 = 0 THEN '无标题' ELSE 'Doc ' || doc_id END AS title, {LINK} AS url, {_TRIMMED} AS body FROM documents WHERE text IS NOT NULL AND NOT (doc_id % 4 = 0 AND doc_id % 8 > 0)))
+  WHERE NOT contains(url, '/mail/') AND length(body) >= 20 AND (creator = '' OR creator = 'src7')""")
 def doc_filter(spark, sf_dir):
-    rows = table(spark, sf_dir, "documents").withColumn("creator", F.when(F.col("doc_id") % 3 == 0, "").otherwise(F.col("source")))
-    body = strip_ws(F.col("text"))
-    kept = rows.where(((F.col("creator") == "") | (F.col("creator") == "src7")) & (F.length(body) >= 20))
-    return kept.select("doc_id", "creator", F.substring(body, 1, 60).alias("head"))
+    """Documents of one creator, found by link: pages of a wiki lead to their object by way of a node, and half of the nodes are gone."""
+    docs = table(spark, sf_dir, "documents")
+    k = F.col("doc_id")
+    links = docs.select("doc_id", F.when(k % 3 == 0, "").otherwise(F.col("source")).alias("creator"), F.when(k % 10 > 0, F.concat(F.lit("Doc "), k.cast("string"))).alias("title"), F.expr(LINK).alias("url"))
+    nodes = docs.where(k % 8 == 0).select(F.concat(F.lit("W"), k.cast("string")).alias("token"), F.concat(F.lit("D"), k.cast("string")).alias("obj_token"))
+    objects = docs.select(F.concat(F.lit("D"), k.cast("string")).alias("token"), F.col("text").alias("content"))
+    found = report.doc_blocks(report.resolved_docs(links.where((F.col("creator") == "") | (F.col("creator") == "src7")), nodes, objects))
+    return found.select("doc_id", "creator", F.md5("block").alias("block_md5"), F.length("block").alias("n"))
 
 
 @query("""SELECT c_custkey, score, place FROM (SELECT c_custkey, score, row_number() OVER (ORDER BY score DESC, c_custkey) AS place FROM (SELECT c_custkey, CASE WHEN lower(c_name) = q OR d = q OR u = q THEN 3 WHEN contains(lower(c_name), q) OR contains(d, q) OR contains(u, q) THEN 2
@@ -210,11 +253,29 @@ def fallback_chain(spark, sf_dir):
     return select.first_success([part("c_acctbal > 2000", "contact", "c_name"), part("c_mktsegment < 'F'", "tree", "c_mktsegment")], "k").select("k", "via", "name")
 
 
-@query("""SELECT 'root' AS node, 0 AS depth UNION ALL SELECT r_name, 1 FROM region UNION ALL SELECT n_name, 2 FROM nation UNION ALL SELECT s_name, 3 FROM supplier""")
+_EDGES = """SELECT 'root' AS parent, r_name AS child FROM region UNION ALL SELECT r_name, n_name FROM nation JOIN region ON n_regionkey = r_regionkey UNION ALL SELECT n_name, s_name FROM supplier JOIN nation ON s_nationkey = n_nationkey
+  UNION ALL SELECT s_name, c_name FROM customer JOIN supplier ON c_custkey = s_suppkey UNION ALL SELECT c_name, 'root' FROM customer WHERE c_custkey = 1"""
+
+
+@query(f"""WITH RECURSIVE e AS (SELECT parent, child FROM (SELECT *, row_number() OVER (PARTITION BY parent ORDER BY child) AS k FROM ({_EDGES})) WHERE k <= 50),
+  tree AS (SELECT 'root' AS node, 0 AS depth UNION SELECT e.child, t.depth + 1 FROM tree t JOIN e ON e.parent = t.node WHERE t.depth < 9) SELECT node, min(depth) AS depth FROM tree GROUP BY node""")
 def tree_expand(spark, sf_dir):
+    """The whole tree below its root, 50 children a node at most; one edge leads back to the root."""
     t = lambda n: table(spark, sf_dir, n)
     edges = t("region").select(F.lit("root").alias("parent"), F.col("r_name").alias("child"))
     edges = edges.unionByName(t("nation").join(t("region"), F.col("n_regionkey") == F.col("r_regionkey")).select(F.col("r_name").alias("parent"), F.col("n_name").alias("child")))
     edges = edges.unionByName(t("supplier").join(t("nation"), F.col("s_nationkey") == F.col("n_nationkey")).select(F.col("n_name").alias("parent"), F.col("s_name").alias("child")))
     edges = edges.unionByName(t("customer").join(t("supplier"), F.col("c_custkey") == F.col("s_suppkey")).select(F.col("s_name").alias("parent"), F.col("c_name").alias("child")))
-    return select.descend(spark, edges, "root", 3)
+    edges = edges.unionByName(t("customer").where("c_custkey = 1").select(F.col("c_name").alias("parent"), F.lit("root").alias("child")))
+    return select.descend(edges, "root", most_children=50)
+
+
+@query("""WITH u AS (SELECT c_custkey // 40 AS dept, c_custkey AS place, c_name AS name, c_mktsegment AS en_name, CASE WHEN c_custkey % 5 > 0 THEN 'u' || (c_custkey % 37) END AS user_id, CASE WHEN c_custkey % 10 > 0 THEN 'o' || (c_custkey % 11) END AS open_id FROM customer),
+  m AS (SELECT * FROM u WHERE contains(name, '7') OR contains(en_name, '7')), last_ AS (SELECT max(dept) AS dept FROM (SELECT dept FROM m ORDER BY dept, place LIMIT 10)),
+  k AS (SELECT *, coalesce(user_id, open_id) AS id FROM m WHERE dept <= (SELECT dept FROM last_) OR (SELECT count(*) FROM m) < 10)
+  SELECT dept, place, name, user_id, open_id FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY dept, place) AS n FROM k) WHERE n = 1 OR id IS NULL""")
+def directory_match(spark, sf_dir):
+    """People of a directory by name, department by department until ten are found, one row an id."""
+    k = F.col("c_custkey")
+    users = table(spark, sf_dir, "customer").select(F.floor(k / 40).alias("dept"), k.alias("place"), F.col("c_name").alias("name"), F.col("c_mktsegment").alias("en_name"), F.when(k % 5 > 0, F.concat(F.lit("u"), (k % 37).cast("string"))).alias("user_id"), F.when(k % 10 > 0, F.concat(F.lit("o"), (k % 11).cast("string"))).alias("open_id"))
+    return select.directory_matches(users, "7", "dept", "place").drop("en_name")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from html.entities import html5
+
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
@@ -25,13 +27,19 @@ STRIP = r"regexp_replace({}, '^\s+|\s+$', '', 'g')"
 _HTML = "html"
 for pattern, put in ((r"(?is)<script\b[^>]*>.*?</script\s*>|<style\b[^>]*>.*?</style\s*>", ""), (r"(?s)<!--.*?-->|<![^>]*>", ""), (r"(?i)</(p|br|div|tr)\s*>|<br\s*/>", "\n"), ("<[^>]*>", "")):
     _HTML = f"regexp_replace({_HTML}, '{pattern}', {'chr(10)' if put else chr(39) * 2}, 'g')"
-for entity, char in (("&quot;", '"'), ("&middot;", "·"), ("&copy;", "©"), ("&lt;", "<"), ("&gt;", ">"), ("&nbsp;", " "), ("&amp;", "&")):
-    _HTML = f"replace({_HTML}, '{entity}', '{char}')"
+#: Named references as the HTML standard has them; numeric ones are computed.
+_NAMED = ", ".join(f"'{name[:-1]}': '{chars.replace(chr(39), chr(39) * 2)}'" for name, chars in html5.items() if name.endswith(";") and "\0" not in chars)
+_PIECE = r"""CASE WHEN regexp_matches(p, '^#[0-9]+;') THEN chr(regexp_extract(p, '^#([0-9]+);', 1)::INT) WHEN regexp_matches(p, '^#[xX][0-9a-fA-F]+;') THEN chr(('0x' || regexp_extract(p, '^#[xX]([0-9a-fA-F]+);', 1))::INT)
+  WHEN names[regexp_extract(p, '^([A-Za-z0-9]+);', 1)] IS NOT NULL THEN names[regexp_extract(p, '^([A-Za-z0-9]+);', 1)] END"""
+REFERENCES = "<p>caf&eacute; &#39;a&#39; &#x27;b&#x27; &hellip; &amp;lt; &mdash; &#8364; &nosuch; &amp;amp;</p>"
 
 
-@query(f"SELECT page_id, {STRIP.format(f'regexp_replace({_HTML}, {chr(39)}\\n{{3,}}{chr(39)}, chr(10) || chr(10), {chr(39)}g{chr(39)})')} AS text FROM pages")
+@query(rf"""WITH names AS (SELECT MAP {{{_NAMED}}} AS names), bare AS (SELECT page_id, {_HTML} AS x FROM (SELECT page_id, html || '{REFERENCES.replace("'", "''")}' AS html FROM pages)),
+  pieces AS (SELECT page_id, unnest(string_split(x, '&')) AS p, unnest(generate_series(1, len(string_split(x, '&')))) AS i FROM bare),
+  decoded AS (SELECT page_id, string_agg(CASE WHEN i = 1 THEN p ELSE coalesce({_PIECE} || substr(p, strpos(p, ';') + 1), '&' || p) END, '' ORDER BY i) AS x FROM pieces, names GROUP BY page_id)
+  SELECT page_id, {STRIP.format("regexp_replace(x, '\\n{3,}', chr(10) || chr(10), 'g')")} AS text FROM decoded""")
 def html_to_text(spark, sf_dir):
-    return table(spark, sf_dir, "pages").select("page_id", tx.html_to_text(F.col("html")).alias("text"))
+    return table(spark, sf_dir, "pages").select("page_id", tx.html_to_text(F.concat("html", F.lit(REFERENCES))).alias("text"))
 
 
 LINES = "(SELECT doc_id, unnest(string_split(regexp_replace(text, '\\n$', ''), chr(10))) AS line, unnest(generate_series(0, len(string_split(regexp_replace(text, '\\n$', ''), chr(10))) - 1)) AS i FROM documents)"
@@ -45,27 +53,49 @@ def consecutive_dedupe(spark, sf_dir):
 
 
 def cues(spark, sf_dir):
-    """documents as subtitle files: each line a numbered, timed cue, every fifth twice, with a tag and a setting."""
+    """documents as subtitle files: each line a numbered, timed cue, every fifth twice, with a tag and a setting; every third file with CRLF."""
     lines = tx.lines_of(F.col("text"))
     cue = F.transform(lines, lambda x, i: F.concat((i + 1).cast("string"), F.lit("\n00:00:01.000 --> 00:00:02.000 align:left\n<i>"), x, F.lit("</i> size:50%\n"), F.when(i % 5 == 0, F.concat(F.lit("\n"), x, F.lit("\n"))).otherwise("")))
-    return table(spark, sf_dir, "documents").select("doc_id", F.concat(F.lit("WEBVTT\nKind: captions\n\n"), F.array_join(cue, "\n")).alias("text"))
+    whole = F.concat(F.lit("WEBVTT\nKind: captions\n\n"), F.array_join(cue, "\n"))
+    whole = F.when(F.col("doc_id") % 3 == 0, F.replace(whole, F.lit("\n"), F.lit("\r\n"))).otherwise(whole)
+    return table(spark, sf_dir, "documents").select("doc_id", whole.alias("text"))
+
+
+SPOKEN = rf"""l AS (SELECT doc_id, i, trim(regexp_replace(regexp_replace(regexp_replace(line, '<[^>]+>', '', 'g'), '\b(?:align|position|size|line):[^\s]+', '', 'g'), '\s+', ' ', 'g')) AS line FROM {LINES}),
+  r AS (SELECT doc_id, i, line, lag(line) OVER (PARTITION BY doc_id ORDER BY i) AS b FROM l WHERE line <> '' AND NOT regexp_matches(line, '^[0-9]+$')),
+  spoken AS (SELECT doc_id, line, row_number() OVER (PARTITION BY doc_id ORDER BY i) AS k FROM r WHERE b IS NULL OR b <> line)"""
 
 
-@query(rf"""WITH l AS (SELECT doc_id, i, trim(regexp_replace(regexp_replace(regexp_replace(line, '<[^>]+>', '', 'g'), '\b(?:align|position|size|line):[^\s]+', '', 'g'), '\s+', ' ', 'g')) AS line FROM {LINES}),
-  r AS (SELECT doc_id, i, line, lag(line) OVER (PARTITION BY doc_id ORDER BY i) AS b FROM l WHERE line <> '' AND NOT regexp_matches(line, '^[0-9]+$'))
-  SELECT d.doc_id, coalesce(lines, '') AS lines FROM documents d LEFT JOIN (SELECT doc_id, string_agg(line, chr(10) ORDER BY i) AS lines FROM r WHERE b IS NULL OR b <> line GROUP BY doc_id) USING (doc_id)""")
+@query(rf"""WITH {SPOKEN} SELECT d.doc_id, coalesce(lines, '') AS lines FROM documents d LEFT JOIN (SELECT doc_id, string_agg(line, chr(10) ORDER BY k) AS lines FROM spoken GROUP BY doc_id) USING (doc_id)""")
 def subtitle_clean(spark, sf_dir):
     lines = transcript.without_repeats(transcript.cue_lines(F.col("text")))
     return cues(spark, sf_dir).select("doc_id", F.array_join(lines, "\n").alias("lines"))
 
 
-@query()
+def _fold_sql(lines: str, rows: str, columns: str) -> str:
+    """Paragraphs of (doc_id, k, line), line by line: one stays open until it is long enough or a sentence ends."""
+    ends = "length({x}) >= 240 OR regexp_matches(line, '[.!?。！？]$')"
+    joined = "CASE WHEN f.ended OR f.joined = '' THEN l2.line ELSE f.joined || ' ' || l2.line END"
+    return f"""WITH RECURSIVE {lines},
+  f AS (SELECT doc_id, k, line, line AS joined, {ends.format(x='line')} AS ended FROM {rows} WHERE k = 1
+    UNION ALL SELECT doc_id, k, line, joined, {ends.format(x='joined')} FROM (SELECT l2.doc_id, l2.k, l2.line, {joined} AS joined FROM f JOIN {rows} l2 ON l2.doc_id = f.doc_id AND l2.k = f.k + 1)),
+  p AS (SELECT doc_id, k, joined FROM f WHERE ended OR (joined <> '' AND k = (SELECT max(k) FROM {rows} m WHERE m.doc_id = f.doc_id)))
+  SELECT d.doc_id, {columns} FROM documents d LEFT JOIN (SELECT doc_id, count(*) AS n, string_agg(joined, chr(10) || chr(10) ORDER BY k) AS t FROM p GROUP BY doc_id) USING (doc_id)"""
+
+
+@query(_fold_sql(f"src AS (SELECT doc_id, i + 1 AS k, line FROM {LINES})", "src", "coalesce(n, 0) AS n_paragraphs, coalesce(t, '') AS text"))
 def paragraph_fold(spark, sf_dir):
-    """The paragraphs of each document's lines; state resets on length, so there is no compact SQL."""
+    """The paragraphs of each document's lines."""
     rows = table(spark, sf_dir, "documents").select("doc_id", transcript.paragraphs(tx.lines_of(F.col("text"))).alias("p"))
     return rows.select("doc_id", F.size("p").cast("long").alias("n_paragraphs"), F.array_join("p", "\n\n").alias("text"))
 
 
+@query(_fold_sql(SPOKEN, "spoken", "coalesce(t, '') AS text"))
+def transcript_text(spark, sf_dir):
+    """Captions to paragraphs, all steps."""
+    return cues(spark, sf_dir).select("doc_id", transcript.transcript(F.col("text")).alias("text"))
+
+
 MAILS = "(SELECT doc_id, 'From: ' || source || '@example.com' || chr(10) || 'Subject: about ' || lang || chr(10) || CASE WHEN doc_id % 2 = 0 THEN 'Date: 2024-01-01' || chr(10) ELSE '' END || chr(10) || text || chr(10) || '=====' || chr(10) || 'From: other@example.com' || chr(10) || chr(10) || 'Re: ' || lang || chr(10) || '---' || chr(10) || 'From: src1@example.com' || chr(10) || chr(10) || 'last' AS t FROM documents)"
 
 
@@ -95,7 +125,7 @@ def mail_quote_strip(spark, sf_dir):
     return table(spark, sf_dir, "conversations").select("conv_id", "turn", tx.strip_quoted_reply(body).alias("body"))
 
 CHAT_LINE = r"^(\d{4}[-/]\d{1,2}[-/]\d{1,2}[\s\d:]*)\s+(.+?)[:：]\s*(.+)$"
-LOG = "CASE conv_id % 4 WHEN 0 THEN '2024-01-0' || (1 + turn % 9) || ' 10:0' || (turn % 10) || ' ' || role || '：' || substr(replace(text, chr(10), ' '), 1, 80) WHEN 1 THEN '2024/1/2 9:30 ' || role || ': hi' WHEN 2 THEN role || ' said something' ELSE '2024-01-01 10:00 hello' END"
+LOG = "CASE conv_id % 4 WHEN 0 THEN '2024-01-0' || (1 + turn % 9) || ' 10:0' || (turn % 10) || ' ' || role || '：' || replace(text, chr(10), ' ') WHEN 1 THEN '2024/1/2 9:30 ' || role || ': hi' WHEN 2 THEN role || ' said something' ELSE '2024-01-01 10:00 hello' END"
 
 
 @query(f"""SELECT conv_id, turn, CASE WHEN ok THEN trim(regexp_extract(l, '{CHAT_LINE}', 2)) ELSE 'user' END AS sender, CASE WHEN ok THEN trim(regexp_extract(l, '{CHAT_LINE}', 3)) ELSE l END AS content, CASE WHEN ok THEN trim(regexp_extract(l, '{CHAT_LINE}', 1)) ELSE '' END AS time
@@ -137,16 +167,28 @@ def frontmatter_rename(spark, sf_dir):
 # Nested data ----------------------------------------------------------------------------------------
 
 
-@query("""SELECT event_id, CASE event_id % 3 WHEN 1 THEN 'u' || user_id ELSE event_type END AS sender, CASE event_id % 4 WHEN 0 THEN 'v' || user_id WHEN 1 THEN 't' || user_id WHEN 2 THEN 'a b' || user_id ELSE '' END AS content, json_extract_string(props, '$.k')::BIGINT AS k FROM events""")
+EXPORT = """concat('{"sender_name":', CASE event_id % 3 WHEN 0 THEN '""' WHEN 1 THEN '0' ELSE concat('"', event_type, '"') END, ',"sender":', CASE event_id % 5 WHEN 0 THEN 'false' ELSE concat('"u', user_id, '"') END, ',"from":"f","content":',
+  CASE event_id % 12 WHEN 0 THEN concat('"v', user_id, '"') WHEN 1 THEN concat('{"text":"t', user_id, '"}') WHEN 2 THEN concat('[{"text":"a"},"b', user_id, '",{"tag":"x"}]') WHEN 3 THEN 'null' WHEN 4 THEN '"[OK] merged, thanks"'
+  WHEN 5 THEN '"{x} is a placeholder"' WHEN 6 THEN '[]' WHEN 7 THEN '{}' WHEN 8 THEN '0' WHEN 9 THEN '{"text":"","content":"inner"}' WHEN 10 THEN '{"text":["p",{"text":"q"}]}' ELSE '""' END,
+  ',"text":', CASE event_id % 2 WHEN 0 THEN '"zero"' ELSE '0.0' END, ',"message":"last"}')"""
+_KIND = "json_type({x}) IN ('NULL') OR {x}::VARCHAR IN ('\"\"', '0', '0.0', 'false', '[]', '{{}}')"
+
+
+def _first_sql(value: str, keys) -> str:
+    one = lambda k: f"CASE WHEN {_KIND.format(x=f'json_extract({value}, {chr(39)}$.{k}{chr(39)})')} THEN NULL ELSE json_extract({value}, '$.{k}') END"
+    return f"coalesce({', '.join(one(k) for k in keys)})"
+
+
+@query(f"""WITH raw AS (SELECT event_id, props, {EXPORT.replace('concat(', 'concat(')}::JSON AS j FROM events), f AS (SELECT event_id, props, {_first_sql('j', ('sender_name', 'sender', 'from'))} AS s, {_first_sql('j', ('content', 'text', 'message'))} AS c FROM raw),
+  o AS (SELECT *, CASE WHEN json_type(c) = 'OBJECT' THEN coalesce({_first_sql('c', ('text', 'content'))}, c) ELSE c END AS d FROM f)
+  SELECT event_id, s->>'$' AS sender, CASE WHEN json_type(d) = 'ARRAY' THEN array_to_string(list_transform(CAST(d AS JSON[]), lambda x: CASE WHEN json_type(x) = 'OBJECT' THEN coalesce(x->>'$.text', '') ELSE x->>'$' END), ' ') ELSE d->>'$' END AS content,
+  json_extract_string(props, '$.k')::BIGINT AS k FROM o""")
 def json_coalesce(spark, sf_dir):
-    events = table(spark, sf_dir, "events")
-    sender = F.when(F.col("event_id") % 3 == 1, "").otherwise(F.col("event_type"))
-    content = F.expr("""CASE event_id % 4 WHEN 0 THEN concat('"v', user_id, '"') WHEN 1 THEN concat('{"text":"t', user_id, '"}') WHEN 2 THEN concat('[{"text":"a"},"b', user_id, '"]') ELSE 'null' END""")
-    raw = F.concat(F.lit('{"sender_name":"'), sender, F.lit('","sender":"'), F.concat(F.lit("u"), F.col("user_id").cast("string")), F.lit('","content":'), content, F.lit("}"))
-    rows = events.select("event_id", "props", raw.alias("json"))
-    fields = nested.message_fields(F.col("json"), {"sender": ("sender_name", "sender", "from", "user_name")})
-    body = nested.text_of(F.get_json_object("json", "$.content"))
-    return rows.select("event_id", fields["sender"].alias("sender"), tx.or_empty(body).alias("content"), F.get_json_object("props", "$.k").cast("long").alias("k"))
+    """The first truthy key of each field of exported messages, of every JSON type."""
+    rows = table(spark, sf_dir, "events").select("event_id", "props", F.try_parse_json(F.expr(EXPORT)).alias("m"))
+    fields = nested.message_fields(F.col("m"), {"sender": ("sender_name", "sender", "from")})
+    content = nested.text_of(nested.first_of(F.col("m"), ("content", "text", "message")))
+    return rows.select("event_id", fields["sender"].alias("sender"), content.alias("content"), F.get_json_object("props", "$.k").cast("long").alias("k"))
 
 
 @query("SELECT event_id, CASE event_id % 3 WHEN 0 THEN 'plain ' || event_type WHEN 1 THEN event_type || ' link' ELSE '' END AS text FROM events")

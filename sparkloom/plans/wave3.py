@@ -133,17 +133,28 @@ PROFILE = "CASE WHEN corpus % 2 = 0 THEN 'budget-unfriendly' ELSE 'budget-friend
 _MATCH = {k: f"regexp_matches(d, '(?i){p}')" for k, p in quality.PATTERNS.items()}
 
 
-@query(f""", {REVIEWS}, r AS (SELECT corpus, bool_or(kind = 'audit') AS a, bool_or(kind = 'synthesis') AS s, bool_or(kind = 'validation') AS v, coalesce(bool_or(passes) FILTER (kind = 'audit'), false) AS ap, coalesce(bool_or(passes) FILTER (kind = 'validation'), false) AS vp,
+CHECKED = f""", {REVIEWS}, r AS (SELECT corpus, bool_or(kind = 'audit') AS a, bool_or(kind = 'synthesis') AS s, bool_or(kind = 'validation') AS v, coalesce(bool_or(passes) FILTER (kind = 'audit'), false) AS ap, coalesce(bool_or(passes) FILTER (kind = 'validation'), false) AS vp,
   coalesce(sum(len(regexp_extract_all(t, 'Question:\\s*'))) FILTER (kind <> 'synthesis'), 0) AS q, coalesce(sum(len(regexp_extract_all(t, '(?i)edge-case|edge case'))) FILTER (kind <> 'synthesis'), 0) AS e
   FROM (SELECT *, regexp_matches(t, '(?i)Status:\\s*PASS\\b|Release readiness:\\s*ready\\b|Verdict:?\\s*PASS\\b') AS passes FROM reviews) GROUP BY corpus),
   x AS (SELECT m.*, r.* EXCLUDE (corpus), m.corpus AS c, {DRAFT.replace('corpus', 'm.corpus')} AS d, m.corpus % 2 = 0 AS strict FROM allm m LEFT JOIN r USING (corpus)),
   k AS (SELECT corpus, strict, {_MATCH['limitations']} AS limitations, {_MATCH['expression_dna']} AS expression_dna, {_MATCH['honest_boundaries']} AS honest_boundaries, {_MATCH['internal_tension']} AS internal_tension,
-   len(regexp_extract_all(d, '(?m)^\\s*[-*]\\s+')) >= 3 AND {_MATCH['mental_models']} AS mental_models, 3 + CASE WHEN corpus % 4 = 0 THEN 1 ELSE 0 END >= CASE WHEN strict THEN 4 ELSE 2 END AS source_grounding,
+   len(regexp_extract_all(d, '(?m)^\\s*[-*]\\s+')) >= 3 AND {_MATCH['mental_models']} AS mental_models, 3 + CASE WHEN corpus % 4 = 0 THEN 1 ELSE 0 END >= CASE WHEN strict THEN 4 ELSE 2 END AS source_grounding, d, len(regexp_extract_all(d, '(?m)^\\s*[-*]\\s+')) AS n_bullets, long_quote_lines,
    NOT regexp_matches(d, '(?m)^\\s*>') AND long_quote_lines = 0 AS copyright_safety, NOT strict OR {_MATCH['intellectual_genealogy']} AS intellectual_genealogy, NOT strict OR {_MATCH['agentic_protocol']} AS agentic_protocol,
    NOT strict OR weighted_source_primary_ratio >= 50 OR high_tier_sources >= 3 AS source_hierarchy, NOT strict OR coalesce(a AND s AND v AND ap AND vp, false) AS review_chain, NOT strict OR (coalesce(q, 0) >= 2 AND coalesce(e, 0) >= 1) AS validation_depth,
-   NOT strict OR (files_scanned >= 6 AND unique_urls >= 8 AND primary_source_markers >= 3 AND source_metadata_blocks >= 6 AND contradiction_bullets >= 6 AND inference_bullets >= 6 AND track_coverage_count >= 6) AS research_depth FROM x)
-  SELECT *, limitations AND expression_dna AND honest_boundaries AND internal_tension AND mental_models AND source_grounding AND copyright_safety AND intellectual_genealogy AND agentic_protocol AND source_hierarchy AND review_chain AND validation_depth AND research_depth AS passed FROM k""")
+   NOT strict OR (files_scanned >= 6 AND unique_urls >= 8 AND primary_source_markers >= 3 AND source_metadata_blocks >= 6 AND contradiction_bullets >= 6 AND inference_bullets >= 6 AND track_coverage_count >= 6) AS research_depth FROM x)"""
+CHECKS = ("mental_models", "limitations", "expression_dna", "honest_boundaries", "internal_tension", "intellectual_genealogy", "agentic_protocol", "source_grounding", "copyright_safety", "source_hierarchy", "review_chain", "validation_depth", "research_depth")
+_ALL = " AND ".join(CHECKS)
+
+
+@query(f"{CHECKED} SELECT * EXCLUDE (d, n_bullets, long_quote_lines), {_ALL} AS passed FROM k")
 def quality_checks(spark, sf_dir):
+    out = checked(spark, sf_dir)
+    out = out.select("corpus", (F.col("profile") == quality.STRICT).alias("strict"), *CHECKS)
+    return out.withColumn("passed", quality.passed(quality.check_map({k: F.col(k) for k in CHECKS})))
+
+
+def checked(spark, sf_dir):
+    """A draft for each corpus with its metrics, reviews and one column per check."""
     metrics = notes.corpus_metrics(note_lines(spark, sf_dir))
     r = reviews(spark, sf_dir).withColumn("passes", classify.review_passes(F.col("t")))
     has = lambda k: F.bool_or(F.col("kind") == k)
@@ -152,19 +163,40 @@ def quality_checks(spark, sf_dir):
     r = r.groupBy("corpus").agg(has("audit").alias("research_audit_present"), has("synthesis").alias("synthesis_review_present"), has("validation").alias("validation_review_present"), ok("audit").alias("research_audit_pass"), ok("validation").alias("validation_review_pass"), read(r"Question:\s*").alias("known_answer_questions"), read("(?i)edge-case|edge case").alias("edge_case_markers"))
     rows = metrics.join(r, "corpus", "left").withColumns({"d": F.expr(DRAFT.replace("chr(10)", "'\\n'")), "profile": F.expr(PROFILE)})
     named = quality.checks(F.col("d"), F.col("profile"), F.col)
-    out = rows.select("corpus", (F.col("profile") == quality.STRICT).alias("strict"), *[c.alias(k) for k, c in named.items()])
-    return out.withColumn("passed", quality.passed(quality.check_map({k: F.col(k) for k in named})))
+    return rows.withColumns(named)
+
+
+@query(f"""{CHECKED} SELECT corpus, {" || chr(10) || ".join(f"CASE WHEN {c} THEN 'PASS' ELSE 'FAIL' END || '  {c}'" for c in CHECKS)} || chr(10) || 'OVERALL ' || CASE WHEN {_ALL} THEN 'PASS' ELSE 'FAIL' END AS report,
+  to_json({{passed: {_ALL}, checks: {{{", ".join(f"{c}: {c}" for c in CHECKS)}}}, bullet_count: n_bullets, grounded_url_count: 3 + CASE WHEN corpus % 4 = 0 THEN 1 ELSE 0 END, profile: CASE WHEN strict THEN 'budget-unfriendly' ELSE 'budget-friendly' END, research_metrics: {{long_quote_lines: long_quote_lines}}}})::VARCHAR AS json FROM k""")
+def gate_report(spark, sf_dir):
+    """All checks as lines and as JSON."""
+    rows = checked(spark, sf_dir)
+    named = {k: F.col(k) for k in CHECKS}
+    passed = quality.passed(quality.check_map(named))
+    json = report.gate_json(named, passed, quality.bullets(F.col("d")), F.size(quality.grounded_urls(F.col("d"))), F.col("profile"), {"long_quote_lines": F.col("long_quote_lines")})
+    return rows.select("corpus", report.gate_report(named, passed).alias("report"), json.alias("json"))
+
 
+CITED = "CASE doc_id % 9 WHEN 0 THEN '- via https://www.zhihu.com/question/1' WHEN 4 THEN '- 微信公众号 post' ELSE '- own notes' END"
 
-@query("""SELECT corpus, ratio_ok AND urls_ok AND contra_ok AND clean AS passed, clean FROM (SELECT corpus, weighted_source_primary_ratio > 50 AS ratio_ok, unique_urls >= 8 AS urls_ok, contradiction_bullets >= 3 AS contra_ok,
-  corpus NOT IN (SELECT corpus FROM urls WHERE regexp_matches(url, 'spam-farm|cheap-pills|casino-win')) AS clean FROM allm)""")
+
+@query(f"""SELECT corpus, track_coverage_count >= 6 AS all_tracks, unique_urls >= 8 AS grounded, weighted_source_primary_ratio > 50 AS "primary", contradiction_bullets >= 3 AS contradictions, clean, low_tier_sources <= high_tier_sources + mid_tier_sources AS not_bottom_heavy,
+  track_coverage_count >= 6 AND unique_urls >= 8 AND weighted_source_primary_ratio > 50 AND contradiction_bullets >= 3 AND clean AND low_tier_sources <= high_tier_sources + mid_tier_sources AS passed
+  FROM (SELECT *, corpus NOT IN (SELECT doc_id // 5 FROM documents WHERE regexp_matches({CITED}, '(?i)zhihu\\.com|知乎|mp\\.weixin\\.qq\\.com|微信公众号|baike\\.baidu\\.com|百度百科')) AS clean FROM allm)""")
 def audit_gate(spark, sf_dir):
-    lines = note_lines(spark, sf_dir)
-    listed = lines.select("corpus", F.explode(notes.urls_of(F.col("line"))).alias("url")).where(F.col("url").rlike("spam-farm|cheap-pills|casino-win")).select("corpus").distinct().withColumn("listed", F.lit(True))
-    m = notes.corpus_metrics(lines).join(listed, "corpus", "left")
-    clean = F.col("listed").isNull()
-    ok = (F.col("weighted_source_primary_ratio") > 50) & (F.col("unique_urls") >= 8) & (F.col("contradiction_bullets") >= 3) & clean
-    return m.select("corpus", ok.alias("passed"), clean.alias("clean"))
+    """Each corpus against the audit's conditions; sources are judged against the blacklist of kinds."""
+    lines = table(spark, sf_dir, "documents").select(F.floor(F.col("doc_id") / 5).alias("corpus"), F.expr(CITED).alias("line"))
+    cited = quality.blacklisted(lines, quality.blacklist(spark))
+    out = quality.audit(notes.corpus_metrics(note_lines(spark, sf_dir)), cited)
+    return out.select("corpus", "all_tracks", "grounded", "primary", "contradictions", "clean", "not_bottom_heavy", "passed")
+
+
+@query("SELECT weight, class, tier, count(*) AS n FROM (SELECT unnest(list_transform(list_filter(regexp_extract_all(line, '(?i)source weight:\\s*(\\d)', 1), lambda x: x::INT BETWEEN 1 AND 7), lambda x: x::INT)) AS weight FROM lines) JOIN (SELECT unnest([1, 2, 3, 4, 5, 6, 7]) AS weight, unnest(['local material', 'first-person work', 'long-form interview', 'documented decision', 'short first-person post', 'external analysis', 'secondhand summary']) AS class, unnest(['high', 'high', 'high', 'mid', 'mid', 'low', 'low']) AS tier) USING (weight) GROUP BY ALL")
+def source_classes(spark, sf_dir):
+    """Cited weights by the class of source that they stand for."""
+    rows = note_lines(spark, sf_dir).select(F.explode(notes.weights_of(F.col("line"))).alias("weight"))
+    counted = rows.groupBy("weight").agg(F.count(F.lit(1)).alias("n"))
+    return counted.join(F.broadcast(quality.hierarchy(spark)), "weight").select("weight", "class", "tier", "n")  # seven rows
 
 
 @query("SELECT corpus, CASE n WHEN 3 THEN 'keep' WHEN 0 THEN 'discard' ELSE 'demote' END AS verdict FROM (SELECT corpus, (track_coverage_count >= 3)::INT + (contradiction_bullets >= 6)::INT + (weighted_source_primary_ratio >= 50)::INT AS n FROM allm)")
@@ -185,10 +217,3 @@ _LINES = " || chr(10) || ".join(f"'- {label}: ' || {name}" for label, name in re
 @query(f"SELECT corpus, '# Research Summary' || chr(10) || chr(10) || {_LINES} || chr(10) || '- Weighted-source primary ratio: ' || weighted_source_primary_ratio || '%' AS report FROM allm")
 def notes_report(spark, sf_dir):
     return report.summary_report(notes.corpus_metrics(note_lines(spark, sf_dir)), "corpus")
-
-
-@query(f"SELECT corpus, (CASE WHEN contra THEN 'PASS' ELSE 'FAIL' END) || '  contradictions' || chr(10) || (CASE WHEN urls THEN 'PASS' ELSE 'FAIL' END) || '  urls' || chr(10) || 'OVERALL ' || (CASE WHEN contra AND urls THEN 'PASS' ELSE 'FAIL' END) AS report FROM (SELECT corpus, contradiction_bullets >= {quality.FLOORS['contradiction_bullets']} AS contra, unique_urls >= {quality.FLOORS['unique_urls']} AS urls FROM allm)")
-def gate_report(spark, sf_dir):
-    m = notes.corpus_metrics(note_lines(spark, sf_dir))
-    named = {"contradictions": F.col("contradiction_bullets") >= quality.FLOORS["contradiction_bullets"], "urls": F.col("unique_urls") >= quality.FLOORS["unique_urls"]}
-    return m.select("corpus", report.gate_report(named, quality.passed(quality.check_map(named))).alias("report"))

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions.text import slugify
 from ..operators import classify, nested, records, report, style
 from ..sources.tables import table
-from .wave1 import CHAT, any_of, chat
+from .wave1 import CHAT, _lines_sql, any_of, chat
 
 QUERIES, SQL = {}, {}
 
@@ -71,19 +73,62 @@ def manifest(spark, sf_dir):
     return rows.select("slug", records.manifest({c: F.col(c) for c in rows.columns}).alias("manifest"))
 
 
-@query(f"""WITH {META_SQL} SELECT slug, '---' || chr(10) || 'name: ' || character || '_' || slug || '_work' || chr(10) || 'description: ' || display_name || CASE WHEN length(slug) % 2 = 0 THEN ' 的工作能力（仅 Work，无 Persona）' ELSE ' work capability only (without persona)' END || chr(10) || 'user-invocable: true' || chr(10) || '---' || chr(10) || chr(10) || 'work of ' || slug || chr(10) AS work_skill FROM e""")
+WHO = "CASE WHEN length(slug) % 3 = 0 THEN '' ELSE display_name || ' at ' || label END"
+LANGUAGE = "CASE length(slug) % 4 WHEN 0 THEN 'zh-CN' WHEN 1 THEN '' WHEN 2 THEN 'EN' END"
+CLASSIFIED = "CASE length(slug) % 5 WHEN 0 THEN 'ZH' WHEN 1 THEN '' END"
+FIELDS = ("id", "slug", "character", "display_name", "version", "updated_at")
+
+
+def _filled_sql(template: str, values: dict[str, str]) -> str:
+    quoted = [f"'{x.replace(chr(39), chr(39) * 2)}'" if k % 2 == 0 else values[x] for k, x in enumerate(re.split(r"\{(\w+)\}", template))]
+    return " || ".join(quoted)
+
+
+_VALUES = {"combined_name": "character || '_' || slug", "description": "CASE WHEN length(slug) % 7 = 0 THEN 'about ' || slug WHEN who = '' THEN display_name ELSE display_name || ', ' || who END", "display_name": "display_name", "identity": "who", "work_content": "'work of ' || slug", "persona_content": "'persona {of} ' || slug"}
+_FRONT = "'---' || chr(10) || 'name: ' || character || '_' || slug || '_{kind}' || chr(10) || 'description: ' || display_name || CASE WHEN zh THEN '{cn}' ELSE '{en}' END || chr(10) || 'user-invocable: true' || chr(10) || '---' || chr(10) || chr(10) || {body} || chr(10)"
+MANIFEST = """'{"manifest_version":"1","id":"' || id || '","character":"' || character || '","display_name":"' || display_name || '","entrypoints":{"default":"SKILL.md","work":"work_skill.md","persona":"persona_skill.md"},"artifacts":["SKILL.md","work.md","persona.md","meta.json","manifest.json"],"capabilities":["persona","work"],"slash_commands":{"default":"' || c || '","work":"' || c || '-work","persona":"' || c || '-persona"}}'"""
+
+
+@query(f"""WITH {META_SQL}, w AS (SELECT *, {WHO} AS who, coalesce(lower(coalesce(nullif({LANGUAGE}, ''), nullif({CLASSIFIED}, ''))), 'en') LIKE 'zh%' AS zh, character || '-' || replace(slug, '_', '-') AS c FROM e)
+  SELECT slug, file, content FROM (SELECT slug, unnest({list(records.ARTIFACTS)}) AS file, unnest(['work of ' || slug, 'persona {{of}} ' || slug, CASE WHEN zh THEN {_filled_sql(records.COMBINED_ZH, _VALUES)} ELSE {_filled_sql(records.COMBINED_EN, _VALUES)} END,
+  {_FRONT.format(kind="work", cn=" 的工作能力（仅 Work，无 Persona）", en=" work capability only (without persona)", body="'work of ' || slug")}, {_FRONT.format(kind="persona", cn=" 的人物性格（仅 Persona，无工作能力）", en=" persona only (without work capability)", body="'persona {of} ' || slug")},
+  {MANIFEST}, '{{' || {" || ',' || ".join(f"""'"{f}":"' || {f} || '"'""" for f in FIELDS)} || '}}']) AS content FROM w)""")
 def skill_render(spark, sf_dir):
+    """All seven artifacts of each record."""
     rows = records.enrich(meta(spark, sf_dir), spark)
-    names = records.artifact_names(F.col("character"), F.col("slug"))
-    language = F.when(F.length("slug") % 2 == 0, "zh-CN").otherwise("en")
-    work = F.concat(F.lit("work of "), F.col("slug"))
-    return rows.select("slug", records.render_parts(names, F.col("display_name"), language, work, work)["work_skill"].alias("work_skill"))
+    said = lambda k, text: F.when(F.length("slug") % k == 0, text)
+    language = records.language_code(F.expr(LANGUAGE), F.expr(CLASSIFIED))
+    work, persona = F.concat(F.lit("work of "), "slug"), F.concat(F.lit("persona {of} "), "slug")
+    summary = said(7, F.concat(F.lit("about "), F.col("slug")))
+    return records.artifacts(rows, {c: F.col(c) for c in FIELDS}, F.expr(WHO), summary, language, work, persona, ["slug"])
 
 
-@query(f"WITH {META_SQL} SELECT slug, display_name, version, substr(updated_at, 1, 10) AS updated FROM e WHERE domain <> ''")
+@query(f"""WITH {META_SQL} SELECT slug, '{{"host":"h' || (length(slug) % 3) || '","command_name":"' || character || '-' || replace(slug, '_', '-') || '","character":"' || character || '","slug":"' || slug || '","version":"' || version || '","source_skill_dir":"' || storage_root || '/' || slug || '","source_artifact":"SKILL.md","installed_at":"2024-03-01T00:00:00+00:00"}}' AS record FROM e""")
+def install_records(spark, sf_dir):
+    rows = records.enrich(meta(spark, sf_dir), spark)
+    host = F.concat(F.lit("h"), (F.length("slug") % 3).cast("string"))
+    record = records.install_record(host, {c: F.col(c) for c in rows.columns}, F.concat("storage_root", F.lit("/"), "slug"), F.lit("2024-03-01T00:00:00+00:00"))
+    return rows.select("slug", record.alias("record"))
+
+
+@query("""SELECT p_partkey, k, v FROM (SELECT p_partkey, unnest(map_entries(m)) AS e FROM (SELECT p_partkey, map_concat(MAP {'brand': 'none', 'size': '1', 'tone': 'calm'}, CASE p_partkey % 3 WHEN 0 THEN MAP {'size': p_size || '', 'brand': NULL} WHEN 1 THEN MAP {'brand': p_brand, 'kind': p_type} ELSE MAP {}::MAP(VARCHAR, VARCHAR) END) AS m FROM part)), LATERAL (SELECT e.key AS k, e.value AS v)""")
+def dict_merge(spark, sf_dir):
+    """Given values over defaults, key by key."""
+    text = lambda c: c.cast("string")
+    defaults = F.create_map(*map(F.lit, ("brand", "none", "size", "1", "tone", "calm")))
+    k = F.col("p_partkey") % 3
+    given = F.when(k == 0, F.create_map(F.lit("size"), text(F.col("p_size")), F.lit("brand"), F.lit(None).cast("string"))).when(k == 1, F.create_map(F.lit("brand"), F.col("p_brand"), F.lit("kind"), F.col("p_type")))
+    return table(spark, sf_dir, "part").select("p_partkey", F.explode(records.merged(defaults, given)).alias("k", "v"))
+
+
+@query(f"""WITH {META_SQL} SELECT slug, display_name, version, substr(updated_at, 1, 10) AS updated, label || ' of ' || domain AS identity FROM e WHERE length(slug) % 6 > 0""")
 def skill_list(spark, sf_dir):
-    rows = records.enrich(meta(spark, sf_dir), spark).where("domain <> ''")
-    return rows.select("slug", "display_name", "version", F.substring("updated_at", 1, 10).alias("updated"))
+    """Records written as folders of JSON, of which a sixth is cut off and can't be read, listed from there."""
+    rows = records.enrich(meta(spark, sf_dir), spark)
+    json = F.to_json(F.struct("slug", "display_name", "version", "updated_at", F.concat("label", F.lit(" of "), "domain").alias("identity")))
+    stored = rows.select("slug", F.when(F.length("slug") % 6 == 0, F.substring(json, F.lit(1), F.length(json) - 2)).otherwise(json).alias("value"))
+    read = records.parsed_records(stored, "slug", "slug string, display_name string, version string, updated_at string, identity string")
+    return read.select("slug", "display_name", "version", F.substring("updated_at", 1, 10).alias("updated"), "identity")
 
 
 ORDERED = "(SELECT o_custkey, o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS n FROM orders)"
@@ -168,24 +213,39 @@ def style_profile(spark, sf_dir):
     return table(spark, sf_dir, "documents").groupBy("lang").agg(n("[!?…！？]").alias("marks"), n(r"(?i)\b(but|however|anyway|mais|aber|pero)\b").alias("turns"), n("[,.;:]").alias("stops"), F.sum(F.length("text")).alias("chars"))
 
 
-def _report_sql(base: str, tier: str, line: str, order: str, titles: list[tuple[str, str]], cap: int, head: str) -> str:
-    parts = " || chr(10) || chr(10) || '---' || chr(10) || chr(10) || ".join([f"'{head}' || role || chr(10) || 'total: ' || count(*)", *[f"'## {title}' || chr(10) || chr(10) || coalesce(string_agg(line, chr(10) ORDER BY k) FILTER (tier = '{t}' AND (tier <> 'daily' OR k <= {cap})), '')" for t, title in titles]])
-    return f"SELECT role, {parts} AS report FROM (SELECT *, row_number() OVER (PARTITION BY role, tier ORDER BY {order}) AS k FROM (SELECT role, conv_id, turn, {tier} AS tier, {line} AS line FROM {base})) GROUP BY role"
+_TIERS = f"SELECT role, seq, conv_id, turn, content, CASE WHEN length(content) > {{n}} THEN 'long' WHEN regexp_matches({{c}}, '{{words}}') THEN 'decision' ELSE 'daily' END AS tier FROM {CHAT}"
+CHAT_TITLES = [("long", "Long messages"), ("decision", "Decisions"), ("daily", "Daily talk")]
 
 
-CHAT_TITLES = [("long", "Long messages"), ("decision", "Decisions"), ("daily", "Daily talk")]
+def _tier_sql(n: int, c: str, words, line: str, cap: int, head: str) -> str:
+    sections = [(("", "---", "", f"## {title}", ""), f"tier = '{t}'", line, "''", cap if t == "daily" else None, False) for t, title in CHAT_TITLES]
+    return _lines_sql(_TIERS.format(n=n, c=c, words=any_of(words)), "role", [f"'{head}' || role", "'total: ' || total"], sections)
 
 
-@query(_report_sql(CHAT, f"CASE WHEN length(content) > 50 THEN 'long' WHEN regexp_matches(content, '{any_of(classify.CHAT_DECISIONS)}') THEN 'decision' ELSE 'daily' END", "'[' || turn || '] ' || content", "conv_id, turn", CHAT_TITLES, 100, "# Messages of "))
+@query(_tier_sql(50, "content", classify.CHAT_DECISIONS, "'[' || turn || '] ' || content", 100, "# Messages of "))
 def chat_report(spark, sf_dir):
+    """Each role's messages by tier, whole texts, as rows of a report."""
     rows = chat(spark, sf_dir).withColumn("tier", classify.message_tier(F.col("content")))
-    head = F.concat(F.lit("# Messages of "), "role", F.lit("\ntotal: "), F.col("total").cast("string"))
-    return report.tier_report(rows, "role", CHAT_TITLES, F.concat(F.lit("["), F.col("turn").cast("string"), F.lit("] "), "content"), ["conv_id", "turn"], {"daily": 100}, head)
+    head = [F.concat(F.lit("# Messages of "), "role"), F.concat(F.lit("total: "), F.col("total").cast("string"))]
+    line = F.concat(F.lit("["), F.col("turn").cast("string"), F.lit("] "), "content")
+    return report.report_lines(rows, "role", head, report.tier_sections(CHAT_TITLES, line, {"daily": 100}))
 
 
-@query(_report_sql(CHAT, f"CASE WHEN length(content) > 200 THEN 'long' WHEN regexp_matches(lower(content), '{any_of(classify.MAIL_DECISIONS)}') THEN 'decision' ELSE 'daily' END", "'**s' || conv_id || '**：' || substr(content, 1, 200)", "conv_id, turn", CHAT_TITLES, 30, "# Mails of "))
+@query(_tier_sql(200, "lower(content)", classify.MAIL_DECISIONS, "'**s' || conv_id || '**：' || substr(content, 1, 200)", 30, "# Mails of "))
 def mail_report(spark, sf_dir):
+    """Each role's mails by tier; a line shows 200 characters of a body, as the report has it."""
     rows = chat(spark, sf_dir).withColumn("tier", classify.mail_tier(F.col("content")))
-    head = F.concat(F.lit("# Mails of "), "role", F.lit("\ntotal: "), F.col("total").cast("string"))
+    head = [F.concat(F.lit("# Mails of "), "role"), F.concat(F.lit("total: "), F.col("total").cast("string"))]
     line = F.concat(F.lit("**s"), F.col("conv_id").cast("string"), F.lit("**："), F.substring("content", 1, 200))
-    return report.tier_report(rows, "role", CHAT_TITLES, line, ["conv_id", "turn"], {"daily": 30}, head)
+    return report.report_lines(rows, "role", head, report.tier_sections(CHAT_TITLES, line, {"daily": 30}))
+
+
+@query("""WITH c AS (SELECT o_custkey, count(*) AS n FROM orders GROUP BY o_custkey) SELECT o_custkey, least(n, 50) AS kept, 3 + n AS corrections_count, 'o' || last AS newest FROM c JOIN (SELECT o_custkey, max(o_orderkey) AS last FROM orders GROUP BY o_custkey) USING (o_custkey)""")
+def correction_log(spark, sf_dir):
+    """Each customer's orders as corrections to one log: the counter grows by all, the newest 50 stay."""
+    entry = F.struct(F.col("o_orderkey").alias("k"), F.lit("s").alias("scene"), F.concat(F.lit("o"), F.col("o_orderkey").cast("string")).alias("wrong"), F.lit("x").alias("correct"))
+    rows = table(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.array_sort(F.collect_list(entry)).alias("cs"))
+    items = F.transform("cs", lambda c: F.struct(c["scene"].alias("scene"), c["wrong"].alias("wrong"), c["correct"].alias("correct")))
+    persona = records.newest_corrections(records.apply_corrections(F.lit("P\n\n## Correction Log"), items))
+    out = rows.select("o_custkey", records.corrections_count(F.lit(3), items).alias("corrections_count"), F.filter(F.split(persona, "\n"), lambda x: x.startswith("- [")).alias("log"))
+    return out.select("o_custkey", F.size("log").cast("long").alias("kept"), "corrections_count", F.regexp_extract(F.get("log", F.lit(0)), "not (o[0-9]+);", 1).alias("newest"))

@@ -2,20 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
-
 from ..sources.scratch import scratch_folder
 from ..streaming.incremental import stream_table, tier_counts
 from .wave1 import SQL as WAVE1_SQL
+from .wave1 import messages
 
 QUERIES, SQL = {}, {"stream_message_tiers": WAVE1_SQL["message_tiers"]}
 
 
 def stream_message_tiers(spark, sf_dir):
     """message_tiers over conversations that arrive as a stream of files."""
-    short = F.concat(F.substring("text", 1, 40), F.when(F.col("conv_id") % 2 == 0, " 建议").otherwise(""))
-    stream = stream_table(spark, sf_dir, "conversations").withColumn("content", F.when(F.col("turn") % 3 == 0, short).otherwise(F.col("text")))
-    return tier_counts(stream, scratch_folder(spark, "tiers"))
+    return tier_counts(messages(stream_table(spark, sf_dir, "conversations")), scratch_folder(spark, "tiers"))
 
 
 QUERIES["stream_message_tiers"] = stream_message_tiers

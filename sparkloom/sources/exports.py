@@ -15,9 +15,9 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.text import first_truthy, strip_ws
+from ..functions.text import strip_ws
 from ..operators.classify import EXPORT_PLACEHOLDERS, is_placeholder
-from ..operators.nested import text_of
+from ..operators.nested import first_of, message_fields, text_of
 from ..operators.select import from_target
 
 #: A chat log's line, and the keys that exports use for each field.
@@ -48,14 +48,16 @@ def read_chat_log(spark: SparkSession, path: str, target: str = "") -> DataFrame
 
 
 def read_chat_json(spark: SparkSession, path: str, target: str = "", placeholders=EXPORT_PLACEHOLDERS) -> DataFrame:
-    """(source, seq, sender, content, time) of JSON exports: a list, or an object with one under a known key."""
-    files = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("source"), F.col("value").alias("json"))
-    listed = lambda x: F.from_json(x, "array<string>")
-    some = lambda x: F.when(F.size(listed(x)) > 0, listed(x))
-    items = F.when(strip_ws(F.col("json")).startswith("["), listed(F.col("json"))).otherwise(F.coalesce(*[some(F.get_json_object("json", f"$.{k}")) for k in ROOT_KEYS]))
-    rows = files.select("source", F.posexplode(items).alias("seq", "m"))
-    pick = lambda keys: first_truthy(*[F.get_json_object("m", f"$.{k}") for k in keys])
-    out = rows.select("source", "seq", pick(SENDER_KEYS).alias("sender"), strip_ws(text_of(pick(CONTENT_KEYS))).alias("content"), pick(TIME_KEYS).alias("time"))
+    """(source, seq, sender, content, time) of JSON exports: a list, or an object with one under a known key.
+
+    Of the keys for a field the first whose value is truthy counts; a file that isn't JSON has no rows.
+    """
+    files = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("source"), F.try_parse_json("value").alias("json"))
+    root = F.when(F.schema_of_variant("json").startswith("ARRAY"), F.col("json")).otherwise(first_of(F.col("json"), ROOT_KEYS))
+    rows = files.select("source", F.posexplode(F.try_variant_get(root, "$", "array<variant>")).alias("seq", "m"))
+    fields = message_fields(F.col("m"), {"sender": SENDER_KEYS, "time": TIME_KEYS})
+    content = strip_ws(text_of(first_of(F.col("m"), CONTENT_KEYS)))
+    out = rows.select("source", "seq", fields["sender"].alias("sender"), content.alias("content"), fields["time"].alias("time"))
     return out.where(from_target(F.col("sender"), target) & ~is_placeholder(F.col("content"), placeholders))
 
 
