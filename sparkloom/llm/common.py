@@ -25,10 +25,15 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def ensure_checkpoints(spark: SparkSession) -> None:
-    """Uses the cluster's shared checkpoint folder; sets one only where none is set (tests)."""
+    """Uses the cluster's shared checkpoint folder; sets one only where none is.
+
+    Then it lies in the warehouse, which all executors share, or, where driver and executors are one
+    process, in a temporary folder.
+    """
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="ckpt"))
+        own = tempfile.mkdtemp(prefix="ckpt") if sc.master.startswith("local[") or sc.master == "local" else f"{spark.conf.get('spark.sql.warehouse.dir')}/checkpoints"
+        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or own)
 
 
 def cut(df: DataFrame) -> DataFrame:
@@ -60,10 +65,14 @@ def with_labels(docs: DataFrame, ids: DataFrame) -> DataFrame:
 
 
 def isotonic(scored: DataFrame) -> tuple[list[float], list[float]]:
-    """Knots (score, probability) of the isotonic fit of ``label`` on ``score``; scored has a bounded sample's rows."""
+    """Knots (score, probability) of the isotonic fit of ``label`` on ``score``; scored has a bounded sample's rows.
+
+    Equal scores are summed to one weighted point first, so no task gets all rows of a common score.
+    """
     from pyspark.ml.regression import IsotonicRegression
 
-    if scored.isEmpty():
+    points = scored.groupBy(F.col("score").cast("double").alias("score")).agg(F.avg(F.col("label").cast("double")).alias("label"), F.count(F.lit(1)).cast("double").alias("weight"))
+    if points.isEmpty():
         return [0.0, 1.0], [0.0, 1.0]
-    fit = IsotonicRegression(featuresCol="score", labelCol="label").fit(scored.select(F.col("score").cast("double"), F.col("label").cast("double")))
+    fit = IsotonicRegression(featuresCol="score", labelCol="label", weightCol="weight").fit(points)
     return [float(x) for x in fit.boundaries.toArray()], [float(x) for x in fit.predictions.toArray()]

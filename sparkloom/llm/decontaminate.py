@@ -1,10 +1,14 @@
 """Benchmark decontamination with a generalised suffix automaton of the test items.
 
-The automaton is built once over the items' words and broadcast (its size is checked; larger item sets
-are dealt to several automata, each streamed over the documents). Training tokens are streamed through
-it and the longest match ending at each word is tracked. A match of ``window`` words, or of a whole
-shorter item, marks the words it covers; documents whose marked words exceed the coverage limit are
-contaminated.
+Training tokens are streamed through an automaton of the items' words and the longest match ending at each
+word is tracked. A match of ``window`` words, or of a whole shorter item, marks the words it covers;
+documents whose marked words reach the coverage limit are contaminated, and marked spans can be removed
+from the others.
+
+An automaton takes about 80 bytes for each byte of item text, so items are dealt to parts of at most
+``max_bytes`` of text. Only a part's texts are broadcast; each Python worker builds the part's automaton,
+and one part is at work at a time. With several parts, documents are read once for each, and what was hit
+is merged by the text's digest; the parts bound driver, workers and broadcasts whatever the items' number.
 
 Tokenizing is one byte translation and a split; a word outside the items' vocabulary, or two words
 that never meet in an item, end every match, so only runs of known word pairs are streamed.
@@ -12,18 +16,24 @@ that never meet in an item, end every match, so only runs of known word pairs ar
 
 from __future__ import annotations
 
+import re
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
 
-from .common import FOLD
+from .common import FOLD, cut
 
 WINDOW = 13
-#: Text bytes of items that one automaton takes. Further items go to further automata.
-MAX_BYTES = 16_000_000
+#: Java regular expression of a word: digits and letters of ASCII, and everything beyond it.
+WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+#: Text bytes of items in one part, so that its automaton takes about 160 MB.
+MAX_BYTES = 2_000_000
+SPANS = "array<struct<start:int,end:int>>"
 
 
 def words(text: str | None) -> list[bytes]:
@@ -153,49 +163,135 @@ def merged(stretches) -> list[tuple[int, int]]:
     return [(a, b) for a, b in out]
 
 
-def automata(items: DataFrame, item_id: str, window: int, max_bytes: int) -> list[Automaton]:
-    """The items' automata. Parts are bounded by bytes, and read part by part."""
+#: The automaton that this worker has built last, by its part's name.
+_BUILT: dict[str, Automaton] = {}
+
+
+def _automaton(name: str, part) -> Automaton:
+    if name not in _BUILT:
+        _BUILT.clear()
+        items, window = part.value
+        _BUILT[name] = Automaton([(i, words(t)) for i, t in items], window)
+    return _BUILT[name]
+
+
+def item_parts(items: DataFrame, item_id: str, max_bytes: int) -> Iterator[list[tuple]]:
+    """(id, text) of the items, in parts of at most about max_bytes of text, read one at a time.
+
+    Parts are dealt by a hash of the text; an item of more bytes is a part of its own size.
+    """
     rows = items.select(F.col(item_id).alias("id"), "text").where(F.col("text").isNotNull())
     total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     parts = total // max_bytes + 1
-    out = []
     for p in range(parts):
         part = rows.where(F.pmod(F.xxhash64("text"), F.lit(parts)) == p) if parts > 1 else rows
-        out.append(Automaton([(r["id"], words(r["text"])) for r in part.collect()], window))
-    return out
+        yield [(r["id"], r["text"]) for r in part.collect()]
+
+
+def _hits(part):
+    """A column function: the text's (n_words, spans, items) by one part's automaton."""
+    name = uuid.uuid4().hex
+
+    @F.pandas_udf(f"n_words long, spans {SPANS}, items array<string>")
+    def judge(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        for batch in texts:
+            automaton = _automaton(name, part)
+            rows = []
+            for text in batch:
+                ws = words(text)
+                found, ids = automaton.scan(ws)
+                rows.append((len(ws), [{"start": s, "end": e} for s, e in merged(found)], sorted(map(str, ids))))
+            yield pd.DataFrame(rows, columns=["n_words", "spans", "items"])
+
+    return judge
+
+
+@F.pandas_udf(ArrayType(StructType([StructField("start", IntegerType()), StructField("end", IntegerType())])))
+def _merge_spans(lists: pd.Series) -> pd.Series:
+    return pd.Series([[{"start": s, "end": e} for s, e in merged((x["start"], x["end"]) for x in spans)] for spans in lists])
+
+
+@F.pandas_udf(StringType())
+def without_words(texts: pd.Series, spans: pd.Series) -> pd.Series:
+    """Texts without the words of the spans, each span from its first word's first byte to its last word's last."""
+
+    def rest(text, stretches):
+        if stretches is None or not len(stretches):
+            return text
+        raw = text.encode("utf-8", "surrogatepass")
+        places = [m.span() for m in re.finditer(rb"[^ ]+", raw.translate(FOLD))]
+        out, at = [], 0
+        for x in stretches:
+            out.append(raw[at:places[x["start"]][0]])
+            at = places[x["end"] - 1][1]
+        return b"".join([*out, raw[at:]]).decode("utf-8", "surrogatepass")
+
+    return pd.Series([rest(t, s) for t, s in zip(texts, spans)], dtype=object)
+
+
+def judged(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, max_bytes: int = MAX_BYTES, item_id: str = "item_id") -> DataFrame:
+    """docs with the column ``__hits``: struct of n_words, spans (in words, disjoint, in order) and items (ids as strings, sorted)."""
+    context, parts = docs.sparkSession.sparkContext, []
+    for k, items in enumerate(item_parts(benchmark, item_id, max_bytes)):
+        hits = _hits(context.broadcast((items, window)))(F.col("text"))
+        if k == 0:
+            first = hits  # the only one, as a rule
+        else:
+            if k == 1:
+                parts.append(_found(docs, first))
+            parts.append(_found(docs, hits))
+    if not parts:
+        return docs.withColumn("__hits", first)
+    found = parts[0]
+    for p in parts[1:]:
+        found = found.unionByName(p)
+    found = found.groupBy("__digest").agg(F.flatten(F.collect_list("spans")).alias("spans"), F.sort_array(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))  # a row for each part at most
+    found = found.select("__digest", _merge_spans("spans").alias("__spans"), F.col("items").alias("__items"))
+    n_words = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
+    out = docs.withColumn("__key", F.sha2("text", 256)).join(found, F.col("__key") == F.col("__digest"), "left")
+    hits = F.struct(n_words.alias("n_words"), F.coalesce("__spans", F.array().cast(SPANS)).alias("spans"), F.coalesce("__items", F.array().cast("array<string>")).alias("items"))
+    return out.withColumn("__hits", hits).drop("__key", "__digest", "__spans", "__items")
+
+
+def _found(docs: DataFrame, hits) -> DataFrame:
+    """(__digest, spans, items) of the distinct texts that one part hits, written."""
+    rows = docs.select("text", hits.alias("h")).where(F.size("h.items") > 0)
+    return cut(rows.groupBy(F.sha2("text", 256).alias("__digest")).agg(F.first("h").alias("h")).select("__digest", "h.spans", "h.items"))
+
+
+def _n_hit():
+    return F.aggregate("__hits.spans", F.lit(0), lambda n, s: n + s["end"] - s["start"]).cast("long")
+
+
+def _contaminated(hits_of_words: int):
+    return (_n_hit() > 0) & (hits_of_words * _n_hit() >= F.col("__hits.n_words"))
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, hits_of_words: int = 20, max_bytes: int = MAX_BYTES, item_id: str = "item_id") -> DataFrame:
     """docs with ``n_words, n_hit, n_items, items, hit_spans, contaminated`` added (replacing such columns).
 
-    items: ids as strings, sorted; hit_spans: array of [start, end) in words. contaminated: n_hit > 0 and
+    items: ids as strings, sorted; hit_spans: array of (start, end) in words. contaminated: n_hit > 0 and
     hits_of_words * n_hit >= n_words. Null texts have no words and are never contaminated; a null item text
-    is no item; repeated rows are judged alike. Empty documents or benchmark give empty or clean results.
+    is no item; repeated rows are judged alike, each on its own; long texts are streamed whole. Empty
+    documents or benchmark give empty or clean results.
     """
-    spark = docs.sparkSession
-    own = ("n_words", "n_hit", "n_items", "items", "hit_spans", "contaminated")
-    docs = docs.select(*[c for c in docs.columns if c not in own])
-    parts = [spark.sparkContext.broadcast(a) for a in automata(benchmark, item_id, window, max_bytes)]
+    out = judged(docs, benchmark, window, max_bytes, item_id)
+    return out.withColumns({
+        "n_words": F.col("__hits.n_words"), "n_hit": _n_hit(), "n_items": F.size("__hits.items").cast("long"), "items": F.col("__hits.items"),
+        "hit_spans": F.col("__hits.spans"), "contaminated": _contaminated(hits_of_words),
+    }).drop("__hits")
 
-    @F.pandas_udf("n_words long, hit_spans array<array<int>>, items array<string>")
-    def judge(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        built = [p.value for p in parts]
-        for batch in texts:
-            n_words, spans, items = [], [], []
-            for text in batch:
-                ws = words(text)
-                found, ids = [], set()
-                for a in built:
-                    f, i = a.scan(ws)
-                    found += f
-                    ids |= i
-                n_words.append(len(ws))
-                spans.append([list(x) for x in merged(found)])
-                items.append(sorted(map(str, ids)))
-            yield pd.DataFrame({"n_words": n_words, "hit_spans": spans, "items": items})
-
-    out = docs.withColumn("__judged", judge(F.col("text")))
-    hit = F.aggregate("__judged.hit_spans", F.lit(0), lambda n, s: n + F.get(s, F.lit(1)) - F.get(s, F.lit(0)))
-    out = out.select(*docs.columns, F.col("__judged.n_words").alias("n_words"), hit.cast("long").alias("n_hit"), F.size("__judged.items").cast("long").alias("n_items"), F.col("__judged.items").alias("items"), F.col("__judged.hit_spans").alias("hit_spans"))
-    return out.withColumn("contaminated", (F.col("n_hit") > 0) & (hits_of_words * F.col("n_hit") >= F.col("n_words")))
 
+def decontaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, hits_of_words: int = 20, max_bytes: int = MAX_BYTES, item_id: str = "item_id") -> DataFrame:
+    """docs without contaminated rows, and without the hit words of the others; columns stay as they are.
+
+    ``n_chars``, where docs has it, follows the text. Spans are judged on the input, not on what is left.
+    Rows without a hit, null texts among them, come out unchanged; see contamination() for the other cases.
+    """
+    out = judged(docs, benchmark, window, max_bytes, item_id).where(~_contaminated(hits_of_words))
+    some = F.size("__hits.spans") > 0
+    out = out.withColumn("text", without_words("text", "__hits.spans"))
+    if "n_chars" in docs.columns:
+        kind = docs.schema["n_chars"].dataType
+        out = out.withColumn("n_chars", F.when(some, F.length("text").cast(kind)).otherwise(F.col("n_chars")))
+    return out.select(*docs.columns)

@@ -18,8 +18,8 @@ from pyspark.sql import functions as F
 
 from .common import SPACE_WORD
 
-#: Buckets that one size class of one source is dealt to.
-SALTS = 64
+#: Buckets that one size class of one source is dealt to, at least; and rows of a bucket, at most about.
+SALTS, BUCKET_ROWS = 64, 500_000
 #: Size classes to each doubling of the size.
 CLASSES_PER_DOUBLING = 4
 WEIGHTS = (3.0, 1.0, 2.0)
@@ -71,24 +71,31 @@ def mix(docs: DataFrame, size: Column | None = None, weights=WEIGHTS, share: flo
     """docs with ``size, source_size, target, copies`` added (or replaced, where docs has such columns).
 
     A null text has size 0 and a null source is a source of its own, last in the order of weights.
-    A source without words has target 0 and no copies. Repeated rows are sampled each on its own;
-    rows that tie in every ordered column are alike, so it does not matter which gets the copy.
-    An empty table gives an empty result.
+    A source without words has target 0 and no copies. Repeated rows are sampled each on its own; rows of
+    one id and size are ordered by a hash of their text, where there is one, so reruns agree on each row.
+    Rows without an id are dealt to buckets by their text. Long texts are counted whole. An empty table
+    gives an empty result.
+
+    The number of buckets grows with the rows, so that one class of one source, were it to hold all rows,
+    is still ordered in parts of BUCKET_ROWS. Sources are ranked in one task; there are far fewer than rows.
     """
     size = word_count(F.col("text")) if size is None else size
     own = ("size", "source_size", "target", "copies")
     docs = docs.select(*[c for c in docs.columns if c not in own], size.cast("long").alias("size"))
     keys = ["__source", "__class", "__salt"]
+    text = F.xxhash64("text") if "text" in docs.columns else F.lit(0)
+    salts = max(SALTS, docs.count() // BUCKET_ROWS)
+    by_text = [F.hex(text)] if "text" in docs.columns else []
     rows = docs.withColumns({
         "__source": _source_key(F.col("source")),
         "__class": F.floor(F.log2(F.col("size") + F.lit(1.0)) * CLASSES_PER_DOUBLING).cast("int"),
-        "__salt": (_hex_int(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), 6) % SALTS).cast("int"),
+        "__salt": (_hex_int(F.coalesce(F.col("doc_id").cast("string"), *by_text, F.lit("")), 6) % salts).cast("int"),
     })
     buckets = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n"), F.sum("size").alias("size"))
     earlier = Window.partitionBy("__source").orderBy("__class", "__salt").rowsBetween(Window.unboundedPreceding, -1)
     offsets = buckets.select(*keys, F.coalesce(F.sum("__n").over(earlier), F.lit(0)).alias("__before"))
     offsets = offsets.join(source_targets(buckets, weights, share, cap), "__source")
-    place = F.row_number().over(Window.partitionBy(*keys).orderBy("size", F.col("doc_id").asc_nulls_last()))
+    place = F.row_number().over(Window.partitionBy(*keys).orderBy("size", F.col("doc_id").asc_nulls_last(), text))
     rows = rows.withColumn("__place", place).join(offsets, keys)
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
     at, u = F.col("__before") + F.col("__place"), offset_of(F.col("__source"), seed)

@@ -181,9 +181,11 @@ def join_spans(found: Column) -> Column:
 def redact(docs: DataFrame, rules=RULES) -> DataFrame:
     """docs with every secret in text replaced by [kind]; of overlapping spans the first one's kind stands.
 
-    Columns stay as they are, but n_chars, where there is one, follows the new text. A null text stays null.
+    Columns stay as they are, one named secret_spans too, but n_chars, where there is one, follows the new
+    text. A null text stays null; repeated rows are redacted alike and all kept.
     """
-    found = find_secrets(docs, rules)
+    own = "secret_spans" in docs.columns
+    found = find_secrets(docs.withColumnRenamed("secret_spans", "__own_spans") if own else docs, rules)
     merged = F.aggregate(
         F.col("secret_spans"),
         F.struct(F.lit(0).alias("at"), F.lit("").alias("out")),
@@ -195,5 +197,5 @@ def redact(docs: DataFrame, rules=RULES) -> DataFrame:
     )
     text = F.when(F.size("secret_spans") > 0, merged).otherwise(F.col("text"))
     out = found.withColumn("__new", text)
-    cols = [F.col("__new").alias(c) if c == "text" else F.length("__new").cast(out.schema[c].dataType).alias(c) if c == "n_chars" else F.col(c) for c in docs.columns]
+    cols = [F.col("__new").alias(c) if c == "text" else F.length("__new").cast(out.schema[c].dataType).alias(c) if c == "n_chars" else F.col("__own_spans").alias(c) if c == "secret_spans" else F.col(c) for c in docs.columns]
     return out.select(*cols)

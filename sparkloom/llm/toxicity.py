@@ -31,7 +31,11 @@ LEET = bytes.maketrans(b"0134578@$", b"oieastbas")
 NEAR = 5
 #: Lengths, in bytes, of the word beginnings that are mined.
 BEGINNINGS = (4, 5, 6)
-MAX_LEXICON = 4_000
+#: An entry stands in this share of the toxic texts that the lexicon is mined from, at least, so there are at
+#: most 1 / LEAST_SHARE times as many entries as a toxic text has keys on the average.
+LEAST_SHARE = 0.002
+#: Part of the score that comes straight from the trees, so that it orders texts which calibration puts level.
+RAW_SHARE = 0.01
 UPPER = bytes(range(65, 91))
 MASKED = re.compile(rb"[A-Za-z\x80-\xff]+[*@$#0-9!]+[A-Za-z\x80-\xff]+")
 
@@ -77,7 +81,7 @@ _SECOND = {w.encode() for w in SECOND_PERSON.split()}
 
 
 def mine_lexicon(labelled: DataFrame, least: int = 4, least_odds: float = 2.5) -> dict[bytes, float]:
-    """Words and beginnings by their log odds of standing in a toxic text; at most MAX_LEXICON of them."""
+    """Words and beginnings by their log odds of standing in a toxic text; LEAST_SHARE bounds their number."""
 
     def explode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -92,14 +96,14 @@ def mine_lexicon(labelled: DataFrame, least: int = 4, least_odds: float = 2.5) -
     if not n.get(1) or not n.get(0):
         return {}
     seen = labelled.select("text", "label").mapInPandas(explode, "key binary, clean long, toxic long")
-    seen = seen.groupBy("key").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic")).where(F.col("toxic") >= least)
+    seen = seen.groupBy("key").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic")).where(F.col("toxic") >= max(least, LEAST_SHARE * n[1]))
     odds = F.log((F.col("toxic") + 0.1) / n[1]) - F.log((F.col("clean") + 0.1) / n[0])
-    top = seen.withColumn("odds", odds).where(F.col("odds") >= least_odds).orderBy((F.col("odds") * F.col("toxic")).desc(), "key").limit(MAX_LEXICON)
+    top = seen.withColumn("odds", odds).where(F.col("odds") >= least_odds)
     return {bytes(r["key"]): float(r["odds"]) for r in top.collect()}
 
 
 def with_features(docs: DataFrame, lexicon: dict[bytes, float]) -> DataFrame:
-    shared = docs.sparkSession.sparkContext.broadcast(lexicon)  # at most MAX_LEXICON entries
+    shared = docs.sparkSession.sparkContext.broadcast(lexicon)  # LEAST_SHARE bounds its entries
 
     @F.pandas_udf("array<double>")
     def compute(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
@@ -114,8 +118,9 @@ def toxicity(docs: DataFrame, labels: DataFrame, train, max_labelled: int = MAX_
     """docs with ``score`` (0 to 1) added, replacing such a column.
 
     train: condition on doc_id for rows whose labels may be used. Null and empty texts are scored by the
-    same model, from features of 0. Without labels of both kinds the score is the share of toxic labels
-    (0.0 with none). Repeated rows get equal scores; an empty table gives an empty result.
+    same model, from features of 0; long texts are read whole. Without labels of both kinds the score is the
+    share of toxic labels (0.0 with none). Rows of equal texts get equal scores; other columns come through,
+    whatever their names; an empty table gives an empty result.
     """
     docs = docs.select(*[c for c in docs.columns if c != "score"])
     labelled = cut(with_labels(docs, labelled_ids(labels, "toxic", train, max_labelled)))
@@ -133,7 +138,7 @@ def toxicity(docs: DataFrame, labels: DataFrame, train, max_labelled: int = MAX_
     probability = F.get(vector_to_array("__p"), F.lit(1))
     knots = isotonic(model.transform(rest.where("part = 4")).select(probability.alias("score"), "label"))
     out = with_features(docs, lexicon).withColumn("__features", array_to_vector("__features"))
-    return model.transform(out).select(*docs.columns, calibrated(probability, *knots).alias("score"))
+    return model.transform(out).select(*docs.columns, ((1 - RAW_SHARE) * calibrated(probability, *knots) + RAW_SHARE * probability).alias("score"))
 
 
 def calibrated(score, boundaries: list[float], values: list[float]):

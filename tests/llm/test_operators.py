@@ -201,6 +201,36 @@ ITEMS = [prose(30, 50), prose(20, 51) + " " + prose(13, 52), "Zeta eta THETA", "
 SUSPECTS = [prose(50, 60) + ", " + prose(30, 50).upper() + "! " + prose(50, 61), prose(13, 52), prose(12, 52), "well zeta, eta-theta end", "solo solo", None, "", prose(3000, 62) + " " + " ".join(prose(30, 50).split()[5:18]), "zeta eta theta zeta eta theta"]
 
 
+def test_isotonic_of_many_equal_scores(spark):
+    from sparkloom.llm.common import isotonic
+
+    rows = spark.createDataFrame([(0.2, int(k % 4 == 0)) for k in range(400)] + [(0.6, 1)] * 3 + [(0.5, 0)], "score double, label int")
+    x, y = isotonic(rows)
+    assert y[0] == pytest.approx(100 / 401, abs=1e-3) and y[-1] == 1.0 and y == sorted(y)
+
+
+def test_toxicity_features_match_plain_counts():
+    import math
+
+    text = "You idiot!! I saw you. Nice st*pid d0g, REALLY? blorgh"
+    lexicon = {b"=nice": 2.0, b"blor": 3.0}
+    got = dict(zip(toxicity.FEATURES, toxicity.features(text, lexicon)))
+    words = ["you", "idiot", "i", "saw", "you", "nice", "st", "pid", "d0g", "really", "blorgh"]
+    assert got["you"] == 2 / 11 and got["exclaims"] == 2 / 11 and got["capitals"] == sum(c.isupper() for c in text) / len(text)
+    assert got["density"] == 3 / 11 and got["hits"] == 3 and got["best"] == 3.0 and got["fixed"] == 1 and got["near_you"] == 2 / 11
+    assert got["obfuscated"] == 2 / 11 and got["log_words"] == math.log1p(len(words)) and got["weight"] == pytest.approx(6 / math.sqrt(11))
+    assert toxicity.features(None, lexicon) == toxicity.features(" !", lexicon) == [0.0] * len(toxicity.FEATURES)
+
+
+def test_classifiers_keep_clashing_columns_and_long_texts(spark):
+    docs, labels = labelled(spark, 120)
+    more = docs.union(docs.limit(1).withColumn("text", F.lit("you idiot " * 30_000)))
+    for op in (toxicity.toxicity, quality.quality):
+        out = op(more, labels, train=lambda k: k >= 0)
+        rows = out.collect()
+        assert out.columns.count("score") == 1 and out.columns.count("label") == 1 and {r.label for r in rows} == {9} and len(rows) == docs.count() + 1
+
+
 def test_contamination_matches_all_windows(spark):
     bench = spark.createDataFrame([(i, t) for i, t in enumerate(ITEMS)], "item_id long, text string")
     for size in (decontaminate.MAX_BYTES, 120):  # one automaton, and several
@@ -211,6 +241,34 @@ def test_contamination_matches_all_windows(spark):
             assert (r.n_words, r.n_hit, r["items"], r.contaminated) == (n, hit, sorted(map(str, items)), hit > 0 and 20 * hit >= n), t
 
 
+def test_hit_words_go(spark):
+    bench = spark.createDataFrame([(i, t) for i, t in enumerate(ITEMS)], "item_id long, text string")
+    long = f"{prose(400, 70)}\t-- {prose(30, 50).title()}! ünd {prose(200, 71)}"
+    texts = [*SUSPECTS, long, "x solo y " * 3 + prose(300, 72)]
+    df = helpers.docs(spark, texts).withColumn("n_chars", F.length("text")).withColumn("n_words", F.lit("mine")).withColumn("__hits2", F.lit(1))
+    for size in (decontaminate.MAX_BYTES, 120):
+        out = decontaminate.decontaminated(df, bench, max_bytes=size)
+        got = {r.doc_id: r for r in out.collect()}
+        assert out.columns == df.columns and {r.n_words for r in got.values()} == {"mine"}
+        for i, t in enumerate(texts):
+            n, hit, _ = helpers.windows(t, ITEMS)
+            if hit and 20 * hit >= n:
+                assert i not in got
+            else:
+                left, _, _ = helpers.windows(got[i].text, [])
+                assert left == n - hit and (hit or got[i].text == t) and got[i].n_chars == (None if t is None else len(got[i].text))
+        assert got[len(SUSPECTS)].text == f"{prose(400, 70)}\t-- ! ünd {prose(200, 71)}"
+
+
+def test_contamination_of_awkward_rows(spark, table):
+    bench = spark.createDataFrame([(0, BASE), (None, "solo"), (1, None)], "item_id long, text string")
+    twice = table.union(table).union(table.withColumn("doc_id", F.lit(None).cast("long"))).withColumn("items", F.lit(5))
+    out = decontaminate.contamination(twice, bench)
+    rows = out.collect()
+    assert len(rows) == 3 * len(TEXTS) and out.columns.count("items") == 1 and out.columns.count("score") == 1
+    assert {r.contaminated for r in rows if r.text == BASE} == {True} and not any(r.contaminated for r in rows if not r.text)
+
+
 def test_contamination_of_nothing(spark, table):
     none = spark.createDataFrame([], "item_id long, text string")
     assert not decontaminate.contamination(table, none).where("contaminated").count()
@@ -357,6 +415,13 @@ def test_mix_meets_targets(spark):
     assert mixing.emit(mixing.mix(df)).count() == sum(x.copies for x in rows)
 
 
+def test_rows_of_one_id_and_size_are_placed_by_text(spark):
+    texts = [prose(10, 9500 + k) for k in range(40)]
+    rows = spark.createDataFrame([(1 if k % 2 else None, t, "s") for k, t in enumerate(texts)] + [(5, prose(3000, 9600), "z")], "doc_id long, text string, source string")
+    taken = lambda df: sorted((r.text, r.copies) for r in mixing.mix(df).collect())
+    assert taken(rows) == taken(rows.repartition(3)) == taken(rows.orderBy(F.desc("text")))
+
+
 def test_mix_of_awkward_rows(spark, table):
     twice = table.union(table).union(table.withColumn("doc_id", F.lit(None).cast("long")))
     assert mixing.mix(twice).count() == 3 * len(TEXTS) and mixing.mix(table.limit(0)).count() == 0
