@@ -18,30 +18,53 @@ from sparkloom.llm.common import ensure_checkpoints, fold_of, read
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents scored as toxic; the score is learned from labels outside the held-out fold."""
+    """Drops documents scored 0.5 or more; the score is learned from labels outside the held-out fold.
+
+    Null and empty texts are scored like others and clean by their features; repeated rows go or stay
+    together; other columns, whatever their names, come through. No rows in, none out.
+    """
     scored = toxic.toxicity(docs.withColumn("__row", F.struct("*")), read(spark, sf_dir, "labels"), train=lambda k: fold_of(k, 5) != 0)
     return scored.where("score < 0.5").select("__row.*")
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document of smallest id of each near-duplicate group."""
+    """Keeps the document of smallest id of each near-duplicate group.
+
+    Texts without words are in no group; rows that repeat an id are one document, so all of them go or
+    stay; rows with a null id stay. Other columns come through. No rows in, none out.
+    """
     return minhash.deduplicated(docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents of which a twentieth or more of the words stand in benchmark windows."""
-    judged = decontaminate.contamination(docs, read(spark, sf_dir, "benchmark"))
-    return judged.where(~F.col("contaminated")).select(*docs.columns)
+    """Drops documents of which a twentieth or more of the words stand in benchmark windows, and removes such
+    words from the others, whose n_chars follows.
+
+    Null and empty texts stay as they are; repeated rows are judged alike, each on its own. Other columns,
+    whatever their names, come through. No rows in, none out.
+    """
+    return decontaminate.decontaminated(docs, read(spark, sf_dir, "benchmark"))
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Replaces each secret in the text by its kind; every document stays."""
+    """Replaces each secret in the text by its kind, and n_chars follows; every document stays.
+
+    Null texts stay null; repeated rows are redacted alike. Other columns, whatever their names, come
+    through. No rows in, none out.
+    """
     return secrets.redact(docs)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row per copy that the mix takes."""
-    return mixing.emit(mixing.mix(docs))
+    """One row per copy that the mix takes, with size, source_size, target, copies and copy added.
+
+    A column of docs that has one of these names keeps its values, and the added one is left out. Null
+    sources are a source of their own; null and empty texts have size 0; repeated rows are sampled each
+    on its own, alike in every run. No rows in, none out.
+    """
+    own = [c for c in docs.columns if c in ("size", "source_size", "target", "copies", "copy")]
+    mixed = mixing.emit(mixing.mix(docs.withColumnsRenamed({c: f"__own_{c}" for c in own})))
+    return mixed.drop(*own).withColumnsRenamed({f"__own_{c}": c for c in own})
 
 
 STAGES = [
