@@ -89,11 +89,55 @@ def test_main_text():
     assert html_extract.main_text(PAGE) == "Title & more\n\nFirst paragraph of a story, with words in it.\n\nSecond é paragraph é.\n\nSaid so."
 
 
-@pytest.mark.parametrize("page", [None, "", "<", "<p", "</div></p>", "<!-- x", "<script>never closed", "&#xffffffff;", "<p>" * 2000 + "deep"])
+@pytest.mark.parametrize("page", [None, "", "<", "<p", "</div></p>", "<!-- x", "<script>never closed", "&#xffffffff;", "<p>" * 2000 + "deep", "<p>x<![foo bar]>y</p>", "<![CDATA[x", "<!DOCTYPE", "<?php", "a < b <", "<!-->", "<!--->x"])
 def test_bad_markup_is_borne(page):
     assert isinstance(html_extract.main_text(page), str)
 
 
+def test_markup_never_shows():
+    shown = {"<p>x<![foo bar]>y</p>": "xy", "<p>a</p><a b='": "a", "<!--><p>hi</p>": "hi", "<p>one<script>1</script>two <svg><title>t</title></svg>three</p>": "onetwo three", "a < b": "a < b", "<p>x<!-- never": "x"}
+    assert {p: html_extract.main_text(p) for p in shown} == shown
+
+
+def test_any_markup_parses():
+    r = random.Random(21)
+    bits = ["<", ">", "</", "<p>", "</p>", "<div class='ad'>", "</div>", "<![", "]]>", "<!--", "-->", "<!", "<?", "&", "&#", "&#x110000;", "&amp;", "<script>", "</script>", "<b", " a='", '"', "é", "text ", "<table><tr><td>", "<article>", "</article>", "<li>", "<br/>", "\0", "<math>", "<select><option>"]
+    for _ in range(3000):
+        assert isinstance(html_extract.main_text("".join(r.choice(bits) for _ in range(r.randint(1, 40)))), str)
+
+
+@pytest.mark.parametrize("page", ["<div>" * 30_000 + "deep and well", "<div><b>" * 15_000 + "deep and well" + "</i></u></b>" * 15_000, "".join(f"<div><p>Part {i} of it.</p></div>" for i in range(15_000))])
+def test_deep_and_long_pages_take_linear_time(page):
+    import time
+
+    began = time.process_time()
+    assert html_extract.main_text(page) and time.process_time() - began < 20
+
+
+def test_articles_keep_their_sections():
+    inside = "<h2 id=discussion>Discussion</h2><p>We discuss <math><mi>e</mi><mo>=</mo><mn>1</mn></math> here.</p><div class='related-story body'><p>An older story, told again.</p></div><div class='ad-slot'>Buy it</div><ol class='comment-list'><li>Nice one, I say</li></ol>"
+    want = "Discussion\n\nWe discuss e=1 here.\n\nAn older story, told again."
+    assert html_extract.main_text(f"<nav><a href=/>Home</a></nav><article>{inside}</article>") == want
+    assert html_extract.main_text(f"<div class='layout has-sidebar'><article>{inside}</article><div class='sidebar'>Links and more</div></div>") == want
+    body = " ".join(["Long body of text, sentence by sentence."] * 12)
+    assert html_extract.main_text(f"<div class='post with-comments'><p>{body}</p><div id='comments'><p>Great stuff</p></div></div>") == body
+
+
+def test_edges_join_siblings():
+    found = html_extract.blocks_of("<div><p>a</p><div><span>b</span></div><p>c</p></div><div><p>d</p></div>")
+    edges = {(a, b) for a, b, _ in html_extract.smooth_edges([b for _, b in found])}
+    assert {(0, 1), (1, 2), (2, 3), (0, 2)} <= edges
+
+
+def test_text_weights_tell_articles_from_menus(spark):
+    page = lambda k: f"<nav>{''.join(f'<a href=/{j}>link {j}</a> ' for j in range(5))}</nav><article>{''.join(f'<p>{prose(30, 50 * k + j).capitalize()}.</p>' for j in range(4))}</article><footer>all of it {k}</footer>"
+    pages = spark.createDataFrame([(page(k),) for k in range(40)] + [(None,)], "html string")
+    w = html_extract.fit_text_weights(pages)
+    says = lambda text, linked: w[-1] + sum(a * b for a, b in zip(w, html_extract.text_features(text, linked)))
+    assert says("A sentence of a text that goes on for a while, and then it ends.", 0) > 0 > says("link 3", 6)
+    assert html_extract.fit_text_weights(pages.limit(0)) is None
+
+
 def test_extract_keeps_rows(spark):
     pages = spark.createDataFrame([(1, "u", PAGE, 5), (1, "u", PAGE, 5), (None, None, None, 5)], "page_id long, url string, html string, n_chars int")
     rows = html_extract.extract(pages).collect()
@@ -105,7 +149,7 @@ def test_min_cut_is_minimal():
     for _ in range(60):
         n = r.randint(1, 7)
         source, sink = [r.randint(0, 5) for _ in range(n)], [r.randint(0, 5) for _ in range(n)]
-        edges = [(a, a + 1, r.randint(0, 4)) for a in range(n - 1)]
+        edges = [(a, b, r.randint(0, 4)) for a in range(n) for b in range(a + 1, n) if b == a + 1 or r.random() < 0.4]
         price = lambda side: sum(sink[k] if s else source[k] for k, s in enumerate(side)) + sum(w for a, b, w in edges if side[a] != side[b])
         best = min(price([bool(m >> k & 1) for k in range(n)]) for m in range(2**n))
         assert price(html_extract.min_cut(list(map(float, source)), list(map(float, sink)), edges)) == pytest.approx(best)
