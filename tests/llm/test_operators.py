@@ -182,10 +182,10 @@ def test_mined_rules_match_all_item_sets(spark):
     from itertools import combinations
 
     r = random.Random(4)
-    rows = [(sorted(r.sample("abcdef", r.randint(1, 4))), r.choice(["allow", "block", "block"])) for _ in range(120)]
+    rows = [(sorted(r.sample("abcdef", r.randint(1, 6))), r.choice(["allow", "block", "block"])) for _ in range(120)]
     got = {(tuple(x.tokens), x.verdict): (x.confidence, x.support) for x in url_rules.mine(spark.createDataFrame(rows, "tokens array<string>, verdict string"), 0.05, 0.6).collect()}
     found = {}
-    for size in (1, 2, 3):
+    for size in range(1, 7):
         for c in combinations("abcdef", size):
             held = [v for t, v in rows if set(c) <= set(t)]
             for verdict in ("allow", "block"):
@@ -199,6 +199,22 @@ def test_mined_rules_match_all_item_sets(spark):
     assert {k: pytest.approx(found[k]) for k in kept} == got
 
 
+def test_deep_parts_of_a_url_count(spark):
+    urls = [f"http://a.b.c.d.e.com/{'de' if i % 2 else 'fr'}/x/{i}/y/{'ads' if i % 2 else 'news'}/p" for i in range(40)] + ["http://q.net/1/2/3/4/ads/6", "http://q.net/1/2/3/4/news/6"]
+    pages = spark.createDataFrame([(i, u) for i, u in enumerate(urls)], "page_id long, url string")
+    got = {r.page_id: r.verdict for r in url_rules.judge_urls(pages).collect()}
+    assert (got[40], got[41]) == ("block", "allow")
+
+
+def test_judged_urls_of_awkward_rows(spark):
+    rows = [(1, None, "mine", 5), (None, "http://x.com/fr/", "mine", 5), (2, "http://x.com/de/" + "a/" * 5000, "mine", 5), (2, "", "mine", 5), (3, "://", None, None)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, rule string, tokens int")
+    out = url_rules.judge_urls(pages.union(pages))
+    got = out.collect()
+    assert len(got) == 10 and out.columns.count("rule") == 1 and {r.tokens for r in got} == {5, None}
+    assert {(r.rule, r.verdict) for r in got if r.url and "x.com" in r.url} == {("com/fr/", "allow"), ("com/de/", "block")}
+
+
 # Classifiers ----------------------------------------------------------------------------------------
 
 
