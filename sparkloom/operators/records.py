@@ -217,7 +217,7 @@ def parsed_records(stored: DataFrame, folder: str, schema: str) -> DataFrame:
 def read_records(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """parsed_records() of meta.json in each folder below path, in order of the folders' names."""
     raw = spark.read.text(f"{path}/*/meta.json", wholetext=True)
-    named = raw.withColumn("folder", F.regexp_extract(F.input_file_name(), r"([^/]+)/meta\\.json$", 1))
+    named = raw.withColumn("folder", F.regexp_extract(F.input_file_name(), r"([^/]+)/meta\.json$", 1))
     return parsed_records(named, "folder", schema).orderBy("folder")
 
 
