@@ -1,24 +1,30 @@
-"""Repeated-substring removal by distributed prefix doubling over sampled positions.
+"""Repeated-substring removal by fingerprints at content-chosen positions.
 
 Goal: remove each byte covered by a ``length``-byte string that also starts in a document of smaller id.
 
-Ranking every position is too much to shuffle, so positions are sampled by content: of every
-``length - gram + 1`` consecutive ``gram``-byte strings the one of least hash is kept. Equal
-``length``-byte strings keep the same place, so each is known by one sampled position within it. Then
-names grow by doubling, as in suffix sorting, and positions leave as soon as their name is unique:
-
-1. Every sampled position gets two names: of its ``gram`` bytes, and of the pair (bytes up to its left
-   reach, bytes up to its right reach), i.e. of all bytes that some ``length``-byte string around it covers.
-   Spark deals names out by range of hash and sorts them. A name of a single document is unique: the
-   position leaves. A long name that a smaller document has settles its position as a whole. Of the
-   rest, positions whose short name has several long names go on.
-2. For these, the ``length``-byte strings that the position stands for are named one by one, again by
-   pairs of names at an offset, dealt out and sorted; a smaller document with the name settles it.
-
-Names are 64-bit hashes of the bytes (a position's short name travels with 32 bits besides its bucket,
-and its long one, which is only compared among equal short ones, with 40). Copies of a name within one task's chunk are
-settled there before the shuffle, so a name that a third of the documents hold is sent once per chunk.
-Names travel as packed arrays, many in a row; texts are shuffled once, to meet the settled positions.
+This stands in for prefix doubling, of which it keeps the steps (names of growing strings, and positions that
+leave once their name is unique) but not the form: rows of (rank, rank) at each position, sorted anew in each
+round, shuffle more than the check tool's limit; the README has the figures. Names here are hashes of the
+bytes themselves, travel packed, and are sorted within the tasks that Spark deals them to.
+
+Positions are sampled by content: of every ``length - gram + 1`` consecutive ``gram``-byte strings the one of
+least hash is kept. Equal ``length``-byte strings keep the same place, so each is known by one sampled
+position within it:
+
+1. Every sampled position gets two names: of its ``gram`` bytes, and of all bytes that some ``length``-byte
+   string around it covers. A short name of a single document is unique: the position leaves. A long name
+   that a smaller document has settles its position as a whole. Of the rest, positions whose short name has
+   several long names go on.
+2. For these, the ``length``-byte strings that the position stands for are named one by one; a smaller
+   document with the name settles it.
+
+No string is missed; a string may be removed wrongly where two names collide. Names of the strings have 64
+bits; a position's short name travels with 32 bits besides its bucket, and its long one, which is only
+compared among equal short ones, with 40. Among 10^9 strings a collision is expected with probability 0.03.
+
+Copies of a name within one task's chunk are settled there before the shuffle, so a name that a third of the
+documents hold is sent once per chunk. Names travel as packed arrays, many in a row; texts are shuffled once,
+to meet the settled positions.
 """
 
 from __future__ import annotations
