@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from sparkloom.llm import decontaminate, minhash, mixing, secrets
 from sparkloom.llm import toxicity as toxic
-from sparkloom.llm.common import ensure_checkpoints, fold_of, read
+from sparkloom.llm.common import ensure_checkpoints, fold_of, read, remove
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -80,12 +80,17 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stages one after another. A stage's folder is removed once the next one's is written."""
     ensure_checkpoints(spark)
     folder = f"{spark.sparkContext.getCheckpointDir()}/corpus-{uuid.uuid4().hex}"
-    docs = read(spark, sf_dir, "documents")
+    docs, before = read(spark, sf_dir, "documents"), None
     for k, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if k < len(STAGES) - 1:
-            docs.write.parquet(f"{folder}/{k}-{name}")
-            docs = spark.read.parquet(f"{folder}/{k}-{name}")
+            here = f"{folder}/{k}-{name}"
+            docs.write.parquet(here)
+            docs = spark.read.parquet(here)
+            if before:
+                remove(spark, before)
+            before = here
     return docs
