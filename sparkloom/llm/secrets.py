@@ -76,14 +76,13 @@ def _strings(items) -> set[str] | None:
     return out
 
 
-def trigram_query(pattern: str) -> list[frozenset[str]]:
-    """Conjunctions of trigrams, one of which every match of pattern holds in full; [] if none is mandatory.
+def _stretches(items: list) -> list[list[frozenset[str]]]:
+    """Runs of pieces that every match holds one after another, each as the trigrams of the strings it may be.
 
-    Pieces of the pattern's top level that stand for few strings are joined while they stay few; of the
-    joined stretches, the one with the most trigrams in its poorest string is used.
+    Pieces that stand for few strings are joined while they stay few. The run with the most trigrams in its
+    poorest string comes first; what stands before it and after it is looked through in the same way.
     """
-    items = list(regex_parser.parse(pattern))
-    best, score = [], 0
+    best, at, score = [], (0, 0), 0
     for i in range(len(items)):
         for j in range(i + 1, len(items) + 1):
             strings = _strings(items[i:j])
@@ -91,8 +90,21 @@ def trigram_query(pattern: str) -> list[frozenset[str]]:
                 break
             each = [frozenset(s[k:k + 3] for k in range(len(s) - 2)) for s in strings]
             if (poorest := min(map(len, each))) > score:
-                best, score = sorted(set(each), key=sorted), poorest
-    return best
+                best, at, score = sorted(set(each), key=sorted), (i, j), poorest
+    return [best, *_stretches(items[: at[0]]), *_stretches(items[at[1]:])] if score else []
+
+
+def trigram_query(pattern: str) -> list[frozenset[str]]:
+    """Conjunctions of trigrams, one of which every match of pattern holds in full; [] if none is mandatory.
+
+    All stretches of the pattern's top level are joined, while the alternatives stay few.
+    """
+    out: set[frozenset[str]] = set()
+    for each in _stretches(list(regex_parser.parse(pattern))):
+        more = {a | b for a in out or {frozenset()} for b in each}
+        if not out or len(more) <= MAX_STRINGS:
+            out = more
+    return sorted(out, key=sorted)
 
 
 def conjunctions(rules=RULES) -> list[tuple[str, int, frozenset[str]]]:
@@ -154,8 +166,9 @@ def spans(text: Column, rule: Rule, rank: int) -> Column:
 def find_secrets(docs: DataFrame, rules=RULES) -> DataFrame:
     """docs with ``secret_spans`` added: array<struct<start, end, rank, kind>> in order of start, then rule.
 
-    Null text counts as empty. Repeated rows are scanned alike and all kept; a null doc_id is a value
-    like others. An empty table gives an empty result.
+    A column of that name is replaced; others come through. Null text counts as empty; long texts are
+    scanned whole. Repeated rows are scanned alike and all kept; a null doc_id is a value like others. Spans
+    of one start are in the order of the rules. An empty table gives an empty result.
     """
     none = F.array().cast("array<struct<start:int,end:int,rank:int,kind:string>>")
     rows = _key(docs.withColumn("__text", F.coalesce(F.col("text"), F.lit(""))))

@@ -66,6 +66,17 @@ def test_every_match_meets_its_trigram_query():
         grams = {text.lower()[k:k + 3] for k in range(len(text))}
         assert any(c <= grams for c in secrets.trigram_query(rule.pattern))
     assert secrets.trigram_query("[0-9a-f]+") == []
+    query = {r.kind: secrets.trigram_query(r.pattern) for r in secrets.RULES}
+    assert query["pem"] and all({"beg", "pri", "vat", "y--"} <= c for c in query["pem"]) and all({"eyj", ".ey"} <= c for c in query["jwt"])
+
+
+def test_secrets_of_clashing_columns_and_long_texts(spark):
+    long = "filler text " * 100_000 + "token=abcdefghijklmnop"
+    df = helpers.docs(spark, [long, None]).withColumn("secret_spans", F.lit("mine"))
+    found = {r.doc_id: r.secret_spans for r in secrets.find_secrets(df).collect()}
+    assert [(s.kind, s.start, s.end) for s in found[0]] == [("assign", 1_200_000, 1_200_022)] and found[1] == []
+    out = secrets.redact(df)
+    assert {r.secret_spans for r in out.collect()} == {"mine"} and out.columns == df.columns
 
 
 def test_secret_rows_repeat_and_redact(spark):
