@@ -10,13 +10,15 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
-#: White space of any script, as a character class.
-WS = r"[\s\x1c-\x1f\x85\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
+#: White space of any script but the line and page separators, those separators, and both.
+GAPS = " \t\x1f\u00a0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u202f\u205f\u3000"
+BREAKS = "\n\r\x0b\x0c\x1c\x1d\x1e\x85\u2028\u2029"
+WS = GAPS + BREAKS
 
 
 def strip_ws(x: Column) -> Column:
     """Trims white space of any kind and script at both ends, not spaces alone."""
-    return F.regexp_replace(x, rf"^{WS}+|{WS}+$", "")
+    return F.btrim(x, F.lit(WS))
 
 
 def let(value: Column, body) -> Column:

@@ -5,11 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import WS, let, lines_of, strip_ws
+from ..functions.text import BREAKS, GAPS, let
 
-#: A cue's timing line, and settings that follow it.
-TIMING = r"^\s*(\d{2}:\d{2}:\d{2}[.,]\d{3}|\d{2}:\d{2}[.,]\d{3})\s+-->\s+"
-SETTINGS = r"\b(?:align|position|size|line):[^\s]+"
+#: A cue's timing, and settings that follow it.
+TIMING = r"(?:\d{2}:\d{2}:\d{2}[.,]\d{3}|\d{2}:\d{2}[.,]\d{3})"
+SETTINGS = rf"\b(?:align|position|size|line):[^\s{GAPS}]+"
 
 
 def without_vtt_headers(text: Column) -> Column:
@@ -22,12 +22,15 @@ def without_vtt_headers(text: Column) -> Column:
 def cue_lines(text: Column) -> Column:
     """Spoken lines in order: no numbers, timings, tags or settings; white space squeezed.
 
-    A line ends at any of the line and page separators, as well as at a new line.
+    A line ends at any of the line and page separators, as well as at a new line. The text is cleaned as a
+    whole, by patterns that stay within a line, and split last.
     """
-    lines = F.split(without_vtt_headers(text), r"[\n\x0b\x0c\x1c-\x1e\x85\u2028\u2029]")
-    spoken = F.filter(F.transform(lines, strip_ws), lambda x: (x != "") & ~x.rlike(r"^\p{Nd}+$") & ~x.rlike(TIMING))
-    clean = F.transform(spoken, lambda x: F.regexp_replace(strip_ws(F.regexp_replace(F.regexp_replace(x, "<[^>]+>", ""), SETTINGS, "")), f"{WS}+", " "))
-    return F.filter(clean, lambda x: x != "")
+    gap = f"[{GAPS}]"
+    x = F.regexp_replace(without_vtt_headers(text), f"[{BREAKS}]", "\n")
+    x = F.regexp_replace(x, rf"(?dm)^{gap}*(?:\p{{Nd}}+{gap}*|{TIMING}{gap}+-->{gap}[^\n]*)$", "")
+    x = F.regexp_replace(F.regexp_replace(x, r"<[^>\n]+>", ""), SETTINGS, "")
+    x = F.regexp_replace(x, f"{gap}{{2,}}|[{GAPS[1:]}]", " ")
+    return F.filter(F.transform(F.split(x, "\n"), lambda line: F.btrim(line, F.lit(" "))), lambda line: line != "")
 
 
 def without_repeats(lines: Column) -> Column:
