@@ -188,11 +188,22 @@ def item_parts(items: DataFrame, item_id: str, max_bytes: int) -> Iterator[list[
         yield [(r["id"], r["text"]) for r in part.collect()]
 
 
+def rest_of(text: str, stretches) -> str:
+    """text without the words of the stretches (start, end), each from its first word's first byte to its last word's last."""
+    raw = text.encode("utf-8", "surrogatepass")
+    places = [m.span() for m in re.finditer(rb"[^ ]+", raw.translate(FOLD))]
+    out, at = [], 0
+    for start, end in stretches:
+        out.append(raw[at:places[start][0]])
+        at = places[end - 1][1]
+    return b"".join([*out, raw[at:]]).decode("utf-8", "surrogatepass")
+
+
 def _hits(part):
-    """A column function: the text's (n_words, spans, items) by one part's automaton."""
+    """A column function: the text's (n_words, spans, items, rest) by one part's automaton; rest is null without a hit."""
     name = uuid.uuid4().hex
 
-    @F.pandas_udf(f"n_words long, spans {SPANS}, items array<string>")
+    @F.pandas_udf(f"n_words long, spans {SPANS}, items array<string>, rest string")
     def judge(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for batch in texts:
             automaton = _automaton(name, part)
@@ -200,10 +211,11 @@ def _hits(part):
             for text in batch:
                 ws = words(text)
                 found, ids = automaton.scan(ws)
-                rows.append((len(ws), [{"start": s, "end": e} for s, e in merged(found)], sorted(map(str, ids))))
-            yield pd.DataFrame(rows, columns=["n_words", "spans", "items"])
+                spans = merged(found)
+                rows.append((len(ws), [{"start": s, "end": e} for s, e in spans], sorted(map(str, ids)), rest_of(text, spans) if spans else None))
+            yield pd.DataFrame(rows, columns=["n_words", "spans", "items", "rest"])
 
-    return judge
+    return judge.asNondeterministic()  # so that it runs once, not in a filter and again in a projection
 
 
 @F.pandas_udf(ArrayType(StructType([StructField("start", IntegerType()), StructField("end", IntegerType())])))
@@ -212,25 +224,13 @@ def _merge_spans(lists: pd.Series) -> pd.Series:
 
 
 @F.pandas_udf(StringType())
-def without_words(texts: pd.Series, spans: pd.Series) -> pd.Series:
-    """Texts without the words of the spans, each span from its first word's first byte to its last word's last."""
-
-    def rest(text, stretches):
-        if stretches is None or not len(stretches):
-            return text
-        raw = text.encode("utf-8", "surrogatepass")
-        places = [m.span() for m in re.finditer(rb"[^ ]+", raw.translate(FOLD))]
-        out, at = [], 0
-        for x in stretches:
-            out.append(raw[at:places[x["start"]][0]])
-            at = places[x["end"] - 1][1]
-        return b"".join([*out, raw[at:]]).decode("utf-8", "surrogatepass")
-
-    return pd.Series([rest(t, s) for t, s in zip(texts, spans)], dtype=object)
+def _without_words(texts: pd.Series, spans: pd.Series) -> pd.Series:
+    return pd.Series([rest_of(t, [(x["start"], x["end"]) for x in s]) if s is not None and len(s) else None for t, s in zip(texts, spans)], dtype=object)
 
 
 def judged(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, max_bytes: int = MAX_BYTES, item_id: str = "item_id") -> DataFrame:
-    """docs with the column ``__hits``: struct of n_words, spans (in words, disjoint, in order) and items (ids as strings, sorted)."""
+    """docs with the column ``__hits``: struct of n_words, spans (in words, disjoint, in order), items (ids as strings,
+    sorted) and rest (the text without the spans, null without any)."""
     context, parts = docs.sparkSession.sparkContext, []
     for k, items in enumerate(item_parts(benchmark, item_id, max_bytes)):
         hits = _hits(context.broadcast((items, window)))(F.col("text"))
@@ -249,7 +249,7 @@ def judged(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, max_byte
     found = found.select("__digest", _merge_spans("spans").alias("__spans"), F.col("items").alias("__items"))
     n_words = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
     out = docs.withColumn("__key", F.sha2("text", 256)).join(found, F.col("__key") == F.col("__digest"), "left")
-    hits = F.struct(n_words.alias("n_words"), F.coalesce("__spans", F.array().cast(SPANS)).alias("spans"), F.coalesce("__items", F.array().cast("array<string>")).alias("items"))
+    hits = F.struct(n_words.alias("n_words"), F.coalesce("__spans", F.array().cast(SPANS)).alias("spans"), F.coalesce("__items", F.array().cast("array<string>")).alias("items"), _without_words("text", "__spans").alias("rest"))
     return out.withColumn("__hits", hits).drop("__key", "__digest", "__spans", "__items")
 
 
@@ -289,8 +289,8 @@ def decontaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW,
     Rows without a hit, null texts among them, come out unchanged; see contamination() for the other cases.
     """
     out = judged(docs, benchmark, window, max_bytes, item_id).where(~_contaminated(hits_of_words))
-    some = F.size("__hits.spans") > 0
-    out = out.withColumn("text", without_words("text", "__hits.spans"))
+    some = F.col("__hits.rest").isNotNull()
+    out = out.withColumn("text", F.coalesce("__hits.rest", "text"))
     if "n_chars" in docs.columns:
         kind = docs.schema["n_chars"].dataType
         out = out.withColumn("n_chars", F.when(some, F.length("text").cast(kind)).otherwise(F.col("n_chars")))

@@ -25,7 +25,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import FOLD, cut
+from .common import FOLD, arrow_rows, cut
 
 SHINGLE = 5
 BANDS, ROWS = 20, 4
@@ -38,6 +38,8 @@ BLOCK = 128
 LEAST_AGREED = 46
 #: Words of the texts that are hashed together; bounds a task's arrays.
 CHUNK_BYTES = 1_000_000
+#: Rows with texts that a worker gets at once.
+BATCH_ROWS = 1_000
 
 _A, _B, _C = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB))
 
@@ -356,9 +358,11 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     texts are read whole. An empty table gives an empty result.
     """
     rows = docs.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    keyed = cut(signed(rows).groupBy("doc_id").agg(F.max(F.struct("pick", "words", "bands", "signature")).alias("k")).select("doc_id", "k.words", "k.bands", "k.signature"))
+    with arrow_rows(docs.sparkSession, BATCH_ROWS):
+        keyed = cut(signed(rows).groupBy("doc_id").agg(F.max(F.struct("pick", "words", "bands", "signature")).alias("k")).select("doc_id", "k.words", "k.bands", "k.signature"))
     first = cut(keyed.where("words IS NOT NULL").groupBy("words").agg(F.min(F.struct("doc_id", "bands", "signature")).alias("k")).select("words", F.col("k.doc_id").alias("rep"), "k.bands", "k.signature"))
-    roots = joined(first.select(F.col("rep").alias("doc"), "bands", "signature"), rows, threshold)
+    with arrow_rows(docs.sparkSession, BATCH_ROWS):
+        roots = joined(first.select(F.col("rep").alias("doc"), "bands", "signature"), rows, threshold)
     of_rep = first.select("words", "rep").join(roots.withColumnRenamed("doc", "rep"), "rep", "left")
     of_rep = cut(of_rep.select("words", F.coalesce("root", "rep").alias("class_id")))
     worded = keyed.where("words IS NOT NULL").join(of_rep, "words").select("doc_id", "class_id")
