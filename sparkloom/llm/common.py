@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
 
@@ -44,6 +45,15 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def written(df: DataFrame, name: str) -> DataFrame:
+    """df written as Parquet in the shared folder, and read again; Spark then knows its size."""
+    spark = df.sparkSession
+    ensure_checkpoints(spark)
+    folder = f"{spark.sparkContext.getCheckpointDir()}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(folder)
+    return spark.read.schema(df.schema).parquet(folder)
+
+
 def remove(spark: SparkSession, folder: str) -> None:
     """Removes a written table that nothing reads any more."""
     path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, html_extract, minhash, mixing, quality, quality_rules, secrets, suffix, toxicity, url_rules
+from . import decontaminate, html_extract, lexical, minhash, mixing, quality, quality_rules, secrets, suffix, toxicity, url_rules, whitening
 from .common import cut, fold_of, read
 
 
@@ -76,7 +76,15 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
-QUERIES = {f.__name__: f for f in (op1_secret_scan, op2_html_extraction, op3_url_filter, op4_toxicity, op5_decontamination, op6_minhash_near_dedup, op7_suffix_dedup, op8_quality, op9_mix_sources, op10_quality_rules)}
+def op11_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.search(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
+def op13_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whitened(read(spark, sf_dir, "embeddings"))
+
+
+QUERIES = {f.__name__: f for f in (op1_secret_scan, op2_html_extraction, op3_url_filter, op4_toxicity, op5_decontamination, op6_minhash_near_dedup, op7_suffix_dedup, op8_quality, op9_mix_sources, op10_quality_rules, op11_ranked_search, op13_embedding_whitening)}
 
 OP9_SQL = r"""
 WITH sized AS (
@@ -193,5 +201,16 @@ WITH RECURSIVE words AS (SELECT doc_id, w FROM (SELECT doc_id, {FOLDED_WORDS} AS
 )
 SELECT d.doc_id, coalesce(r.class_id, d.doc_id) AS class_id FROM documents d LEFT JOIN (SELECT doc_id, min(root) AS class_id FROM reach GROUP BY doc_id) r USING (doc_id)
 """
+OP11_SQL = f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, w FROM (SELECT doc_id, {FOLDED_WORDS} AS w FROM documents) WHERE len(w) > 0
+), i AS (SELECT row_number() OVER () AS i, item_id, w FROM (SELECT item_id, {FOLDED_WORDS} AS w FROM benchmark) WHERE len(w) > 0
+), q AS (SELECT i, item_id, t, count(*) AS q FROM (SELECT i, item_id, unnest(w) AS t FROM i) GROUP BY ALL
+), p AS (SELECT r, doc_id, n, t, count(*) AS tf FROM (SELECT r, doc_id, len(w) AS n, unnest(w) AS t FROM d) GROUP BY ALL
+), a AS (SELECT count(*)::BIGINT AS n, sum(len(w))::BIGINT AS l FROM d
+), w AS (SELECT t, floor(1000 * ln((2.0 * any_value(a.n) + 2)::DOUBLE / (2.0 * count(*) + 1)::DOUBLE))::BIGINT AS w FROM p, a WHERE t IN (SELECT t FROM q) GROUP BY t
+), s AS (SELECT i, item_id, r, doc_id, sum(q * w * ((1000000000 * tf) // (1000 * tf + 8 * (25 + (75 * p.n * a.n) // a.l))))::BIGINT AS score FROM q JOIN w USING (t) JOIN p USING (t), a GROUP BY ALL
+), o AS (SELECT *, row_number() OVER (PARTITION BY i ORDER BY score DESC, doc_id NULLS LAST, r)::INT AS rank FROM s WHERE score > 0)
+SELECT item_id, rank, doc_id, score FROM o WHERE rank <= 10
+"""
 
-SQL = {"op1_secret_scan": _secret_sql(), "op5_decontamination": OP5_SQL, "op6_minhash_near_dedup": OP6_SQL, "op7_suffix_dedup": OP7_SQL, "op9_mix_sources": OP9_SQL}
+SQL = {"op1_secret_scan": _secret_sql(), "op5_decontamination": OP5_SQL, "op6_minhash_near_dedup": OP6_SQL, "op7_suffix_dedup": OP7_SQL, "op9_mix_sources": OP9_SQL, "op11_ranked_search": OP11_SQL}
