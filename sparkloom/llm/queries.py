@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, html_extract, lexical, minhash, mixing, quality, quality_rules, secrets, suffix, toxicity, url_rules, whitening
-from .common import cut, fold_of, read
+from . import decontaminate, html_extract, lexical, minhash, mixing, personal, quality, quality_rules, secrets, suffix, toxicity, url_rules, whitening
+from .common import arrow_rows, cut, fold_of, read, written
 
 
 def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -80,11 +80,26 @@ def op11_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lexical.search(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
 
 
+def op12_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    model = personal.fit(docs)
+    with arrow_rows(spark, personal.BATCH_ROWS):
+        found = written(personal.personal_spans(docs, model).select("doc_id", "personal_spans"), "personal")
+    own = F.filter("personal_spans", lambda s: s["base"])
+    n = lambda kind: F.size(F.filter(own, lambda s: s["kind"] == kind)).cast("long")
+    return found.select(
+        "doc_id",
+        *[n(k).alias(f"n_{k}") for k in personal.KINDS],
+        F.sha2(secrets.join_spans(own), 256).alias("base_sha256"),
+        secrets.join_spans(F.col("personal_spans")).alias("spans"),
+    )
+
+
 def op13_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whitening.whitened(read(spark, sf_dir, "embeddings"))
 
 
-QUERIES = {f.__name__: f for f in (op1_secret_scan, op2_html_extraction, op3_url_filter, op4_toxicity, op5_decontamination, op6_minhash_near_dedup, op7_suffix_dedup, op8_quality, op9_mix_sources, op10_quality_rules, op11_ranked_search, op13_embedding_whitening)}
+QUERIES = {f.__name__: f for f in (op1_secret_scan, op2_html_extraction, op3_url_filter, op4_toxicity, op5_decontamination, op6_minhash_near_dedup, op7_suffix_dedup, op8_quality, op9_mix_sources, op10_quality_rules, op11_ranked_search, op12_pii, op13_embedding_whitening)}
 
 OP9_SQL = r"""
 WITH sized AS (
