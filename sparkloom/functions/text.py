@@ -6,7 +6,7 @@ import html
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
@@ -47,23 +47,45 @@ def unescaped(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         yield batch.map(lambda x: html.unescape(x) if isinstance(x, str) and "&" in x else x)
 
 
+#: One piece of HTML: text, a comment, a script or style with its body, a tag whose quoted values may hold '>', a
+#: declaration, markup that is cut off, or a '<' that opens nothing. Quantifiers are possessive, so no piece is tried twice.
+_ATTRIBUTES = r"""(?:[\s/]++|(?<=['"\s/])[^\s/>][^\s/=>]*+(?:\s*+=++\s*+(?:'[^']*+'|"[^"]*+"|(?!['"])[^>\s]*+))?+)*+"""
+_BODY = rf"(?<!/)>(?:.*?</\s*+{{0}}\s*+>|.*+)"
+HTML_PIECE = (
+    r"(?is)[^<]++|<!--.*?--\s*+>"
+    + "".join(rf"|<{n}(?=[\s/>]){_ATTRIBUTES}{_BODY.format(n)}" for n in ("script", "style"))
+    + rf"|<[a-z][^\s/>]*+{_ATTRIBUTES}>|</[^>]*+>|<!\[(?:cdata|temp|ignore|include|rcdata)\[.*?\]\s*+\]\s*+>|<!\[(?:if|else|endif).*?\]\s*+>|<!(?!--)[^>]*+>|<\?[^>]*+>|<[a-z/!?].*+|<"
+)
+#: Tags that end a line: an end tag, or an empty one, whose slash isn't part of a value.
+LINE_END = r"(?is)^</\s*(?:p|br|div|tr)\s*>$|^</(?:p|br|div|tr)[\s/].*$|^<(?:p|br|div|tr)(?:[\s/].*)?/>$"
+_BARE_SLASH = r"(?s)=\s*[^\s'\"][^\s>]*/>$"
+#: Stands between pieces while references are decoded, so that none is read across a tag; no text holds this code point.
+_SEAM = "\uffff"
+
+
 def html_to_text(html: Column) -> Column:
     """Text of HTML mail: scripts and styles dropped, a new line at the end tags of p, br, div and tr.
 
-    Script and style bodies go first, since they may hold end tags. At most one blank line stays.
-    References are decoded last, so what they stand for is never taken for markup.
+    A '<' opens markup only before a letter, '/', '!' or '?', and quoted values may hold '>'. Markup that is cut
+    off takes the rest of the text with it, and so does a script that isn't closed. Text after the last tag is
+    left out if a reference at its end may be cut off, that is, an '&' among its last 34 characters after which
+    there is neither white space nor ';'. At most one blank line stays. References are decoded last.
     """
-    x = F.regexp_replace(html, r"(?is)<(script|style)\b[^>]*>.*?</\1\s*>", "")
-    x = F.regexp_replace(x, r"(?s)<!--.*?-->|<![^>]*>", "")
-    x = F.regexp_replace(x, r"(?i)</(p|br|div|tr)\s*>|<br\s*/>", "\n")
-    x = F.regexp_replace(x, r"<[^>]*>", "")
-    return strip_ws(F.regexp_replace(unescaped(x), r"\n{3,}", "\n\n"))
+    cut_off = lambda x: (x == "<") | (~x.startswith("<") & F.right(x, F.lit(34)).rlike(r"(?U)&[^\s;&]*+\z"))
+    kept = lambda xs: F.when((F.size(xs) > 0) & cut_off(F.get(xs, F.size(xs) - 1)), F.slice(xs, F.lit(1), F.size(xs) - 1)).otherwise(xs)
+    shown = lambda x: F.when(~x.startswith("<") | (x == "<"), x).when(x.rlike(LINE_END) & ~x.rlike(_BARE_SLASH), "\n").otherwise("")
+    x = F.array_join(F.transform(let(F.regexp_extract_all(html, F.lit(HTML_PIECE), F.lit(0)), kept), shown), _SEAM)
+    return strip_ws(F.regexp_replace(F.replace(unescaped(x), F.lit(_SEAM), F.lit("")), r"\n{3,}", "\n\n"))
 
 
 def strip_quoted_reply(body: Column) -> Column:
-    """Drops quoted lines, then everything from an original-message or underscore separator on."""
+    """Drops quoted lines and original-message separators, and everything from an underscore separator on.
+
+    What stands after an original-message separator stays; the separator reaches from its dashes to the end of the
+    line that holds its words.
+    """
     x = F.regexp_replace(body, r"\n>[^\n]*", "")
-    x = F.regexp_replace(x, r"(?s)\n-{3,}[^\n]*原始邮件[^\n]*\n.*$", "")
+    x = F.when(x.contains("原始邮件"), F.regexp_replace(x, r"(?s)\n-{3,}.*?原始邮件.*?\n", "\n")).otherwise(x)
     return strip_ws(F.regexp_replace(x, r"(?s)\n_{3,}\n.*$", ""))
 
 
@@ -91,13 +113,44 @@ def hms(seconds: Column) -> Column:
     return F.format_string("%02d:%02d:%02d", F.floor(s / 3600).cast("long"), F.floor(s % 3600 / 60).cast("long"), s % 60)
 
 
-def slugify(name: Column, default: str = "colleague") -> Column:
-    """ASCII letters, digits, '-' and '_' in lower case, a space as '_'; runs of '_' squeezed."""
+def slugify(name: Column, default: str = "colleague", mapping: dict[str, str] | None = None) -> Column:
+    """ASCII letters, digits, '-' and '_' in lower case, a space as '_'; runs of '_' squeezed.
+
+    What a mapping has is put in its place first, as a word of its own.
+    """
+    name = transliterated(name, {k: f"_{v}_" for k, v in mapping.items()}) if mapping else name
     kept = F.regexp_replace(F.replace(F.lower(name), F.lit(" "), F.lit("_")), r"[^a-z0-9_-]", "")
     slug = F.regexp_replace(F.regexp_replace(kept, "_+", "_"), "^_+|_+$", "")
     return F.when(or_empty(slug) == "", F.lit(default)).otherwise(slug)
 
 
+def transliterated(name: Column, mapping: dict[str, str]) -> Column:
+    """name with each longest run of characters that the mapping has in its place, characters it hasn't as they are.
+
+    From left to right; where several keys begin at a character the longest is taken. The mapping is a bounded
+    dictionary: its keys become one alternation, its entries a map, both of which are part of the plan.
+    """
+    if not mapping:
+        return name
+    keys = sorted((k for k in mapping if k), key=lambda k: (-len(k), k))
+    quoted = "|".join("\\Q" + k.replace("\\E", "\\E\\\\E\\Q") + "\\E" for k in keys)
+    table = F.create_map(*[F.lit(x) for k in keys for x in (k, mapping[k])])
+    pieces = F.regexp_extract_all(name, F.lit(f"(?s){quoted}|."), F.lit(0))
+    return F.array_join(F.transform(pieces, lambda p: F.coalesce(F.element_at(table, p), p)), "")
+
+
+def bounded_mapping(rows: DataFrame, source: str = "source", target: str = "target", most: int = 20_000) -> dict[str, str]:
+    """A mapping table as a dictionary; more than ``most`` entries are an error, as they'd be part of every plan.
+
+    Rows without a source or target are left out; of equal sources the smallest target counts.
+    """
+    sound = rows.where(F.col(source).isNotNull() & F.col(target).isNotNull() & (F.col(source) != ""))
+    found = sound.groupBy(F.col(source).alias("s")).agg(F.min(target).alias("t")).limit(most + 1).collect()
+    if len(found) > most:
+        raise ValueError(f"the mapping has more than {most} entries")
+    return {r.s: r.t for r in found}
+
+
 def rename_frontmatter(markdown: Column, name: Column) -> Column:
     """Sets ``name:`` in a leading front matter block, or inserts it as the first line; else unchanged."""
     block = r"(?s)^---\n(.*?)\n---\n"

@@ -8,13 +8,13 @@ from pyspark.sql import functions as F
 from ..functions.text import markdown_cell, or_empty
 
 
+#: JSON of what counts as nothing.
+_NOTHING = r'^(?:null|""|false|\[\]|\{\}|-?0(?:\.0+)?(?:[eE][+-]?\d+)?)$'
+
+
 def truthy(value: Column) -> Column:
     """The variant, or null if it is missing or one of null, false, 0, "", [] and {}."""
-    kind, text = F.schema_of_variant(value), F.try_variant_get(value, "$", "string")
-    number = kind.rlike("^(BIGINT|DECIMAL|DOUBLE|FLOAT|INT|SMALLINT|TINYINT)") & (F.try_variant_get(value, "$", "double") == 0)
-    empty = (kind.isin("STRING", "BOOLEAN") & text.isin("", "false") & ~((kind == "STRING") & (text == "false"))) | number
-    empty = empty | (kind.startswith("ARRAY") & (text == "[]")) | (kind.startswith("OBJECT") & (text == "{}"))
-    return F.when(~F.is_variant_null(value) & ~empty, value)
+    return F.when(~F.to_json(value).rlike(_NOTHING), value)
 
 
 def first_of(value: Column, keys) -> Column:

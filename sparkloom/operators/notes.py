@@ -123,3 +123,26 @@ def corpus_metrics(lines: DataFrame) -> DataFrame:
     out = out.join(seen, "corpus", "left").fillna(0, ["url_mentions", "unique_urls"])
     total = F.col("high_tier_sources") + F.col("mid_tier_sources") + F.col("low_tier_sources")
     return out.withColumn("weighted_source_primary_ratio", F.coalesce(primary_ratio(F.col("high_tier_sources"), total), F.lit(0)).cast("long"))
+
+
+# Distinct counts that merge -------------------------------------------------------------------------
+
+#: Base-two logarithm of a sketch's registers; the standard error is about 1.04 / sqrt(registers).
+LG_K = 12
+
+
+def sketch_error(lg_k: int = LG_K) -> float:
+    return 1.04 / 2 ** (lg_k / 2)
+
+
+def distinct_sketches(rows: DataFrame, keys: list[str], value: str, lg_k: int = LG_K) -> DataFrame:
+    """(keys, sketch): a HyperLogLog sketch of each group's values, of bounded size, to be kept beside the files it is of.
+
+    Null values don't count. Sketches of new files are added to those kept, so old files aren't read again.
+    """
+    return rows.groupBy(*keys).agg(F.hll_sketch_agg(value, F.lit(lg_k)).alias("sketch"))
+
+
+def merged_sketches(sketches: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, distinct): the estimate over all sketches of each group."""
+    return sketches.groupBy(*keys).agg(F.hll_sketch_estimate(F.hll_union_agg("sketch")).alias("distinct"))

@@ -77,6 +77,14 @@ def triple_gate(*gates: Column) -> Column:
 #: The hierarchy of sources, best first, as (weight, class), and sources that are never evidence, by host or title.
 HIERARCHY = ((1, "local material"), (2, "first-person work"), (3, "long-form interview"), (4, "documented decision"), (5, "short first-person post"), (6, "external analysis"), (7, "secondhand summary"))
 BLACKLIST = (("zhihu", r"(?i)\bzhihu\.com|知乎"), ("wechat", r"(?i)\bmp\.weixin\.qq\.com|微信公众号"), ("baike", r"(?i)\bbaike\.baidu\.com|百度百科"))
+#: Kinds of source that are never evidence wherever they stand: name, what names it, what it must go with, what excuses it.
+#: A list of lessons may quote primary sources with links; an encyclopedia may point to sources, but isn't a primary one.
+GENERAL = (
+    ("content farm", r"(?i)\bcontent farm|\bseo\b|\bsearch[- ]optimi[sz]ed\b", None, None),
+    ("generated biography", r"(?i)\b(?:ai|machine)[- ](?:generated|written)\b|\b(?:generated|written) by (?:an? )?(?:ai|language model)\b", None, None),
+    ("listicle", r"(?i)\b\d+\s+(?:\w+\s+)?(?:lessons|things|ways|facts|quotes|reasons|tips|secrets|habits|rules)\b", None, r"(?is)(?=.*https?://)(?=.*\b(?:primary|first-person)\b)"),
+    ("encyclopedia", r"(?i)\bwikipedia\b|维基百科", r"(?i)\bprimary\b|\bfirst-person\b|一手", None),
+)
 
 
 def hierarchy(spark: SparkSession) -> DataFrame:
@@ -85,13 +93,14 @@ def hierarchy(spark: SparkSession) -> DataFrame:
 
 
 def blacklist(spark: SparkSession) -> DataFrame:
-    """(source, pattern): a row for each kind of source that is never evidence."""
-    return spark.createDataFrame(BLACKLIST, "source string, pattern string")
+    """(source, pattern, only_with, unless): a row for each kind of source that is never evidence, named ones and general ones."""
+    return spark.createDataFrame([(n, p, None, None) for n, p in BLACKLIST] + list(GENERAL), "source string, pattern string, only_with string, unless string")
 
 
 def blacklisted(lines: DataFrame, listed: DataFrame, column: str = "line") -> DataFrame:
-    """The rows that cite a listed source, with its name. listed: a dimension of a few patterns."""
-    return lines.join(F.broadcast(listed), F.expr(f"`{column}` RLIKE pattern")).drop("pattern")
+    """The rows that cite a listed source, with its name; one row for each source that a line cites. listed: a dimension of a few patterns."""
+    cites = F.expr(f"`{column}` RLIKE pattern AND (only_with IS NULL OR `{column}` RLIKE only_with) AND (unless IS NULL OR NOT `{column}` RLIKE unless)")
+    return lines.join(F.broadcast(listed), cites).drop("pattern", "only_with", "unless")
 
 
 def audit(metrics: DataFrame, cited: DataFrame, key: str = "corpus") -> DataFrame:

@@ -7,8 +7,7 @@ import re
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import first_truthy, let, or_empty, strip_ws
-from .classify import family
+from ..functions.text import WS, let, or_empty, strip_ws
 
 #: Order of a profile's fields in an identity line.
 IDENTITY_FIELDS = ("company", "level", "role", "occupation", "identity", "specialty", "known_for")
@@ -19,15 +18,10 @@ PRESETS = (
     ("relationship", "Relationship", "personal", "relationship", True, False, False, "skills/relationship", "skills/relationship"),
     ("celebrity", "Celebrity", "public", "public_figure", True, True, False, "skills/celebrity", "skills/celebrity"),
 )
-PRESET_SCHEMA = "family string, label string, domain string, relationship string, is_real_person boolean, is_public_figure boolean, is_fictional boolean, storage_root string, legacy_root string"
 SCHEMA_VERSION = "3"
 RETAINED = 10
 
 
-def presets(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(PRESETS, PRESET_SCHEMA)
-
-
 def identity(profile: dict[str, Column], label: Column, mbti: Column) -> Column:
     """The profile's fields in order, or the family's label; then the MBTI type."""
     fields = F.array(*[profile.get(f, F.lit(None).cast("string")) for f in IDENTITY_FIELDS])
@@ -42,34 +36,6 @@ def artifact_names(kind: Column, slug: Column) -> dict[str, Column]:
     return out | {"combined_command": command, "work_command": F.concat(command, F.lit("-work")), "persona_command": F.concat(command, F.lit("-persona"))}
 
 
-def enrich(meta: DataFrame, spark: SparkSession) -> DataFrame:
-    """meta with defaults of its family filled in. Empty fields count as missing, except a domain that is
-    given but empty, which is kept."""
-    rows = meta.withColumn("family", family(F.col("character"))).join(F.broadcast(presets(spark)), "family")  # three rows
-    name = first_truthy(F.col("display_name"), F.col("name"), F.col("slug"))
-    created = first_truthy(F.col("created_at"))
-    return rows.select(
-        F.lit(SCHEMA_VERSION).alias("schema_version"), "slug", F.col("family").alias("character"), name.alias("display_name"),
-        F.coalesce(F.nullif("name", F.lit("")), name).alias("name"),
-        F.concat(F.lit("meta-skill."), "family", F.lit("."), "slug").alias("id"),
-        F.coalesce("source_domain", "domain").alias("domain"), F.col("relationship"), "is_public_figure", "label",
-        first_truthy(F.col("version"), F.lit("v1")).alias("version"), created.alias("created_at"), first_truthy(F.col("updated_at"), created).alias("updated_at"),
-        F.when(F.col("family") == "celebrity", "budget-friendly").otherwise("standard").alias("research_profile"), "storage_root",
-    )
-
-
-def manifest(meta: dict[str, Column]) -> Column:
-    """A record's manifest as JSON, keys in a fixed order."""
-    names = artifact_names(meta["character"], meta["slug"])
-    return F.to_json(F.struct(
-        F.lit("1").alias("manifest_version"), meta["id"].alias("id"), meta["character"].alias("character"), meta["display_name"].alias("display_name"),
-        F.struct(F.lit("SKILL.md").alias("default"), F.lit("work_skill.md").alias("work"), F.lit("persona_skill.md").alias("persona")).alias("entrypoints"),
-        F.array(*map(F.lit, ("SKILL.md", "work.md", "persona.md", "meta.json", "manifest.json"))).alias("artifacts"),
-        F.array(F.lit("persona"), F.lit("work")).alias("capabilities"),
-        F.struct(names["combined_command"].alias("default"), names["work_command"].alias("work"), names["persona_command"].alias("persona")).alias("slash_commands"),
-    ))
-
-
 def front(name: Column, description: Column, body: Column) -> Column:
     return F.concat(F.lit("---\nname: "), name, F.lit("\ndescription: "), description, F.lit("\nuser-invocable: true\n---\n\n"), body, F.lit("\n"))
 
@@ -176,29 +142,23 @@ def render_combined(names: dict[str, Column], display: Column, who: Column, summ
     return F.when(or_empty(language).startswith("zh"), filled(COMBINED_ZH, values)).otherwise(filled(COMBINED_EN, values))
 
 
-#: File names of the seven artifacts.
-ARTIFACTS = ("work.md", "persona.md", "SKILL.md", "work_skill.md", "persona_skill.md", "manifest.json", "meta.json")
-
-
-def artifacts(rows: DataFrame, meta: dict[str, Column], who: Column, summary: Column, language: Column, work: Column, persona: Column, keep: list[str]) -> DataFrame:
+def artifacts(rows: DataFrame, files: dict[str, Column], names: dict[str, Column], display: Column, who: Column, summary: Column, language: Column, work: Column, persona: Column, manifest: Column, meta: Column, keep: list[str]) -> DataFrame:
     """keep, file and content: one row for each of the seven artifacts of each record.
 
-    meta: the columns that manifest() takes, of which meta.json holds all.
+    files: the records' own file names by what they hold, as in FILES of the metadata; manifest and meta as JSON.
     """
-    names = artifact_names(meta["character"], meta["slug"])
-    parts = render_parts(names, meta["display_name"], language, work, persona)
-    combined = render_combined(names, meta["display_name"], who, summary, language, work, persona)
-    contents = (work, persona, combined, parts["work_skill"], parts["persona_skill"], manifest(meta), F.to_json(F.struct(*[c.alias(k) for k, c in meta.items()])))
-    each = F.array(*[F.struct(F.lit(f).alias("file"), c.alias("content")) for f, c in zip(ARTIFACTS, contents)])
+    parts = render_parts(names, display, language, work, persona)
+    combined = render_combined(names, display, who, summary, language, work, persona)
+    contents = (("work_doc", work), ("persona_doc", persona), ("combined_skill", combined), ("work_skill", parts["work_skill"]), ("persona_skill", parts["persona_skill"]), ("manifest", manifest))
+    each = F.array(*[F.struct(files[f].alias("file"), c.alias("content")) for f, c in contents], F.struct(F.lit("meta.json").alias("file"), meta.alias("content")))
     return rows.select(*keep, F.explode(each).alias("a")).select(*keep, "a.file", "a.content")
 
 
-def install_record(host: Column, meta: dict[str, Column], source: Column, installed_at: Column) -> Column:
+def install_record(host: Column, command: Column, meta: dict[str, Column], source: Column, artifact: Column, installed_at: Column) -> Column:
     """What is noted of an installed record, as JSON; its markdown is renamed by rename_frontmatter()."""
-    command = artifact_names(meta["character"], meta["slug"])["combined_command"]
     return F.to_json(F.struct(
         host.alias("host"), command.alias("command_name"), meta["character"].alias("character"), meta["slug"].alias("slug"), meta["version"].alias("version"),
-        source.alias("source_skill_dir"), F.lit("SKILL.md").alias("source_artifact"), installed_at.alias("installed_at"),
+        source.alias("source_skill_dir"), artifact.alias("source_artifact"), installed_at.alias("installed_at"),
     ))
 
 
@@ -238,15 +198,52 @@ def sections(docs: DataFrame, key: str, text: str) -> DataFrame:
 
 
 def patched(old: DataFrame, patch: DataFrame, key: str) -> DataFrame:
-    """Sections after a patch: same headings are replaced in place, new ones come after, in the patch's order.
+    """(key, heading, place, body, status): sections after one patch, and what became of each.
 
-    What a patch with headings says before its first is left out.
+    Of equal headings in the document the first is replaced, of those in the patch the last counts; new ones come
+    after, in the patch's order. What a patch says before its first heading is left out, but a patch without
+    headings is appended as a whole. For texts as they are after many patches see merge_patches().
     """
-    right = patch.where("heading <> ''").select(key, "heading", F.col("pos").alias("__pos"), F.col("body").alias("__body"))
-    both = old.join(right, [key, "heading"], "full_outer")
+    headed = patch.where("heading <> ''").groupBy(key, "heading").agg(F.min("pos").alias("__pos"), F.max_by("body", "pos").alias("__body"))
+    whole = patch.where("heading = '' AND body <> ''").join(headed.select(key).distinct(), key, "left_anti").select(key, "heading", F.lit(2_000_000).alias("place"), "body", F.lit("appended").alias("status"))
+    nth = F.row_number().over(Window.partitionBy(key, "heading").orderBy("pos"))
+    both = old.withColumn("__nth", nth).join(headed.withColumn("__nth", F.lit(1)), [key, "heading", "__nth"], "full_outer")
     place = F.coalesce(F.col("pos"), F.lit(1_000_000) + F.col("__pos"))
     status = F.when(F.col("__body").isNull(), "kept").when(F.col("body").isNull(), "appended").when(F.col("__body") == F.col("body"), "confirmed").otherwise("replaced")
-    return both.select(key, "heading", place.alias("place"), F.coalesce("__body", "body").alias("body"), status.alias("status"))
+    return both.select(key, "heading", place.alias("place"), F.coalesce("__body", "body").alias("body"), status.alias("status")).unionByName(whole)
+
+
+_SPACE = "[" + re.escape(WS) + "]"
+#: Where a level-2 section begins; a line's end is a line feed alone.
+_SECTION = rf"(?md)(?=^##{_SPACE}+[^\n])"
+
+
+def merge_patch(text: Column, patch: Column) -> Column:
+    """text after one patch: each of its level-2 sections takes the place of the first one with its heading, or comes last.
+
+    Text before the patch's first heading is left out; a patch without headings is appended. An empty one changes nothing.
+    """
+    part = lambda xs, i: or_empty(F.get(xs, F.lit(i)))
+
+    def placed(state: Column, section: Column) -> Column:
+        quoted = F.replace(F.regexp_substr(section, F.lit(rf"^##{_SPACE}+[^\n]+")), F.lit("\\E"), F.lit(r"\E\\E\Q"))
+        line = F.concat(F.lit(r"(?md)^\Q"), quoted, F.lit(rf"\E{_SPACE}*$"))
+        around = lambda xs: F.concat(F.rtrim(part(xs, 0), F.lit(WS)), F.lit("\n\n"), strip_ws(section), F.lit("\n\n"), F.ltrim(part(F.split(part(xs, 1), F.lit(_SECTION), 2), 1), F.lit(WS)))
+        last = F.concat(F.rtrim(state["text"], F.lit(WS)), F.lit("\n\n"), strip_ws(section))
+        return let(F.split(state["text"], line, 2), lambda xs: F.when(F.size(xs) > 1, F.struct(around(xs).alias("text"), F.lit(True).alias("replaced"))).otherwise(F.struct(last.alias("text"), state["replaced"].alias("replaced"))))
+
+    def folded(sections_: Column) -> Column:
+        done = F.aggregate(sections_, F.struct(text.alias("text"), F.lit(False).alias("replaced")), placed)
+        return let(done, lambda d: F.when(d["replaced"], F.concat(strip_ws(d["text"]), F.lit("\n"))).otherwise(d["text"]))
+
+    appended = F.concat(text, F.when(text == "", "").otherwise("\n\n"), patch)
+    headed = F.filter(F.split(patch, _SECTION), lambda x: x.rlike(rf"^##{_SPACE}+[^\n]"))
+    return F.when(or_empty(patch) == "", text).otherwise(let(headed, lambda xs: F.when(F.size(xs) == 0, appended).otherwise(folded(xs))))
+
+
+def merge_patches(text: Column, patches: Column) -> Column:
+    """text after an array of patches, in their order; a null text counts as empty."""
+    return F.aggregate(patches, or_empty(text), merge_patch)
 
 
 def joined_sections(rows: DataFrame, key: str) -> DataFrame:
@@ -254,15 +251,25 @@ def joined_sections(rows: DataFrame, key: str) -> DataFrame:
     return rows.groupBy(key).agg(F.array_join(F.filter(entry, lambda x: x != ""), "\n\n").alias("text"))
 
 
-def apply_corrections(persona: Column, corrections: Column, heading: str = "## Correction Log", empty: str = "(No entries yet)") -> Column:
-    """persona with each correction right after the log's heading, newest first; the heading is added if missing."""
+#: Headings of a correction log, and what an empty one says.
+LOGS = (("## Correction Log", "(No entries yet)"), ("## Correction 记录", "（暂无记录）"))
+
+
+def apply_corrections(persona: Column, corrections: Column, logs=LOGS) -> Column:
+    """persona with each correction right after a log's heading, newest first.
+
+    Of the headings the first that the text holds is used, wherever it stands; without any the first is added.
+    """
     line = lambda c: F.concat(F.lit("\n- ["), c["scene"], F.lit("] should not "), c["wrong"], F.lit("; should "), c["correct"])
 
     def put(text, c):
-        at = F.locate(heading, text)
-        rest = F.substring(text, at + len(heading), F.length(text))
-        rest = F.when(rest.startswith("\n\n" + empty), F.substring(rest, len(empty) + 3, F.length(rest))).otherwise(rest)
-        return F.when(at > 0, F.concat(F.substring(text, F.lit(1), at - 1 + len(heading)), line(c), rest)).otherwise(F.concat(text, F.lit(f"\n\n{heading}\n"), line(c), F.lit("\n")))
+        out = F.concat(text, F.lit(f"\n\n{logs[0][0]}\n"), line(c), F.lit("\n"))
+        for heading, empty in reversed(logs):
+            at = F.locate(heading, text)
+            rest = F.substring(text, at + len(heading), F.length(text))
+            rest = F.when(rest.startswith("\n\n" + empty), F.substring(rest, F.lit(len(empty) + 3), F.length(rest))).otherwise(rest)
+            out = F.when(at > 0, F.concat(F.substring(text, F.lit(1), at - 1 + len(heading)), line(c), rest)).otherwise(out)
+        return out
 
     return F.aggregate(corrections, persona, put)
 

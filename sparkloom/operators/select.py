@@ -81,6 +81,25 @@ def channel_cap(limit: int, n_channels: int, least: int = 100) -> int:
     return max(least, limit // max(1, n_channels))
 
 
+def direct_then_chats(messages: DataFrame, chats: DataFrame, target: str, chat: str, direct: Column, order: list[Column], limit: int, least: int = 100) -> DataFrame:
+    """Each target's direct talk, at most ``limit`` rows; then, if any of the limit remains, of each of their chats at
+    most max(least, remaining // number of chats), so the sum may pass the limit.
+
+    chats: (target, chat), every chat that a target is in, also those without messages; a target without chats gets
+    direct talk only. direct: whether a message is direct talk. Counts combine on the map side; groups are first cut to
+    what any target may take, a literal, so Spark cuts them before the shuffle, and then to their own number.
+    """
+    own = head_per_group(messages.where(direct), [target], order, limit)
+    used = messages.where(direct).groupBy(target).agg(F.least(F.count(F.lit(1)), F.lit(limit)).alias("__used"))
+    count = chats.select(target, chat).distinct().groupBy(target).agg(F.count(F.lit(1)).alias("__chats"))
+    left = F.lit(limit) - F.coalesce("__used", F.lit(0))
+    caps = count.join(used, target, "left").where(left > 0).select(target, F.greatest(F.lit(least), F.floor(left / F.col("__chats"))).alias("__cap"))
+    n = F.row_number().over(Window.partitionBy(target, chat).orderBy(*order))
+    rest = messages.where(~direct).join(chats.select(target, chat).distinct(), [target, chat], "left_semi").withColumn("__n", n).where(F.col("__n") <= max(least, limit))
+    rest = rest.join(caps, target).where(F.col("__n") <= F.col("__cap")).drop("__n", "__cap")
+    return own.unionByName(rest)
+
+
 def descend(edges: DataFrame, root, depth: int | None = None, most_children: int | None = None, order: str = "child") -> DataFrame:
     """(node, depth): the root and the nodes below it, at most ``depth`` edges down where that is given.
 

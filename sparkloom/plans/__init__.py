@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-WAVES = ("wave1", "wave2", "wave3", "wave4", "wave5")
+WAVES = ("wave1", "wave2", "wave3", "wave4", "wave5", "wave6")
 
 
 def _all(what: str) -> dict:

@@ -24,9 +24,13 @@ def query(sql: str | None = None):
 
 
 STRIP = r"regexp_replace({}, '^\s+|\s+$', '', 'g')"
-_HTML = "html"
-for pattern, put in ((r"(?is)<script\b[^>]*>.*?</script\s*>|<style\b[^>]*>.*?</style\s*>", ""), (r"(?s)<!--.*?-->|<![^>]*>", ""), (r"(?i)</(p|br|div|tr)\s*>|<br\s*/>", "\n"), ("<[^>]*>", "")):
-    _HTML = f"regexp_replace({_HTML}, '{pattern}', {'chr(10)' if put else chr(39) * 2}, 'g')"
+#: The pieces of HTML text, for an engine without possessive quantifiers, and what each shows.
+_PIECES = r"""(?is)[^<]+|<!--.*?--\s*>|<script(?:\s(?:[^'">/]|"[^"]*"|'[^']*'|/[^'">])*)?>(?:.*?</\s*script\s*>|.*)|<style(?:\s(?:[^'">/]|"[^"]*"|'[^']*'|/[^'">])*)?>(?:.*?</\s*style\s*>|.*)|<[a-z][^\s/>]*(?:[\s/](?:[^'">]|"[^"]*"|'[^']*')*)?>|</[^>]*>|<[!?][^>]*>|<[a-z/!?].*|<""".replace("'", "''")
+_SHOWN = r"CASE WHEN p[1] <> '<' OR p = '<' THEN p WHEN regexp_matches(p, '(?i)^</(p|br|div|tr)\s*>$|^<(p|br|div|tr)\s*/>$') THEN chr(10) ELSE '' END"
+_CUT_OFF = r"(len(l) > 0 AND (l[-1] = '<' OR (l[-1][1] <> '<' AND regexp_matches(right(l[-1], 34), '&[^\s;&]*$'))))"
+#: Put after every page, by its id: what a pattern per tag would get wrong.
+ODD_HTML = ("<p>1 < 2 and 3 > 2</p>x", "a <3 b <i>c</i>", "<p title='a>b'>t</p><div/>u<br />v<br>w", "<b>seen</b><script>if (1 < 2) hidden", "<tr>r</TR ><!-- > --><style>p</style>s &amp", "<p class=\"x>y\" id=z>q</p><a href='cut off>gone", "end <", "<>empty</>shown<script src='a'/>more")
+_ODD = "CASE page_id % 8 " + " ".join(f"WHEN {k} THEN '{x.replace(chr(39), chr(39) * 2)}'" for k, x in enumerate(ODD_HTML)) + " END"
 #: Named references as the HTML standard has them; numeric ones are computed.
 _NAMED = ", ".join(f"'{name[:-1]}': '{chars.replace(chr(39), chr(39) * 2)}'" for name, chars in html5.items() if name.endswith(";") and "\0" not in chars)
 _PIECE = r"""CASE WHEN regexp_matches(p, '^#[0-9]+;') THEN chr(regexp_extract(p, '^#([0-9]+);', 1)::INT) WHEN regexp_matches(p, '^#[xX][0-9a-fA-F]+;') THEN chr(('0x' || regexp_extract(p, '^#[xX]([0-9a-fA-F]+);', 1))::INT)
@@ -34,12 +38,14 @@ _PIECE = r"""CASE WHEN regexp_matches(p, '^#[0-9]+;') THEN chr(regexp_extract(p,
 REFERENCES = "<p>caf&eacute; &#39;a&#39; &#x27;b&#x27; &hellip; &amp;lt; &mdash; &#8364; &nosuch; &amp;amp;</p>"
 
 
-@query(rf"""WITH names AS (SELECT MAP {{{_NAMED}}} AS names), bare AS (SELECT page_id, {_HTML} AS x FROM (SELECT page_id, html || '{REFERENCES.replace("'", "''")}' AS html FROM pages)),
+@query(rf"""WITH names AS (SELECT MAP {{{_NAMED}}} AS names), cut AS (SELECT page_id, regexp_extract_all(html || '{REFERENCES.replace("'", "''")}' || {_ODD}, '{_PIECES}') AS l FROM pages),
+  bare AS (SELECT page_id, array_to_string(list_transform(CASE WHEN {_CUT_OFF} THEN l[:-2] ELSE l END, lambda p: {_SHOWN}), '') AS x FROM cut),
   pieces AS (SELECT page_id, unnest(string_split(x, '&')) AS p, unnest(generate_series(1, len(string_split(x, '&')))) AS i FROM bare),
   decoded AS (SELECT page_id, string_agg(CASE WHEN i = 1 THEN p ELSE coalesce({_PIECE} || substr(p, strpos(p, ';') + 1), '&' || p) END, '' ORDER BY i) AS x FROM pieces, names GROUP BY page_id)
   SELECT page_id, {STRIP.format("regexp_replace(x, '\\n{3,}', chr(10) || chr(10), 'g')")} AS text FROM decoded""")
 def html_to_text(spark, sf_dir):
-    return table(spark, sf_dir, "pages").select("page_id", tx.html_to_text(F.concat("html", F.lit(REFERENCES))).alias("text"))
+    """The text of each page, with references and odd markup put after it."""
+    return table(spark, sf_dir, "pages").select("page_id", tx.html_to_text(F.concat("html", F.lit(REFERENCES), F.expr(_ODD.replace("''", "\\'")))).alias("text"))
 
 
 LINES = "(SELECT doc_id, unnest(string_split(regexp_replace(text, '\\n$', ''), chr(10))) AS line, unnest(generate_series(0, len(string_split(regexp_replace(text, '\\n$', ''), chr(10))) - 1)) AS i FROM documents)"
@@ -113,10 +119,8 @@ def mail_split(spark, sf_dir):
     return kept.select("doc_id", "sender", "subject", "date", F.md5("body").alias("body_md5"), F.length("body").alias("n"))
 
 
-QUOTED = "CASE conv_id % 3 WHEN 0 THEN text || chr(10) || '> old' || chr(10) || 'tail' WHEN 1 THEN text || chr(10) || '-----原始邮件-----' || chr(10) || 'gone' ELSE text || chr(10) || '____' || chr(10) || 'gone' END"
-
-
-_UNQUOTED = STRIP.format(r"regexp_replace(regexp_replace(regexp_replace(b, '\n>[^\n]*', '', 'g'), '(?s)\n-{3,}[^\n]*原始邮件[^\n]*\n.*$', ''), '(?s)\n_{3,}\n.*$', '')")
+QUOTED = "CASE conv_id % 4 WHEN 0 THEN text || chr(10) || '> old' || chr(10) || 'tail' WHEN 1 THEN text || chr(10) || '-----原始邮件-----' || chr(10) || 'old text' || chr(10) || 'more' WHEN 2 THEN 'Hi' || chr(10) || '> quoted' || chr(10) || '---' || chr(10) || 'dropped 原始邮件 too' || chr(10) || text || chr(10) || '--- 原始邮件 ---' || chr(10) || 'last' ELSE text || chr(10) || '____' || chr(10) || 'gone' END"
+_UNQUOTED = STRIP.format(r"regexp_replace(regexp_replace(regexp_replace(b, '\n>[^\n]*', '', 'g'), '(?s)\n-{3,}.*?原始邮件.*?\n', chr(10), 'g'), '(?s)\n_{3,}\n.*$', '')")
 
 
 @query(f"SELECT conv_id, turn, {_UNQUOTED} AS body FROM (SELECT conv_id, turn, {QUOTED} AS b FROM conversations)")

@@ -177,12 +177,21 @@ def gate_report(spark, sf_dir):
     return rows.select("corpus", report.gate_report(named, passed).alias("report"), json.alias("json"))
 
 
-CITED = "CASE doc_id % 9 WHEN 0 THEN '- via https://www.zhihu.com/question/1' WHEN 4 THEN '- 微信公众号 post' ELSE '- own notes' END"
+CITED = "CASE doc_id % 13 WHEN 0 THEN '- via https://www.zhihu.com/question/1' WHEN 4 THEN '- 微信公众号 post' WHEN 5 THEN '- 10 lessons from X' WHEN 6 THEN '- 10 big lessons, quoting a primary source, https://x.example/a' WHEN 7 THEN '- Wikipedia as a pointer' WHEN 8 THEN '- Wikipedia, primary source' WHEN 9 THEN '- an AI-generated biography' WHEN 10 THEN '- SEO summary site' ELSE '- own notes' END"
+_NAMED = "CASE doc_id % 13 WHEN 0 THEN 'zhihu' WHEN 4 THEN 'wechat' WHEN 5 THEN 'listicle' WHEN 8 THEN 'encyclopedia' WHEN 9 THEN 'generated biography' WHEN 10 THEN 'content farm' END"
+
+
+@query(f"SELECT source_class, count(*) AS n, count(DISTINCT corpus) AS corpora FROM (SELECT doc_id // 5 AS corpus, {_NAMED} AS source_class FROM documents) WHERE source_class IS NOT NULL GROUP BY source_class")
+def cited_blacklist(spark, sf_dir):
+    """Lines that cite what is never evidence, by the kind of source: named sites, lists of lessons, generated and search-optimised pages, encyclopedias as primary sources."""
+    lines = table(spark, sf_dir, "documents").select(F.floor(F.col("doc_id") / 5).alias("corpus"), F.expr(CITED).alias("line"))
+    cited = quality.blacklisted(lines, quality.blacklist(spark))
+    return cited.groupBy(F.col("source").alias("source_class")).agg(F.count(F.lit(1)).alias("n"), F.count_distinct("corpus").alias("corpora"))
 
 
 @query(f"""SELECT corpus, track_coverage_count >= 6 AS all_tracks, unique_urls >= 8 AS grounded, weighted_source_primary_ratio > 50 AS "primary", contradiction_bullets >= 3 AS contradictions, clean, low_tier_sources <= high_tier_sources + mid_tier_sources AS not_bottom_heavy,
   track_coverage_count >= 6 AND unique_urls >= 8 AND weighted_source_primary_ratio > 50 AND contradiction_bullets >= 3 AND clean AND low_tier_sources <= high_tier_sources + mid_tier_sources AS passed
-  FROM (SELECT *, corpus NOT IN (SELECT doc_id // 5 FROM documents WHERE regexp_matches({CITED}, '(?i)zhihu\\.com|知乎|mp\\.weixin\\.qq\\.com|微信公众号|baike\\.baidu\\.com|百度百科')) AS clean FROM allm)""")
+  FROM (SELECT *, corpus NOT IN (SELECT doc_id // 5 FROM documents WHERE {_NAMED} IS NOT NULL) AS clean FROM allm)""")
 def audit_gate(spark, sf_dir):
     """Each corpus against the audit's conditions; sources are judged against the blacklist of kinds."""
     lines = table(spark, sf_dir, "documents").select(F.floor(F.col("doc_id") / 5).alias("corpus"), F.expr(CITED).alias("line"))

@@ -8,7 +8,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions.text import slugify
-from ..operators import classify, nested, records, report, style
+from ..operators import classify, metadata, nested, records, report, style
 from ..sources.tables import table
 from .wave1 import CHAT, _lines_sql, any_of, chat
 
@@ -42,41 +42,110 @@ def artifact_names(spark, sf_dir):
     return table(spark, sf_dir, "part").select("p_partkey", *[c.alias(n) for n, c in records.artifact_names(F.lit("colleague"), slug).items()])
 
 
-def meta(spark, sf_dir):
-    k = F.col("p_partkey")
-    kinds = F.array(*map(F.lit, ("ex", "ICON", "colleague", "", "robot")))
-    return table(spark, sf_dir, "part").select(
-        slugify(F.concat("p_name", F.lit(" "), k.cast("string"))).alias("slug"), F.element_at(kinds, (k % 5 + 1).cast("int")).alias("character"),
-        F.when(k % 3 == 0, F.col("p_name")).otherwise("").alias("display_name"), F.when(k % 2 == 0, F.col("p_brand")).alias("name"),
-        F.when(k % 7 == 0, "").when(k % 7 == 1, "own").alias("source_domain"), F.when(k % 4 == 0, "v7").alias("version"),
-        F.lit("2024-01-02T03:04:05+00:00").alias("created_at"), F.when(k % 6 == 0, "2024-02-02T03:04:05+00:00").alias("updated_at"),
-    )
-
-
-META_SQL = f"""m AS (SELECT p_partkey AS k, {SLUG} AS slug, CASE p_partkey % 5 WHEN 0 THEN 'relationship' WHEN 1 THEN 'celebrity' ELSE 'colleague' END AS character, CASE WHEN p_partkey % 3 = 0 THEN p_name ELSE '' END AS d, CASE WHEN p_partkey % 2 = 0 THEN p_brand END AS n FROM part),
-  e AS (SELECT '3' AS schema_version, slug, character, coalesce(nullif(d, ''), n, slug) AS display_name, coalesce(n, nullif(d, ''), slug) AS name, 'meta-skill.' || character || '.' || slug AS id,
-  CASE WHEN k % 7 = 0 THEN '' WHEN k % 7 = 1 THEN 'own' ELSE CASE character WHEN 'colleague' THEN 'work' WHEN 'relationship' THEN 'personal' ELSE 'public' END END AS domain,
-  CASE character WHEN 'colleague' THEN 'coworker' WHEN 'relationship' THEN 'relationship' ELSE 'public_figure' END AS relationship, character = 'celebrity' AS is_public_figure,
-  CASE character WHEN 'colleague' THEN 'Colleague' WHEN 'relationship' THEN 'Relationship' ELSE 'Celebrity' END AS label, CASE WHEN k % 4 = 0 THEN 'v7' ELSE 'v1' END AS version,
-  '2024-01-02T03:04:05+00:00' AS created_at, CASE WHEN k % 6 = 0 THEN '2024-02-02T03:04:05+00:00' ELSE '2024-01-02T03:04:05+00:00' END AS updated_at,
-  CASE WHEN character = 'celebrity' THEN 'budget-friendly' ELSE 'standard' END AS research_profile, 'skills/' || character AS storage_root FROM m)"""
-
-
-@query(f"WITH {META_SQL} SELECT * FROM e")
+#: Each part as a record's metadata: keys that are given, empty, null, misspelt, misplaced or of another type. Keys of
+#: nested objects are in order.
+META_JSON = """concat('{"a_custom":{"x":[1,2]}',
+  CASE p_partkey % 5 WHEN 0 THEN ',"character":"Ex "' WHEN 1 THEN ',"type":"ICON"' WHEN 2 THEN ',"character":"","type":"nuwa"' WHEN 3 THEN '' ELSE ',"character":"robot"' END,
+  CASE p_partkey % 3 WHEN 0 THEN concat(',"display_name":"', p_name, '"') WHEN 1 THEN ',"display_name":""' ELSE '' END,
+  CASE p_partkey % 2 WHEN 0 THEN concat(',"name":"', p_brand, '"') ELSE '' END,
+  CASE p_partkey % 11 WHEN 0 THEN concat(',"id":"own-', p_partkey, '"') WHEN 1 THEN ',"id":""' ELSE '' END,
+  CASE p_partkey % 7 WHEN 0 THEN ',"source_context":{"domain":null,"note":"n"}' WHEN 1 THEN ',"source_context":{"domain":"own","is_fictional":true}' WHEN 2 THEN ',"source_context":"text"' ELSE '' END,
+  CASE p_partkey % 4 WHEN 0 THEN ',"lifecycle":{"created_at":"2023-01-01","status":"retired","version":"v7"}' WHEN 1 THEN ',"created_at":"2023-02-02","version":""' WHEN 2 THEN ',"updated_at":"2023-03-03","version":"v2_before","lifecycle":{"status":null,"updated_at":"2022"}' ELSE '' END,
+  CASE p_partkey % 6 WHEN 0 THEN ',"corrections_count":null,"generation":{"corrections_count":9}' WHEN 1 THEN ',"generation":{"corrections_count":4,"preset":"own.v9","research_profile":"budget-unfriendly"}' WHEN 2 THEN ',"corrections_count":2,"knowledge_sources":["k1","k2"]' WHEN 3 THEN ',"generation":{"character":"celebrity"}' ELSE '' END,
+  CASE p_partkey % 8 WHEN 0 THEN ',"research_profile":" Budget_Unfriendly "' WHEN 1 THEN ',"engine":{"name":null,"research_profile":"budget-unfriendly"}' WHEN 2 THEN ',"research_profile":"other","engine":{"extra":[true],"merge_strategy":"mine"}' ELSE '' END,
+  CASE p_partkey % 9 WHEN 0 THEN ',"tags":["t1","",3,"t2"]' WHEN 1 THEN ',"tags":{"culture":["c"],"personality":["calm",""]}' WHEN 2 THEN ',"classification":{"language":"zh-CN","tags":[]}' WHEN 3 THEN ',"classification":{"language":""}' ELSE '' END,
+  CASE p_partkey % 10 WHEN 0 THEN ',"artifacts":{"work_doc":"w.md","z":1},"compat":{"legacy_type":"old"}' WHEN 1 THEN ',"kind":"kit","subtype":"s","summary":"own summary"' WHEN 2 THEN ',"profile":"  a text "' WHEN 3 THEN ',"profile":{"company":"Acme","mbti":"INTJ","role":""}' WHEN 4 THEN ',"profile":{},"preset":"mine"' ELSE '' END, '}')"""
+NOW = "2024-01-02T03:04:05+00:00"
+#: Presets as a user of their own might have them.
+BUNDLES = metadata.Bundles(
+    "loom", prompts={"celebrity": {"intake": "p/c.md"}}, profile_prompts={("celebrity", "budget-unfriendly"): {"audit": "p/a.md"}}, references={("celebrity", "budget-unfriendly"): ["r/1.md"]},
+    tools={"celebrity": {"merge": "t/m"}}, runtimes=("one", "two"), installers={"one": "t/one"},
+)
+
+
+def metas(spark, sf_dir):
+    """(slug, meta): each part's metadata with all defaults."""
+    slug = slugify(F.concat("p_name", F.lit(" "), F.col("p_partkey").cast("string")))
+    rows = table(spark, sf_dir, "part").select(slug.alias("slug"), F.parse_json(F.expr(META_JSON)).alias("meta"))
+    return metadata.enriched(rows, metadata.preset_table(spark, BUNDLES), F.lit(NOW), BUNDLES.engine)
+
+
+def _said(*paths: str) -> str:
+    return "coalesce(" + ", ".join(f"nullif(j->>'$.{p}', '')" for p in paths) + ")"
+
+
+_SECTIONS = ["source_context", "classification", "artifacts", "engine", "generation", "lifecycle", "compat"]
+_Q = lambda x: f"""'"' || {x} || '"'"""
+_DEFAULTS = {
+    "source_context": {"domain": _Q("CASE family WHEN 'colleague' THEN 'work' WHEN 'relationship' THEN 'personal' ELSE 'public' END"), "relationship_to_user": _Q("CASE family WHEN 'colleague' THEN 'coworker' WHEN 'relationship' THEN 'relationship' ELSE 'public_figure' END"), "is_real_person": "'true'", "is_public_figure": "(family = 'celebrity')::VARCHAR", "is_fictional": "'false'"},
+    "classification": {"gallery_category": _Q("label"), "tags": """CASE k % 9 WHEN 0 THEN '["t1","t2"]' WHEN 1 THEN '["calm","c"]' ELSE '[]' END""", "language": _Q("'en'")},
+    "artifacts": {k: _Q(f"'{v}'") for k, v in metadata.FILES.items()} | {f"{n}_{w}": _Q(x) for w, base, sep in (("name", "family || '_' || slug", "_"), ("command", "family || '-' || replace(slug, '_', '-')", "-")) for n, x in (("combined", base), ("work", f"{base} || '{sep}work'"), ("persona", f"{base} || '{sep}persona'"))},
+    "compat": {"legacy_command": _Q("CASE family WHEN 'colleague' THEN '/create-colleague' WHEN 'relationship' THEN '/create-ex' ELSE '/create-icon' END"), "legacy_storage_root": _Q("CASE family WHEN 'colleague' THEN 'colleagues' ELSE 'skills/' || family END"), "legacy_type": _Q("family")},
+    "lifecycle": {"status": _Q("'active'")},
+}
+_SHARED = {
+    "character": _Q("family"), "research_profile": _Q("profile"), "preset": _Q("preset"),
+    "prompt_bundle": """CASE family WHEN 'celebrity' THEN '{"intake":"p/c.md","preset":"celebrity.v1"}' ELSE '{"preset":"' || family || '.v1"}' END""",
+    "research_profile_bundle": """CASE WHEN deep THEN '{"audit":"p/a.md"}' ELSE '{}' END""", "research_profile_references": """CASE WHEN deep THEN '["r/1.md"]' ELSE '[]' END""",
+    "merge_strategy": _Q("CASE WHEN deep THEN 'deep' ELSE 'compact' END"), "quality_profile": _Q("CASE WHEN deep THEN 'budget-unfriendly' ELSE 'budget-friendly' END"),
+    "knowledge_dirs": """CASE family WHEN 'celebrity' THEN '["docs","messages","emails","research/raw","research/merged","research/reviews","transcripts","subtitles"]' ELSE '["docs","messages","emails"]' END""",
+    "storage_root": _Q("'skills/' || family"), "research_tools": """CASE family WHEN 'celebrity' THEN '{"merge":"t/m"}' END""",
+}
+_DEFAULTS["engine"] = _SHARED | {"name": _Q("'loom'"), "kind": _Q("'meta-skill'")}
+_DEFAULTS["generation"] = _SHARED | {"engine": _Q("'loom'"), "created_from": "coalesce(j->'$.knowledge_sources', '[]')::VARCHAR"}
+_FORCED = {"generation": {"corrections_count": "fixes"}, "lifecycle": {"created_at": _Q("created"), "updated_at": _Q("updated"), "version": _Q("version")}}
+_TOP = {
+    "schema_version": _Q("'3'"), "slug": _Q("slug"), "kind": _Q("kind"), "character": _Q("family"), "research_profile": _Q("profile"), "preset": _Q("preset"), "display_name": _Q("display"), "name": _Q(f"coalesce({_said('name')}, display)"),
+    "id": _Q(f"coalesce({_said('id')}, kind || '.' || family || '.' || slug)"), "created_at": _Q("created"), "updated_at": _Q("updated"), "version": _Q("version"), "corrections_count": "fixes", "type": _Q(f"coalesce({_said('type')}, family)"),
+    "summary": _Q(f"coalesce({_said('summary')}, display || ', ' || who)"),
+}
+_rows = lambda spec: ", ".join(f"{{sec: '{sec}', key: '{k}', value: ({v})::VARCHAR}}" for sec, keys in spec.items() for k, v in keys.items())
+#: r: (slug, sec, key, value) of every member of every record; e: one row a record.
+META_SQL = f"""m AS (SELECT p_partkey AS k, {SLUG} AS slug, {META_JSON}::JSON AS j FROM part), f AS (
+  SELECT *, CASE WHEN c IN ('ex', 'self', 'yourself', 'relationship') THEN 'relationship' WHEN c IN ('icon', 'character', 'fictional-character', 'nuwa', 'celebrity') THEN 'celebrity' ELSE 'colleague' END AS family
+  FROM (SELECT *, lower(trim({_said('character', 'type', 'generation.character')})) AS c FROM m)
+), n AS (SELECT *, family = 'celebrity' AND coalesce(replace(lower(trim({_said('research_profile', 'generation.research_profile', 'engine.research_profile')})), '_', '-') = 'budget-unfriendly', false) AS deep, upper(family[1]) || family[2:] AS label FROM f
+), e AS (SELECT *, CASE WHEN deep THEN 'budget-unfriendly' WHEN family = 'celebrity' THEN 'budget-friendly' ELSE 'standard' END AS profile, coalesce({_said('display_name', 'name')}, slug) AS display, coalesce({_said('kind')}, 'meta-skill') AS kind,
+    coalesce({_said('preset', 'generation.preset')}, family || '.v1') AS preset, coalesce({_said('created_at', 'lifecycle.created_at')}, '{NOW}') AS created, coalesce({_said('updated_at', 'lifecycle.updated_at')}, {_said('created_at', 'lifecycle.created_at')}, '{NOW}') AS updated,
+    coalesce({_said('version', 'lifecycle.version')}, 'v1') AS version, CASE WHEN list_contains(json_keys(j), 'corrections_count') THEN (j->'$.corrections_count')::VARCHAR ELSE coalesce((j->'$.generation.corrections_count')::VARCHAR, '0') END AS fixes,
+    CASE k % 10 WHEN 2 THEN 'a text' WHEN 3 THEN 'Acme, MBTI INTJ' ELSE label END AS who, coalesce({_said('classification.language')}, 'en') LIKE 'zh%' AS zh FROM n
+), given AS (SELECT slug, sec, key, json_extract(j, '$.' || CASE sec WHEN '' THEN '' ELSE sec || '.' END || key)::VARCHAR AS value FROM (
+    SELECT slug, j, sec, unnest(CASE WHEN sec = '' THEN json_keys(j) WHEN json_type(j, '$.' || sec) = 'OBJECT' THEN json_keys(j, '$.' || sec) ELSE [] END) AS key FROM e, (SELECT unnest({['', *_SECTIONS]}) AS sec)) WHERE sec <> '' OR key NOT IN {tuple(_SECTIONS)}
+), forced AS (SELECT slug, x.* FROM (SELECT slug, unnest([{_rows({'': _TOP} | _FORCED)}]) AS x FROM e)
+), usual AS (SELECT slug, x.* FROM (SELECT slug, unnest([{_rows(_DEFAULTS | {'': {'subtype': "'null'"}})}]) AS x FROM e) WHERE x.value IS NOT NULL
+), kept AS (SELECT * FROM given ANTI JOIN forced USING (slug, sec, key)), r AS (SELECT * FROM forced UNION ALL SELECT * FROM kept UNION ALL SELECT * FROM (SELECT * FROM usual ANTI JOIN forced USING (slug, sec, key)) ANTI JOIN kept USING (slug, sec, key)
+), o AS (SELECT slug, sec, '{{' || string_agg('"' || key || '":' || value, ',' ORDER BY key) || '}}' AS text FROM r WHERE sec <> '' GROUP BY ALL
+), whole AS (SELECT slug, '{{' || string_agg('"' || key || '":' || value, ',' ORDER BY key) || '}}' AS text FROM (SELECT slug, key, value FROM r WHERE sec = '' UNION ALL SELECT slug, sec, text FROM o) GROUP BY slug
+), a AS (SELECT slug, any_value(value) FILTER (key = 'work_doc') AS work_doc FROM r WHERE sec = 'artifacts' GROUP BY slug)"""
+
+
+def _sections_of(rows):
+    """(slug, section, key, value) of each member of the records in ``meta``, values as JSON."""
+    entries = lambda v, sec: F.transform(F.map_entries(metadata.members(v)), lambda e: F.struct(F.lit(sec).alias("section"), e["key"].alias("key"), F.to_json(e["value"]).alias("value")))
+    inner = [entries(F.try_variant_get("meta", f"$.{s}", "variant"), s) for s in _SECTIONS]
+    top = F.filter(entries(F.col("meta"), ""), lambda e: ~e["key"].isin(_SECTIONS))
+    return rows.select("slug", F.explode(F.concat(top, *inner)).alias("e")).select("slug", "e.*")
+
+
+@query(f"WITH {META_SQL} SELECT slug, sec AS section, key, value FROM r")
 def meta_enrich(spark, sf_dir):
-    return records.enrich(meta(spark, sf_dir), spark)
+    """Every member of each part's metadata after all defaults."""
+    return _sections_of(metas(spark, sf_dir))
 
 
-@query(f"""WITH {META_SQL} SELECT slug, '{{"manifest_version":"1","id":"' || id || '","character":"' || character || '","display_name":"' || display_name || '","entrypoints":{{"default":"SKILL.md","work":"work_skill.md","persona":"persona_skill.md"}},"artifacts":["SKILL.md","work.md","persona.md","meta.json","manifest.json"],"capabilities":["persona","work"],"slash_commands":{{"default":"' || c || '","work":"' || c || '-work","persona":"' || c || '-persona"}}}}' AS manifest FROM (SELECT *, character || '-' || replace(slug, '_', '-') AS c FROM e)""")
-def manifest(spark, sf_dir):
-    rows = records.enrich(meta(spark, sf_dir), spark)
-    return rows.select("slug", records.manifest({c: F.col(c) for c in rows.columns}).alias("manifest"))
+_COMMAND = "family || '-' || replace(slug, '_', '-')"
+MANIFEST = f"""'{{"artifacts":["SKILL.md",' || a.work_doc || ',"persona.md","meta.json","manifest.json"],"capabilities":["persona","work"],"character":"' || family || '","display_name":"' || display || '","engine":' || o.text
+  || ',"entrypoints":{{"default":"SKILL.md","persona":"persona_skill.md","work":"work_skill.md"}},"id":' || i.value || ',"install":{{"compatible_runtimes":["one","two"],"installers":{{"one":"t/one"}},"min_schema_version":"3","slash_commands":{{"default":"' || {_COMMAND} || '","persona":"' || {_COMMAND} || '-persona","work":"' || {_COMMAND} || '-work"}}}}'
+  || ',"kind":"' || kind || '","manifest_version":"1","preset":"' || preset || '","research_profile":"' || profile || '","toolchain":' || t.text || '}}'"""
+_TOOLCHAIN = "knowledge_dirs merge_strategy prompt_bundle quality_profile research_profile research_profile_bundle research_profile_references research_tools".split()
+_MANIFESTS = f"""t AS (SELECT slug, '{{' || string_agg('"' || key || '":' || value, ',' ORDER BY key) || '}}' AS text FROM (SELECT slug, key, value FROM r WHERE sec = 'engine' AND key IN {tuple(_TOOLCHAIN)} UNION ALL SELECT slug, 'research_tools', '{{}}' FROM e WHERE family <> 'celebrity') GROUP BY slug
+), manifests AS (SELECT slug, {MANIFEST} AS manifest FROM e JOIN a USING (slug) JOIN (SELECT slug, text FROM o WHERE sec = 'engine') o USING (slug) JOIN t USING (slug) JOIN (SELECT slug, value FROM r WHERE sec = '' AND key = 'id') i USING (slug))"""
 
 
-WHO = "CASE WHEN length(slug) % 3 = 0 THEN '' ELSE display_name || ' at ' || label END"
-LANGUAGE = "CASE length(slug) % 4 WHEN 0 THEN 'zh-CN' WHEN 1 THEN '' WHEN 2 THEN 'EN' END"
-CLASSIFIED = "CASE length(slug) % 5 WHEN 0 THEN 'ZH' WHEN 1 THEN '' END"
-FIELDS = ("id", "slug", "character", "display_name", "version", "updated_at")
+@query(f"WITH {META_SQL}, {_MANIFESTS} SELECT * FROM manifests")
+def manifest(spark, sf_dir):
+    """Each record's whole manifest."""
+    return metas(spark, sf_dir).select("slug", F.to_json(metadata.manifest_of(F.col("meta"), BUNDLES)).alias("manifest"))
 
 
 def _filled_sql(template: str, values: dict[str, str]) -> str:
@@ -84,31 +153,32 @@ def _filled_sql(template: str, values: dict[str, str]) -> str:
     return " || ".join(quoted)
 
 
-_VALUES = {"combined_name": "character || '_' || slug", "description": "CASE WHEN length(slug) % 7 = 0 THEN 'about ' || slug WHEN who = '' THEN display_name ELSE display_name || ', ' || who END", "display_name": "display_name", "identity": "who", "work_content": "'work of ' || slug", "persona_content": "'persona {of} ' || slug"}
-_FRONT = "'---' || chr(10) || 'name: ' || character || '_' || slug || '_{kind}' || chr(10) || 'description: ' || display_name || CASE WHEN zh THEN '{cn}' ELSE '{en}' END || chr(10) || 'user-invocable: true' || chr(10) || '---' || chr(10) || chr(10) || {body} || chr(10)"
-MANIFEST = """'{"manifest_version":"1","id":"' || id || '","character":"' || character || '","display_name":"' || display_name || '","entrypoints":{"default":"SKILL.md","work":"work_skill.md","persona":"persona_skill.md"},"artifacts":["SKILL.md","work.md","persona.md","meta.json","manifest.json"],"capabilities":["persona","work"],"slash_commands":{"default":"' || c || '","work":"' || c || '-work","persona":"' || c || '-persona"}}'"""
+_VALUES = {"combined_name": "family || '_' || slug", "description": "summary", "display_name": "display", "identity": "who", "work_content": "'work of ' || slug", "persona_content": "'persona {of} ' || slug"}
+_FRONT = "'---' || chr(10) || 'name: ' || family || '_' || slug || '_{kind}' || chr(10) || 'description: ' || display || CASE WHEN zh THEN '{cn}' ELSE '{en}' END || chr(10) || 'user-invocable: true' || chr(10) || '---' || chr(10) || chr(10) || {body} || chr(10)"
 
 
-@query(f"""WITH {META_SQL}, w AS (SELECT *, {WHO} AS who, coalesce(lower(coalesce(nullif({LANGUAGE}, ''), nullif({CLASSIFIED}, ''))), 'en') LIKE 'zh%' AS zh, character || '-' || replace(slug, '_', '-') AS c FROM e)
-  SELECT slug, file, content FROM (SELECT slug, unnest({list(records.ARTIFACTS)}) AS file, unnest(['work of ' || slug, 'persona {{of}} ' || slug, CASE WHEN zh THEN {_filled_sql(records.COMBINED_ZH, _VALUES)} ELSE {_filled_sql(records.COMBINED_EN, _VALUES)} END,
+@query(f"""WITH {META_SQL}, {_MANIFESTS}, w AS (SELECT e.*, coalesce({_said('summary')}, display || ', ' || who) AS summary, trim(a.work_doc, '"') AS work_doc, whole.text AS meta, manifests.manifest AS manifest FROM e JOIN a USING (slug) JOIN whole USING (slug) JOIN manifests USING (slug))
+  SELECT slug, file, content FROM (SELECT slug, unnest([work_doc, 'persona.md', 'SKILL.md', 'work_skill.md', 'persona_skill.md', 'manifest.json', 'meta.json']) AS file, unnest(['work of ' || slug, 'persona {{of}} ' || slug, CASE WHEN zh THEN {_filled_sql(records.COMBINED_ZH, _VALUES)} ELSE {_filled_sql(records.COMBINED_EN, _VALUES)} END,
   {_FRONT.format(kind="work", cn=" 的工作能力（仅 Work，无 Persona）", en=" work capability only (without persona)", body="'work of ' || slug")}, {_FRONT.format(kind="persona", cn=" 的人物性格（仅 Persona，无工作能力）", en=" persona only (without work capability)", body="'persona {of} ' || slug")},
-  {MANIFEST}, '{{' || {" || ',' || ".join(f"""'"{f}":"' || {f} || '"'""" for f in FIELDS)} || '}}']) AS content FROM w)""")
+  manifest, meta]) AS content FROM w)""")
 def skill_render(spark, sf_dir):
     """All seven artifacts of each record."""
-    rows = records.enrich(meta(spark, sf_dir), spark)
-    said = lambda k, text: F.when(F.length("slug") % k == 0, text)
-    language = records.language_code(F.expr(LANGUAGE), F.expr(CLASSIFIED))
+    return rendered(metas(spark, sf_dir))
+
+
+def rendered(rows):
+    """(slug, file, content) of records' artifacts, with made-up work and persona texts."""
+    f, names = metadata.fields_of(F.col("meta")), metadata.files_of(F.col("meta"))
     work, persona = F.concat(F.lit("work of "), "slug"), F.concat(F.lit("persona {of} "), "slug")
-    summary = said(7, F.concat(F.lit("about "), F.col("slug")))
-    return records.artifacts(rows, {c: F.col(c) for c in FIELDS}, F.expr(WHO), summary, language, work, persona, ["slug"])
+    return records.artifacts(rows, names, names, f["display_name"], metadata.identity_of(F.col("meta"), f["label"]), f["summary"], f["language"], work, persona, F.to_json(metadata.manifest_of(F.col("meta"), BUNDLES)), F.to_json("meta"), ["slug"])
 
 
-@query(f"""WITH {META_SQL} SELECT slug, '{{"host":"h' || (length(slug) % 3) || '","command_name":"' || character || '-' || replace(slug, '_', '-') || '","character":"' || character || '","slug":"' || slug || '","version":"' || version || '","source_skill_dir":"' || storage_root || '/' || slug || '","source_artifact":"SKILL.md","installed_at":"2024-03-01T00:00:00+00:00"}}' AS record FROM e""")
+@query(f"""WITH {META_SQL} SELECT slug, '{{"host":"h' || (length(slug) % 3) || '","command_name":"' || {_COMMAND} || '","character":"' || family || '","slug":"' || slug || '","version":"' || version || '","source_skill_dir":"skills/' || family || '/' || slug || '","source_artifact":"SKILL.md","installed_at":"2024-03-01T00:00:00+00:00"}}' AS record FROM e""")
 def install_records(spark, sf_dir):
-    rows = records.enrich(meta(spark, sf_dir), spark)
+    f, names = metadata.fields_of(F.col("meta")), metadata.files_of(F.col("meta"))
     host = F.concat(F.lit("h"), (F.length("slug") % 3).cast("string"))
-    record = records.install_record(host, {c: F.col(c) for c in rows.columns}, F.concat("storage_root", F.lit("/"), "slug"), F.lit("2024-03-01T00:00:00+00:00"))
-    return rows.select("slug", record.alias("record"))
+    record = records.install_record(host, names["combined_command"], f, F.concat(f["storage_root"], F.lit("/"), "slug"), names["combined_skill"], F.lit("2024-03-01T00:00:00+00:00"))
+    return metas(spark, sf_dir).select("slug", record.alias("record"))
 
 
 @query("""SELECT p_partkey, k, v FROM (SELECT p_partkey, unnest(map_entries(m)) AS e FROM (SELECT p_partkey, map_concat(MAP {'brand': 'none', 'size': '1', 'tone': 'calm'}, CASE p_partkey % 3 WHEN 0 THEN MAP {'size': p_size || '', 'brand': NULL} WHEN 1 THEN MAP {'brand': p_brand, 'kind': p_type} ELSE MAP {}::MAP(VARCHAR, VARCHAR) END) AS m FROM part)), LATERAL (SELECT e.key AS k, e.value AS v)""")
@@ -121,14 +191,14 @@ def dict_merge(spark, sf_dir):
     return table(spark, sf_dir, "part").select("p_partkey", F.explode(records.merged(defaults, given)).alias("k", "v"))
 
 
-@query(f"""WITH {META_SQL} SELECT slug, display_name, version, substr(updated_at, 1, 10) AS updated, label || ' of ' || domain AS identity FROM e WHERE length(slug) % 6 > 0""")
+@query(f"""WITH {META_SQL} SELECT slug, kind, family AS character, profile AS research_profile, display AS name, who AS identity, version, updated AS updated_at, try_cast(fixes AS BIGINT) AS corrections_count FROM e WHERE length(slug) % 6 > 0""")
 def skill_list(spark, sf_dir):
-    """Records written as folders of JSON, of which a sixth is cut off and can't be read, listed from there."""
-    rows = records.enrich(meta(spark, sf_dir), spark)
-    json = F.to_json(F.struct("slug", "display_name", "version", "updated_at", F.concat("label", F.lit(" of "), "domain").alias("identity")))
-    stored = rows.select("slug", F.when(F.length("slug") % 6 == 0, F.substring(json, F.lit(1), F.length(json) - 2)).otherwise(json).alias("value"))
-    read = records.parsed_records(stored, "slug", "slug string, display_name string, version string, updated_at string, identity string")
-    return read.select("slug", "display_name", "version", F.substring("updated_at", 1, 10).alias("updated"), "identity")
+    """Records as JSON texts, of which a sixth is cut off and can't be read, read, filled in again and listed."""
+    json = F.to_json("meta")
+    stored = metas(spark, sf_dir).select("slug", F.when(F.length("slug") % 6 == 0, F.substring(json, F.lit(1), F.length(json) - 2)).otherwise(json).alias("value"))
+    read = records.parsed_records(stored, "slug", "slug string").select(F.col("folder"))
+    sound = stored.join(read, F.col("slug") == F.col("folder"), "left_semi").select("slug", F.try_parse_json("value").alias("meta"))
+    return metadata.listed(metadata.enriched(sound, metadata.preset_table(spark, BUNDLES), F.lit("never"), BUNDLES.engine))
 
 
 ORDERED = "(SELECT o_custkey, o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS n FROM orders)"

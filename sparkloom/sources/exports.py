@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import email
 import email.policy
+import re
 from collections.abc import Iterator
 from email.header import decode_header, make_header
 
@@ -68,26 +69,45 @@ def _decoded(value: str | None) -> str:
         return value or ""
 
 
+def _payload(part) -> str:
+    raw = part.get_payload(decode=True) or b""
+    try:
+        return raw.decode(part.get_content_charset() or "utf-8", "replace")
+    except LookupError:
+        return raw.decode("utf-8", "replace")
+
+
 def _mail_row(raw: bytes) -> dict:
-    """Headers, and the body parts in order of preference: the first plain text, else the first HTML."""
+    """Headers and body: the first plain text of several parts, else their first HTML that shows anything; a lone part as it is.
+
+    Attachments don't count. A first plain text that is empty makes the body empty.
+    """
     message = email.message_from_bytes(raw, policy=email.policy.compat32)
-    plain = html = ""
-    for part in message.walk():
-        if part.is_multipart() or "attachment" in str(part.get("Content-Disposition", "")):
+    plain, html = None, ""
+    if not message.is_multipart():
+        plain = _payload(message)
+    for part in message.walk() if plain is None else ():
+        if "attachment" in str(part.get("Content-Disposition", "")):
             continue
         kind = part.get_content_type()
-        if kind in ("text/plain", "text/html"):
-            try:
-                text = (part.get_payload(decode=True) or b"").decode(part.get_content_charset() or "utf-8", "replace")
-            except LookupError:
-                text = (part.get_payload(decode=True) or b"").decode("utf-8", "replace")
-            if kind == "text/plain" and not plain:
-                plain = text
-            elif kind == "text/html" and not html:
-                html = text
+        if kind == "text/plain":
+            plain = _payload(part)
+            break
+        if kind == "text/html" and not re.sub(r"<[^>]*>", "", html).strip():
+            html = _payload(part)
     return {"sender": _decoded(message["From"]), "subject": _decoded(message["Subject"]), "date": message["Date"] or "", "plain": plain, "html": html}
 
 
+def mail_rows(raw: DataFrame, column: str = "raw") -> DataFrame:
+    """(sender, subject, date, plain, html) of mails as bytes, parsed in batches; a null one gives no row."""
+
+    def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            yield pd.DataFrame([_mail_row(bytes(r)) for r in b[column]], columns=["sender", "subject", "date", "plain", "html"])
+
+    return raw.select(column).where(F.col(column).isNotNull()).mapInPandas(parse, "sender string, subject string, date string, plain string, html string")
+
+
 def read_mail(spark: SparkSession, path: str, target: str = "", mbox: bool = False) -> DataFrame:
     """(sender, subject, date, body) of .eml files, or of mbox files where lines 'From ' part the messages.
 
@@ -101,12 +121,8 @@ def read_mail(spark: SparkSession, path: str, target: str = "", mbox: bool = Fal
     else:
         whole = spark.read.format("binaryFile").load(path).select(F.col("content").alias("raw"))
 
-    def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            yield pd.DataFrame([_mail_row(bytes(r)) for r in b["raw"]], columns=["sender", "subject", "date", "plain", "html"])
-
-    mails = whole.mapInPandas(parse, "sender string, subject string, date string, plain string, html string")
-    body = F.when(F.col("plain") != "", F.col("plain")).otherwise(html_to_text(F.col("html")))
+    mails = mail_rows(whole)
+    body = F.coalesce("plain", html_to_text(F.col("html")))
     out = mails.select("sender", "subject", "date", strip_quoted_reply(body).alias("body"))
     return out.where(from_target(F.col("sender"), target, ignore_case=True) & (F.col("body") != ""))
 

