@@ -45,6 +45,10 @@ TAG_COST = {"nav": 6.0, "header": 3.0, "footer": 6.0, "aside": 6.0, "form": 6.0,
 WIDGET_WORDS = frozenset("nav navbar navigation menu submenu breadcrumb breadcrumbs sidebar widget ad ads advert adverts advertisement advertising sponsor sponsored promo promotion banner cookie cookies consent notice notices alert popup modal overlay newsletter subscribe subscription signup login share sharing social trending comment comments comentarios kommentare commentaires disqus reply replies respond reactions pagination pager toolbar".split())
 BAD_WORDS = WIDGET_WORDS | frozenset("header masthead footer aside related recommended recommendation recommendations popular discussion copyright legal disclaimer search form skip complementary contentinfo".split())
 PLAIN_WORDS = frozenset("list box bar button buttons slot container wrapper wrap unit block area section item items top bottom left right inner outer panel link links thread form site page global".split())
+#: Words of reader comments and adverts, of lists of other pages, and of an element's state, which say nothing of its text.
+TALK_WORDS = frozenset("comment comments comentarios kommentare commentaires disqus reply replies respond ad ads advert adverts advertisement advertising sponsor sponsored promo promotion".split())
+OTHER_PAGES = frozenset("related recommended recommendation recommendations popular trending posts stories articles reading news".split())
+STATE_WORDS = frozenset("open closed has no with without count enabled disabled off on allow allowed".split())
 GOOD_WORDS = frozenset("article content main post entry story body text".split())
 WORD_COST, GOOD_GAIN = 6.0, 0.8
 SMOOTH = 0.5
@@ -57,12 +61,12 @@ _NO_DISPLAY = re.compile(r"display\s*:\s*none")
 class Node:
     """An element: what it says of its text, and where it stands."""
 
-    __slots__ = ("parent", "depth", "tag", "words", "tokens", "hidden", "chars", "holds", "inside", "cost", "settled")
+    __slots__ = ("parent", "depth", "tag", "words", "tokens", "hidden", "holds", "title", "prose", "inside", "cost", "settled")
 
     def __init__(self, parent: Node | None, tag: str, words: frozenset, tokens: frozenset, hidden: bool):
         self.parent, self.tag, self.words, self.tokens, self.hidden = parent, tag, words, tokens, hidden
         self.depth = parent.depth + 1 if parent else 0
-        self.chars, self.holds, self.inside, self.cost, self.settled = 0, False, False, 0.0, 0
+        self.holds, self.title, self.prose, self.inside, self.cost, self.settled = False, tag == "h1", tag == "p", False, 0.0, 0
 
 
 class Block:
@@ -155,7 +159,6 @@ class Blocks(HTMLParser):
             self.open = Block(self.outer[-1])
             self.blocks.append(self.open)
         self.open.text.append(data)
-        top.chars += size
         if self.counts["a"]:
             self.open.linked += size
 
@@ -163,15 +166,18 @@ class Blocks(HTMLParser):
 def weighed(nodes: list[Node]) -> None:
     """Sets each element's cost, from the tree as a whole; nodes stand before what is in them.
 
-    A listed word costs, but not on an element that holds an article or half of the page's text. Within an
-    article only names made of widgets' words alone count. What marks boilerplate isn't made good by what
-    stands around it or within it. settled: 1 where tags alone say content, -1 where they say boilerplate.
+    A listed word costs, but not on an element that holds an article. Words that may as well name a page's layout
+    don't cost either on an element that holds both the title and paragraphs; words of comments and adverts do,
+    however much of the page they are. Within an article a name counts if it is made of widgets' words alone, of
+    words for lists of other pages, or if one of its words is of comments or adverts and none tells a state, unless
+    the element holds the title and paragraphs. What marks boilerplate isn't made good by what stands around it or
+    within it. settled: 1 where tags alone say content, -1 where they say boilerplate.
     """
     for n in reversed(nodes):
         if n.parent:
-            n.parent.chars += n.chars
             n.parent.holds |= n.holds or n.tag in ("article", "main")
-    total = nodes[0].chars
+            n.parent.title |= n.title
+            n.parent.prose |= n.prose
     for n in nodes[1:]:
         up = n.parent
         n.inside = up.inside or up.tag in ("article", "main") or bool(up.words & GOOD_WORDS)
@@ -180,12 +186,16 @@ def weighed(nodes: list[Node]) -> None:
             change = 0.0
         if n.words and n.tag not in ("body", "html"):
             good = n.words & GOOD_WORDS
-            if n.holds or 2 * n.chars >= total:
+            leads = n.title and n.prose
+            names = [parts for parts in (set(_PARTS.split(t)) for t in n.tokens) if not parts & STATE_WORDS]
+            if n.holds:
                 bad = False
             elif n.inside:
-                bad = any(parts & WIDGET_WORDS and parts <= WIDGET_WORDS | PLAIN_WORDS for parts in (set(_PARTS.split(t)) for t in n.tokens))
+                bad = any(parts & WIDGET_WORDS and parts <= WIDGET_WORDS | PLAIN_WORDS for parts in names)
+                bad = bad or not leads and any(parts & TALK_WORDS or parts & OTHER_PAGES and parts <= OTHER_PAGES | WIDGET_WORDS | PLAIN_WORDS and len(parts) > 1 for parts in names)
             else:
-                bad = bool(n.words & BAD_WORDS) and not (good and n.words & BAD_WORDS == {"header"})
+                told = set().union(*names) & BAD_WORDS
+                bad = bool(told & TALK_WORDS) or bool(told) and not leads and not (good and told == {"header"})
             change += WORD_COST if bad else -GOOD_GAIN if good else 0.0
         above = up.cost
         if change >= 3:

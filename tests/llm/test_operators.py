@@ -125,6 +125,39 @@ def test_deep_and_long_pages_take_linear_time(page):
     assert html_extract.main_text(page) and time.process_time() - began < 20
 
 
+#: Blocks of labelled pages: what belongs to the text, and what doesn't.
+KEPT_BLOCKS = ["<p>The first part of the story says a lot, and then some more of it.</p>", "<h2>A heading within</h2>", "<ul><li>One thing that matters here.</li><li>Another thing that matters.</li></ul>", "<blockquote><p>Somebody said so in so many words.</p></blockquote>", "<pre>code = 1</pre>", "<div class='story-part'><p>A nested part of the story, also kept.</p></div>", "<section class='discussion'><p>We discuss what was found, at length.</p></section>"]
+LEFT_BLOCKS = ["<div class='ad'>Buy this now, really cheap today!</div>", "<div class='user-comment'><p>I liked it a lot, and I say so here.</p></div>", "<div class='sponsored-post'><p>Our partners think that you should buy this.</p></div>", "<section id='comments'>" + "<div><p>A reader says a great many things, one after another, in long sentences that go on.</p></div>" * 25 + "</section>", "<div class='related-posts'><ul><li><a href=/a>Other one</a></li><li><a href=/b>Other two</a></li></ul></div>", "<form><p>Sign up for our letter.</p></form>", "<div class='cookie-notice'><p>We use cookies on this site, as all do.</p></div>", "<script>var x = '<p>no</p>';</script>", "<style>p { color: red }</style>"]
+
+
+def shown_text(block):
+    """The block's own lines, by its paragraphs and items."""
+    return [re.sub(r"<[^>]*>", "", x).strip() for x in re.split(r"</(?:p|li|h2|pre)>", block) if re.sub(r"<[^>]*>", "", x).strip()]
+
+
+def test_labelled_pages():
+    """Pages put together at random from labelled blocks give the text of those that are content, in order."""
+    r = random.Random(8)
+    for _ in range(300):
+        blocks = [("<h1>The title</h1>", True), (KEPT_BLOCKS[0], True)]
+        blocks += [(b, True) for b in r.choices(KEPT_BLOCKS, k=r.randint(0, 5))]
+        for _ in range(r.randint(0, 4)):
+            blocks.insert(r.randint(2, len(blocks)), (r.choice(LEFT_BLOCKS), False))
+        inside = "".join(b for b, _ in blocks)
+        after = "".join(r.sample(LEFT_BLOCKS, k=r.randint(0, 3)))
+        wrap = r.choice(["<article>{}</article>", "<main><div class='post'>{}</div></main>", "<main class='has-sidebar comments-open'><article class='post'>{}</article></main>"])
+        page = "<html><body><header><nav><a href=/>Home</a><a href=/n>News</a></nav></header>" + wrap.format(inside) + after + "<footer>All rights reserved</footer></body></html>"
+        want = [x for b, kept in blocks if kept for x in (["The title"] if "h1" in b else shown_text(b))]
+        assert html_extract.main_text(page).split("\n\n") == want, page
+
+
+def test_comments_longer_than_the_article_go():
+    article = "<h1>Title</h1><p>A short article, of one sentence.</p>"
+    comments = "<section class='comments'>" + "<p>A reader's long remark about it all, sentence by sentence, on and on.</p>" * 30 + "</section>"
+    for page in (f"<article>{article}</article>{comments}", f"<article>{article}{comments}</article>", f"<div class='post'>{article}</div>{comments}", f"<article><article>{article}</article>{comments}</article>"):
+        assert html_extract.main_text(page) == "Title\n\nA short article, of one sentence."
+
+
 def test_articles_keep_their_sections():
     inside = "<h2 id=discussion>Discussion</h2><p>We discuss <math><mi>e</mi><mo>=</mo><mn>1</mn></math> here.</p><div class='related-story body'><p>An older story, told again.</p></div><div class='ad-slot'>Buy it</div><ol class='comment-list'><li>Nice one, I say</li></ol>"
     want = "Discussion\n\nWe discuss e=1 here.\n\nAn older story, told again."
