@@ -10,9 +10,10 @@ element. Slots agree, each on its own, with the Jaccard similarity of the sets;
 Texts with the same words are joined before signing, so large groups of copies cost one signature.
 Buckets of every size are compared in two passes. In the first each member meets its bucket's hub, the
 member whose bands are shared most widely, which in a group of variants is the text they stem from. The
-second compares every other pair of a bucket whose ends have not been joined, block against block, so no
-pair that shares a band goes uncompared for its bucket's size; a bucket that the hubs have joined costs
-nothing more.
+second compares every other pair of a bucket whose ends have not been joined, so no pair that shares a band
+goes uncompared for its bucket's size; a bucket that the hubs have joined costs nothing more. Members are
+dealt to parts by the bytes of their texts, and parts meet part by part: a bucket of up to ``PART_BYTES``
+sends each of its texts once. Within a task the shared shingles of all pairs are counted together.
 """
 
 from __future__ import annotations
@@ -31,11 +32,14 @@ SHINGLE = 5
 BANDS, ROWS = 20, 4
 THRESHOLD = 0.8
 SLOTS = BANDS * ROWS
-#: Members of one side of a block in which the pairs that are left are compared.
-BLOCK = 128
-#: Slots in which two signatures must agree to be compared: at similarity 0.8 the mean less five deviations,
-#: which 1.2e-6 of the pairs stay under; the bands miss 2.6e-5.
-LEAST_AGREED = 46
+#: Bytes of text of one side of a block in which the pairs that are left are compared.
+PART_BYTES = 8_000_000
+#: A shingle of more members of a block is counted by a product of matrices, one of fewer pair by pair.
+COMMON = 48
+#: Members that are compared with a whole block at once, and shingles of one product.
+TILE, COLUMNS = 512, 2_048
+#: Pairs that are added up at once, and the bytes that a member counts for at least, which bounds a block's members.
+PAIRS, LEAST_BYTES = 2_000_000, 1_000
 #: Words of the texts that are hashed together; bounds a task's arrays.
 CHUNK_BYTES = 1_000_000
 #: Rows with texts that a worker gets at once.
@@ -169,10 +173,10 @@ def _pick():
 
 
 def signed(docs: DataFrame) -> DataFrame:
-    """(doc_id, pick, words, bands, signature): one pass over the texts.
+    """(doc_id, pick, words, size, bands): one pass over the texts.
 
     pick: which of several rows of an id counts. words: a 128-bit key of the text's words in order, null
-    for a text without words.
+    for a text without words; size: the words' bytes.
     """
 
     def compute(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -182,9 +186,9 @@ def signed(docs: DataFrame) -> DataFrame:
                 folded = [b" ".join(t.encode("utf-8", "surrogatepass").translate(FOLD).split()) if isinstance(t, str) else b"" for t in texts]
                 parts, _ = signatures(texts)
                 words = [hashlib.blake2b(f, digest_size=16).digest() if f else None for f in folded]
-                yield pd.DataFrame({"doc_id": b["doc_id"], "pick": b["pick"], "words": words, "bands": list(band_keys(parts)), "signature": [p.tobytes() for p in parts.astype(np.uint32)]})
+                yield pd.DataFrame({"doc_id": b["doc_id"], "pick": b["pick"], "words": words, "size": [len(f) for f in folded], "bands": list(band_keys(parts))})
 
-    return docs.select("doc_id", "text", _pick().alias("pick")).mapInPandas(compute, "doc_id long, pick long, words binary, bands array<long>, signature binary")
+    return docs.select("doc_id", "text", _pick().alias("pick")).mapInPandas(compute, "doc_id long, pick long, words binary, size long, bands array<long>")
 
 
 def _whole(batches: Iterator[pd.DataFrame], by: list[str]) -> Iterator[pd.DataFrame]:
@@ -201,45 +205,75 @@ def _whole(batches: Iterator[pd.DataFrame], by: list[str]) -> Iterator[pd.DataFr
         yield kept
 
 
+def shared_counts(owner: np.ndarray, code: np.ndarray, first: int, last: int, n: int) -> np.ndarray:
+    """How many codes each of the members first to last shares with each of n. Rows (owner, code) are sorted by code, without repeats.
+
+    Rows of codes that stand once may be left out. Codes of many members are counted by a product of matrices, COLUMNS
+    at a time, those of few by adding up their pairs.
+    """
+    out = np.zeros((last - first, n), np.float32)
+    starts = np.flatnonzero(np.concatenate(([True], code[1:] != code[:-1]))) if len(code) else np.zeros(0, np.int64)
+    counts = np.diff(np.append(starts, len(code)))
+    for k in range(0, int((counts > COMMON).sum()), COLUMNS):
+        at = np.flatnonzero(counts > COMMON)[k:k + COLUMNS]
+        has = np.zeros((n, len(at)), np.float32)
+        rows = np.concatenate([owner[s:s + c] for s, c in zip(starts[at], counts[at])])
+        has[rows, np.repeat(np.arange(len(at)), counts[at])] = 1
+        out += has[first:last] @ has.T
+    flat = out.reshape(-1)
+    for c in np.unique(counts[(counts > 1) & (counts <= COMMON)]).tolist():
+        members = owner[starts[counts == c][:, None] + np.arange(c)]  # a row for each code
+        members = members[((members >= first) & (members < last)).any(axis=1)]
+        step = max(1, PAIRS // (c * c))
+        for k in range(0, len(members), step):
+            m = members[k:k + step]
+            mine = np.broadcast_to(((m >= first) & (m < last))[:, :, None], (len(m), c, c))
+            np.add.at(flat, ((m - first)[:, :, None] * n + m[:, None, :])[mine], 1)
+    return out
+
+
 def _linked_in_blocks(threshold: float):
     """(a, b), links between roots, from rows sorted by block.
 
-    Pairs of a block's two sides, or of its one, whose roots differ and whose signatures agree enough are
-    compared exactly, the most alike first, unless links found before have joined their roots. A pair that
-    shares several bands is compared in the first of them. Pairs stay within the task, so what it returns is
-    fewer rows than it was given.
+    Every pair of a block's two sides, or of its one, is compared exactly by its shingles, but those whose roots are
+    one already or have been joined by a link found before. Pairs stay within the task, so what it returns is fewer
+    rows than it was given.
     """
 
     def links_of(g: pd.DataFrame) -> list[tuple[int, int]]:
-        parts = np.frombuffer(b"".join(g["signature"]), dtype=np.uint32).reshape(len(g), SLOTS)
-        band, docs, root, part, left = (g[c].to_numpy() for c in ("band", "doc", "root", "part", "left"))
-        one, found = (g["left"] == g["right"]).to_numpy(), []
-        for i in np.flatnonzero(part == left):
-            same = parts == parts[i]
-            agreed = same.sum(axis=1)
-            other = np.flatnonzero(np.where(one, docs > docs[i], part != part[i]) & (root != root[i]) & (agreed >= LEAST_AGREED))
-            other = other[same[other].reshape(len(other), BANDS, ROWS).all(axis=2).argmax(axis=1) == band[i]]
-            found += [(-int(agreed[j]), i, int(j)) for j in other]
-        sets, over, out = {}, {}, []
-
-        def top(x):
-            while x in over:
-                x = over[x]
-            return x
-
-        needed = sorted({k for _, i, j in found for k in (i, j)})
-        for at in _by_bytes(g["text"].iloc[needed]):
-            owner, value, _ = weighted(*shingles(g["text"].iloc[[needed[k] for k in at]].tolist()))
-            ends = np.searchsorted(owner, np.arange(len(at) + 1))
-            sets |= {needed[k]: value[s:e] for k, s, e in zip(at, ends, ends[1:])}
-        for _, i, j in sorted(found):
-            x, y = top(root[i]), top(root[j])
-            m, n = len(sets[i]), len(sets[j])
-            if x != y and min(m, n) >= threshold * max(m, n):
-                shared = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
-                if shared >= threshold * (m + n - shared):
-                    over[max(x, y)] = min(x, y)
-                    out.append((min(x, y), max(x, y)))
+        root, part, left = (g[c].to_numpy() for c in ("root", "part", "left"))
+        one, n = bool((g["left"] == g["right"]).iloc[0]), len(g)
+        if len(set(root.tolist())) < 2 or not one and len(set(part.tolist())) < 2:
+            return []
+        owners, values = [], []
+        for at in _by_bytes(g["text"]):
+            owner, value, _ = weighted(*shingles(g["text"].iloc[at].tolist()))
+            owners.append(at[owner])
+            values.append(value)
+        owner, value = np.concatenate(owners), np.concatenate(values)
+        sizes = np.bincount(owner, minlength=n)
+        order = np.lexsort((owner, value))
+        owner, value = owner[order], value[order]
+        twice = np.zeros(len(value), bool)
+        twice[1:] = value[1:] == value[:-1]
+        twice[:-1] |= twice[1:]
+        owner, value = owner[twice], value[twice]
+        names, top = np.unique(root, return_inverse=True)
+        out = []
+        for first in range(0, n, TILE):
+            last = min(first + TILE, n)
+            if not one and not (part[first:last] == left[0]).any():
+                continue
+            shared = shared_counts(owner, value, first, last, n)
+            like = shared / np.maximum(sizes[first:last, None] + sizes[None, :] - shared, 1) >= threshold
+            for i in range(first, last):
+                while one or part[i] == left[0]:
+                    other = np.flatnonzero(like[i - first] & (top != top[i]) & (True if one else part != part[i]))
+                    if not len(other):
+                        break
+                    x, y = sorted((int(top[i]), int(top[other[0]])))
+                    out.append((int(names[x]), int(names[y])))
+                    top[top == y] = x
         return out
 
     def compute(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -253,24 +287,24 @@ def _linked_in_blocks(threshold: float):
 def remaining_links(reps: DataFrame, sizes: DataFrame, roots: DataFrame, docs: DataFrame, threshold: float) -> DataFrame:
     """(a, b), a < b: links between roots that pairs of one bucket make.
 
-    reps: written (doc, bands, signature); sizes: (band, key, n) of the buckets; roots: (doc, root). A
-    bucket's members are dealt to parts of about BLOCK, and each pair of parts is a block, which gets its
+    reps: written (doc, size, bands), size in bytes; sizes: (band, key, n) of the buckets; roots: (doc, root). A
+    bucket's members are dealt to parts of about PART_BYTES, and each pair of parts is a block, which gets its
     members' texts. Members of its largest component meet only the others, so a bucket that is joined but for
     a few costs little.
     """
-    members = reps.select("doc", F.posexplode("bands").alias("band", "key")).join(sizes.where("n > 2").select("band", "key"), ["band", "key"])
-    rooted = cut(members.join(roots, "doc", "left").select("doc", "band", "key", F.coalesce("root", "doc").alias("root")))
-    each = rooted.groupBy("band", "key", "root").agg(F.count(F.lit(1)).alias("n"))
-    tops = each.groupBy("band", "key").agg(F.max_by("root", F.struct("n", "root")).alias("top"), F.max("n").alias("n_top"), F.sum("n").alias("n_all"))
-    tops = cut(tops.where("n_top < n_all").select("band", "key", "top", F.ceil((F.col("n_all") - F.col("n_top")) / BLOCK).cast("int").alias("others"), F.ceil(F.col("n_top") / BLOCK).cast("int").alias("of_top")))
+    members = reps.select("doc", "size", F.posexplode("bands").alias("band", "key")).join(sizes.where("n > 2").select("band", "key"), ["band", "key"])
+    rooted = cut(members.join(roots, "doc", "left").select("doc", "size", "band", "key", F.coalesce("root", "doc").alias("root")))
+    each = rooted.groupBy("band", "key", "root").agg(F.sum(F.greatest("size", F.lit(LEAST_BYTES))).alias("n"))
+    tops = each.groupBy("band", "key").agg(F.max_by("root", F.struct("n", "root")).alias("top"), F.max("n").alias("n_top"), F.sum("n").alias("n_all"), F.count(F.lit(1)).alias("n_roots"))
+    parts = lambda n: F.greatest(F.ceil(n / PART_BYTES), F.lit(1)).cast("int")
+    tops = cut(tops.where("n_roots > 1").select("band", "key", "top", parts(F.col("n_all") - F.col("n_top")).alias("others"), parts(F.col("n_top")).alias("of_top")))
     hashed, is_top = F.xxhash64("doc", "band"), F.col("root") == F.col("top")
     part = F.when(is_top, F.col("others") + F.pmod(hashed, F.col("of_top"))).otherwise(F.pmod(hashed, F.col("others"))).cast("int")
     dealt = cut(rooted.join(tops, ["band", "key"]).select("doc", "root", "band", "key", part.alias("part"), (F.when(is_top, F.col("others")).otherwise(F.col("others") + F.col("of_top")) - 1).alias("last")))
     texts = docs.join(dealt.select(F.col("doc").alias("doc_id")).distinct(), "doc_id", "left_semi").groupBy("doc_id").agg(F.max_by("text", _pick()).alias("text"))
-    read = reps.select("doc", "signature").join(texts.withColumnRenamed("doc_id", "doc"), "doc")
-    dealt = dealt.join(read, "doc").withColumn("other", F.explode(F.sequence(F.lit(0), "last")))
+    dealt = dealt.join(texts.withColumnRenamed("doc_id", "doc"), "doc").withColumn("other", F.explode(F.sequence(F.lit(0), "last")))
     dealt = dealt.withColumns({"left": F.least("part", "other"), "right": F.greatest("part", "other")})
-    dealt = dealt.select(F.xxhash64("band", "key", "left", "right").alias("block"), "band", "doc", "root", "part", "left", "right", "signature", "text")
+    dealt = dealt.select(F.xxhash64("band", "key", "left", "right").alias("block"), "doc", "root", "part", "left", "right", "text")
     return dealt.repartition("block").sortWithinPartitions("block", "doc").mapInPandas(_linked_in_blocks(threshold), "a long, b long").distinct()
 
 
@@ -282,7 +316,7 @@ def bucket_sizes(reps: DataFrame) -> DataFrame:
 def hub_pairs(reps: DataFrame, sizes: DataFrame) -> DataFrame:
     """Distinct (a, b), a < b: each member of a bucket with the bucket's hub.
 
-    reps: written (doc, bands, signature); sizes: of bucket_sizes(). The hub is the member with the most
+    reps: written (doc, size, bands); sizes: of bucket_sizes(). The hub is the member with the most
     bucket mates over all its bands, the smaller id among equals; both sums combine on the map side.
     """
     members = cut(reps.select("doc", F.posexplode("bands").alias("band", "key")).join(sizes, ["band", "key"]))
@@ -313,7 +347,7 @@ def _texts_of(ends: DataFrame, docs: DataFrame) -> DataFrame:
 
 
 def joined(reps: DataFrame, docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """(doc, root) of the components of all links. reps: written (doc, bands, signature); docs: (doc_id, text) of at least these."""
+    """(doc, root) of the components of all links. reps: written (doc, size, bands); docs: (doc_id, text) of at least these."""
     sizes = bucket_sizes(reps)
     pairs = cut(hub_pairs(reps, sizes))
     ends = pairs.select(F.explode(F.array("a", "b")).alias("doc_id"))
@@ -359,10 +393,10 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """
     rows = docs.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     with arrow_rows(docs.sparkSession, BATCH_ROWS):
-        keyed = cut(signed(rows).groupBy("doc_id").agg(F.max(F.struct("pick", "words", "bands", "signature")).alias("k")).select("doc_id", "k.words", "k.bands", "k.signature"))
-    first = cut(keyed.where("words IS NOT NULL").groupBy("words").agg(F.min(F.struct("doc_id", "bands", "signature")).alias("k")).select("words", F.col("k.doc_id").alias("rep"), "k.bands", "k.signature"))
+        keyed = cut(signed(rows).groupBy("doc_id").agg(F.max(F.struct("pick", "words", "size", "bands")).alias("k")).select("doc_id", "k.words", "k.size", "k.bands"))
+    first = cut(keyed.where("words IS NOT NULL").groupBy("words").agg(F.min(F.struct("doc_id", "size", "bands")).alias("k")).select("words", F.col("k.doc_id").alias("rep"), "k.size", "k.bands"))
     with arrow_rows(docs.sparkSession, BATCH_ROWS):
-        roots = joined(first.select(F.col("rep").alias("doc"), "bands", "signature"), rows, threshold)
+        roots = joined(first.select(F.col("rep").alias("doc"), "size", "bands"), rows, threshold)
     of_rep = first.select("words", "rep").join(roots.withColumnRenamed("doc", "rep"), "rep", "left")
     of_rep = cut(of_rep.select("words", F.coalesce("root", "rep").alias("class_id")))
     worded = keyed.where("words IS NOT NULL").join(of_rep, "words").select("doc_id", "class_id")

@@ -4,6 +4,7 @@ import random
 import re
 from collections import Counter
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -654,3 +655,51 @@ def test_quality_rules_of_awkward_rows(spark, table):
     rows = out.collect()
     assert len(rows) == 3 * len(TEXTS) and out.columns.count("n_words") == 1 and all(r.n_words == len((r.text or "").split()) for r in rows)
     assert all(r.kept == (not r.base_failed) for r in rows) and {r.score for r in rows} == {9.0}
+
+
+# What hubs leave apart ------------------------------------------------------------------------------
+
+
+def test_shared_counts_against_sets():
+    r = np.random.default_rng(4)
+    for n, codes, fill in ((7, 30, 0.4), (130, 40, 0.7), (90, 300, 0.02)):
+        has = r.random((n, codes)) < fill
+        code, owner = np.nonzero(has.T)
+        want = has.astype(int) @ has.T.astype(int)
+        for first, last in ((0, n), (0, 3), (n - 2, n)):
+            got = minhash.shared_counts(owner, code, first, last, n)
+            others = np.arange(n) != np.arange(first, last)[:, None]  # codes that stand once aren't counted for their own member
+            assert (got == want[first:last])[others].all()
+    assert not minhash.shared_counts(np.zeros(0, int), np.zeros(0, int), 0, 2, 3).any()
+
+
+def template_pages(n, words=200, own=23, seed=6):
+    """Pages of one template whose own words make them 0.77 alike, among them twins that are 0.8 or more alike."""
+    r = random.Random(seed)
+    base = [f"t{i}" for i in range(words)]
+    out = [" ".join(base[:words - own] + [f"p{k}x{i}" for i in range(own)]) for k in range(n)]
+    for k in range(0, n - 1, n // 5):
+        twin = out[k].split()
+        twin[-1] = "other"
+        out[k + 1] = " ".join(twin)
+    r.shuffle(out)
+    return out
+
+
+@pytest.mark.parametrize("n", [150, 600])
+def test_pages_of_a_template(spark, n):
+    """Pairs just under the threshold by the thousand: the twins among them are found, and nothing else is joined."""
+    texts = template_pages(n)
+    pages = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    got = {r.doc_id: r.class_id for r in minhash.near_duplicates(pages).collect()}
+    want = helpers.groups(texts)
+    assert len(set(want)) < n and [got[i] for i in range(n)] == want
+
+
+def test_buckets_of_several_parts(spark, monkeypatch):
+    """Parts of a few pages meet pairwise and find what all pairs find."""
+    monkeypatch.setattr(minhash, "PART_BYTES", 20_000)
+    texts = template_pages(90, seed=9)
+    pages = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    got = {r.doc_id: r.class_id for r in minhash.near_duplicates(pages).collect()}
+    assert [got[i] for i in range(90)] == helpers.groups(texts)
