@@ -1,14 +1,15 @@
 """Mixing sources to target weights by systematic sampling.
 
 Every document of a source is expected ``rate = target / source size`` times. Documents of a source
-are put in an order (size class, salt, size, id), the expected copies are prefix-summed along it,
+are put in an order (size class, hash of the id, size, id), the expected copies are prefix-summed along it,
 one random offset per source is added, and a document is emitted once for each integer boundary its
 interval crosses. So a document gets floor(rate) or ceil(rate) copies, and each stretch of similar
 sizes gets its share.
 
 The prefix sum is not one window over a source, which may hold a third of all rows: the order's
-leading part (size class, salt) makes buckets that are counted with map-side combine; offsets are
-summed over buckets, and positions within a bucket by a window on the bucket.
+leading part makes buckets, a size class and a range of hashes, that are counted with map-side combine;
+offsets are summed over buckets, and positions within a bucket by a window on the bucket. How many ranges there
+are follows the number of rows, but not the order, so it decides nothing about any document.
 """
 
 from __future__ import annotations
@@ -18,8 +19,8 @@ from pyspark.sql import functions as F
 
 from .common import SPACE_WORD
 
-#: Buckets that one size class of one source is dealt to, at least; and rows of a bucket, at most about.
-SALTS, BUCKET_ROWS = 64, 500_000
+#: Ranges of hashes that one size class of one source is dealt to, at least; and rows of a bucket, at most about.
+RANGES, BUCKET_ROWS = 64, 500_000
 #: Size classes to each doubling of the size.
 CLASSES_PER_DOUBLING = 4
 WEIGHTS = (3.0, 1.0, 2.0)
@@ -77,25 +78,26 @@ def mix(docs: DataFrame, size: Column | None = None, weights=WEIGHTS, share: flo
     gives an empty result.
 
     The number of buckets grows with the rows, so that one class of one source, were it to hold all rows,
-    is still ordered in parts of BUCKET_ROWS. Sources are ranked in one task; there are far fewer than rows.
+    is still ordered in parts of BUCKET_ROWS; the result is the same with any number. Sources are ranked in one task; there are far fewer than rows.
     """
     size = word_count(F.col("text")) if size is None else size
     own = ("size", "source_size", "target", "copies")
     docs = docs.select(*[c for c in docs.columns if c not in own], size.cast("long").alias("size"))
-    keys = ["__source", "__class", "__salt"]
+    keys = ["__source", "__class", "__range"]
     text = F.xxhash64("text") if "text" in docs.columns else F.lit(0)
-    salts = max(SALTS, docs.count() // BUCKET_ROWS)
+    ranges = max(RANGES, docs.count() // BUCKET_ROWS)
     by_text = [F.hex(text)] if "text" in docs.columns else []
     rows = docs.withColumns({
         "__source": _source_key(F.col("source")),
         "__class": F.floor(F.log2(F.col("size") + F.lit(1.0)) * CLASSES_PER_DOUBLING).cast("int"),
-        "__salt": (_hex_int(F.coalesce(F.col("doc_id").cast("string"), *by_text, F.lit("")), 6) % salts).cast("int"),
+        "__hash": _hex_int(F.coalesce(F.col("doc_id").cast("string"), *by_text, F.lit("")), 8),
     })
+    rows = rows.withColumn("__range", F.floor(F.col("__hash") * ranges / 2**32).cast("int"))
     buckets = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n"), F.sum("size").alias("size"))
-    earlier = Window.partitionBy("__source").orderBy("__class", "__salt").rowsBetween(Window.unboundedPreceding, -1)
+    earlier = Window.partitionBy("__source").orderBy("__class", "__range").rowsBetween(Window.unboundedPreceding, -1)
     offsets = buckets.select(*keys, F.coalesce(F.sum("__n").over(earlier), F.lit(0)).alias("__before"))
     offsets = offsets.join(source_targets(buckets, weights, share, cap), "__source")
-    place = F.row_number().over(Window.partitionBy(*keys).orderBy("size", F.col("doc_id").asc_nulls_last(), text))
+    place = F.row_number().over(Window.partitionBy(*keys).orderBy("__hash", "size", F.col("doc_id").asc_nulls_last(), text))
     rows = rows.withColumn("__place", place).join(offsets, keys)
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
     at, u = F.col("__before") + F.col("__place"), offset_of(F.col("__source"), seed)

@@ -106,7 +106,7 @@ WITH sized AS (
   SELECT doc_id, 's' || source AS src0, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size FROM documents
 ), rows_ AS (
   SELECT doc_id, coalesce(src0, 't') AS src, size, CAST(floor(log2(size + 1.0) * 4) AS INT) AS cls,
-    CAST(('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '')), 1, 6)) AS BIGINT) % 64 AS salt
+    CAST(('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '')), 1, 8)) AS BIGINT) AS hash
   FROM sized
 ), per AS (
   SELECT src, CAST(sum(size) AS DOUBLE) AS s, [3.0, 1.0, 2.0][CAST((row_number() OVER (ORDER BY src) - 1) % 3 + 1 AS INT)]::DOUBLE AS w
@@ -120,7 +120,7 @@ WITH sized AS (
 ), targets AS (
   SELECT src, s, least(2.0 * s, coalesce(w * (SELECT level FROM fixed), 2.0 * s)) AS target FROM levels
 ), placed AS (
-  SELECT doc_id, src, size, row_number() OVER (PARTITION BY src ORDER BY cls, salt, size, doc_id) AS p FROM rows_
+  SELECT doc_id, src, size, row_number() OVER (PARTITION BY src ORDER BY cls, hash, size, doc_id) AS p FROM rows_
 ), rated AS (
   SELECT p.*, t.s, t.target, CASE WHEN t.s > 0 THEN t.target / t.s ELSE 0.0 END AS rate,
     CAST(('0x' || substr(md5('7:' || p.src), 1, 8)) AS BIGINT) / 4294967296.0::DOUBLE AS u

@@ -703,3 +703,13 @@ def test_buckets_of_several_parts(spark, monkeypatch):
     pages = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
     got = {r.doc_id: r.class_id for r in minhash.near_duplicates(pages).collect()}
     assert [got[i] for i in range(90)] == helpers.groups(texts)
+
+
+def test_mix_is_the_same_with_any_number_of_buckets(spark, monkeypatch):
+    rows = helpers.docs(spark, [" ".join(["w"] * (i % 37)) for i in range(400)])
+    copies = lambda: sorted(map(tuple, mixing.mix(rows).select("doc_id", "copies").collect()))
+    once = copies()
+    for ranges, most in ((1, 500_000), (7, 500_000), (64, 3)):
+        monkeypatch.setattr(mixing, "RANGES", ranges)
+        monkeypatch.setattr(mixing, "BUCKET_ROWS", most)
+        assert copies() == once
