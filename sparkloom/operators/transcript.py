@@ -14,23 +14,29 @@ SETTINGS = rf"\b(?:align|position|size|line):[^\s{GAPS}]+"
 
 def without_vtt_headers(text: Column) -> Column:
     """Without the file's head and its notes, each up to a blank line; line ends come out as new lines."""
-    x = F.regexp_replace(text, "\r\n?", "\n")
-    x = F.regexp_replace(x, r"(?s)^WEBVTT.*?\n\n", "")
-    return F.regexp_replace(x, r"(?dms)^NOTE.*?\n\n", "")
+    x = F.when(text.contains("\r"), F.regexp_replace(text, "\r\n?", "\n")).otherwise(text)
+    x = let(x, lambda t: F.when(t.startswith("WEBVTT"), F.regexp_replace(t, r"(?s)^WEBVTT.*?\n\n", "")).otherwise(t))
+    return let(x, lambda t: F.when(t.contains("NOTE"), F.regexp_replace(t, r"(?dms)^NOTE.*?\n\n", "")).otherwise(t))
+
+
+#: White space other than a space and a new line, which few captions hold.
+_ODD_GAPS, _ODD_BREAKS = GAPS[1:], BREAKS.replace("\n", "")
 
 
 def cue_lines(text: Column) -> Column:
     """Spoken lines in order: no numbers, timings, tags or settings; white space squeezed.
 
-    A line ends at any of the line and page separators, as well as at a new line. The text is cleaned as a
-    whole, by patterns that stay within a line, and split last.
+    A line ends at any of the line and page separators, as well as at a new line. White space of other kinds is
+    made plain first, where there is any, so the patterns that follow are short; each is tried only on lines that
+    hold the character that it needs.
     """
-    gap = f"[{GAPS}]"
-    x = F.regexp_replace(without_vtt_headers(text), f"[{BREAKS}]", "\n")
-    x = F.regexp_replace(x, rf"(?dm)^{gap}*(?:\p{{Nd}}+{gap}*|{TIMING}{gap}+-->{gap}[^\n]*)$", "")
-    x = F.regexp_replace(F.regexp_replace(x, r"<[^>\n]+>", ""), SETTINGS, "")
-    x = F.regexp_replace(x, f"{gap}{{2,}}|[{GAPS[1:]}]", " ")
-    return F.filter(F.transform(F.split(x, "\n"), lambda line: F.btrim(line, F.lit(" "))), lambda line: line != "")
+    x = without_vtt_headers(text)
+    x = let(x, lambda t: F.when(t.rlike(f"[{_ODD_GAPS}{_ODD_BREAKS}]"), F.regexp_replace(F.regexp_replace(t, f"[{_ODD_BREAKS}]", "\n"), f"[{_ODD_GAPS}]", " ")).otherwise(t))
+    lines = F.filter(F.split(x, "\n"), lambda line: ~line.rlike(rf"^ *(?:\p{{Nd}}+ *|{TIMING} +--> .*)$"))
+    lines = F.transform(lines, lambda line: F.when(line.contains("<"), F.regexp_replace(line, r"<[^>]+>", "")).otherwise(line))
+    lines = F.transform(lines, lambda line: F.when(line.contains(":"), F.regexp_replace(line, SETTINGS, "")).otherwise(line))
+    lines = F.transform(lines, lambda line: F.when(line.contains("  "), F.regexp_replace(line, " {2,}", " ")).otherwise(line))
+    return F.filter(F.transform(lines, lambda line: F.btrim(line, F.lit(" "))), lambda line: line != "")
 
 
 def without_repeats(lines: Column) -> Column:
