@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as tx
 from ..operators import metadata, notes, records, select
-from ..sources import containers, exports, folders
+from ..sources import containers, exports, folders, mailboxes
 from ..sources.scratch import scratch_folder
 from ..sources.tables import table
 from ..streaming import remerge
@@ -133,6 +133,19 @@ def mail_containers(spark, sf_dir):
     return spark.sql("SELECT container, place, sender, subject, plain FROM mails_of_lines(TABLE({lines}) PARTITION BY container ORDER BY place)", lines=lines)
 
 
+@query(f"SELECT 'd' || doc_id || '@example.com' AS sender, 'S' || doc_id AS subject, md5({STRIP.format('text')}) AS body_md5 FROM documents WHERE text IS NOT NULL AND NOT contains(chr(10) || text, chr(10) || 'From ')")
+def mail_ranges(spark, sf_dir):
+    """Documents as mails of mbox files, read back as a data source by ranges of bytes that begin and end within mails."""
+    docs = table(spark, sf_dir, "documents").where("text IS NOT NULL AND NOT contains(concat('\n', text), '\nFrom ')")
+    who = F.col("doc_id").cast("string")
+    mail = F.concat(F.lit("From x\nFrom: d"), who, F.lit("@example.com\nSubject: S"), who, F.lit("\nContent-Type: text/plain; charset=utf-8\nContent-Transfer-Encoding: 8bit\n\n"), "text", F.lit("\n> quoted\n____\nolder"))
+    folder = scratch_folder(spark, "mailbox")
+    docs.select(mail.alias("value")).write.text(folder)
+    mailboxes.register(spark)
+    read = spark.read.format(mailboxes.FORMAT).schema("sender string, subject string, plain string").option("rangeBytes", "300000").load(folder)
+    return read.select("sender", "subject", F.md5(tx.strip_quoted_reply(F.col("plain"))).alias("body_md5"))
+
+
 # Files ----------------------------------------------------------------------------------------------
 
 

@@ -77,6 +77,10 @@ def _payload(part) -> str:
         return raw.decode("utf-8", "replace")
 
 
+def _headers(message) -> dict:
+    return {"sender": _decoded(message["From"]), "subject": _decoded(message["Subject"]), "date": message["Date"] or ""}
+
+
 def _mail_row(raw: bytes) -> dict:
     """Headers and body: the first plain text of several parts, else their first HTML that shows anything; a lone part as it is.
 
@@ -95,7 +99,7 @@ def _mail_row(raw: bytes) -> dict:
             break
         if kind == "text/html" and not re.sub(r"<[^>]*>", "", html).strip():
             html = _payload(part)
-    return {"sender": _decoded(message["From"]), "subject": _decoded(message["Subject"]), "date": message["Date"] or "", "plain": plain, "html": html}
+    return _headers(message) | {"plain": plain, "html": html}
 
 
 def mail_rows(raw: DataFrame, column: str = "raw") -> DataFrame:

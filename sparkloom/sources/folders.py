@@ -16,18 +16,10 @@ from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceWriter, WriterCommitMessage
 from pyspark.sql.types import StructType
 
-FORMAT = "record_folders"
-
-
-def _store(path: str):
-    from pyarrow import fs
+from .stores import store as _store
+from .stores import uri as _uri
 
-    return fs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (fs.LocalFileSystem(), path)
-
-
-def _uri(path: str) -> str:
-    """file:/a as file:///a, which is the form that Arrow takes."""
-    return "file://" + path[5:] if path.startswith("file:/") and not path.startswith("file://") else path
+FORMAT = "record_folders"
 
 
 def _name(value: str | None, what: str) -> str:

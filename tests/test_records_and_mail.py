@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from sparkloom.functions import text as tx
 from sparkloom.operators import metadata, records, select
-from sparkloom.sources import containers, exports, folders
+from sparkloom.sources import containers, exports, folders, mailboxes
 from sparkloom.streaming import remerge
 
 FIXTURE = [HealthCheck.function_scoped_fixture]
@@ -271,6 +271,40 @@ def test_containers_in_sql(spark):
     assert sorted(tuple(r) for r in again) == [tuple(r) for r in got]
 
 
+BOXES = [b"", b"lost\nlines", b"From a\nx: 1\n\nbody", b"lost\nFrom a\n\none\n>From b\n\nFrom \nFrom c", b"From a\n" * 5, b"\nFrom a\n\n" + b"y" * 50 + b"\nFrom b\nz"]
+
+
+@pytest.mark.parametrize("box", BOXES)
+def test_ranges_of_any_size_give_each_message_once(box):
+    import io
+
+    starts = [m.start() for m in re.finditer(rb"^From ", box, re.MULTILINE)]
+    want = [(s, box[s:e].partition(b"\n")[2]) for s, e in zip(starts, [*starts[1:], len(box)])]
+    for most in (1, 2, 3, 7, 10, 1000):
+        for chunk in (1, 4, 9, 1000):
+            got = [x for s in range(0, len(box), most) for x in mailboxes.messages_in(io.BytesIO(box), s, min(s + most, len(box)), chunk)]
+            assert got == want
+
+
+def test_mailbox_source(spark, tmp_path):
+    mailboxes.register(spark)
+    (tmp_path / "sub").mkdir()
+    (tmp_path / "a.eml").write_text("From: Ann <a@x>\nSubject: one\n\nhello\n")
+    (tmp_path / "sub" / "b.mbox").write_bytes(b"".join(f"From x\nFrom: {who}\r\nSubject: s{i}\r\n\r\nbody {i}\r\n".encode() for i, who in enumerate(["Ann", "Bob"] * 40)))
+    (tmp_path / "_hidden").write_text("From x\nFrom: no\n\n")
+    (tmp_path / "empty.mbox").write_text("")
+    read = lambda: spark.read.format("mailbox").option("rangeBytes", "100")
+    every = read().load(str(tmp_path))
+    assert every.rdd.getNumPartitions() > 10 and every.count() == 81
+    assert {r.plain.strip() for r in every.where("sender = 'Bob'").collect()} == {f"body {i}" for i in range(1, 80, 2)}
+    heads = read().schema("subject string, sender string").option("target", "ANN").load(f"file:{tmp_path}")
+    assert heads.columns == ["subject", "sender"] and {r.subject for r in heads.collect()} == {"one", *(f"s{i}" for i in range(0, 80, 2))}
+    with pytest.raises(Exception, match="no body"):
+        read().schema("body string").load(str(tmp_path)).collect()
+    with pytest.raises(Exception, match="nowhere"):
+        read().load(str(tmp_path / "nowhere")).collect()
+
+
 FILES = "folder string, file string, content string"
 
 
