@@ -133,6 +133,10 @@ PROFILE = "CASE WHEN corpus % 2 = 0 THEN 'budget-unfriendly' ELSE 'budget-friend
 _MATCH = {k: f"regexp_matches(d, '(?i){p}')" for k, p in quality.PATTERNS.items()}
 
 
+#: What a draft is judged by, besides its text: counts over its notes, then what its reviews are and say.
+COUNTED = ("files_scanned", "unique_urls", "primary_source_markers", "source_metadata_blocks", "contradiction_bullets", "inference_bullets", "pattern_bullets", "gap_bullets", "long_quote_lines", "track_coverage_count", "high_tier_sources", "mid_tier_sources", "low_tier_sources", "weighted_source_primary_ratio")
+REVIEWED = {"research_audit_present": "a", "synthesis_review_present": "s", "validation_review_present": "v", "research_audit_pass": "ap", "validation_review_pass": "vp"}
+_RESEARCH = ", ".join([f"{c}: {c}" for c in COUNTED] + [f"{k}: coalesce({c}, false)" for k, c in REVIEWED.items()] + ["known_answer_questions: coalesce(q, 0)", "edge_case_markers: coalesce(e, 0)"])
 CHECKED = f""", {REVIEWS}, r AS (SELECT corpus, bool_or(kind = 'audit') AS a, bool_or(kind = 'synthesis') AS s, bool_or(kind = 'validation') AS v, coalesce(bool_or(passes) FILTER (kind = 'audit'), false) AS ap, coalesce(bool_or(passes) FILTER (kind = 'validation'), false) AS vp,
   coalesce(sum(len(regexp_extract_all(t, 'Question:\\s*'))) FILTER (kind <> 'synthesis'), 0) AS q, coalesce(sum(len(regexp_extract_all(t, '(?i)edge-case|edge case'))) FILTER (kind <> 'synthesis'), 0) AS e
   FROM (SELECT *, regexp_matches(t, '(?i)Status:\\s*PASS\\b|Release readiness:\\s*ready\\b|Verdict:?\\s*PASS\\b') AS passes FROM reviews) GROUP BY corpus),
@@ -141,12 +145,12 @@ CHECKED = f""", {REVIEWS}, r AS (SELECT corpus, bool_or(kind = 'audit') AS a, bo
    len(regexp_extract_all(d, '(?m)^\\s*[-*]\\s+')) >= 3 AND {_MATCH['mental_models']} AS mental_models, 3 + CASE WHEN corpus % 4 = 0 THEN 1 ELSE 0 END >= CASE WHEN strict THEN 4 ELSE 2 END AS source_grounding, d, len(regexp_extract_all(d, '(?m)^\\s*[-*]\\s+')) AS n_bullets, long_quote_lines,
    NOT regexp_matches(d, '(?m)^\\s*>') AND long_quote_lines = 0 AS copyright_safety, NOT strict OR {_MATCH['intellectual_genealogy']} AS intellectual_genealogy, NOT strict OR {_MATCH['agentic_protocol']} AS agentic_protocol,
    NOT strict OR weighted_source_primary_ratio >= 50 OR high_tier_sources >= 3 AS source_hierarchy, NOT strict OR coalesce(a AND s AND v AND ap AND vp, false) AS review_chain, NOT strict OR (coalesce(q, 0) >= 2 AND coalesce(e, 0) >= 1) AS validation_depth,
-   NOT strict OR (files_scanned >= 6 AND unique_urls >= 8 AND primary_source_markers >= 3 AND source_metadata_blocks >= 6 AND contradiction_bullets >= 6 AND inference_bullets >= 6 AND track_coverage_count >= 6) AS research_depth FROM x)"""
+   NOT strict OR (files_scanned >= 6 AND unique_urls >= 8 AND primary_source_markers >= 3 AND source_metadata_blocks >= 6 AND contradiction_bullets >= 6 AND inference_bullets >= 6 AND track_coverage_count >= 6) AS research_depth, {{{_RESEARCH}}} AS research FROM x)"""
 CHECKS = ("mental_models", "limitations", "expression_dna", "honest_boundaries", "internal_tension", "intellectual_genealogy", "agentic_protocol", "source_grounding", "copyright_safety", "source_hierarchy", "review_chain", "validation_depth", "research_depth")
 _ALL = " AND ".join(CHECKS)
 
 
-@query(f"{CHECKED} SELECT * EXCLUDE (d, n_bullets, long_quote_lines), {_ALL} AS passed FROM k")
+@query(f"{CHECKED} SELECT * EXCLUDE (d, n_bullets, long_quote_lines, research), {_ALL} AS passed FROM k")
 def quality_checks(spark, sf_dir):
     out = checked(spark, sf_dir)
     out = out.select("corpus", (F.col("profile") == quality.STRICT).alias("strict"), *CHECKS)
@@ -167,13 +171,14 @@ def checked(spark, sf_dir):
 
 
 @query(f"""{CHECKED} SELECT corpus, {" || chr(10) || ".join(f"CASE WHEN {c} THEN 'PASS' ELSE 'FAIL' END || '  {c}'" for c in CHECKS)} || chr(10) || 'OVERALL ' || CASE WHEN {_ALL} THEN 'PASS' ELSE 'FAIL' END AS report,
-  to_json({{passed: {_ALL}, checks: {{{", ".join(f"{c}: {c}" for c in CHECKS)}}}, bullet_count: n_bullets, grounded_url_count: 3 + CASE WHEN corpus % 4 = 0 THEN 1 ELSE 0 END, profile: CASE WHEN strict THEN 'budget-unfriendly' ELSE 'budget-friendly' END, research_metrics: {{long_quote_lines: long_quote_lines}}}})::VARCHAR AS json FROM k""")
+  to_json({{passed: {_ALL}, checks: {{{", ".join(f"{c}: {c}" for c in CHECKS)}}}, bullet_count: n_bullets, grounded_url_count: 3 + CASE WHEN corpus % 4 = 0 THEN 1 ELSE 0 END, profile: CASE WHEN strict THEN 'budget-unfriendly' ELSE 'budget-friendly' END, research_metrics: research}})::VARCHAR AS json FROM k""")
 def gate_report(spark, sf_dir):
     """All checks as lines and as JSON."""
     rows = checked(spark, sf_dir)
     named = {k: F.col(k) for k in CHECKS}
     passed = quality.passed(quality.check_map(named))
-    json = report.gate_json(named, passed, quality.bullets(F.col("d")), F.size(quality.grounded_urls(F.col("d"))), F.col("profile"), {"long_quote_lines": F.col("long_quote_lines")})
+    metrics = {c: F.col(c) for c in COUNTED} | {c: F.coalesce(c, F.lit(False)) for c in REVIEWED} | {c: F.coalesce(c, F.lit(0)) for c in ("known_answer_questions", "edge_case_markers")}
+    json = report.gate_json(named, passed, quality.bullets(F.col("d")), F.size(quality.grounded_urls(F.col("d"))), F.col("profile"), metrics)
     return rows.select("corpus", report.gate_report(named, passed).alias("report"), json.alias("json"))
 
 
