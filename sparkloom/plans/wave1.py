@@ -76,12 +76,13 @@ def target_filter_ci(spark, sf_dir):
 NOISY = "CASE conv_id % 6 WHEN 0 THEN '[图片]' WHEN 1 THEN ' [语音]' || chr(9) WHEN 2 THEN ':smile_cat: ' WHEN 3 THEN '<@U1> :ok: k' WHEN 4 THEN '' ELSE text END"
 
 
-@query(rf"""SELECT conv_id, turn, regexp_replace(content, '^\s+|\s+$', '', 'g') AS content FROM (SELECT conv_id, turn, role, {NOISY} AS content FROM conversations)
+@query(rf"""SELECT conv_id, turn, regexp_replace(content, '^\s+|\s+$', '', 'g') AS content FROM (SELECT conv_id, turn, role, unnest([text, {NOISY}]) AS content FROM conversations)
   WHERE regexp_replace(content, '^\s+|\s+$', '', 'g') NOT IN ('', '[图片]', '[文件]', '[撤回了一条消息]', '[语音]') AND role <> 'system'
   AND length(trim(regexp_replace(trim(regexp_replace(content, '<[^>]+>', '', 'g')), ':[a-z_]+:', '', 'g'))) >= 2""")
 def noise_filter(spark, sf_dir):
+    """Every message, and then with placeholders and noise in the place of most."""
     content = F.expr(NOISY.replace("chr(9)", "'\\t'"))
-    rows = table(spark, sf_dir, "conversations").withColumns({"content": content, "subtype": F.when(F.col("role") == "system", "channel_join")})
+    rows = table(spark, sf_dir, "conversations").withColumns({"content": F.explode(F.array("text", content)), "subtype": F.when(F.col("role") == "system", "channel_join")})
     kept = rows.where(F.col("subtype").isNull() & ~classify.is_placeholder(F.col("content")) & ~classify.is_noise(F.col("content")))
     return kept.select("conv_id", "turn", strip_ws(F.col("content")).alias("content"))
 
@@ -92,9 +93,10 @@ ROUTED = "CASE page_id % 7 WHEN 0 THEN 'https://x.example.com/wiki/Ab' || page_i
 @query(f"""SELECT page_id, CASE WHEN contains(u, '/wiki/') THEN 'wiki' WHEN contains(u, '/docx/') OR contains(u, '/docs/') THEN 'doc' WHEN contains(u, '/sheets/') OR contains(u, '/spreadsheets/') THEN 'sheet' WHEN contains(u, '/base/') THEN 'base' ELSE 'unknown' END AS page_type,
   nullif(regexp_extract(u, '/(wiki|docx|docs|sheets|base)/([A-Za-z0-9]+)', 2), '') AS token,
   CASE regexp_extract(u, '/(wiki|docx|docs|sheets|base)/([A-Za-z0-9]+)', 1) WHEN 'wiki' THEN 'wiki' WHEN 'docx' THEN 'docx' WHEN 'docs' THEN 'doc' WHEN 'sheets' THEN 'sheet' WHEN 'base' THEN 'base' END AS token_type
-  FROM (SELECT page_id, {ROUTED} AS u FROM pages)""")
+  FROM (SELECT page_id, unnest([url, {ROUTED}]) AS u FROM pages)""")
 def url_route(spark, sf_dir):
-    rows = table(spark, sf_dir, "pages").select("page_id", F.expr(ROUTED).alias("u"))
+    """Every page's own address, and then one of each kind of document."""
+    rows = table(spark, sf_dir, "pages").select("page_id", F.explode(F.array("url", F.expr(ROUTED))).alias("u"))
     token, kind = urls.doc_token(F.col("u"))
     return rows.select("page_id", urls.page_type(F.col("u")).alias("page_type"), token.alias("token"), kind.alias("token_type"))
 
@@ -113,9 +115,10 @@ GROUNDED = "CASE page_id % 6 WHEN 0 THEN url WHEN 1 THEN 'https://a.example.com/
 
 @query(rf"""SELECT page_id, u AS url, regexp_matches(u, '^https?://[^/?#]+') AND (CASE WHEN p = '' THEN '/' ELSE p END) NOT IN {urls.GENERIC_PATHS}
   AND (len(segs) >= 2 OR length(coalesce(segs[1], '')) >= 8 OR regexp_matches(lower(regexp_extract(u, '\?([^#]*)', 1)), 'id=|vid=|aid=|bvid=|p=|article')) AS grounded
-  FROM (SELECT *, list_filter(string_split(p, '/'), lambda s: s <> '') AS segs FROM (SELECT page_id, u, regexp_replace(regexp_extract(u, '^[a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]*([^?#]*)', 1), '/+$', '') AS p FROM (SELECT page_id, {GROUNDED} AS u FROM pages)))""")
+  FROM (SELECT *, list_filter(string_split(p, '/'), lambda s: s <> '') AS segs FROM (SELECT page_id, u, regexp_replace(regexp_extract(u, '^[a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]*([^?#]*)', 1), '/+$', '') AS p FROM (SELECT page_id, unnest([url, {GROUNDED}]) AS u FROM pages)))""")
 def url_grounding(spark, sf_dir):
-    rows = table(spark, sf_dir, "pages").select("page_id", F.expr(GROUNDED).alias("url"))
+    """Every page's own address, and then one of each kind that is or isn't a source."""
+    rows = table(spark, sf_dir, "pages").select("page_id", F.explode(F.array("url", F.expr(GROUNDED))).alias("url"))
     return rows.withColumn("grounded", urls.is_concrete_source(F.col("url")))
 
 
