@@ -5,10 +5,11 @@ word is tracked. A match of ``window`` words, or of a whole shorter item, marks
 documents whose marked words reach the coverage limit are contaminated, and marked spans can be removed
 from the others.
 
-An automaton takes about 80 bytes for each byte of item text, so items are dealt to parts of at most
-``max_bytes`` of text. Only a part's texts are broadcast; each Python worker builds the part's automaton,
-and one part is at work at a time. With several parts, documents are read once for each, and what was hit
-is merged by the text's digest; the parts bound driver, workers and broadcasts whatever the items' number.
+An automaton takes about 80 bytes for each byte of item text. Items of at most ``max_bytes`` go into one, whose
+texts are broadcast. Beyond that nothing is broadcast, and documents are still read once: each window of an
+item, and each window of that many words of a document, is named by the least hash of the runs of ``GRAM`` words
+in it, so equal windows have equal names. Names are joined, which tells for each document the few items that it
+may share a window with, and an automaton of these items alone judges it.
 
 Tokenizing is one byte translation and a split; a word outside the items' vocabulary, or two words
 that never meet in an item, end every match, so only runs of known word pairs are streamed.
@@ -24,18 +25,24 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
+from pyspark.sql.types import StringType
 
-from .common import FOLD, cut
+from .common import FOLD, arrow_rows, cut
+from .minhash import _by_bytes, mix64, word_hashes
 
 WINDOW = 13
 #: Java regular expression of a word: digits and letters of ASCII, and everything beyond it.
 WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
-#: Text bytes of items in one part, so that its automaton takes about 160 MB.
+#: Text bytes of items in one automaton, which takes about 160 MB, and in one broadcast.
 MAX_BYTES = 2_000_000
+#: Words of the runs by whose least hash a window is named; texts that a worker gets at once.
+GRAM, BATCH_ROWS = 8, 1_000
 SPANS = "array<struct<start:int,end:int>>"
 
 
+_MIXER = np.uint64(0x9E3779B97F4A7C15)
+
+
 def words(text: str | None) -> list[bytes]:
     return [] if not isinstance(text, str) else text.encode("utf-8", "surrogatepass").translate(FOLD).split()
 
@@ -175,17 +182,59 @@ def _automaton(name: str, part) -> Automaton:
     return _BUILT[name]
 
 
-def item_parts(items: DataFrame, item_id: str, max_bytes: int) -> Iterator[list[tuple]]:
-    """(id, text) of the items, in parts of at most about max_bytes of text, read one at a time.
-
-    Parts are dealt by a hash of the text; an item of more bytes is a part of its own size.
-    """
-    rows = items.select(F.col(item_id).alias("id"), "text").where(F.col("text").isNotNull())
-    total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    parts = total // max_bytes + 1
-    for p in range(parts):
-        part = rows.where(F.pmod(F.xxhash64("text"), F.lit(parts)) == p) if parts > 1 else rows
-        yield [(r["id"], r["text"]) for r in part.collect()]
+def names_of(texts: list[str | None], lengths: list[int]) -> Iterator[np.ndarray]:
+    """Distinct names of each text's windows of these numbers of words."""
+    hashes, counts = word_hashes(texts)
+    for h in np.split(hashes, np.cumsum(counts)[:-1]):
+        found = [np.zeros(0, np.uint64)]
+        for n in lengths:
+            size = min(GRAM, n)
+            if len(h) >= n:
+                run = np.full(len(h) - size + 1, n, np.uint64)
+                for k in range(size):
+                    run = mix64(run * _MIXER + h[k:len(h) - size + 1 + k])
+                found.append(run if n == size else np.lib.stride_tricks.sliding_window_view(run, n - size + 1).min(axis=1))
+        yield np.unique(np.concatenate(found)).view(np.int64)
+
+
+def named(texts: DataFrame, key: str, lengths: list[int] | None, window: int) -> DataFrame:
+    """Distinct (key, name) of the windows of texts; without lengths, of a text's own, ``window`` words or all it has."""
+
+    def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for whole in batches:
+            for at in _by_bytes(whole["text"]):
+                b = whole.iloc[at]
+                if lengths is None:
+                    found = [next(names_of([t], [n])) if (n := min(window, len(words(t)))) else np.zeros(0, np.int64) for t in b["text"]]
+                else:
+                    found = list(names_of(b["text"].tolist(), lengths))
+                yield pd.DataFrame({key: np.repeat(b[key].to_numpy(), [len(f) for f in found]), "name": np.concatenate([np.zeros(0, np.int64), *found])})
+
+    return texts.mapInPandas(each, f"{key} {texts.schema[key].dataType.simpleString()}, name long").distinct()
+
+
+def found_by_names(docs: DataFrame, items: DataFrame, window: int, item_id: str) -> DataFrame:
+    """(__digest, __spans, __items) of the distinct texts that items hit, written."""
+    with arrow_rows(docs.sparkSession, BATCH_ROWS):
+        rows = cut(items.where("text IS NOT NULL").select(F.monotonically_increasing_id().alias("item"), F.col(item_id).cast("string").alias("id"), "text"))
+        n = F.least(F.regexp_count("text", F.lit(WORD)), F.lit(window))
+        lengths = sorted(r[0] for r in rows.select(n.alias("n")).where("n > 0").distinct().collect())  # window numbers at most
+        texts = docs.where(F.col("text").isNotNull()).select(F.sha2("text", 256).alias("__digest"), "text")
+        wanted = cut(named(rows.select("item", "text"), "item", None, window))
+        pairs = cut(named(texts, "__digest", lengths, window).join(wanted, "name").select("__digest", "item").distinct())
+        listed = pairs.join(rows, "item").groupBy("__digest").agg(F.collect_list(F.struct("id", "text")).alias("items"))
+        once = texts.join(pairs.select("__digest").distinct(), "__digest", "left_semi").groupBy("__digest").agg(F.first("text").alias("text"))
+
+        @F.pandas_udf(f"spans {SPANS}, items array<string>")
+        def judge(batch: pd.Series, candidates: pd.Series) -> pd.DataFrame:
+            out = []
+            for text, some in zip(batch, candidates):
+                stretches, ids = Automaton([(x["id"], words(x["text"])) for x in some], window).scan(words(text))
+                out.append(([{"start": s, "end": e} for s, e in merged(stretches)], sorted(x for x in map(str, ids))))
+            return pd.DataFrame(out, columns=["spans", "items"])
+
+        found = once.join(listed, "__digest").select("__digest", judge.asNondeterministic()("text", "items").alias("h"))
+        return cut(found.where(F.size("h.items") > 0).select("__digest", F.col("h.spans").alias("__spans"), F.col("h.items").alias("__items")))
 
 
 def rest_of(text: str, stretches) -> str:
@@ -218,11 +267,6 @@ def _hits(part):
     return judge.asNondeterministic()  # so that it runs once, not in a filter and again in a projection
 
 
-@F.pandas_udf(ArrayType(StructType([StructField("start", IntegerType()), StructField("end", IntegerType())])))
-def _merge_spans(lists: pd.Series) -> pd.Series:
-    return pd.Series([[{"start": s, "end": e} for s, e in merged((x["start"], x["end"]) for x in spans)] for spans in lists])
-
-
 @F.pandas_udf(StringType())
 def _without_words(texts: pd.Series, spans: pd.Series) -> pd.Series:
     return pd.Series([rest_of(t, [(x["start"], x["end"]) for x in s]) if s is not None and len(s) else None for t, s in zip(texts, spans)], dtype=object)
@@ -231,34 +275,17 @@ def _without_words(texts: pd.Series, spans: pd.Series) -> pd.Series:
 def judged(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, max_bytes: int = MAX_BYTES, item_id: str = "item_id") -> DataFrame:
     """docs with the column ``__hits``: struct of n_words, spans (in words, disjoint, in order), items (ids as strings,
     sorted) and rest (the text without the spans, null without any)."""
-    context, parts = docs.sparkSession.sparkContext, []
-    for k, items in enumerate(item_parts(benchmark, item_id, max_bytes)):
-        hits = _hits(context.broadcast((items, window)))(F.col("text"))
-        if k == 0:
-            first = hits  # the only one, as a rule
-        else:
-            if k == 1:
-                parts.append(_found(docs, first))
-            parts.append(_found(docs, hits))
-    if not parts:
-        return docs.withColumn("__hits", first)
-    found = parts[0]
-    for p in parts[1:]:
-        found = found.unionByName(p)
-    found = found.groupBy("__digest").agg(F.flatten(F.collect_list("spans")).alias("spans"), F.sort_array(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))  # a row for each part at most
-    found = found.select("__digest", _merge_spans("spans").alias("__spans"), F.col("items").alias("__items"))
+    own = benchmark.select(item_id, "text")
+    if (own.agg(F.sum(F.octet_length("text"))).first()[0] or 0) <= max_bytes:
+        items = [(r[0], r[1]) for r in own.where(F.col("text").isNotNull()).collect()]  # max_bytes at most
+        return docs.withColumn("__hits", _hits(docs.sparkSession.sparkContext.broadcast((items, window)))(F.col("text")))
+    found = found_by_names(docs.select("text"), own, window, item_id)
     n_words = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
     out = docs.withColumn("__key", F.sha2("text", 256)).join(found, F.col("__key") == F.col("__digest"), "left")
     hits = F.struct(n_words.alias("n_words"), F.coalesce("__spans", F.array().cast(SPANS)).alias("spans"), F.coalesce("__items", F.array().cast("array<string>")).alias("items"), _without_words("text", "__spans").alias("rest"))
     return out.withColumn("__hits", hits).drop("__key", "__digest", "__spans", "__items")
 
 
-def _found(docs: DataFrame, hits) -> DataFrame:
-    """(__digest, spans, items) of the distinct texts that one part hits, written."""
-    rows = docs.select("text", hits.alias("h")).where(F.size("h.items") > 0)
-    return cut(rows.groupBy(F.sha2("text", 256).alias("__digest")).agg(F.first("h").alias("h")).select("__digest", "h.spans", "h.items"))
-
-
 def _n_hit():
     return F.aggregate("__hits.spans", F.lit(0), lambda n, s: n + s["end"] - s["start"]).cast("long")
 

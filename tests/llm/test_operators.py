@@ -713,3 +713,34 @@ def test_mix_is_the_same_with_any_number_of_buckets(spark, monkeypatch):
         monkeypatch.setattr(mixing, "RANGES", ranges)
         monkeypatch.setattr(mixing, "BUCKET_ROWS", most)
         assert copies() == once
+
+
+def test_names_of_equal_windows_are_equal():
+    """Each window's name is among its text's, whatever stands around it; windows of other lengths have other names."""
+    r = random.Random(2)
+    ws = [r.choice("abcde") * r.randint(1, 3) for _ in range(60)]
+    every = set(next(decontaminate.names_of([" ".join(ws)], [3, 13])).tolist())
+    for n in (3, 13):
+        for i in range(len(ws) - n + 1):
+            own = next(decontaminate.names_of(["  ".join(ws[i:i + n]).upper()], [n])).tolist()
+            assert len(own) == 1 and own[0] in every
+    assert not len(next(decontaminate.names_of(["a b"], [3]))) and [len(x) for x in decontaminate.names_of([None, "", "a"], [1])] == [0, 0, 1]
+
+
+def test_many_items_are_found_in_one_pass(spark):
+    """With items beyond what one automaton takes, documents are scanned once and the rows are the same."""
+    r = random.Random(31)
+    items = [prose(r.choice([2, 5, 12, 13, 14, 30]), 1000 + i) for i in range(60)] + [None, "", "a", items_same := prose(20, 77), items_same]
+    texts = []
+    for i in range(80):
+        parts = [prose(r.randint(0, 30), 2000 + i)] + [x.upper() if r.random() < 0.3 else x for x in r.sample([t for t in items if t], r.randint(0, 3))]
+        r.shuffle(parts)
+        texts.append(" ".join(parts))
+    docs = helpers.docs(spark, [*texts, *texts[:5], None, ""])
+    bench = spark.createDataFrame([(i, t, "x") for i, t in enumerate(items)], "item_id long, text string, spans string")
+    rows = lambda size: sorted(map(str, decontaminate.contamination(docs, bench, max_bytes=size).select("doc_id", "n_words", "n_hit", "items", "hit_spans", "contaminated").collect()))
+    one, many = rows(decontaminate.MAX_BYTES), rows(50)
+    assert one == many
+    for t, row in zip(texts, decontaminate.contamination(docs, bench, max_bytes=50).orderBy("doc_id").collect()):
+        n, hit, which = helpers.windows(t, items)
+        assert (row.n_words, row.n_hit, sorted(row.items)) == (n, hit, sorted(map(str, which)))
