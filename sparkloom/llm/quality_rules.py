@@ -1,12 +1,13 @@
 """Quality rules whose cutoffs carry a risk guarantee.
 
 Each rule is a rate that junk drives up or down, with a fixed grid of cutoffs from mild to harsh. The
-labelled holdout is dealt by a hash of the id to two halves. The guide lines up, for each stratum (length
-class of the document), the cutoffs that pay into one sequence, from those that cost fewest good documents
-on. The guard, which had no part in that, tests the sequence: step by step, as long as the exact binomial
-test rejects "the cutoffs so far together falsely reject more than ``alpha`` of the stratum's good
-documents" at level ``delta / number of strata`` (fixed-sequence testing within a stratum, Bonferroni over
-strata). The last step that passes gives the stratum's cutoffs; so with probability 1 - ``delta`` no
+labelled holdout is dealt by a hash of the id: a third is the guide, the rest the guard. The guide lines up,
+for each stratum (length class of the document), the cutoffs that pay into one sequence, from those that
+cost fewest good documents on. The guard, which had no part in that, tests the sequence: step by step, as long
+as the exact binomial test rejects "the cutoffs so far together falsely reject more than ``alpha`` of the
+stratum's good documents" at the stratum's level. Levels are dealt as Holm's are: each stratum has
+``delta / number of strata``, and one whose whole sequence has passed leaves its level to the others in equal
+parts. The last step that passes gives the stratum's cutoffs; so with probability 1 - ``delta`` no
 stratum loses more than ``alpha`` of its good documents to them. All labelled rows of the holdout count.
 
 All work on rows is built-in functions; only counts per (stratum, label, cutoff or step), whose number the
@@ -163,6 +164,17 @@ def longest_safe(rejected_at: dict[int, int], n: int, steps: int, alpha: float,
     return steps
 
 
+def certified(paths: dict[int, list], rejected_at: dict[int, dict], alpha: float, delta: float) -> dict[int, int]:
+    """Number of steps that pass in each stratum; strata that pass all of theirs leave their level to the others."""
+    passed, waiting = {}, list(paths)
+    while waiting:
+        safe = {s: longest_safe(rejected_at[s], sum(rejected_at[s].values()), len(paths[s]), alpha, delta / len(waiting)) for s in waiting}
+        through = [s for s in waiting if safe[s] == len(paths[s])]
+        passed |= {s: safe[s] for s in (through or waiting)}
+        waiting = [s for s in waiting if s not in passed]
+    return passed
+
+
 def _by_step(rows: DataFrame, paths: dict[int, list]) -> dict[tuple[int, int], dict[int | None, int]]:
     """(stratum, label) -> first rejecting step, or None, -> documents."""
     step = F.lit(None).cast("int")
@@ -177,7 +189,7 @@ def _by_step(rows: DataFrame, paths: dict[int, list]) -> dict[tuple[int, int], d
 def fit_cutoffs(holdout: DataFrame, alpha: float = 0.04, delta: float = 0.1) -> dict[tuple[int, str], float]:
     """(stratum, rule) -> cutoff. holdout: rows of base_columns() with doc_id and label (1 good, 0 junk), without base failures."""
     rules, strata = _rules(), range(len(STRATA) + 1)
-    rows = cut(holdout.select("label", stratum().alias("stratum"), (F.shiftright(F.crc32(F.col("doc_id").cast("string")), 8) % 2 == 0).alias("guide"), _places().alias("places")))
+    rows = cut(holdout.select("label", stratum().alias("stratum"), (F.shiftright(F.crc32(F.col("doc_id").cast("string")), 8) % 3 == 0).alias("guide"), _places().alias("places")))
     guide, guard = rows.where("guide"), rows.where(~F.col("guide") & (F.col("label") == 1))
     aggs = [F.count_if(F.col("places")[name] <= k).alias(f"{name}__{k}") for name, (_, grid) in rules.items() for k in range(len(grid))]
     alone = {(r["stratum"], r["label"]): r for r in guide.groupBy("stratum", "label").agg(*aggs).collect()}
@@ -190,10 +202,10 @@ def fit_cutoffs(holdout: DataFrame, alpha: float = 0.04, delta: float = 0.1) ->
         good, junk = together.get((s, 1), {}), together.get((s, 0), {})
         m, n = max(1, sum(good.values())), max(1, sum(junk.values()))
         paths[s] = [step for k, step in enumerate(path) if junk.get(k, 0) / n > good.get(k, 0) / m]
-    tested, out = _by_step(guard, paths), {}
-    for s, path in paths.items():
-        counts = tested.get((s, 1), {})
-        for name, k in path[: longest_safe(counts, sum(counts.values()), len(path), alpha, delta / len(strata))]:
+    tested = {key: counts for key, counts in _by_step(guard, paths).items() if key[1] == 1}
+    out = {}
+    for s, passed in certified(paths, {s: tested.get((s, 1), {}) for s in strata}, alpha, delta).items():
+        for name, k in paths[s][:passed]:
             c = rules[name][1][k]
             out[s, name] = min(c, out.get((s, name), c))
     return out
@@ -227,8 +239,8 @@ def quality_rules(docs: DataFrame, labels: DataFrame, alpha: float = 0.04, delta
     """docs with the base columns, base_failed and kept added, in place of columns of these names.
 
     base_failed: fewer than 50 words, or over half the words in repeated 3-word windows. kept: neither
-    that nor rejected by a certified cutoff. A stratum needs 84 good documents in the guard half to certify
-    anything at the default alpha and delta; without, and with no labels, the base rules alone decide. Null
+    that nor rejected by a certified cutoff. A stratum needs 84 good documents in the guard to certify
+    anything at the default alpha and delta, 74 or 57 once one or two others are through; without, and with no labels, the base rules alone decide. Null
     and empty texts have no words and fail; long texts are counted whole. Rows that repeat an id, and those
     that tie at a cutoff, are judged alike, each on its own; a null id is judged like any other but never
     labelled. Empty tables give empty results.
