@@ -1,6 +1,10 @@
 """The pipeline's stages on the smallest tables, each against a plain re-computation of its own input."""
 
+import hashlib
+import math
 import os
+import re
+from collections import Counter
 
 import pytest
 
@@ -79,6 +83,41 @@ def test_secrets_go_and_documents_stay(stages):
     assert secrets.RULES
 
 
+def plain_mix(rows):
+    """doc_id -> copies, from (doc_id, source, text): targets by sharing again what is above a cap, copies by walking each source's order."""
+    sizes = {i: len(re.findall(r"[^\x20\x09-\x0D]+", t or "")) for i, _, t in rows}
+    key = {i: "t" if s is None else f"s{s}" for i, s, _ in rows}
+    sources = sorted(set(key.values()))
+    whole = {s: float(sum(n for i, n in sizes.items() if key[i] == s)) for s in sources}
+    weight = {s: (3.0, 1.0, 2.0)[k % 3] for k, s in enumerate(sources)}
+    target, left = {}, set(sources)
+    while left:
+        level = (1.5 * sum(whole.values()) - sum(target.values())) / sum(weight[s] for s in left)
+        over = {s for s in left if weight[s] * level > 2 * whole[s]}
+        target |= {s: 2 * whole[s] for s in over} if over else {s: weight[s] * level for s in left}
+        left -= over or left
+    digest = lambda x: int(hashlib.md5(x.encode()).hexdigest()[:8], 16)
+    out = {}
+    for s in sources:
+        u, rate = digest(f"7:{s}") / 2**32, target[s] / whole[s] if whole[s] else 0.0
+        order = sorted((i for i in sizes if key[i] == s), key=lambda i: (math.floor(math.log2(sizes[i] + 1.0) * 4), digest(str(i)), sizes[i], i))
+        out |= {i: math.floor((k + 1) * rate + u) - math.floor(k * rate + u) for k, i in enumerate(order)}
+    return out
+
+
+def test_mix_against_a_plain_walk(stages):
+    before, after = stages["mix_sources"]
+    want = plain_mix([(r.doc_id, r.source, r.text) for r in before.collect()])
+    assert Counter(r.doc_id for r in after.collect()) == Counter({i: n for i, n in want.items() if n})
+
+
+def test_toxic_documents_go(spark, stages):
+    """The stage drops what the operator scores 0.5 or more, on the very rows that it is given."""
+    before, after = stages["toxicity"]
+    scored = queries.QUERIES["op4_toxicity"](spark, DATA).collect()
+    assert set(texts(after)) == {r.doc_id for r in scored if not r.predicted} and set(texts(before)) == {r.doc_id for r in scored}
+
+
 def test_mix_copies(stages):
     before, after = stages["mix_sources"]
     assert set(texts(after)) <= set(texts(before)) and after.groupBy("doc_id").count().where("count > 2").count() == 0
