@@ -23,7 +23,9 @@ bits; a position's short name travels with 32 bits besides its bucket, and its l
 compared among equal short ones, with 40. Among 10^9 strings a collision is expected with probability 0.03.
 
 Copies of a name within one task's chunk are settled there before the shuffle, so a name that a third of the
-documents hold is sent once per chunk. Names travel as packed arrays, many in a row; texts are shuffled once,
+documents hold is sent once per chunk. A short name that stands often in a chunk, in several documents amid different
+bytes, needs no ranking: that several documents hold it, with several long names, is known. Of it a task sends four positions at
+most to the name's bucket, which tell the other tasks as much, and lets all others go on to step 2 directly, where each string has a name of its own. So a sentence in every document doesn't fill a bucket. Names travel as packed arrays, many in a row; texts are shuffled once,
 to meet the settled positions.
 """
 
@@ -43,6 +45,8 @@ LENGTH = 50
 GRAM = 24
 #: Bytes of text that are named together; bounds a task's arrays.
 CHUNK_BYTES = 1_000_000
+#: Positions of a short name in a chunk from which on a task doesn't send it for ranking.
+OFTEN = 8
 #: Bytes of packed names that are ranked together; a larger bucket is ranked part by part of its names.
 PART_BYTES = 4_000_000
 #: Bytes of text to each bucket of names, at most about.
@@ -234,10 +238,25 @@ def _pieces(ids, texts, margin: int) -> Iterator[tuple[list, list, list, list]]:
         yield tuple(map(list, zip(*chunk)))
 
 
+def _often(doc: np.ndarray, short: np.ndarray, long: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(short names of OFTEN positions or more, several documents and several long names, sorted; positions of each
+    that show as much: those of its least and greatest long name, and of its first and last document)."""
+    if not len(short):
+        return short, np.zeros(0, np.int64)
+    by_long, by_doc = np.lexsort((doc, long, short)), np.lexsort((long, doc, short))
+    ordered = short[by_long]
+    first = np.flatnonzero(np.concatenate(([True], ordered[1:] != ordered[:-1])))
+    last = np.append(first[1:], len(ordered)) - 1
+    many = (last - first + 1 >= OFTEN) & (long[by_long[first]] != long[by_long[last]]) & (doc[by_doc[first]] != doc[by_doc[last]])
+    first, last = first[many], last[many]
+    return ordered[first], np.unique(np.concatenate((by_long[first], by_long[last], by_doc[first], by_doc[last])))
+
+
 def _named(length: int, gram: int, buckets: int):
     """Step 1 on texts: names of the sampled positions, less those settled within the chunk."""
 
     def compute(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        often = np.zeros(0, np.uint64)  # of this task so far; an OFTENth of its positions at most
         for b in batches:
             for ids, texts, low, first, last in _pieces(b["doc_id"], b["text"], 2 * length):
                 s = Sampled(Texts(texts), length, gram)
@@ -248,6 +267,14 @@ def _named(length: int, gram: int, buckets: int):
                 known = _settle(doc, long)
                 rows = [{"bucket": r["home"], **r} for r in _homeward(doc[known], place[known], WHOLE, buckets)]
                 doc, place, short, long = doc[~known], place[~known], short[~known], long[~known]
+                on = np.isin(short, often)
+                more, shown = _often(doc[~on], short[~on], long[~on])
+                shown = np.flatnonzero(~on)[shown]
+                often = np.union1d(often, more)
+                on |= np.isin(short, more)
+                on[shown] = False
+                rows += [{"bucket": r["home"], **r} for r in _homeward(doc[on], place[on], FINE, buckets)]
+                doc, place, short, long = doc[~on], place[~on], short[~on], long[~on]
                 for bucket, part in _parts(_bucket(short, buckets)):
                     rows.append({"bucket": bucket, "home": -1, "kind": FINE, "payload": _pack(doc[part], place[part], (short[part], 4), (long[part], 5))})
                 yield _frame(rows, NAMED)
@@ -377,7 +404,8 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> D
     A byte repeats if a length-byte string over it also starts in a document of smaller id; strings are
     judged on the input. Null text counts as empty. Rows that repeat an id are one document and get the
     same stretches, so none of them removes the other; an id should name one text. Rows with a null id
-    are compared with nothing and kept whole. An empty table gives an empty result.
+    are compared with nothing and kept whole. Of equal texts the smallest id keeps all. Long texts are read
+    whole, in pieces; other columns are not looked at. An empty table gives an empty result.
     """
     spark = docs.sparkSession
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).cast("binary").alias("text"))

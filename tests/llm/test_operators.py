@@ -779,3 +779,40 @@ def test_false_rejections_keep_their_level():
             counts[s] = {0: int(bad), None: 300 - int(bad)}
         wrong += any(quality_rules.certified({s: ["a"] for s in range(3)}, counts, 0.04, 0.1).values())
     assert wrong / 2000 < 0.1 + 0.02
+
+
+def test_a_sentence_in_every_document_fills_no_bucket():
+    """Of a short name that is frequent amid different bytes a task sends a few positions for ranking, the others go on."""
+    import pandas as pd
+
+    sentence = "This very sentence stands in each one."  # 38 bytes: several short names, no 50-byte string
+    texts = [f"{prose(40, 5000 + i)} {sentence} {prose(40, 6000 + i)}".encode() for i in range(300)]
+    rows = pd.concat(list(suffix._named(50, 24, 8)(iter([pd.DataFrame({"doc_id": range(300), "text": texts})]))))
+    doc, _, short, long = suffix._unpack(rows.loc[rows["home"] < 0, "payload"].tolist(), 4, 5)
+    assert max(Counter(short.tolist()).values()) <= 4
+    on = rows[(rows["home"] >= 0) & (rows["kind"] == suffix.FINE)]
+    assert sum(len(suffix._unpack([x])[0]) for x in on["payload"]) >= 250
+
+
+def test_frequent_names_are_still_settled(spark):
+    """Sentences in every document, with the words around them repeated in some, once and many times, over many tasks."""
+    r = random.Random(44)
+    sentence = "This very sentence stands in each of them."
+    around = [prose(9, 7000 + i) for i in range(6)]
+    texts = [" ".join([prose(r.randint(0, 12), 8000 + i), *[f"{r.choice(around)} {sentence} {r.choice(around)}" for _ in range(r.choice((1, 1, 2, 9)))], prose(r.randint(0, 9), 9000 + i)]) for i in range(160)]
+    table = helpers.docs(spark, texts)
+    for parts in (1, 7, 40):
+        got = {x.doc_id: bytes(x.kept) for x in suffix.repeated_spans(table.repartition(parts)).collect()}
+        assert [got[i] for i in range(len(texts))] == helpers.removed(texts)
+
+
+def test_names_are_ranked_part_by_part(monkeypatch):
+    """A bucket beyond PART_BYTES gives the same rows as one that is ranked at once."""
+    import pandas as pd
+
+    texts = [t.encode() for t in [prose(60, i % 9) + prose(30, 100 + i) for i in range(50)]]
+    rows = pd.concat(list(suffix._named(50, 24, 1)(iter([pd.DataFrame({"doc_id": range(50), "text": texts})]))))
+    settled = lambda: sorted((k, *x) for k, p in suffix._ranked(1)(rows)[["kind", "payload"]].itertuples(index=False) for x in zip(*(v.tolist() for v in suffix._unpack([p]))))
+    once = settled()
+    monkeypatch.setattr(suffix, "PART_BYTES", 100)
+    assert once and settled() == once
