@@ -23,7 +23,7 @@ bits; a position's short name travels with 32 bits besides its bucket, and its l
 compared among equal short ones, with 40. Among 10^9 strings a collision is expected with probability 0.03.
 
 Copies of a name within one task's chunk are settled there before the shuffle, so a name that a third of the
-documents hold is sent once per chunk. A short name that stands often in a chunk, in several documents amid different
+documents hold is sent once per chunk. A short name that stands often in a chunk, in several documents and each time amid other
 bytes, needs no ranking: that several documents hold it, with several long names, is known. Of it a task sends four positions at
 most to the name's bucket, which tell the other tasks as much, and lets all others go on to step 2 directly, where each string has a name of its own. So a sentence in every document doesn't fill a bucket. Names travel as packed arrays, many in a row; texts are shuffled once,
 to meet the settled positions.
@@ -266,13 +266,14 @@ def _named(length: int, gram: int, buckets: int):
                 doc, place, short, long = np.array(ids, np.int64)[s.owner][own], place[own], s.rank[s.at][own], s.texts.names(start[own], end[own])
                 known = _settle(doc, long)
                 rows = [{"bucket": r["home"], **r} for r in _homeward(doc[known], place[known], WHOLE, buckets)]
+                lone = ~np.isin(long, long[known])[~known]  # a long name that has copies here is worth ranking
                 doc, place, short, long = doc[~known], place[~known], short[~known], long[~known]
-                on = np.isin(short, often)
-                more, shown = _often(doc[~on], short[~on], long[~on])
-                shown = np.flatnonzero(~on)[shown]
+                on = lone & np.isin(short, often)
+                rest = np.flatnonzero(lone & ~on)
+                more, shown = _often(doc[rest], short[rest], long[rest])
                 often = np.union1d(often, more)
-                on |= np.isin(short, more)
-                on[shown] = False
+                on[rest] = np.isin(short[rest], more)
+                on[rest[shown]] = False
                 rows += [{"bucket": r["home"], **r} for r in _homeward(doc[on], place[on], FINE, buckets)]
                 doc, place, short, long = doc[~on], place[~on], short[~on], long[~on]
                 for bucket, part in _parts(_bucket(short, buckets)):
