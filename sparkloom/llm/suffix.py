@@ -46,7 +46,7 @@ GRAM = 24
 #: Bytes of text that are named together; bounds a task's arrays.
 CHUNK_BYTES = 1_000_000
 #: Positions of a short name in a chunk from which on a task doesn't send it for ranking.
-OFTEN = 8
+OFTEN = 32
 #: Bytes of packed names that are ranked together; a larger bucket is ranked part by part of its names.
 PART_BYTES = 4_000_000
 #: Bytes of text to each bucket of names, at most about.
