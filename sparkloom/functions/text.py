@@ -1,9 +1,11 @@
-"""Column functions for message text. All but unescaped() are built-in expressions, so they stay in generated code."""
+"""Column functions for message text. All but the unescaped ones are built-in expressions, so they stay in generated code."""
 
 from __future__ import annotations
 
 import html
+import re
 from collections.abc import Iterator
+from html.entities import html5
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -47,6 +49,17 @@ def unescaped(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         yield batch.map(lambda x: html.unescape(x) if isinstance(x, str) and "&" in x else x)
 
 
+_TERMINATED = re.compile(r"&(#[0-9]+;|#[xX][0-9a-fA-F]+;|[A-Za-z0-9]+;)")
+
+
+@F.pandas_udf(StringType())
+def unescaped_terminated(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    """Character references that end in ';' decoded; a name without it, or one that isn't known, stays as it is."""
+    one = lambda m: html.unescape(m[0]) if m[1][0] == "#" else html5.get(m[1], m[0])
+    for batch in texts:
+        yield batch.map(lambda x: _TERMINATED.sub(one, x) if isinstance(x, str) and "&" in x else x)
+
+
 #: One piece of HTML: text, a comment, a script or style with its body, a tag whose quoted values may hold '>', a
 #: declaration, markup that is cut off, or a '<' that opens nothing. Quantifiers are possessive, so no piece is tried twice.
 _ATTRIBUTES = r"""(?:[\s/]++|(?<=['"\s/])[^\s/>][^\s/=>]*+(?:\s*+=++\s*+(?:'[^']*+'|"[^"]*+"|(?!['"])[^>\s]*+))?+)*+"""
@@ -63,19 +76,20 @@ _BARE_SLASH = r"(?s)=\s*[^\s'\"][^\s>]*/>$"
 _SEAM = "\uffff"
 
 
-def html_to_text(html: Column) -> Column:
+def html_to_text(html: Column, terminated: bool = False) -> Column:
     """Text of HTML mail: scripts and styles dropped, a new line at the end tags of p, br, div and tr.
 
     A '<' opens markup only before a letter, '/', '!' or '?', and quoted values may hold '>'. Markup that is cut
     off takes the rest of the text with it, and so does a script that isn't closed. Text after the last tag is
     left out if a reference at its end may be cut off, that is, an '&' among its last 34 characters after which
-    there is neither white space nor ';'. At most one blank line stays. References are decoded last.
+    there is neither white space nor ';'. At most one blank line stays. References are decoded last: also
+    those that lack their ';', as browsers do, unless only terminated ones are asked for.
     """
     cut_off = lambda x: (x == "<") | (~x.startswith("<") & F.right(x, F.lit(34)).rlike(r"(?U)&[^\s;&]*+\z"))
     kept = lambda xs: F.when((F.size(xs) > 0) & cut_off(F.get(xs, F.size(xs) - 1)), F.slice(xs, F.lit(1), F.size(xs) - 1)).otherwise(xs)
     shown = lambda x: F.when(~x.startswith("<") | (x == "<"), x).when(x.rlike(LINE_END) & ~x.rlike(_BARE_SLASH), "\n").otherwise("")
     x = F.array_join(F.transform(let(F.regexp_extract_all(html, F.lit(HTML_PIECE), F.lit(0)), kept), shown), _SEAM)
-    return strip_ws(F.regexp_replace(F.replace(unescaped(x), F.lit(_SEAM), F.lit("")), r"\n{3,}", "\n\n"))
+    return strip_ws(F.regexp_replace(F.replace((unescaped_terminated if terminated else unescaped)(x), F.lit(_SEAM), F.lit("")), r"\n{3,}", "\n\n"))
 
 
 def strip_quoted_reply(body: Column) -> Column:
