@@ -62,7 +62,9 @@ def mbox_read(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").where("source IS NOT NULL AND text IS NOT NULL")
     word = lambda x: F.concat(F.lit("=?utf-8?b?"), F.base64(F.encode(x, "UTF-8")), F.lit("?="))
     head = F.concat(F.lit("From ann@example.com Mon\nFrom: "), word(F.concat(F.lit("Ünit "), "source")), F.lit(" <"), "source", F.lit("@example.com>\nSubject: "), word(F.concat(F.lit("Über "), F.col("doc_id").cast("string"))), F.when(F.col("doc_id") % 2 == 0, F.concat(F.lit("\nDate: d"), F.col("doc_id").cast("string"))).otherwise(""))
-    mail = F.concat(head, F.lit("\nContent-Type: text/plain; charset=utf-8\nContent-Transfer-Encoding: 8bit\n\n"), F.replace("text", F.lit("\nFrom "), F.lit("\n>From ")), F.lit("\n> quoted\n____\nolder"))
+    body = F.concat(F.replace("text", F.lit("\nFrom "), F.lit("\n>From ")), F.lit("\n> quoted\n____\nolder"))
+    sent = F.when(F.startswith("text", F.lit("From ")), F.concat(F.lit("base64\n\n"), F.base64(F.encode(body, "UTF-8")))).otherwise(F.concat(F.lit("8bit\n\n"), body))  # no mark before a first line 'From '
+    mail = F.concat(head, F.lit("\nContent-Type: text/plain; charset=utf-8\nContent-Transfer-Encoding: "), sent)
     folder = scratch_folder(spark, "mbox")
     docs.select(mail.alias("value")).write.text(folder)
     return exports.read_mail(spark, folder, "7", mbox=True).select("sender", "subject", "date", F.md5("body").alias("body_md5"))

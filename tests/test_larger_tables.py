@@ -25,3 +25,8 @@ def agrees(spark, tmp_path):
 def test_references_cut_off_before_a_tag_stay(agrees):
     pages = [(0, "<h1>a &amp; b &amp</h1><p>x</p>"), (1, "<b>&quot</b>I"), (2, "&notit; &copy2 &#39 &#39; &eacute;")]
     agrees("html_to_text", "pages", pages, "page_id long, html string")
+
+
+def test_a_mail_that_begins_like_a_mail_is_one(agrees):
+    texts = ["From here on\nFrom there\nend é", "\nFrom x\ny", "Plain\nFrom x", "From "]
+    agrees("mbox_read", "documents", [(k, t, "src7") for k, t in enumerate(texts)], "doc_id long, text string, source string")
