@@ -141,7 +141,8 @@ def with_presets(rows: DataFrame, presets: DataFrame, meta: str = "meta") -> Dat
     """rows with ``family``, ``research_profile`` and ``preset``, the preset's row as a struct.
 
     The family is looked up as character, type and generation's character; the profile at the top, in generation and
-    in engine, spelled freely. A family without such a profile gives its default one.
+    in engine, spelled freely. A family without such a profile gives its default one. There are three families, so the
+    table is small and sent to all tasks: rows dealt by family would be the work of three of them.
     """
     m = F.col(meta)
     at = lambda path: F.try_variant_get(m, f"$.{path}", "variant")
@@ -150,7 +151,7 @@ def with_presets(rows: DataFrame, presets: DataFrame, meta: str = "meta") -> Dat
     table = presets.select(F.struct(*presets.columns).alias("__p"))
     own = table.select(F.col("__p.family").alias("family"), F.col("__p.profile").alias("__asked"), F.col("__p").alias("__own"))
     usual = table.where("__p.is_default").select(F.col("__p.family").alias("family"), F.col("__p").alias("__usual"))
-    out = named.join(own, ["family", "__asked"], "left").join(usual, "family", "left").withColumn("preset", F.coalesce("__own", "__usual"))
+    out = named.join(F.broadcast(own), ["family", "__asked"], "left").join(F.broadcast(usual), "family", "left").withColumn("preset", F.coalesce("__own", "__usual"))
     return out.withColumn("research_profile", F.col("preset.profile")).drop("__own", "__usual", "__asked")
 
 
@@ -201,8 +202,7 @@ def enriched(rows: DataFrame, presets: DataFrame, now: Column, engine: str = Bun
 def manifest_of(meta: Column, bundles: Bundles = Bundles()) -> Column:
     """An enriched record's manifest, a variant: what it is, its files and commands, and the engine's whole entry."""
     at = lambda path: F.coalesce(F.try_variant_get(meta, f"$.{path}", "variant"), F.parse_json(F.lit("null")))
-    engine = inside(meta, "engine")
-    get = lambda k, default: F.when(F.map_contains_key(engine, k), F.element_at(engine, k)).otherwise(F.parse_json(F.lit(default)))
+    get = lambda k, default: F.coalesce(F.try_variant_get(meta, f"$.engine.{k}", "variant"), F.parse_json(F.lit(default)))
     plan = {"prompt_bundle": "{}", "research_profile": '"standard"', "research_profile_bundle": "{}", "research_profile_references": "[]", "merge_strategy": '"compact"', "quality_profile": '"budget-friendly"', "research_tools": "{}", "knowledge_dirs": "[]"}
     listed = F.array(at("artifacts.combined_skill"), at("artifacts.work_doc"), at("artifacts.persona_doc"), said("meta.json"), at("artifacts.manifest"))
     install = object_of(

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import slugify
 from ..operators import classify, metadata, nested, records, report, style
-from ..sources.tables import table
+from ..sources.tables import spread, table
 from .wave1 import CHAT, _lines_sql, any_of, chat
 
 QUERIES, SQL = {}, {}
@@ -66,7 +66,8 @@ BUNDLES = metadata.Bundles(
 def metas(spark, sf_dir):
     """(slug, meta): each part's metadata with all defaults."""
     slug = slugify(F.concat("p_name", F.lit(" "), F.col("p_partkey").cast("string")))
-    rows = table(spark, sf_dir, "part").select(slug.alias("slug"), F.parse_json(F.expr(META_JSON)).alias("meta"))
+    parts = spread(table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_brand"))
+    rows = parts.select(slug.alias("slug"), F.parse_json(F.expr(META_JSON)).alias("meta"))
     return metadata.enriched(rows, metadata.preset_table(spark, BUNDLES), F.lit(NOW), BUNDLES.engine)
 
 

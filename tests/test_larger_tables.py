@@ -30,3 +30,15 @@ def test_references_cut_off_before_a_tag_stay(agrees):
 def test_a_mail_that_begins_like_a_mail_is_one(agrees):
     texts = ["From here on\nFrom there\nend é", "\nFrom x\ny", "Plain\nFrom x", "From "]
     agrees("mbox_read", "documents", [(k, t, "src7") for k, t in enumerate(texts)], "doc_id long, text string, source string")
+
+
+def test_records_are_dealt_to_all_cores(spark):
+    """Three families are no key to deal rows by, and a small file isn't one task's work."""
+    from pyspark.sql import functions as F
+
+    from sparkloom.plans import wave4
+
+    rows = wave4.metas(spark, "/root/testdata/sf0.001")
+    assert "SortMergeJoin" not in rows._jdf.queryExecution().executedPlan().toString()
+    dealt = [r["count"] for r in rows.groupBy(F.spark_partition_id()).count().collect()]
+    assert len(dealt) >= 12 and max(dealt) <= 4 * sum(dealt) / len(dealt)
