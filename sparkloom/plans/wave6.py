@@ -9,7 +9,7 @@ from ..functions import text as tx
 from ..operators import metadata, notes, records, select
 from ..sources import containers, exports, folders, mailboxes
 from ..sources.scratch import scratch_folder
-from ..sources.tables import table
+from ..sources.tables import spread, table
 from ..streaming import remerge
 from .wave2 import STRIP
 from .wave4 import META_SQL, _MANIFESTS, rendered
@@ -151,7 +151,7 @@ def mail_ranges(spark, sf_dir):
 
 def _suppliers(spark, sf_dir):
     slug = tx.slugify(F.concat(F.lit("s "), F.col("s_suppkey").cast("string")))
-    rows = table(spark, sf_dir, "supplier").select(slug.alias("slug"), F.parse_json(F.concat(F.lit('{"character":"ex","created_at":"2024-01-01","name":"'), "s_name", F.lit('"}'))).alias("meta"))
+    rows = spread(table(spark, sf_dir, "supplier").select("s_suppkey", "s_name")).select(slug.alias("slug"), F.parse_json(F.concat(F.lit('{"character":"ex","created_at":"2024-01-01","name":"'), "s_name", F.lit('"}'))).alias("meta"))
     return metadata.enriched(rows, metadata.preset_table(spark), F.lit("now"))
 
 
@@ -176,8 +176,10 @@ def distinct_sketches(spark, sf_dir):
     folder = scratch_folder(spark, "sketches")
     kept.write.parquet(folder)
     union = notes.merged_sketches(spark.read.parquet(folder), ["lang"]).withColumnRenamed("distinct", "estimate")
-    once = words.groupBy("lang").agg(F.hll_sketch_estimate(F.hll_sketch_agg("w", F.lit(notes.LG_K))).alias("once"), F.count_distinct("w").alias("exact"))
-    both = once.join(union, once["lang"].eqNullSafe(union["lang"])).select(once["lang"], "once", "exact", "estimate")
+    # Apart, as a distinct count beside a sketch would keep a sketch for each distinct word.
+    exact = words.select("lang", "w").distinct().groupBy("lang").agg(F.count("w").alias("exact"))
+    once = words.groupBy("lang").agg(F.hll_sketch_estimate(F.hll_sketch_agg("w", F.lit(notes.LG_K))).alias("once"))
+    both = exact.join(once, exact["lang"].eqNullSafe(once["lang"])).join(union, exact["lang"].eqNullSafe(union["lang"])).select(exact["lang"], "once", "exact", "estimate")
     near = F.abs(F.col("estimate") - F.col("exact")) <= F.greatest(F.lit(2), 4 * notes.sketch_error() * F.col("exact"))
     # A union's last digits depend on how its sketches were held, so it may be off by the same error, not more.
     return both.select("lang", "exact", near.alias("near"), (F.abs(F.col("estimate") - F.col("once")) <= F.greatest(F.lit(2), 4 * notes.sketch_error() * F.col("exact"))).alias("same"))

@@ -42,3 +42,9 @@ def test_records_are_dealt_to_all_cores(spark):
     assert "SortMergeJoin" not in rows._jdf.queryExecution().executedPlan().toString()
     dealt = [r["count"] for r in rows.groupBy(F.spark_partition_id()).count().collect()]
     assert len(dealt) >= 12 and max(dealt) <= 4 * sum(dealt) / len(dealt)
+
+
+def test_exact_count_keeps_no_sketch_a_word(spark):
+    """A sketch is kept a language or a source: no aggregate with one is grouped by the words."""
+    plan = plans.queries()["distinct_sketches"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert not [x for x in plan.splitlines() if "hll_sketch_agg" in x and "count(distinct" in x]
