@@ -160,9 +160,7 @@ def record_folders(spark, sf_dir):
     """Each supplier's record written as a folder of seven files, and read back; two of the files are shown."""
     folder = scratch_folder(spark, "records")
     folders.write_records(rendered(_suppliers(spark, sf_dir)).withColumnRenamed("slug", "folder"), folder)
-    read = spark.read.text(f"{folder}/*", wholetext=True).select(F.input_file_name().alias("p"), "value")
-    part = lambda k: F.element_at(F.split("p", "/"), k)
-    return read.select(part(-2).alias("folder"), part(-1).alias("file"), F.when(part(-1).isin("work.md", "persona.md"), F.col("value")).alias("content"))
+    return folders.read_folders(spark, folder).select("folder", "file", F.when(F.col("file").isin("work.md", "persona.md"), F.col("content")).alias("content"))
 
 
 # Sketches, names, patches ---------------------------------------------------------------------------

@@ -48,3 +48,19 @@ def test_exact_count_keeps_no_sketch_a_word(spark):
     """A sketch is kept a language or a source: no aggregate with one is grouped by the words."""
     plan = plans.queries()["distinct_sketches"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
     assert not [x for x in plan.splitlines() if "hll_sketch_agg" in x and "count(distinct" in x]
+
+
+def test_folders_are_written_and_read_by_even_tasks(spark, tmp_path):
+    """Few bytes are no reason to write many folders in one task, nor small files one to read them in many."""
+    from pyspark.sql import functions as F
+
+    from sparkloom.sources import folders
+
+    n = F.col("id").cast("string")
+    files = spark.range(1200).select(F.concat(F.lit("f"), n).alias("folder"), F.explode(F.array(F.lit("a.md"), F.lit("b.md"), F.lit("c.md"))).alias("file"), F.concat(F.lit("é\n"), n).alias("content"))
+    sizes = [r["count"] for r in folders.dealt(files).groupBy(F.spark_partition_id()).count().collect()]
+    assert len(sizes) >= 12 and max(sizes) <= 3 * sum(sizes) / len(sizes)
+    folders.write_records(files, str(tmp_path / "r"))
+    read = folders.read_folders(spark, str(tmp_path / "r"))
+    assert read.rdd.getNumPartitions() <= folders.TASKS and sorted(read.collect()) == sorted(files.collect())
+    assert {bytes(r.content) for r in folders.read_folders(spark, str(tmp_path / "r"), "file string, content binary").where("file = 'b.md'").limit(1).collect()} <= {f"é\n{k}".encode() for k in range(1200)}
