@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..sources import exports
+from ..sources import exports, folders
 from ..sources.scratch import scratch_folder
 from ..sources.tables import table
 from ..streaming.incremental import run_batches, stream_table, tier_counts, windowed_counts
@@ -48,8 +48,8 @@ def export_read(spark, sf_dir):
     each = rows.groupBy("conv_id").agg(F.sort_array(F.collect_list(message)).alias("m"))  # a conversation's messages
     listed = F.when(F.col("conv_id") % 2 == 0, F.to_json("m")).otherwise(F.to_json(F.struct(F.array().cast("array<string>").alias("messages"), F.col("m").alias("records"))))
     folder = scratch_folder(spark, "exports")
-    each.select("conv_id", listed.alias("value")).write.partitionBy("conv_id").text(folder)
-    return exports.read_chat_json(spark, f"{folder}/*", "user").select("sender", "content", "time")
+    folders.write_shared(each.select(F.concat(F.coalesce(F.col("conv_id").cast("string"), F.lit("none")), F.lit(".json")).alias("file"), listed.alias("content")), folder)
+    return exports.chat_messages(folders.read_folders(spark, folder).select(F.col("file").alias("source"), F.col("content").alias("value")), "user").select("sender", "content", "time")
 
 
 #: A line that begins like a mail is marked in an mbox, and then goes as a quoted one.

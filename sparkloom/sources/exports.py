@@ -53,7 +53,12 @@ def read_chat_json(spark: SparkSession, path: str, target: str = "", placeholder
 
     Of the keys for a field the first whose value is truthy counts; a file that isn't JSON has no rows.
     """
-    files = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("source"), F.try_parse_json("value").alias("json"))
+    return chat_messages(spark.read.text(path, wholetext=True).select(F.input_file_name().alias("source"), "value"), target, placeholders)
+
+
+def chat_messages(files: DataFrame, target: str = "", placeholders=EXPORT_PLACEHOLDERS) -> DataFrame:
+    """read_chat_json() of files that are rows already: (source, value)."""
+    files = files.select("source", F.try_parse_json("value").alias("json"))
     root = F.when(F.schema_of_variant("json").startswith("ARRAY"), F.col("json")).otherwise(first_of(F.col("json"), ROOT_KEYS))
     rows = files.select("source", F.posexplode(F.try_variant_get(root, "$", "array<variant>")).alias("seq", "m"))
     fields = message_fields(F.col("m"), {"sender": SENDER_KEYS, "time": TIME_KEYS})
@@ -117,15 +122,20 @@ def read_mail(spark: SparkSession, path: str, target: str = "", mbox: bool = Fal
 
     An mbox is split by Spark's own text reader, so a large one is read by many tasks.
     """
-    from ..functions.text import html_to_text, strip_quoted_reply
-
     if mbox:
         whole = spark.read.option("lineSep", "\nFrom ").text(path).select(F.col("value").cast("binary").alias("raw"))
         whole = whole.select(F.expr("CASE WHEN instr(cast(raw AS string), '\\n') > 0 THEN cast(substr(cast(raw AS string), instr(cast(raw AS string), '\\n') + 1) AS binary) ELSE raw END").alias("raw"))
     else:
         whole = spark.read.format("binaryFile").load(path).select(F.col("content").alias("raw"))
 
-    mails = mail_rows(whole)
+    return mail_texts(whole, target)
+
+
+def mail_texts(raw: DataFrame, target: str = "") -> DataFrame:
+    """read_mail() of mails that are rows already: (raw), as bytes."""
+    from ..functions.text import html_to_text, strip_quoted_reply
+
+    mails = mail_rows(raw)
     body = F.coalesce("plain", html_to_text(F.col("html")))
     out = mails.select("sender", "subject", "date", strip_quoted_reply(body).alias("body"))
     return out.where(from_target(F.col("sender"), target, ignore_case=True) & (F.col("body") != ""))

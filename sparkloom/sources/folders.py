@@ -16,6 +16,7 @@ from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, Row, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, InputPartition, WriterCommitMessage
 from pyspark.sql.types import BinaryType, StructType
 
@@ -194,6 +195,12 @@ def write_records(files: DataFrame, path: str, replace: bool = False) -> None:
     dealt(files).write.format(FORMAT).mode("append").option("path", path).option("replace", str(replace).lower()).save()
 
 
+def write_shared(files: DataFrame, path: str) -> None:
+    """Writes (file, content) as one file a row, in as many folders as there are tasks, by a hash of the name: a folder is moved, not each file."""
+    n = even_tasks(files.sparkSession)
+    write_records(files.withColumn("folder", F.pmod(F.xxhash64("file"), F.lit(n)).cast("string")), path)
+
+
 def read_folders(spark: SparkSession, path: str, schema: str = SCHEMA) -> DataFrame:
     """(folder, file, content) of all files in the folders below the path."""
     register(spark)
