@@ -115,8 +115,10 @@ def eml_read(spark, sf_dir):
     lone = F.concat(F.lit("Content-Type: text/html; charset=utf-8\nContent-Transfer-Encoding: 8bit\n\n<p>raw "), t, F.lit("</p>\n> quoted"))
     head = F.concat(F.lit("From: ann"), F.col("conv_id").cast("string"), F.lit("@example.com\nSubject: S"), F.col("conv_id").cast("string"), F.lit("\nMIME-Version: 1.0\n"))
     folder = scratch_folder(spark, "eml")
-    rows.select("conv_id", F.concat(head, F.when(k == 3, lone).otherwise(several)).alias("value")).write.partitionBy("conv_id").text(folder)
-    return exports.read_mail(spark, f"{folder}/*", "ANN").select("sender", "subject", F.md5("body").alias("body_md5"))
+    name = F.concat(F.coalesce(F.col("conv_id").cast("string"), F.lit("none")), F.lit(".eml"))
+    folders.write_shared(rows.select(name.alias("file"), F.concat(head, F.when(k == 3, lone).otherwise(several)).alias("content")), folder)
+    mails = folders.read_folders(spark, folder, "file string, content binary")
+    return exports.mail_texts(mails.select(F.col("content").alias("raw")), "ANN").select("sender", "subject", F.md5("body").alias("body_md5"))
 
 
 _CONTAINER = "SELECT doc_id // 50 AS container, doc_id, 'From x' || chr(10) || 'From: d' || doc_id || '@example.com' || chr(10) || 'Subject: S' || doc_id || chr(10) || chr(10) || md5(text) AS mail FROM documents WHERE text IS NOT NULL"

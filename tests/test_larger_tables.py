@@ -66,10 +66,11 @@ def test_folders_are_written_and_read_by_even_tasks(spark, tmp_path):
     assert {bytes(r.content) for r in folders.read_folders(spark, str(tmp_path / "r"), "file string, content binary").where("file = 'b.md'").limit(1).collect()} <= {f"é\n{k}".encode() for k in range(1200)}
 
 
-@pytest.mark.parametrize("name", ["export_read"])
+@pytest.mark.parametrize("name", ["export_read", "eml_read"])
 def test_a_file_a_conversation_needs_no_folder_or_task_of_its_own(spark, agrees, tmp_path, name):
     from sparkloom.sources.tables import even_tasks
 
-    talk = [(c, t, ("user", "assistant")[t % 2], f"é{c}. {t}\nx") for c in range(1200) for t in range(2)] + [(None, 0, "user", "lost"), (1300, 0, "user", None)]
+    talk = [(c, t, ("user", "assistant")[t % 2], f"é{c}. {t}\nx") for c in range(1200) for t in range(2)] + [(None, 0, "user", "lost")]
+    talk += [(1300, 0, "user", None)] if name == "export_read" else []  # a mail of no text has no SQL of its own
     agrees(name, "conversations", talk, "conv_id long, turn long, role string, text string")
     assert plans.queries()[name](spark, str(tmp_path)).rdd.getNumPartitions() <= even_tasks(spark)
