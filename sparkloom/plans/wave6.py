@@ -9,7 +9,7 @@ from ..functions import text as tx
 from ..operators import metadata, notes, records, select
 from ..sources import containers, exports, folders, mailboxes
 from ..sources.scratch import scratch_folder
-from ..sources.tables import spread, table
+from ..sources.tables import even_tasks, spread, table
 from ..streaming import remerge
 from .wave2 import STRIP
 from .wave4 import META_SQL, _MANIFESTS, rendered
@@ -49,9 +49,10 @@ def arriving(spark, sf_dir):
     rows.write.parquet(f"{folder}/all")
     rows = spark.read.parquet(f"{folder}/all")
     a, b = rows.approxQuantile("seq", [0.3, 0.7], 0.01)
+    n = even_tasks(spark)  # files of a lot
     for lot in (F.col("seq") <= a, F.col("seq").between(a + 1, b), F.col("seq").between(a + 1, b), F.col("seq") > b):
-        rows.where(lot).repartition(4, "record").write.mode("append").parquet(f"{folder}/in")
-    return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 4).parquet(f"{folder}/in"), f"{folder}/state"
+        rows.where(lot).repartition(n, "record").write.mode("append").parquet(f"{folder}/in")
+    return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", n).parquet(f"{folder}/in"), f"{folder}/state"
 
 
 _UPDATES = "u AS (SELECT 'c' || o_custkey AS record, o_orderkey AS seq, o_orderstatus AS h, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS n FROM orders), s AS (SELECT record, h, min(seq) AS first, max(seq) AS last FROM u GROUP BY ALL)"

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import or_empty
 from ..operators.records import apply_corrections, merge_patch, next_version
+from ..sources.tables import even_tasks
 
 BUCKETS = 64
 COMPACT = 16
@@ -77,19 +78,24 @@ def archived_versions(spark: SparkSession, folder: str) -> DataFrame:
     return spark.read.schema(SCHEMA + ", batch int").parquet(f"{folder}/records").select("record", F.explode("archived").alias("a")).select("record", "a.*")
 
 
+def dealt(rows: DataFrame, buckets: int) -> DataFrame:
+    """rows with a bucket, each bucket's in as many parts as keep all cores busy, so that few buckets aren't few tasks; small parts are put together."""
+    return rows.repartition("bucket", F.pmod(F.hash("record"), F.lit(-(-even_tasks(rows.sparkSession) // buckets))))
+
+
 def remerge_batch(batch: DataFrame, batch_id: int, folder: str, compact: int = COMPACT, buckets: int = BUCKETS) -> None:
     """Folds one batch into the records; running it again leaves the same files."""
     spark, bucket = batch.sparkSession, F.pmod(F.xxhash64("record"), F.lit(buckets)).cast("int")
     needed = sorted(r[0] for r in batch.where("record IS NOT NULL").select(bucket).distinct().collect())  # at most so many buckets
     changed = folded(batch, current_records(spark, folder, batch_id, compact, needed)).withColumn("bucket", bucket)
-    changed.repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{folder}/records/batch={batch_id}")
+    dealt(changed, buckets).write.mode("overwrite").partitionBy("bucket").parquet(f"{folder}/records/batch={batch_id}")
     if batch_id % compact == compact - 1:
         spark.catalog.refreshByPath(f"{folder}/records")
         rows = _read(spark, folder, batch_id, batch_id + 1).select("record", *FIELDS, F.lit(1).alias("late"))
         rows = rows.unionByName(current_records(spark, folder, batch_id, compact).withColumn("late", F.lit(0)))
         rows = rows.groupBy("record").agg(F.max_by(F.struct(*FIELDS), "late").alias("s")).select("record", "s.*")
         none = F.array().cast("array<struct<version:string,seq:bigint,work:string,persona:string,corrections:bigint>>")
-        rows.withColumns({"archived": none, "bucket": bucket}).repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{folder}/whole/batch={batch_id}")
+        dealt(rows.withColumns({"archived": none, "bucket": bucket}), buckets).write.mode("overwrite").partitionBy("bucket").parquet(f"{folder}/whole/batch={batch_id}")
 
 
 def remerge(stream: DataFrame, folder: str, compact: int = COMPACT, buckets: int = BUCKETS) -> int:

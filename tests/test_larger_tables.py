@@ -74,3 +74,17 @@ def test_a_file_a_conversation_needs_no_folder_or_task_of_its_own(spark, agrees,
     talk += [(1300, 0, "user", None)] if name == "export_read" else []  # a mail of no text has no SQL of its own
     agrees(name, "conversations", talk, "conv_id long, turn long, role string, text string")
     assert plans.queries()[name](spark, str(tmp_path)).rdd.getNumPartitions() <= even_tasks(spark)
+
+
+def test_few_buckets_are_written_by_many_tasks(spark, tmp_path):
+    """A batch's rows of one bucket go to several tasks: no fewer tasks write because there are few buckets."""
+    from sparkloom.streaming import remerge
+
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # so few rows are put together else
+    try:
+        rows = spark.range(2000).selectExpr("concat('r', id) AS record", "id AS seq", "'## A' AS work_patch", "'P' AS persona_patch", "CAST(NULL AS array<struct<scene:string,wrong:string,correct:string>>) AS fixes")
+        remerge.remerge_batch(rows, 0, str(tmp_path), compact=1, buckets=1)
+        assert all(len(list(tmp_path.glob(f"{kind}/batch=0/bucket=0/*.parquet"))) > 1 for kind in ("records", "whole"))
+        assert remerge.current_records(spark, str(tmp_path), 1, compact=1).count() == 2000
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
